@@ -20,7 +20,7 @@ def ignore_filter(files: DataFrame, rules: Iterable[str] | DataFrame, path: str
     which is read on the driver in any case to build the predicate.
     """
     if isinstance(rules, DataFrame):
-        rules = [row[0] for row in rules.toLocalIterator()]
+        rules = [row["rule"] for row in rules.toLocalIterator()]
     return files.filter(~matches_any_glob(path, rules))
 
 

@@ -73,9 +73,9 @@ def read_change_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ignore_rules(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Glob rules from raw lines: stripped, without blank lines and ``#`` comments. Column ``rule``."""
-    rule = strip(column)
-    return lines.select(rule.alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("#"))
+    """Glob rules from raw lines: stripped, without blank lines and ``#`` comments. Column ``rule``, after any others."""
+    rest = [name for name in lines.columns if name != column]
+    return lines.select(*rest, strip(column).alias("rule")).filter((F.col("rule") != "") & ~F.col("rule").startswith("#"))
 
 
 def read_ignore_rules(spark: SparkSession, path: str) -> DataFrame:
