@@ -8,6 +8,8 @@ header is given up on at its first character.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -46,12 +48,22 @@ def _cpp_header() -> str:
 
 HEADERS: dict[str, str] = {"python": _python_header(), "cpp": _cpp_header()}
 
+# Every header starts with one of these, so a text that starts otherwise never meets the pattern.
+_OPENINGS: dict[str, tuple[str, ...]] = {
+    "python": ("#", "import", "from", "\\", "\ufeff", "\u2060", "\u200b"),
+    "cpp": ("/", "#", "\\"),
+}
+
 
 def strip_header(content: Column | str, language: Column | str, headers: Mapping[str, str] = HEADERS) -> Column:
     """Text without its leading header and outer whitespace; text of an unknown language is returned as it is."""
     content, language = _col(content), _col(language)
     result = content
     for name, pattern in headers.items():
-        cut = strip(F.regexp_replace(content, F.lit(pattern), F.lit("")))
+        text = strip(content)
+        cut = strip(F.regexp_replace(text, F.lit(pattern), F.lit("")))
+        if openings := _OPENINGS.get(name):
+            may_have_header = reduce(or_, [text.startswith(opening) for opening in openings])
+            cut = F.when(may_have_header, cut).otherwise(text)
         result = F.when(language == F.lit(name), cut).otherwise(result)
     return result

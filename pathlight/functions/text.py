@@ -34,4 +34,5 @@ def split_whitespace(column: Column | str) -> Column:
 
 def universal_newlines(column: Column | str) -> Column:
     """Turn ``\\r\\n`` and lone ``\\r`` into ``\\n``, as reading in text mode does."""
-    return F.regexp_replace(_col(column), F.lit("\r\n?"), F.lit("\n"))
+    text = _col(column)
+    return F.when(text.contains("\r"), F.regexp_replace(text, F.lit("\r\n?"), F.lit("\n"))).otherwise(text)

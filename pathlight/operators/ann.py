@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import l2_norm
+from ..session import ship_package
 from .search import (
     DEFAULT_K,
     MAX_BROADCAST_BYTES,
@@ -82,6 +83,7 @@ def build_cells(
 
     Centres are fitted on ``training`` (default: the whole index); only ``cells`` x dimension numbers reach the driver.
     """
+    ship_package(index.sparkSession)
     usable = index.filter(F.col(embedding).isNotNull() & (l2_norm(embedding) > 0))
     fitted_on = usable if training is None else training
     model = KMeans(

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 DEFAULT_DIM = 1024
 
 # Fixed value: whatever separates words; a word is a run of letters and digits of any script.
@@ -40,7 +42,8 @@ def term_counts(texts: pa.Array, dim: int) -> np.ndarray:
     split = pc.split_pattern_regex(pc.utf8_lower(texts.cast(pa.large_string())), WORD_SEPARATOR)
     text_of_word = np.asarray(pc.list_parent_indices(split))
     words = split.flatten().dictionary_encode()
-    buckets = np.array([_bucket_seed(word) % dim if word else -1 for word in words.dictionary.to_pylist()], np.int64)
+    dictionary = words.dictionary.to_numpy(zero_copy_only=False)
+    buckets = np.array([_bucket_seed(word) % dim if word else -1 for word in dictionary], np.int64)
     bucket_of_word = buckets[np.asarray(words.indices)] if len(buckets) else np.zeros(0, np.int64)
     kept = bucket_of_word >= 0
     cells = text_of_word[kept] * dim + bucket_of_word[kept]
@@ -57,6 +60,7 @@ def fit_idf(corpus: DataFrame, dim: int = DEFAULT_DIM, text: str = "code_text")
 
     Each task adds up its own part and sends ``dim`` rows; ``total`` is the number of documents.
     """
+    ship_package(corpus.sparkSession)
 
     def count_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents, total = np.zeros(dim, np.int64), 0
@@ -83,6 +87,7 @@ def tfidf_weights(
     rows: DataFrame, idf: Sequence[float], text: str = "code_text", out: str = "weights", as_float: bool = False
 ) -> DataFrame:
     """Add the unit-length TF-IDF vector of a text; all zeros for a text without words. No row is shuffled."""
+    ship_package(rows.sparkSession)
     weights = np.asarray(idf, dtype=np.float64)
     dim = len(weights)
     values = pa.float32() if as_float else pa.float64()
@@ -125,8 +130,8 @@ class TfIdfEmbedder:
 class BatchEmbedder:
     """Any model. ``load`` is called once per task and returns the batch function.
 
-    Only the text travels to Python and only the vectors travel back. A vector that is missing or of the wrong length
-    becomes NULL, for the caller to set aside.
+    Only the text travels to Python and only the vectors travel back. A NULL text is not sent to the model. A vector
+    that is missing or of the wrong length becomes NULL, for the caller to set aside.
     """
 
     def __init__(self, load: Callable[[], BatchFunction], dim: int, batch_size: int = 64) -> None:
@@ -135,18 +140,21 @@ class BatchEmbedder:
         self.batch_size = batch_size
 
     def __call__(self, rows: DataFrame, text: str = "code_text", out: str = "embedding") -> DataFrame:
+        ship_package(rows.sparkSession)
         load, dim, size = self.load, self.dim, self.batch_size
 
         @F.pandas_udf("array<float>")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             encode_batch = load()
             for texts in batches:
-                vectors: list[np.ndarray | None] = []
-                for start in range(0, len(texts), size):
-                    for vector in encode_batch(texts.iloc[start : start + size].tolist()):
-                        fits = vector is not None and len(vector) == dim
-                        vectors.append(np.asarray(vector, dtype=np.float32) if fits else None)
-                yield pd.Series(vectors, dtype=object)
+                vectors = pd.Series([None] * len(texts), dtype=object)
+                asked = np.flatnonzero(texts.notna())
+                for start in range(0, len(asked), size):
+                    places = asked[start : start + size]
+                    for place, vector in zip(places, encode_batch(texts.iloc[places].tolist()), strict=True):
+                        if vector is not None and len(vector) == dim:
+                            vectors.iat[place] = np.asarray(vector, dtype=np.float32)
+                yield vectors
 
         return rows.withColumn(out, encode(text))
 

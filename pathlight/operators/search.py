@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import cosine_distance, is_blank, register_functions, vector_literal
+from ..session import ship_package
 
 # Hits per search, the SQL a search runs when none is given, and the name of the searched table.
 DEFAULT_K = 10
@@ -281,6 +282,7 @@ def batch_search(
 
 
 def scan_with(rows: DataFrame, block: QueryBlock, schema: T.StructType, k: int) -> DataFrame:
+    ship_package(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(block)
     return rows.mapInArrow(lambda batches: _scan_block(batches, shared.value, k), schema)
 
@@ -300,6 +302,7 @@ def block_search(
     compares one block of queries with one block of the index and gives ``k`` hits per query, so neither a hot cell nor
     a large query set can fill a task, and pairs are never emitted. The table of block counts has one row per cell.
     """
+    ship_package(index.sparkSession)
 
     def blocks(side: DataFrame, name: str, rows: int) -> DataFrame:
         needed = F.ceil(F.count("*") / F.lit(rows)).cast("int")

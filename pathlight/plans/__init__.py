@@ -6,6 +6,7 @@ from .pipelines import (
     index_diff,
     prepare,
     stored_embedder,
+    texts_of,
 )
 
 __all__ = [
@@ -16,4 +17,5 @@ __all__ = [
     "index_diff",
     "prepare",
     "stored_embedder",
+    "texts_of",
 ]

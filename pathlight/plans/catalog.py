@@ -17,7 +17,7 @@ from ..functions import WHITESPACE, cosine_distance, suffix, vector_literal
 from ..operators.ann import CellIndex
 from ..operators.search import INDEX_VIEW
 from ..session import scratch_dir
-from ..sources import IndexStore, change_list, ignore_rules, path_list, table_corpus
+from ..sources import IndexStore, change_list, ignore_rules, path_list, spread, table_corpus
 from ..streaming import stream_changes
 from .pipelines import add_delete_index, full_changes, full_index, incremental_index
 
@@ -47,17 +47,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def document_path() -> Column:
     extension = F.create_map(*[F.lit(v) for v in ("en", ".py", "de", ".cpp", "fr", ".hpp", "es", ".md")])
     return F.concat("source", F.lit("/"), "lang", F.lit("/doc_"), "doc_id", F.try_element_at(extension, F.col("lang")))
 
 
-def with_path(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("file_path", document_path())
+def with_path(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("file_path", document_path())
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_corpus(table(spark, sf_dir, "documents"), document_path(), "text")
+    return table_corpus(documents(spark, sf_dir), document_path(), "text")
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -401,8 +405,8 @@ def assign_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = with_path(table(spark, sf_dir, "documents"))
-    return documents.select((F.col("doc_id") + 1).alias("id"), "file_path", F.col("text").alias("code_text"))
+    rows = with_path(table(spark, sf_dir, "documents"))
+    return rows.select((F.col("doc_id") + 1).alias("id"), "file_path", F.col("text").alias("code_text"))
 
 
 _INDEX = f"idx AS (SELECT doc_id + 1 AS id, {_PATH} AS file_path, text AS code_text FROM documents)"
@@ -486,7 +490,7 @@ qvectors AS (SELECT item_id, bucket, (w / sqrt(sum(w * w) OVER (PARTITION BY ite
 
 
 def corpus_embedder(spark: SparkSession, sf_dir: str) -> op.TfIdfEmbedder:
-    return op.TfIdfEmbedder.fit(table(spark, sf_dir, "documents"), DIM, "text")
+    return op.TfIdfEmbedder.fit(documents(spark, sf_dir), DIM, "text")
 
 
 def long_form(vectors: DataFrame, key: str) -> DataFrame:
@@ -501,7 +505,7 @@ def long_form(vectors: DataFrame, key: str) -> DataFrame:
     f"WITH {_MODEL} SELECT bucket::INTEGER AS bucket, documents, total, round(idf, 9) AS idf FROM model",
 )
 def fit_idf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = op.fit_idf(table(spark, sf_dir, "documents"), DIM, "text")
+    model = op.fit_idf(documents(spark, sf_dir), DIM, "text")
     return model.select("bucket", "documents", "total", F.round("idf", 9).alias("idf"))
 
 
@@ -510,7 +514,7 @@ def fit_idf_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_MODEL}, {_DOC_VECTORS} SELECT doc_id, bucket, round(weight, 6) AS weight FROM vectors",
 )
 def embed_corpus_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return long_form(corpus_embedder(spark, sf_dir)(table(spark, sf_dir, "documents"), "text"), "doc_id")
+    return long_form(corpus_embedder(spark, sf_dir)(documents(spark, sf_dir), "text"), "doc_id")
 
 
 @query(
@@ -607,10 +611,10 @@ SELECT item_id AS query_id, rank, file_path, round(d, 6) AS distance FROM (
 )
 def semantic_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to hits: embed the corpus and the query texts with one model and find the nearest files."""
-    documents = with_path(table(spark, sf_dir, "documents")).select("file_path", "text")
-    embedder = op.TfIdfEmbedder.fit(documents, DIM, "text")
+    texts = with_path(documents(spark, sf_dir)).select("file_path", "text")
+    embedder = op.TfIdfEmbedder.fit(texts, DIM, "text")
     asked, _ = op.split_queries(table(spark, sf_dir, "benchmark"))
-    hits = op.batch_search(embedder(asked, "text"), embedder(documents, "text"), query_id="item_id")
+    hits = op.batch_search(embedder(asked, "text"), embedder(texts, "text"), query_id="item_id")
     return _rounded(hits, "file_path")
 
 
@@ -673,32 +677,36 @@ def vector_store(spark: SparkSession, sf_dir: str) -> IndexStore:
     return store
 
 
-_PUBLISHED = f"""WITH paths AS (SELECT 'vec/' || vec_id AS file_path, label FROM embeddings),
-first AS (SELECT *, row_number() OVER (ORDER BY {_group('file_path')}, file_path) AS id FROM paths),
-again AS (SELECT file_path, label, (SELECT count(*) FROM first)
-  + row_number() OVER (ORDER BY {_group('file_path')}, file_path) AS id FROM paths WHERE label = 1)
-"""
-
-
 @query(
     "publish_index",
-    f"""{_PUBLISHED} SELECT id, file_path, 'new label 1' AS code_text FROM again
-UNION ALL SELECT id, file_path, CASE label WHEN 3 THEN 'new label 3' ELSE 'label ' || label END FROM first
-WHERE label NOT IN (1, 2)""",
+    """SELECT 'vec/' || vec_id AS file_path, CASE WHEN label IN (1, 3) THEN 'new ' ELSE '' END || 'label ' || label AS code_text,
+  label <> 1 AS same_id, true AS same_vector
+FROM embeddings WHERE label <> 2""",
 )
 def publish_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_store(spark, sf_dir).read().select("id", "file_path", "code_text")
+    """The published rows, and whether they still have the id and vector of the first version."""
+    store = vector_store(spark, sf_dir)
+    first = store.read(1).select("file_path", F.col("id").alias("first_id"), F.col("embedding").alias("first_vector"))
+    return (
+        store.read()
+        .join(first, "file_path", "left")
+        .select(
+            "file_path",
+            "code_text",
+            (F.col("id") == F.col("first_id")).alias("same_id"),
+            (F.col("embedding") == F.col("first_vector")).alias("same_vector"),
+        )
+    )
 
 
 @query(
     "index_state",
     """SELECT 1::BIGINT AS version, true AS "full", 'first' AS source_version, count(*) AS upserted, 0::BIGINT AS deleted,
-  0::BIGINT AS rejected, count(*) AS last_id FROM embeddings
-UNION ALL SELECT 2, false, 'second', count(*) FILTER (label IN (1, 3)), count(*) FILTER (label IN (1, 2)), 0,
-  count(*) + count(*) FILTER (label = 1) FROM embeddings""",
+  0::BIGINT AS rejected FROM embeddings
+UNION ALL SELECT 2, false, 'second', count(*) FILTER (label IN (1, 3)), count(*) FILTER (label IN (1, 2)), 0 FROM embeddings""",
 )
 def index_state_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_store(spark, sf_dir).index_state().drop("stream", "batch_id", "indexed_at")
+    return vector_store(spark, sf_dir).index_state().drop("stream", "batch_id", "last_id", "indexed_at")
 
 
 @query(

@@ -1,15 +1,19 @@
-"""Whole indexing runs: full, incremental, and explicit add/delete lists."""
+"""Whole indexing runs: full, incremental, and explicit add/delete lists.
+
+A run reads the texts once, and strips, embeds and writes them in the same pass; everything that decides *which* files
+are concerned works on paths alone.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import LANGUAGES, is_blank
-from ..operators.changes import change_summary, route_changes, snapshot_diff
-from ..operators.clean import blank_filter, exists_filter, ignore_filter, strip_headers
+from ..functions import LANGUAGES, is_blank, language_of, strip_header
+from ..operators.changes import route_changes, snapshot_diff
+from ..operators.clean import exists_filter, ignore_filter
 from ..operators.embed import Embedder, TfIdfEmbedder, fit_idf
 from ..sources.corpus import paths_frame
 from ..sources.store import IndexStore, State
@@ -19,8 +23,31 @@ Paths = str | list[str] | DataFrame
 
 
 def prepare(files: DataFrame, languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
-    """``(file_path, code_text)`` of every readable file: header cut off, blank ones still present."""
-    return strip_headers(files.filter(F.col("content").isNotNull()), languages).select("file_path", "code_text")
+    """Replace ``content`` by ``code_text``: the header cut off, NULL for a blank text, which also sets ``deleted``.
+
+    The text goes through a one-element ``explode`` so that it is computed once per row: a filter or a second use of
+    it would otherwise be pushed below and compute it again.
+    """
+    rest = [F.col(name) for name in files.columns if name != "content"]
+    text = strip_header("content", language_of("file_path", languages))
+    stripped = files.select(*rest, F.explode(F.array(text)).alias("code_text"))
+    blank = F.coalesce(is_blank("code_text"), F.lit(False))
+    return stripped.withColumn("deleted", blank).withColumn("code_text", F.when(~blank, F.col("code_text")))
+
+
+def texts_of(files: DataFrame, languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
+    """``(file_path, code_text)`` of the files that would be indexed."""
+    return prepare(files.select("file_path", "content"), languages).filter("code_text IS NOT NULL").drop("deleted")
+
+
+def finisher(embedder: Embedder, languages: Mapping[str, str]) -> Callable[[DataFrame], DataFrame]:
+    """Last steps from a file to an index row, for :meth:`IndexStore.publish_index`."""
+
+    def finish(files: DataFrame) -> DataFrame:
+        rows = embedder(prepare(files.select("id", "file_path", "content"), languages))
+        return rows.withColumn("unembedded", F.col("code_text").isNotNull() & F.col("embedding").isNull())
+
+    return finish
 
 
 def stored_embedder(store: IndexStore) -> TfIdfEmbedder:
@@ -42,10 +69,10 @@ def full_index(
     languages: Mapping[str, str] = LANGUAGES,
 ) -> State:
     """First run: index every file that is not ignored and not blank. Without an embedder one is fitted and stored."""
-    texts = blank_filter(prepare(ignore_filter(files, rules), languages))
+    kept = ignore_filter(files, rules)
     if embedder is None:
-        embedder = fit_stored_embedder(store, texts)
-    return store.publish_index(embedder(texts), source_version=source_version)
+        embedder = fit_stored_embedder(store, texts_of(kept, languages))
+    return store.publish_index(kept, source_version=source_version, finish=finisher(embedder, languages))
 
 
 def full_changes(files: DataFrame, rules: Rules = ()) -> DataFrame:
@@ -55,8 +82,7 @@ def full_changes(files: DataFrame, rules: Rules = ()) -> DataFrame:
 
 def index_diff(index: DataFrame, files: DataFrame, languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
     """Changes between the index itself and a file table, by hash of the text that would be indexed."""
-    texts = blank_filter(prepare(files, languages))
-    return snapshot_diff(index, texts, content="code_text")
+    return snapshot_diff(index, texts_of(files, languages), content="code_text")
 
 
 def incremental_index(
@@ -78,14 +104,12 @@ def incremental_index(
         changes = index_diff(store.read(), files, languages) if previous is None else snapshot_diff(previous, files)
     elif "change" not in changes.columns:
         changes = route_changes(changes)
-    changes = ignore_filter(changes, rules)
-    # Restrict the file table first: only changed files are stripped and embedded.
-    written = changes.filter(F.col("change").isin("A", "M")).select("file_path")
-    texts = prepare(exists_filter(files, written), languages)
-    removed = changes.filter(F.col("change") == "D").select("file_path")
-    blank = texts.filter(is_blank("code_text")).select("file_path")
-    embed = embedder or stored_embedder(store)
-    return store.publish_index(embed(blank_filter(texts)), removed.unionByName(blank), source_version)
+    embedder = embedder or stored_embedder(store)
+    # A short table of paths, needed several times and possibly the result of comparing two corpora.
+    changes = store.stage(ignore_filter(changes.select("change", "file_path"), rules), "changes")
+    written = exists_filter(files, changes.filter(F.col("change").isin("A", "M")))
+    removed = changes.filter(F.col("change") == "D")
+    return store.publish_index(written, removed, source_version, finish=finisher(embedder, languages))
 
 
 def add_delete_index(
@@ -100,22 +124,20 @@ def add_delete_index(
     if all(isinstance(paths, (str, list)) and not paths for paths in (add, delete)):
         raise ValueError("give paths to add or to delete")
     spark = files.sparkSession
-    wanted = paths_frame(spark, add)
-    texts = blank_filter(prepare(exists_filter(files, wanted), languages))
-    embed = embedder
-    if embed is None:
-        known = store.read_model().limit(1).count()
-        embed = stored_embedder(store) if known else fit_stored_embedder(store, texts)
-    return store.publish_index(embed(texts), paths_frame(spark, delete))
+    written = exists_filter(files, paths_frame(spark, add))
+    if embedder is None:
+        fitted = not store.read_model().isEmpty()
+        embedder = stored_embedder(store) if fitted else fit_stored_embedder(store, texts_of(written, languages))
+    return store.publish_index(written, paths_frame(spark, delete), finish=finisher(embedder, languages))
 
 
 __all__ = [
     "add_delete_index",
-    "change_summary",
     "full_changes",
     "full_index",
     "incremental_index",
     "index_diff",
     "prepare",
     "stored_embedder",
+    "texts_of",
 ]

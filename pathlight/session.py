@@ -3,11 +3,31 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_PACKAGE = Path(__file__).resolve().parent
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers of a session this package, once per application.
+
+    Workers import the functions they run. Where the package is not installed on every node - or merely found through
+    the driver's import path - it is sent along the way ``--py-files`` would.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    folder = tempfile.mkdtemp(prefix="pathlight-package-")
+    copy = shutil.copytree(_PACKAGE, Path(folder, "src", _PACKAGE.name), ignore=shutil.ignore_patterns("__pycache__"))
+    context.addPyFile(shutil.make_archive(str(Path(folder, _PACKAGE.name)), "zip", copy.parent))
+    _shipped.add(context.applicationId)
+
 
 def build_session(app_name: str = "pathlight", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the plans are written for; anything in ``conf`` overrides them."""

@@ -7,6 +7,7 @@ from .corpus import (
     read_change_list,
     read_ignore_rules,
     readable,
+    spread,
     table_corpus,
 )
 from .store import INDEX_SCHEMA, STATE_SCHEMA, IndexStore, State
@@ -24,5 +25,6 @@ __all__ = [
     "read_change_list",
     "read_ignore_rules",
     "readable",
+    "spread",
     "table_corpus",
 ]

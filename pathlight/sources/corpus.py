@@ -37,6 +37,16 @@ def table_corpus(table: DataFrame, file_path: Column | str, content: Column | st
     )
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """A scan that yields fewer partitions than there are task slots, hashed over all slots; any other as it is.
+
+    For small corpora in one file, whose texts would otherwise be parsed by a single task. A large corpus has more
+    splits than slots and is never shuffled here. ``scan`` must be a plain scan with projections and filters.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= slots else scan.repartition(slots, key)
+
+
 def readable(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a corpus into files with text and paths that could not be decoded."""
     return files.filter(F.col("content").isNotNull()), files.filter(F.col("content").isNull()).select("file_path")

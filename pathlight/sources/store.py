@@ -10,14 +10,15 @@ One writer at a time is assumed, as many readers as you like.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import assign_ids, dedupe_last_wins, delete_by_key
+from ..operators.changes import dedupe_last_wins, delete_by_key
 from ..operators.clean import broken_rules
 
 INDEX_SCHEMA = T.StructType(
@@ -83,17 +84,19 @@ class IndexStore:
         return self._read("state", STATE_SCHEMA).orderBy("version")
 
     def state(self) -> State:
-        newest = (
-            self._read("state", STATE_SCHEMA)
-            .agg(
-                F.max("version").alias("version"),
-                F.max(F.when(F.col("full"), F.col("version"))).alias("base"),
-                F.max_by("source_version", "version").alias("source_version"),
-                F.max("last_id").alias("last_id"),
-            )
-            .first()
-        )
-        return State() if newest["version"] is None else State(**newest.asDict())
+        return self._state(self._committed())
+
+    def _committed(self) -> list[Row]:
+        """The state rows a reader or writer needs, oldest first: one short row per publish."""
+        history = self._read("state", STATE_SCHEMA).select("version", "full", "source_version", "last_id")
+        return sorted(history.collect(), key=lambda row: row["version"])
+
+    @staticmethod
+    def _state(committed: list[Row]) -> State:
+        if not committed:
+            return State()
+        base = max(row["version"] for row in committed if row["full"])
+        return State(committed[-1]["version"], base, committed[-1]["source_version"], committed[-1]["last_id"])
 
     def last_batch(self, stream: str) -> int | None:
         """Last micro-batch of a stream that was published."""
@@ -108,15 +111,15 @@ class IndexStore:
         The rows of the last full version meet only the paths changed since, in a left-anti join; when there are no
         later changes this is a plain scan.
         """
+        committed = [row for row in self._committed() if version is None or row["version"] <= version]
+        return self._rows(committed)
+
+    def _rows(self, committed: list[Row]) -> DataFrame:
         columns = INDEX_SCHEMA.fieldNames()
-        history = self._read("state", STATE_SCHEMA)
-        if version is not None:
-            history = history.filter(F.col("version") <= version)
-        committed = [(row["version"], row["full"]) for row in history.select("version", "full").collect()]
         if not committed:
             return empty_frame(self.spark, INDEX_SCHEMA)
-        base = max(number for number, full in committed if full)
-        later = [number for number, _ in committed if number > base]
+        base = self._state(committed).base
+        later = [row["version"] for row in committed if row["version"] > base]
         segments = self._read("segments", _SEGMENT_SCHEMA).filter(F.col("broken").isNull())
         rows = segments.filter((F.col("v") == base) & ~F.col("deleted"))
         if not later:
@@ -140,44 +143,60 @@ class IndexStore:
         deletes: DataFrame | None = None,
         source_version: str | None = None,
         order: list[str] | None = None,
+        finish: Callable[[DataFrame], DataFrame] | None = None,
         stream: str | None = None,
         batch_id: int | None = None,
     ) -> State:
         """Apply one batch, deletes before upserts, and commit it. ``source_version`` None keeps the stored one.
 
-        ``upserts`` are ``(file_path, code_text, embedding)``; ``order`` names the columns that tell the last of several
-        writes to one path. Rows that break a rule of the index are set aside (see :meth:`rejected`) and not applied.
+        ``upserts`` are ``(file_path, code_text, embedding)``, one row per path unless ``order`` names the columns that
+        tell the last of several writes to one path. With ``finish`` they may have any columns besides ``file_path``,
+        and ``finish`` makes the other two of them while the version is written; it may also add ``deleted`` (this path
+        is to be removed after all) and ``unembedded`` (no vector could be made).
+
+        Rows that break a rule of the index are set aside (see :meth:`rejected`) and not applied. Replaced rows keep
+        their id; new ones get ids above all earlier ones, unique but with gaps. For a first version this is a single
+        map-only job; otherwise only paths and ids of the index are read and joined.
         """
-        before = self.state()
+        committed = self._committed()
+        before = self._state(committed)
         version = before.version + 1
-        index = self.read()
+        index = self._rows(committed)
         if upserts is None:
-            upserts = empty_frame(self.spark, INDEX_SCHEMA)
+            upserts = empty_frame(self.spark, INDEX_SCHEMA).drop("id")
         if order:
             upserts = dedupe_last_wins(upserts, order)
-        upserts = upserts.select("file_path", "code_text", "embedding")
         requests = 0
-        markers = None
         if deletes is not None:
             deletes = deletes.select("file_path")
             requests = deletes.count()
-            markers = deletes.distinct()
             index = delete_by_key(index, deletes)
-        # Ids of replaced rows: only keys and ids of the index are read. Nothing but the one write below looks at the
-        # vectors, so an embedder runs once; rows that break a rule are marked in the same pass.
         known = index.select("file_path", "id").join(upserts.select("file_path"), "file_path", "left_semi")
-        rows = assign_ids(upserts.join(known, "file_path", "left"), before.last_id)
-        found = broken_rules(self.dim)
-        rows = rows.withColumn("deleted", F.lit(False)).withColumn("broken", F.when(F.size(found) > 0, found))
-        if markers is not None:
-            rows = rows.unionByName(markers.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
+        rows = upserts.join(known, "file_path", "left")
+        rows = rows.withColumn("id", F.coalesce("id", F.lit(before.last_id + 1) + F.monotonically_increasing_id()))
+        if finish:
+            rows = finish(rows)
+        rows = self._marked(rows)
+        if deletes is not None:
+            markers = deletes.distinct().withColumn("deleted", F.lit(True))
+            rows = rows.unionByName(markers, allowMissingColumns=True)
         self._write_segment(rows, version)
         return self._commit(version, before, source_version, requests, stream, batch_id)
 
+    def _marked(self, rows: DataFrame) -> DataFrame:
+        """Rows as they are stored: removed ones without contents, and the broken rules of the others."""
+        for flag in ("deleted", "unembedded"):
+            if flag not in rows.columns:
+                rows = rows.withColumn(flag, F.lit(False))
+        failed = F.array_compact(F.array(F.when(F.col("unembedded"), F.lit("embedding_missing"))))
+        found = F.concat(broken_rules(self.dim), failed)
+        return rows.withColumn("broken", F.when(~F.col("deleted") & (F.size(found) > 0), found)).drop("unembedded")
+
     def compact(self) -> State:
         """Write the current rows as a full version, so that readers no longer merge."""
-        before = self.state()
-        rows = self.read().withColumn("deleted", F.lit(False)).withColumn("broken", F.lit(None))
+        committed = self._committed()
+        before = self._state(committed)
+        rows = self._rows(committed).withColumn("deleted", F.lit(False)).withColumn("broken", F.lit(None))
         self._write_segment(rows, before.version + 1)
         return self._commit(before.version + 1, before, None, 0, None, None, full=True)
 
@@ -210,7 +229,12 @@ class IndexStore:
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/state")
         return State(version, base, kept, last_id)
 
-    # --- model of the default embedder ---
+    # --- tables beside the index ---
+
+    def stage(self, rows: DataFrame, name: str) -> DataFrame:
+        """Write a table that a run needs more than once, and read it back: it is then computed only once."""
+        self._write(rows, f"staged/{name}")
+        return self._read(f"staged/{name}", rows.schema)
 
     def write_model(self, idf: DataFrame) -> None:
         self._write(idf.select("bucket", "documents", "total", "idf"), "model")

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions import LANGUAGES, is_blank
+from ..functions import LANGUAGES
 from ..operators.changes import dedupe_last_wins
-from ..operators.clean import blank_filter, ignore_filter
+from ..operators.clean import ignore_filter
 from ..operators.embed import Embedder
-from ..plans.pipelines import Rules, prepare, stored_embedder
+from ..plans.pipelines import Rules, finisher, stored_embedder
 from ..sources.store import IndexStore
 
 
@@ -36,13 +36,11 @@ def apply_batch(
         if done is not None and batch_id <= done:
             return False
     latest = dedupe_last_wins(ignore_filter(changes.filter(F.col("change").isin("A", "M", "D")), rules), order)
-    latest.persist()  # one shuffle of the batch serves keys, counts and texts
-    texts = prepare(latest.filter(F.col("change") != "D"), languages)
-    removed = latest.filter(F.col("change") == "D").select("file_path")
-    blank = texts.filter(is_blank("code_text")).select("file_path")
-    embed = embedder or stored_embedder(store)
+    latest.persist()  # one shuffle of the batch serves paths, counts and texts
+    finish = finisher(embedder or stored_embedder(store), languages)
+    written, removed = latest.filter("change <> 'D'"), latest.filter("change = 'D'")
     try:
-        store.publish_index(embed(blank_filter(texts)), removed.unionByName(blank), stream=stream, batch_id=batch_id)
+        store.publish_index(written, removed, finish=finish, stream=stream, batch_id=batch_id)
     finally:
         latest.unpersist()
     return True
