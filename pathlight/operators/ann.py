@@ -123,6 +123,7 @@ def ann_search(
     task are paired with their cells by a join and compared block by block.
     """
     embedding = cells.embedding
+    queries = queries.filter(F.col(embedding).isNotNull())
     probes = min(probes, len(cells.centres))
     schema = hit_schema(queries, cells.rows, query_id, key)
     table = collect_queries(queries, query_id, embedding, max_broadcast_bytes)

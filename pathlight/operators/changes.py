@@ -46,12 +46,13 @@ def snapshot_diff(
     before: DataFrame, after: DataFrame, path: str = "file_path", content: str = "content"
 ) -> DataFrame:
     """``(change, file_path)`` between two file tables. Only paths and hashes are shuffled, never contents."""
-    old = before.select(path, F.sha2(content, 256).alias("old_hash"))
-    new = after.select(path, F.sha2(content, 256).alias("new_hash"))
+    # Contents which could not be read are NULL, so that a file exists is told by a flag and not by its hash.
+    old = before.select(path, F.lit(True).alias("was"), F.sha2(content, 256).alias("old_hash"))
+    new = after.select(path, F.lit(True).alias("is"), F.sha2(content, 256).alias("new_hash"))
     change = (
-        F.when(F.col("old_hash").isNull(), F.lit("A"))
-        .when(F.col("new_hash").isNull(), F.lit("D"))
-        .when(F.col("old_hash") != F.col("new_hash"), F.lit("M"))
+        F.when(F.col("was").isNull(), F.lit("A"))
+        .when(F.col("is").isNull(), F.lit("D"))
+        .when(~F.col("old_hash").eqNullSafe(F.col("new_hash")), F.lit("M"))
     )
     return (
         old.join(new, path, "full_outer")
@@ -76,7 +77,7 @@ def dedupe_last_wins(rows: DataFrame, order: list[str], key: str = "file_path")
 
 def delete_by_key(index: DataFrame, keys: DataFrame, key: str = "file_path") -> DataFrame:
     """Remove the rows whose key is listed; unknown keys are ignored."""
-    return index.join(keys.select(key), key, "left_anti")
+    return index.join(keys.select(key), key, "left_anti").select(*index.columns)
 
 
 def assign_ids(rows: DataFrame, last_id: int = 0, key: str = "file_path", groups: int = ID_GROUPS) -> DataFrame:

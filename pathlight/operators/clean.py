@@ -40,7 +40,7 @@ def blank_filter(files: DataFrame, text: str = "code_text") -> DataFrame:
 
 def exists_filter(paths: DataFrame, files: DataFrame, path: str = "file_path") -> DataFrame:
     """Only the paths which exist in the file table. Reads nothing but the path column of ``files``."""
-    return paths.join(files.select(path), path, "left_semi")
+    return paths.join(files.select(path), path, "left_semi").select(*paths.columns)
 
 
 def strip_headers(

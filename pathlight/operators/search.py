@@ -94,7 +94,7 @@ def vector_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndar
     if (lengths != dim).any():
         raise ValueError(f"different vector dimensions: {sorted(set(lengths.tolist()))} and {dim}")
     matrix = np.zeros((len(column), dim))
-    matrix[~missing] = np.asarray(column.flatten(), dtype=np.float64).reshape(-1, dim)
+    matrix[~missing] = np.asarray(column.flatten(), dtype=np.float64).reshape(int((~missing).sum()), dim)
     return matrix, missing
 
 
@@ -183,6 +183,8 @@ def _scan_block(batches, block: QueryBlock, k: int) -> Iterator[pa.RecordBatch]:
 
     Columns of the index are key, vector and, where cells are searched, the cell.
     """
+    if len(block.ids) == 0:
+        return
     nearest = _Nearest(block, k)
     everything = np.arange(len(block.ids))
     for batch in batches:
@@ -204,10 +206,10 @@ def _scan_block(batches, block: QueryBlock, k: int) -> Iterator[pa.RecordBatch]:
 def collect_queries(queries: DataFrame, query_id: str, embedding: str, max_bytes: int) -> pa.Table | None:
     """Ids and vectors of the queries, or None when there are more than fit into ``max_bytes``.
 
-    Never fetches more than one row beyond the limit.
+    Never fetches more than one row beyond the limit. ``queries`` holds no NULL vectors.
     """
     rows = queries.select(query_id, embedding)
-    first = rows.filter(F.col(embedding).isNotNull()).select(F.size(embedding)).first()
+    first = rows.select(F.size(embedding)).first()
     if first is None:
         return rows.limit(0).toArrow()
     most = max(1, max_bytes // (8 * max(1, first[0])))
@@ -264,9 +266,12 @@ def batch_search(
 ) -> DataFrame:
     """Exact ``k`` nearest index rows of every query: ``(query_id, rank, key, distance)``.
 
+    A query whose vector is NULL has no hits.
+
     Queries up to ``max_broadcast_bytes`` go to every task; the index is scanned once, in place, as matrix products per
     Arrow batch. More queries than that meet the index in blocks of bounded size (:func:`block_search`).
     """
+    queries = queries.filter(F.col(embedding).isNotNull())
     table = collect_queries(queries, query_id, embedding, max_broadcast_bytes)
     rows = index.select(key, embedding)
     schema = hit_schema(queries, index, query_id, key)

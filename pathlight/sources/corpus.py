@@ -12,7 +12,8 @@ from ..functions import WHITESPACE, normalize_path, split_whitespace, strip, uni
 def corpus_scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """All files under ``root`` as ``(file_path, content, size, mtime)``; paths are relative to ``root``.
 
-    ``content`` is NULL for a file that is not valid UTF-8: split with :func:`readable`.
+    ``content`` is NULL for a file that is not valid UTF-8: split with :func:`readable`. Spark leaves out files of length
+    0, which would not be indexed anyway; against an earlier scan they count as deleted.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
