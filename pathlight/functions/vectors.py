@@ -26,9 +26,13 @@ def l2_norm(vector: Column | str) -> Column:
 def cosine_distance(left: Column | str, right: Column | str) -> Column:
     """1 - cosine similarity, within [0, 2]. NULL vector: NULL. Zero vector: NaN. Different lengths: an error."""
     left, right = _col(left), _col(right)
-    norms = l2_norm(left) * l2_norm(right)
-    distance = F.when(norms == 0, F.lit(float("nan"))).otherwise(
-        F.least(F.greatest(1 - dot_product(left, right) / norms, F.lit(0.0)), F.lit(2.0))
+    # One-element array: the three sums are computed once and used by name.
+    sums = F.array(F.struct(dot_product(left, right).alias("dot"), (l2_norm(left) * l2_norm(right)).alias("norms")))
+    distance = F.transform(
+        sums,
+        lambda s: F.when(s["norms"] == 0, F.lit(float("nan"))).otherwise(
+            F.least(F.greatest(1 - s["dot"] / s["norms"], F.lit(0.0)), F.lit(2.0))
+        ),
     )
     mismatch = F.raise_error(
         F.format_string("different vector dimensions %d and %d", F.size(left), F.size(right))
@@ -36,7 +40,7 @@ def cosine_distance(left: Column | str, right: Column | str) -> Column:
     return (
         F.when(left.isNull() | right.isNull(), F.lit(None).cast("double"))
         .when(F.size(left) != F.size(right), mismatch)
-        .otherwise(distance)
+        .otherwise(F.get(distance, F.lit(0)))
     )
 
 
@@ -58,9 +62,11 @@ def register_functions(spark: SparkSession) -> None:
           WHEN a IS NULL OR b IS NULL THEN NULL
           WHEN size(a) <> size(b) THEN
             CAST(raise_error(concat('different vector dimensions ', size(a), ' and ', size(b))) AS DOUBLE)
-          WHEN aggregate(a, 0D, (s, x) -> s + x * x) = 0 OR aggregate(b, 0D, (s, x) -> s + x * x) = 0 THEN double('NaN')
-          ELSE least(2D, greatest(0D, 1 - aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)
-            / (sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))))
+          ELSE get(transform(
+            array(named_struct(
+              'dot', aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x),
+              'norms', sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))),
+            v -> CASE WHEN v.norms = 0 THEN double('NaN') ELSE least(2D, greatest(0D, 1 - v.dot / v.norms)) END), 0)
         END
         """
     )

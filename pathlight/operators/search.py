@@ -8,11 +8,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import cosine_distance, is_blank, register_functions, vector_literal
+from ..functions import is_blank, register_functions, vector_literal
 from ..session import ship_package
 
 # Hits per search, the SQL a search runs when none is given, and the name of the searched table.
@@ -30,8 +31,10 @@ TIE_DIGITS = 9
 
 # Queries up to this size are sent to every task; beyond it queries and index meet in blocks instead.
 MAX_BROADCAST_BYTES = 32 << 20
-INDEX_BLOCK_ROWS = 50_000
-QUERY_BLOCK_ROWS = 2_000
+# Sizes of one block on either side (as doubles): either side is copied once per block of the other, so blocks are as
+# large as a task easily holds.
+INDEX_BLOCK_BYTES = 64 << 20
+QUERY_BLOCK_BYTES = 64 << 20
 
 # Upper bound for the elements of one distance matrix inside a task (doubles).
 _MATRIX_ELEMENTS = 2 << 20
@@ -46,9 +49,20 @@ def hit_order(key: str = "file_path", distance: str = "distance") -> list[Column
 def top_k_search(
     index: DataFrame, vector: Sequence[float], k: int = DEFAULT_K, key: str = "file_path", embedding: str = "embedding"
 ) -> DataFrame:
-    """The ``k`` rows nearest to one vector: ``(key, distance)``. Every task keeps ``k`` rows, nothing is shuffled."""
-    distance = cosine_distance(embedding, vector_literal(vector))
-    return index.select(key, distance.alias("distance")).orderBy(*hit_order(key)).limit(k)
+    """The ``k`` rows nearest to one vector: ``(key, distance)``.
+
+    Every task scans its part of the index as matrix products and keeps ``k`` rows; those are merged by a top-k node.
+    """
+    units, _ = unit_rows(np.asarray([vector], dtype=np.float64))
+    schema = T.StructType(
+        [
+            T.StructField("query_id", T.IntegerType()),
+            T.StructField("key", index.schema[key].dataType),
+            T.StructField("distance", T.DoubleType()),
+        ]
+    )
+    hits = scan_with(index.select(key, embedding), QueryBlock(pa.array([0], pa.int32()), units), schema, k)
+    return hits.select(F.col("key").alias(key), "distance").orderBy(*hit_order(key)).limit(k)
 
 
 def ranked_hits(hits: DataFrame, key: str = "file_path") -> DataFrame:
@@ -105,6 +119,14 @@ def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return matrix / np.where(zero, 1.0, norms)[:, None], zero
 
 
+def _distance(similarity: np.ndarray) -> np.ndarray:
+    return np.clip(1.0 - similarity, 0.0, 2.0)
+
+
+def _order(distance: np.ndarray) -> np.ndarray:
+    return distance.round(TIE_DIGITS)
+
+
 class _Nearest:
     """The ``k`` best hits seen so far for each query of a block."""
 
@@ -121,31 +143,58 @@ class _Nearest:
         """Compare index rows with the queries at positions ``rows``, a bounded part of the matrix at a time."""
         if len(keys) == 0:
             return
+        special = np.flatnonzero(zero | missing)
+        plain = np.flatnonzero(~(zero | missing)) if len(special) else None
         step = max(1, _MATRIX_ELEMENTS // len(keys))
         for start in range(0, len(rows), step):
-            self._add_part(keys, units, zero, missing, rows[start : start + step])
-
-    def _add_part(self, keys, units, zero, missing, rows) -> None:
-        distance = np.clip(1.0 - self.block.units[rows] @ units.T, 0.0, 2.0)
-        distance[:, zero] = np.nan
-        distance[self.zero_query[rows], :] = np.nan
-        # NaN ranks after every distance and a missing vector after NaN.
-        order = np.where(missing[None, :], 4.0, np.where(np.isnan(distance), 3.0, distance.round(TIE_DIGITS)))
+            part = rows[start : start + step]
+            without = self.zero_query[part]
+            asked = part[~without] if without.any() else part
+            if plain is None:
+                self._add_numbers(keys, units, asked)
+            elif len(plain):
+                self._add_numbers(keys.take(pa.array(plain)), units[plain], asked)
+            # Distances that are not numbers come last: they count while a query has fewer than k numbers.
+            if len(special):
+                self._add_rest(keys.take(pa.array(special)), missing[special], asked[self.limit[asked] >= 3.0])
+            if without.any():
+                self._add_rest(keys, missing, part[without])
+
+    def _add_numbers(self, keys: pa.Array, units: np.ndarray, rows: np.ndarray) -> None:
+        if len(rows) == 0:
+            return
+        similarity = self.block.units[rows] @ units.T
         limit = self.limit[rows]
-        if len(keys) > self.k:
-            limit = np.minimum(limit, np.partition(order, self.k - 1, axis=1)[:, self.k - 1])
-        self.limit[rows] = np.minimum(self.limit[rows], limit) if len(keys) > self.k else self.limit[rows]
-        query, row = np.nonzero(order <= limit[:, None])
-        self.pending.append(
-            pa.table(
-                {
-                    "q": pa.array(rows[query], pa.int32()),
-                    "o": order[query, row],
-                    "key": keys.take(pa.array(row)),
-                    "d": pa.array(distance[query, row], mask=missing[row]),
-                }
-            )
+        if len(keys) >= self.k and (unlimited := limit > 2.0).any():
+            kth = np.partition(similarity[unlimited], len(keys) - self.k, axis=1)[:, len(keys) - self.k]
+            limit[unlimited] = _order(_distance(kth))
+            self.limit[rows] = limit
+        # A little slack, since limits are rounded; the exact comparison follows for the few that remain.
+        query, row = np.nonzero(similarity >= (1.0 - limit - 10.0**-TIE_DIGITS)[:, None])
+        distance = _distance(similarity[query, row])
+        order = _order(distance)
+        near = order <= limit[query]
+        self._keep(rows[query[near]], order[near], keys.take(pa.array(row[near])), pa.array(distance[near]))
+
+    def _add_rest(self, keys: pa.Array, missing: np.ndarray, rows: np.ndarray) -> None:
+        """Undefined distances: NaN, or NULL for a missing vector. All rows rank alike, so the first keys win."""
+        if len(rows) == 0:
+            return
+        order = np.where(missing, 4.0, 3.0)
+        first = pc.sort_indices(
+            pa.table({"o": order, "key": keys}), sort_keys=[("o", "ascending"), ("key", "ascending")]
+        )[: self.k]
+        chosen = np.asarray(first)
+        distance = pa.array(np.full(len(chosen), np.nan), mask=missing[chosen])
+        many = np.tile(np.arange(len(chosen)), len(rows))
+        self._keep(
+            np.repeat(rows, len(chosen)), order[chosen][many], keys.take(first).take(pa.array(many)), distance.take(pa.array(many))
         )
+
+    def _keep(self, query: np.ndarray, order: np.ndarray, keys: pa.Array, distance: pa.Array) -> None:
+        if len(query) == 0:
+            return
+        self.pending.append(pa.table({"q": pa.array(query, pa.int32()), "o": order, "key": keys, "d": distance}))
         self.pending_rows += len(query)
         if self.pending_rows > max(200_000, 2 * self.k * len(self.limit)):
             self._prune()
@@ -298,8 +347,8 @@ def block_search(
     schema: T.StructType,
     k: int,
     key: str,
-    index_block: int = INDEX_BLOCK_ROWS,
-    query_block_rows: int = QUERY_BLOCK_ROWS,
+    index_block: int | None = None,
+    query_block_rows: int | None = None,
 ) -> DataFrame:
     """Exact search for query sets of any size: ``queries(query_id, vector, cell)`` x ``index(key, vector, cell)``.
 
@@ -308,6 +357,9 @@ def block_search(
     a large query set can fill a task, and pairs are never emitted. The table of block counts has one row per cell.
     """
     ship_package(index.sparkSession)
+    row_bytes = 8 * max(1, queries.select(F.size("vector")).first()[0])
+    index_block = index_block or max(1, INDEX_BLOCK_BYTES // row_bytes)
+    query_block_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // row_bytes)
 
     def blocks(side: DataFrame, name: str, rows: int) -> DataFrame:
         needed = F.ceil(F.count("*") / F.lit(rows)).cast("int")
