@@ -6,6 +6,7 @@ from .changes import (
     change_summary,
     dedupe_last_wins,
     delete_by_key,
+    keep_by_key,
     keep_ids,
     route_changes,
     snapshot_diff,
@@ -56,6 +57,7 @@ __all__ = [
     "fit_idf",
     "header_summary",
     "ignore_filter",
+    "keep_by_key",
     "keep_ids",
     "language_tag",
     "path_normalize",

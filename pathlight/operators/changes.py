@@ -1,8 +1,8 @@
 """Change sets and how they are applied to an index table.
 
-The index may be huge and a change set small, so nothing here forces a shuffle of the index: it only ever meets the
-changes in a left-anti or left-semi join on the key. Spark broadcasts the keys of the changes when their size allows it
-and otherwise shuffles both sides.
+The index may be huge and a change set small, so the index only ever meets the keys of the changes, in a left-anti or
+left-semi join. Keys that have been counted to be few are broadcast, and the index stays where it is; more keys than
+that are joined by a shuffle.
 """
 
 from __future__ import annotations
@@ -13,6 +13,16 @@ from pyspark.sql import functions as F
 # Ids are dense within an index: rows are ranked inside this many hash groups and the groups laid end to end.
 ID_GROUPS = 4096
 
+# Keys up to this number are sent to every task (a path has at most 255 characters).
+BROADCAST_KEYS = 200_000
+
+
+def key_set(rows: DataFrame, key: str = "file_path", count: int | None = None) -> DataFrame:
+    """The keys of some rows, marked for broadcast if there are few. Counts them unless ``count`` is known."""
+    keys = rows.select(key)
+    few = (keys.count() if count is None else count) <= BROADCAST_KEYS
+    return F.broadcast(keys) if few else keys
+
 
 def union_changes(added: DataFrame, modified: DataFrame) -> DataFrame:
     """Added and modified files are handled alike."""
@@ -75,9 +85,14 @@ def dedupe_last_wins(rows: DataFrame, order: list[str], key: str = "file_path")
     return rows.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank")
 
 
-def delete_by_key(index: DataFrame, keys: DataFrame, key: str = "file_path") -> DataFrame:
+def delete_by_key(index: DataFrame, keys: DataFrame, key: str = "file_path", count: int | None = None) -> DataFrame:
     """Remove the rows whose key is listed; unknown keys are ignored."""
-    return index.join(keys.select(key), key, "left_anti").select(*index.columns)
+    return index.join(key_set(keys, key, count), key, "left_anti").select(*index.columns)
+
+
+def keep_by_key(rows: DataFrame, keys: DataFrame, key: str = "file_path", count: int | None = None) -> DataFrame:
+    """Only the rows whose key is listed."""
+    return rows.join(key_set(keys, key, count), key, "left_semi").select(*rows.columns)
 
 
 def assign_ids(rows: DataFrame, last_id: int = 0, key: str = "file_path", groups: int = ID_GROUPS) -> DataFrame:
@@ -107,19 +122,23 @@ def assign_ids(rows: DataFrame, last_id: int = 0, key: str = "file_path", groups
     )
 
 
-def keep_ids(index: DataFrame, upserts: DataFrame, key: str = "file_path") -> DataFrame:
-    """Upserts with the ``id`` of the row they replace, NULL for a new key."""
-    known = index.select(key, "id").join(upserts.select(key), key, "left_semi")
+def keep_ids(index: DataFrame, upserts: DataFrame, key: str = "file_path", count: int | None = None) -> DataFrame:
+    """Upserts with the ``id`` of the row they replace, NULL for a new key. Reads only keys and ids of the index."""
+    known = keep_by_key(index.select(key, "id"), upserts, key, count)
     return upserts.drop("id").join(known, key, "left")
 
 
-def upsert(index: DataFrame, upserts: DataFrame, last_id: int | None = None, key: str = "file_path") -> DataFrame:
+def upsert(
+    index: DataFrame, upserts: DataFrame, last_id: int | None = None, key: str = "file_path", count: int | None = None
+) -> DataFrame:
     """Insert rows, replacing everything but the ``id`` where the key exists. ``upserts`` has one row per key."""
-    rows = keep_ids(index, upserts, key)
+    if count is None:
+        count = upserts.count()
+    rows = keep_ids(index, upserts, key, count)
     if last_id is None:
         last_id = index.agg(F.max("id")).first()[0] or 0
     rows = assign_ids(rows, last_id, key)
-    return delete_by_key(index, upserts, key).unionByName(rows.select(*index.columns))
+    return delete_by_key(index, upserts, key, count).unionByName(rows.select(*index.columns))
 
 
 def apply_changes(

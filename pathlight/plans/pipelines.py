@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import LANGUAGES, is_blank, language_of, strip_header
-from ..operators.changes import route_changes, snapshot_diff
-from ..operators.clean import exists_filter, ignore_filter
+from ..operators.changes import keep_by_key, route_changes, snapshot_diff
+from ..operators.clean import ignore_filter
 from ..operators.embed import Embedder, TfIdfEmbedder, fit_idf
 from ..sources.corpus import paths_frame
 from ..sources.store import IndexStore, State
@@ -107,7 +107,7 @@ def incremental_index(
     embedder = embedder or stored_embedder(store)
     # A short table of paths, needed several times and possibly the result of comparing two corpora.
     changes = store.stage(ignore_filter(changes.select("change", "file_path"), rules), "changes")
-    written = exists_filter(files, changes.filter(F.col("change").isin("A", "M")))
+    written = keep_by_key(files, changes.filter(F.col("change").isin("A", "M")))
     removed = changes.filter(F.col("change") == "D")
     return store.publish_index(written, removed, source_version, finish=finisher(embedder, languages))
 
@@ -124,7 +124,7 @@ def add_delete_index(
     if all(isinstance(paths, (str, list)) and not paths for paths in (add, delete)):
         raise ValueError("give paths to add or to delete")
     spark = files.sparkSession
-    written = exists_filter(files, paths_frame(spark, add))
+    written = keep_by_key(files, paths_frame(spark, add))
     if embedder is None:
         fitted = not store.read_model().isEmpty()
         embedder = stored_embedder(store) if fitted else fit_stored_embedder(store, texts_of(written, languages))

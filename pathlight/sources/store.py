@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import dedupe_last_wins, delete_by_key
+from ..operators.changes import dedupe_last_wins, delete_by_key, keep_by_key
 from ..operators.clean import broken_rules
 
 INDEX_SCHEMA = T.StructType(
@@ -88,7 +88,7 @@ class IndexStore:
 
     def _committed(self) -> list[Row]:
         """The state rows a reader or writer needs, oldest first: one short row per publish."""
-        history = self._read("state", STATE_SCHEMA).select("version", "full", "source_version", "last_id")
+        history = self._read("state", STATE_SCHEMA).drop("stream", "batch_id", "indexed_at")
         return sorted(history.collect(), key=lambda row: row["version"])
 
     @staticmethod
@@ -119,15 +119,17 @@ class IndexStore:
         if not committed:
             return empty_frame(self.spark, INDEX_SCHEMA)
         base = self._state(committed).base
-        later = [row["version"] for row in committed if row["version"] > base]
+        later = [row for row in committed if row["version"] > base]
         segments = self._read("segments", _SEGMENT_SCHEMA).filter(F.col("broken").isNull())
-        rows = segments.filter((F.col("v") == base) & ~F.col("deleted"))
+        rows = segments.filter((F.col("v") == base) & ~F.col("deleted")).select(*columns)
         if not later:
-            return rows.select(*columns)
-        changes = segments.filter(F.col("v").isin(later)).withColumn("live", ~F.col("deleted"))
+            return rows
+        changes = segments.filter(F.col("v").isin([row["version"] for row in later]))
+        # How many paths changed is on record, so whether they can be broadcast need not be guessed.
+        changed = sum(row["upserted"] + row["deleted"] for row in later)
         # Within one version a written row counts more than a deletion of the same path.
-        changes = dedupe_last_wins(changes, ["v", "live"])
-        return delete_by_key(rows.select(*columns), changes).unionByName(changes.filter("live").select(*columns))
+        latest = dedupe_last_wins(changes.withColumn("live", ~F.col("deleted")), ["v", "live"])
+        return delete_by_key(rows, changes, count=changed).unionByName(latest.filter("live").select(*columns))
 
     def rejected(self) -> DataFrame:
         """Rows set aside by publishes ``(v, file_path, broken)``, with the rules they broke."""
@@ -170,10 +172,15 @@ class IndexStore:
         if deletes is not None:
             deletes = deletes.select("file_path")
             requests = deletes.count()
-            index = delete_by_key(index, deletes)
-        known = index.select("file_path", "id").join(upserts.select("file_path"), "file_path", "left_semi")
-        rows = upserts.join(known, "file_path", "left")
-        rows = rows.withColumn("id", F.coalesce("id", F.lit(before.last_id + 1) + F.monotonically_increasing_id()))
+        new_id = F.lit(before.last_id + 1) + F.monotonically_increasing_id()
+        if before.version == 0:
+            rows = upserts.withColumn("id", new_id)
+        else:
+            known = index.select("file_path", "id")
+            if requests:
+                known = delete_by_key(known, deletes, count=requests)
+            known = keep_by_key(known, upserts)
+            rows = upserts.join(known, "file_path", "left").withColumn("id", F.coalesce("id", new_id))
         if finish:
             rows = finish(rows)
         rows = self._marked(rows)
