@@ -14,7 +14,7 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, strip
+from .text import _col, strip, strip_left
 
 _BREAK = r"\\\r?\n"
 
@@ -60,10 +60,9 @@ def strip_header(content: Column | str, language: Column | str, headers: Mapping
     content, language = _col(content), _col(language)
     result = content
     for name, pattern in headers.items():
-        text = strip(content)
-        cut = strip(F.regexp_replace(text, F.lit(pattern), F.lit("")))
+        cut = F.regexp_replace(content, F.lit(pattern), F.lit(""))
         if openings := _OPENINGS.get(name):
-            may_have_header = reduce(or_, [text.startswith(opening) for opening in openings])
-            cut = F.when(may_have_header, cut).otherwise(text)
-        result = F.when(language == F.lit(name), cut).otherwise(result)
+            may_have_header = reduce(or_, [strip_left(content).startswith(opening) for opening in openings])
+            cut = F.when(may_have_header, cut).otherwise(content)
+        result = F.when(language == F.lit(name), strip(cut)).otherwise(result)
     return result

@@ -18,8 +18,10 @@ LANGUAGES = {
 }
 
 # Rules that need a regular expression are joined into alternations of at most this many, so that no pattern grows
-# without limit however long the rule list is.
+# without limit however long the rule list is. Simple rules beyond the other number are
+# treated as regular expressions too, which keeps the predicate short.
 _RULES_PER_PATTERN = 200
+_SIMPLE_RULES = 100
 
 
 def normalize_path(column: Column | str) -> Column:
@@ -101,21 +103,22 @@ def matches_any_glob(column: Column | str, patterns: Iterable[str]) -> Column:
     path = _col(column)
     exact: list[str] = []
     regexes: list[str] = []
-    tests: list[Column] = []
+    simple: dict[str, Column] = {}
     for pattern in dict.fromkeys(patterns):
         core = pattern.strip("*")
-        if _MAGIC.search(core):
+        if _MAGIC.search(core) or len(simple) >= _SIMPLE_RULES:
             regexes.append(glob_to_regex(pattern))
-        elif not core and pattern:
-            tests.append(path.isNotNull())
         elif pattern == core:
             exact.append(pattern)
+        elif not core:
+            simple[pattern] = path.isNotNull()
         elif not pattern.startswith("*"):
-            tests.append(path.startswith(core))
+            simple[pattern] = path.startswith(core)
         elif not pattern.endswith("*"):
-            tests.append(path.endswith(core))
+            simple[pattern] = path.endswith(core)
         else:
-            tests.append(path.contains(core))
+            simple[pattern] = path.contains(core)
+    tests = list(simple.values())
     if exact:
         tests.append(path.isin(exact))
     for start in range(0, len(regexes), _RULES_PER_PATTERN):

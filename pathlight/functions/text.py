@@ -22,8 +22,13 @@ def strip(column: Column | str) -> Column:
     return F.btrim(_col(column), F.lit(WHITESPACE))
 
 
+def strip_left(column: Column | str) -> Column:
+    """Much cheaper than :func:`strip`, which has to find the characters of the whole text to cut from its end."""
+    return F.ltrim(_col(column), F.lit(WHITESPACE))
+
+
 def is_blank(column: Column | str) -> Column:
-    return strip(column) == F.lit("")
+    return strip_left(column) == F.lit("")
 
 
 def split_whitespace(column: Column | str) -> Column:

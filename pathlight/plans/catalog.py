@@ -639,6 +639,16 @@ def sql_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.sql_search(index, statement, first_vector(table(spark, sf_dir, "embeddings")))
 
 
+@query(
+    "default_search",
+    f"""SELECT 'vec/' || vec_id AS file_path, round(d, 6) AS distance FROM ({_TO_FIRST}) ORDER BY round(d, 9) LIMIT 10""",
+)
+def default_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL that a search runs when none is given: projection, order by distance, limit."""
+    hits = op.sql_search(vector_index(spark, sf_dir), op.DEFAULT_SQL, first_vector(table(spark, sf_dir, "embeddings")))
+    return hits.select("file_path", F.round("distance", 6).alias("distance"))
+
+
 @query("index_count", "SELECT count(*) AS files FROM embeddings")
 def index_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.sql_search(vector_index(spark, sf_dir), f"SELECT count(*) AS files FROM {INDEX_VIEW}")
