@@ -30,6 +30,9 @@ from .search import (
 DEFAULT_CELLS = 256
 DEFAULT_PROBES = 8
 
+# Vectors per cell that the centres are fitted on. More would cost passes over the whole index without moving them.
+TRAINING_ROWS_PER_CELL = 1024
+
 
 @dataclass
 class CellIndex:
@@ -77,15 +80,17 @@ def build_cells(
     embedding: str = "embedding",
     seed: int = 42,
     iterations: int = 10,
-    training: DataFrame | None = None,
+    training_rows: int | None = None,
 ) -> CellIndex:
     """Cluster the directions of the vectors and give every row its nearest cell.
 
-    Centres are fitted on ``training`` (default: the whole index); only ``cells`` x dimension numbers reach the driver.
+    Centres are fitted on about ``training_rows`` vectors, all of them if there are no more, and only ``cells`` x
+    dimension numbers reach the driver. Every row of the index gets its cell, in one pass without a shuffle.
     """
     ship_package(index.sparkSession)
     usable = index.filter(F.col(embedding).isNotNull() & (l2_norm(embedding) > 0))
-    fitted_on = usable if training is None else training
+    share = (training_rows or TRAINING_ROWS_PER_CELL * cells) / max(1, usable.count())
+    fitted_on = usable if share >= 1 else usable.sample(share, seed)
     model = KMeans(
         k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="random", featuresCol="vector"
     ).fit(fitted_on.select(array_to_vector(F.col(embedding).cast("array<double>")).alias("vector")))

@@ -79,19 +79,15 @@ def broken_rules(dim: int, embedding: str = "embedding") -> Column:
 
 def validate_index(index: DataFrame, dim: int, embedding: str = "embedding") -> DataFrame:
     """Table ``(rule, file_path, rows)`` of every broken constraint, duplicate paths included."""
-    by_row = (
-        index.select("file_path", F.explode(broken_rules(dim, embedding)).alias("rule"))
+    # Every path is counted along with the broken rules: one scan, one shuffle of names and paths.
+    counted = F.when(F.col("file_path").isNotNull(), F.lit("path_not_unique"))
+    rules = F.concat(broken_rules(dim, embedding), F.array_compact(F.array(counted)))
+    return (
+        index.select("file_path", F.explode(rules).alias("rule"))
         .groupBy("rule", "file_path")
         .agg(F.count("*").alias("rows"))
+        .filter((F.col("rule") != "path_not_unique") | (F.col("rows") > 1))
     )
-    duplicates = (
-        index.filter(F.col("file_path").isNotNull())
-        .groupBy("file_path")
-        .agg(F.count("*").alias("rows"))
-        .filter("rows > 1")
-        .select(F.lit("path_not_unique").alias("rule"), "file_path", "rows")
-    )
-    return by_row.unionByName(duplicates)
 
 
 def quarantine(rows: DataFrame, dim: int, embedding: str = "embedding") -> tuple[DataFrame, DataFrame]:
