@@ -113,7 +113,7 @@ class TfIdfEmbedder:
 
     def __init__(self, idf: DataFrame | Sequence[float]) -> None:
         if isinstance(idf, DataFrame):
-            idf = [row["idf"] for row in idf.orderBy("bucket").select("idf").collect()]
+            idf = [row["idf"] for row in sorted(idf.select("bucket", "idf").collect())]
         self.idf = list(idf)
         if not self.idf:
             raise ValueError("no embedding model has been fitted or stored")

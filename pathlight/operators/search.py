@@ -36,6 +36,8 @@ MAX_BROADCAST_BYTES = 32 << 20
 INDEX_BLOCK_BYTES = 64 << 20
 QUERY_BLOCK_BYTES = 64 << 20
 
+_FIRST_QUERIES = 1000
+
 # Upper bound for the elements of one distance matrix inside a task (doubles).
 _MATRIX_ELEMENTS = 2 << 20
 _MERGE_PARTS = 32
@@ -255,14 +257,16 @@ def _scan_block(batches, block: QueryBlock, k: int) -> Iterator[pa.RecordBatch]:
 def collect_queries(queries: DataFrame, query_id: str, embedding: str, max_bytes: int) -> pa.Table | None:
     """Ids and vectors of the queries, or None when there are more than fit into ``max_bytes``.
 
-    Never fetches more than one row beyond the limit. ``queries`` holds no NULL vectors.
+    A first fetch of a few queries is mostly all there is; it also tells their length, and so how many fit. No more
+    than one row beyond that is fetched. ``queries`` holds no NULL vectors.
     """
     rows = queries.select(query_id, embedding)
-    first = rows.select(F.size(embedding)).first()
-    if first is None:
-        return rows.limit(0).toArrow()
-    most = max(1, max_bytes // (8 * max(1, first[0])))
-    table = rows.limit(most + 1).toArrow()
+    table = rows.limit(_FIRST_QUERIES + 1).toArrow()
+    if table.num_rows == 0:
+        return table
+    most = max(1, max_bytes // (8 * max(1, len(table.column(1)[0]))))
+    if table.num_rows > _FIRST_QUERIES and most > _FIRST_QUERIES:
+        table = rows.limit(most + 1).toArrow()
     return table if table.num_rows <= most else None
 
 
