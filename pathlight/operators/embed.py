@@ -1,7 +1,7 @@
 """Text to vector: a hashed TF-IDF, and a hook for any batch model.
 
 Counting words is done per Arrow batch inside the tasks: splitting, dictionary encoding and counting run as native
-kernels over a whole batch, which took about a tenth of the time of the same steps as array expressions. Only the text
+kernels over a whole batch, which took about a fifth of the time of the same steps as array expressions. Only the text
 column goes to Python and only vectors come back.
 """
 
