@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from pathlight.plans.catalog import ORACLES, QUERIES
 from tools.check import TABLES, canonical
 
 FOLDER = os.environ.get("TESTDATA", "/root/testdata") + "/sf0.001"
@@ -21,11 +22,11 @@ def duck():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    frame = driver.queries()[name](spark, FOLDER)
+    frame = QUERIES[name](spark, FOLDER)
     got = canonical([tuple(row) for row in frame.collect()], frame.columns)
-    sql = driver.oracle_sql().get(name)
+    sql = ORACLES.get(name)
     if sql is None:
         assert got
         return
@@ -40,4 +41,8 @@ def test_entry(spark):
 
 
 def test_only_the_approximate_search_has_no_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == {"ann_search"}
+    assert set(QUERIES) - set(ORACLES) == {"ann_search"}
+
+
+def test_every_query_is_registered():
+    assert set(QUERIES) <= set(driver.queries()) and set(ORACLES) <= set(driver.oracle_sql())
