@@ -37,6 +37,21 @@ def row_key(doc_id: str, text: Column) -> Column:
     return F.concat_ws(":", F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.hex(F.xxhash64(text)))
 
 
+def pick_rows(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` named by ``wanted`` (``key, rows, times``), each ``times`` times, with the columns of ``docs``.
+
+    ``key`` is :func:`row_key` and ``rows`` how often it occurs in ``docs``; a repeated row is taken as one.
+    """
+    keyed = docs.withColumn("_key", row_key(doc_id, F.col(text)))
+    named = wanted.select(F.col("key").alias("_key"), "rows", F.col("times").alias("_times"))
+    found = keyed.join(named.filter("rows = 1").drop("rows"), "_key")
+    repeated = named.filter("rows > 1").drop("rows")
+    if repeated.limit(1).count():
+        found = found.unionByName(keyed.join(repeated, "_key").dropDuplicates(["_key"]))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")
+    return found.select(*docs.columns, copies).drop("_copy")
+
+
 def number_within(
     rows: DataFrame, group: str, order: Sequence[str], position: str, per_group: DataFrame | None = None
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, number_within, staged
+from .common import WORD, number_within, pick_rows, row_key, staged
 
 # Sources in code point order take these weights in turn, and stop at this multiple of what they hold.
 WEIGHTS = (1, 2, 3)
@@ -55,7 +55,7 @@ def mix_plan(
     text: str = "text",
     source: str = "source",
 ) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, copies)``, one row per document.
+    """``(key, doc_id, source, size, source_size, target, copies)``, one row per document; ``key`` is its row key.
 
     ``size`` is the number of words. All documents of a source have the same expected number of copies, target / size of
     the source. Their prefix sums are taken in order of size, one random offset per source is added, and a document is
@@ -66,6 +66,7 @@ def mix_plan(
     others; NULL is a source of its own; repeated rows are rows of their own; an empty table gives an empty result.
     """
     rows = docs.select(
+        row_key(doc_id, F.col(text)).alias("key"),
         F.col(doc_id).alias("doc_id"),
         F.col(source).alias("source"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
@@ -77,18 +78,13 @@ def mix_plan(
     offset = F.conv(F.substring(F.md5(name), 1, 5), 16, 10).cast("bigint") / F.lit(1 << 20)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumns({"_offset": offset, "_rate": rate})
-    numbered = number_within(rows, "source", ["size", "doc_id"], "_position", targets)
+    numbered = number_within(rows, "source", ["size", "doc_id", "key"], "_position", targets)
     upto = lambda n: F.floor(F.col("_offset") + n * F.col("_rate"))
     copies = (upto(F.col("_position") + 1) - upto(F.col("_position"))).cast("int")
-    return numbered.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
+    return numbered.select("key", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"))
 
 
-def emit(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The mixed corpus: every document as often as the plan says, with all its columns.
-
-    Documents that share an id share its copies, so ids should be unique.
-    """
-    copies = plan.groupBy("doc_id").agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    repeated = F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")
-    wanted = copies.select(F.col("doc_id").alias("_id"), repeated)
-    return docs.join(wanted, docs[doc_id].eqNullSafe(F.col("_id"))).select(*docs.columns)
+def emit(docs: DataFrame, plan: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The mixed corpus: every document as often as the plan says, with all its columns."""
+    wanted = plan.groupBy("key").agg(F.count("*").alias("rows"), F.sum("copies").cast("int").alias("times"))
+    return pick_rows(docs, staged(wanted.filter("times > 0"), "copies"), doc_id, text)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,8 +128,9 @@ def assign_shards(
     seed: int = 42,
     doc_id: str = "doc_id",
     text: str = "text",
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(doc_id, size, text_crc32, shard, grown_shard, slot)`` of every row.
+    """``(doc_id, size, text_crc32, shard, grown_shard, slot)`` of every row, and the columns named by ``carry``.
 
     ``shard`` is drawn from the id alone, ``grown_shard`` with one shard more. ``size`` is the UTF-8 length plus 1,
     ``text_crc32`` that of the text, where NULL counts as empty. Slots count from 0 in every shard, ordered by id and then
@@ -140,6 +142,7 @@ def assign_shards(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(bytes_of) + 1).cast("bigint").alias("size"),
         F.crc32(bytes_of).alias("text_crc32"),
+        *[F.col(name) for name in carry],
     )
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), shard_tree(shards, weights), seed)).withColumn(
         "grown_shard", shard_of(F.col("doc_id"), shard_tree(shards + 1, weights), seed)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import LOWER_BYTES, staged
+from .common import LOWER_BYTES, pick_rows, row_key, staged
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -248,16 +248,17 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp)``: the SimHash of every text as a signed 64-bit number. NULL and texts without words have 0."""
+    """``(key, doc_id, fp)``: the SimHash of every text as a signed 64-bit number. NULL and texts without words have 0."""
     ship_package(docs.sparkSession)
-    return docs.select(F.col(doc_id).alias("doc_id"), _simhash_column(F.col(text)).alias("fp"))
+    key = row_key(doc_id, F.col(text)).alias("key")
+    return docs.select(key, F.col(doc_id).alias("doc_id"), _simhash_column(F.col(text)).alias("fp"))
 
 
 def near_duplicates(
     docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """``(doc_id, fp, component_id)`` of every row: documents whose fingerprints differ in at most ``radius`` bits are
-    linked, and ``component_id`` is the smallest id that links lead to.
+    """``(key, doc_id, fp, root, component_id)`` of every row: documents whose fingerprints differ in at most ``radius`` bits are
+    linked. ``component_id`` is the smallest id that links lead to, ``root`` the smallest fingerprint.
 
     Texts without words have fingerprint 0 and are linked like all others. Repeated rows and rows with one id and several
     texts are rows of their own. A NULL id is no smallest id unless there is no other. An empty table gives an empty result.
@@ -268,8 +269,17 @@ def near_duplicates(
     links = staged(near_links(distinct.select("fp"), radius), "links")
     rooted = distinct.join(components(links), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = staged(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
-    return marked.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    classes = staged(rooted.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+    return marked.join(classes, "fp", "left").select("key", "doc_id", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the one with the smallest id stays (then by its key)."""
+    found = near_duplicates(docs, radius, doc_id, text)
+    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    rows = found.groupBy("root", "key", "doc_id").agg(F.count("*").alias("_rows"))
+    kept = rows.groupBy("root").agg(F.min_by(F.struct("key", F.col("_rows").alias("rows")), least).alias("kept"))
+    return pick_rows(docs, staged(kept.select("kept.*", F.lit(1).alias("times")), "kept"), doc_id, text)
 
 
 def hex_digits(fp: str = "fp"):
