@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, sharding, simhash
+from . import decontamination, language_id, mixing, sharding, simhash, spotsigs, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@query("op2_spotsigs")
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spotsigs.fingerprint_edited(table(spark, sf_dir, "documents"))
+    likeness = spotsigs.pruned_jaccard
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        spotsigs.as_string("sigs").alias("fingerprint"),
+        spotsigs.as_string("edited_sigs").alias("edited_fingerprint"),
+        likeness(F.col("sigs"), F.col("edited_sigs")).alias("near_edited"),
+        likeness(F.col("sigs"), F.col("next_sigs")).alias("near_next"),
+    )
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
@@ -78,6 +93,20 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WARC_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
+
+
+@query("op8_warc", _WARC_SQL)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
+
+
 _PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _DECONTAMINATION_SQL = f"""
