@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, sharding, simhash, spotsigs, warc
+from . import decontamination, language_id, mixing, secrets, sharding, simhash, spotsigs, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,22 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
+    own = {kind: F.filter("spans", lambda span, kind=kind: span["kind"] == kind) for kind in secrets.KINDS}
+    written = lambda spans: F.array_join(
+        F.transform(spans, lambda span: F.concat_ws(":", span["kind"], span["start"], span["end"])), ","
+    )
+    base = F.filter("spans", lambda span: span["kind"] != "lexed")
+    return found.select(
+        "doc_id",
+        *[F.size(own[kind]).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(written(base), 256).alias("base_sha256"),
+        written(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op5_language_id")
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = language_id.language_id(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
