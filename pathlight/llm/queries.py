@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, mixing, secrets, sharding, simhash, spotsigs, warc
+from . import decontamination, language_id, mixing, quality, secrets, sharding, simhash, spotsigs, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,6 +123,20 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_and_read(table(spark, sf_dir, "pages")).drop("url")
 
 
+@query("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    good, toxic = F.col("quality_score") >= 0.5, F.col("toxic_score") >= 0.5
+    return scored.select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        *[f"{target}_{view}" for target in ("quality", "toxic") for view in ("text", "meta", "score")],
+        good.cast("int").alias("quality_pred"),
+        toxic.cast("int").alias("toxic_pred"),
+        (good & ~toxic).alias("keep"),
+    )
+
+
 _PLAIN = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _DECONTAMINATION_SQL = f"""
