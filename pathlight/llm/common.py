@@ -42,14 +42,14 @@ def pick_rows(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text:
 
     ``key`` is :func:`row_key` and ``rows`` how often it occurs in ``docs``; a repeated row is taken as one.
     """
-    keyed = docs.withColumn("_key", row_key(doc_id, F.col(text)))
-    named = wanted.select(F.col("key").alias("_key"), "rows", F.col("times").alias("_times"))
-    found = keyed.join(named.filter("rows = 1").drop("rows"), "_key")
+    keyed = docs.withColumn("_llm_key", row_key(doc_id, F.col(text)))
+    named = wanted.select(F.col("key").alias("_llm_key"), "rows", F.col("times").alias("_llm_times"))
+    found = keyed.join(named.filter("rows = 1").drop("rows"), "_llm_key")
     repeated = named.filter("rows > 1").drop("rows")
     if repeated.limit(1).count():
-        found = found.unionByName(keyed.join(repeated, "_key").dropDuplicates(["_key"]))
-    copies = F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("_copy")
-    return found.select(*docs.columns, copies).drop("_copy")
+        found = found.unionByName(keyed.join(repeated, "_llm_key").dropDuplicates(["_llm_key"]))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_llm_times"))).alias("_llm_copy")
+    return found.select(*docs.columns, copies).drop("_llm_copy")
 
 
 def number_within(
@@ -64,21 +64,21 @@ def number_within(
     """
     ranged = rows.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
     placed = staged(
-        ranged.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}), "placed"
+        ranged.withColumns({"_llm_part": F.spark_partition_id(), "_llm_place": F.monotonically_increasing_id()}), "placed"
     )
-    earlier = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(group).orderBy("_llm_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
-        placed.groupBy("_part", group)
-        .agg(F.min("_place").alias("_first"), F.count("*").alias("_rows"))
-        .withColumn("_shift", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first"))
-        .select(F.col("_part").alias("_p"), F.col(group).alias("_g"), "_shift")
+        placed.groupBy("_llm_part", group)
+        .agg(F.min("_llm_place").alias("_llm_first"), F.count("*").alias("_llm_rows"))
+        .withColumn("_llm_shift", F.coalesce(F.sum("_llm_rows").over(earlier), F.lit(0)) - F.col("_llm_first"))
+        .select(F.col("_llm_part").alias("_llm_p"), F.col(group).alias("_llm_g"), "_llm_shift")
     )
     extra = []
     if per_group is not None:
         extra = [name for name in per_group.columns if name != group]
-        named = per_group.withColumnRenamed(group, "_h")
-        starts = starts.join(named, F.col("_g").eqNullSafe(F.col("_h")), "left").drop("_h")
-    same = (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g"))
+        named = per_group.withColumnRenamed(group, "_llm_h")
+        starts = starts.join(named, F.col("_llm_g").eqNullSafe(F.col("_llm_h")), "left").drop("_llm_h")
+    same = (F.col("_llm_part") == F.col("_llm_p")) & F.col(group).eqNullSafe(F.col("_llm_g"))
     return placed.join(starts, same, "left").select(
-        *rows.columns, *extra, (F.col("_place") + F.col("_shift")).alias(position)
+        *rows.columns, *extra, (F.col("_llm_place") + F.col("_llm_shift")).alias(position)
     )

@@ -179,5 +179,5 @@ def contamination(
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns."""
     found = contamination(docs, benchmark, doc_id=doc_id, text=text, **options)
-    dirty = staged(found.filter("contaminated").select(F.col("key").alias("_key")).distinct(), "contaminated")
-    return docs.withColumn("_key", row_key(doc_id, F.col(text))).join(dirty, "_key", "left_anti").select(*docs.columns)
+    dirty = staged(found.filter("contaminated").select(F.col("key").alias("_llm_key")).distinct(), "contaminated")
+    return docs.withColumn("_llm_key", row_key(doc_id, F.col(text))).join(dirty, "_llm_key", "left_anti").select(*docs.columns)

@@ -224,17 +224,18 @@ def language_id(
     doc_id: str = "doc_id",
     text: str = "text",
     lang: str = "lang",
+    into: str = "language",
 ) -> DataFrame:
-    """Fit on the labelled rows of ``docs`` and add ``language`` to all of them; see :func:`fit` and :func:`identify`.
+    """Fit on the labelled rows of ``docs`` and add ``language`` (or a column named ``into``, replacing any such) to all of them; see :func:`fit` and :func:`identify`.
 
     Repeated rows get equal results; very long texts are read whole, in pieces; an empty table gives an empty result.
     """
     model = fit(docs, training_rows, doc_id, text, lang)
-    return identify(docs, model, text)
+    return identify(docs, model, text, into)
 
 
 def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **options) -> DataFrame:
     """The rows of ``docs`` whose language could be told with at least this score, with their columns."""
-    found = language_id(docs, **options)
-    told = (F.col("language.lang") != UNDETERMINED) & (F.col("language.score") >= least_score)
+    found = language_id(docs, into="_llm_language", **options)
+    told = (F.col("_llm_language.lang") != UNDETERMINED) & (F.col("_llm_language.score") >= least_score)
     return found.filter(told).select(*docs.columns)

@@ -289,6 +289,7 @@ def fit(
 
 def score(docs: DataFrame, models: dict[str, CoTrained], text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """Add ``<target>_text``, ``<target>_meta`` and ``<target>_score`` for each model: probabilities by either view and both.
+    Existing columns of these names are replaced.
 
     Every row is scored by its whole text; NULL and empty texts have no words and are scored by what is left.
     """
@@ -309,9 +310,9 @@ def score(docs: DataFrame, models: dict[str, CoTrained], text: str = "text", lan
                 column.append(values)
         return pa.StructArray.from_arrays([pa.array(np.concatenate(c) if c else np.empty(0)) for c in out], names)
 
-    given = docs.withColumn("_scores", probabilities(F.col(text), F.col(lang).cast("string"), F.col(source).cast("string")))
+    given = docs.withColumn("_llm_scores", probabilities(F.col(text), F.col(lang).cast("string"), F.col(source).cast("string")))
     rest = [name for name in docs.columns if name not in names]
-    return given.select(*rest, *[F.col(f"_scores.{name}").alias(name) for name in names])
+    return given.select(*rest, *[F.col(f"_llm_scores.{name}").alias(name) for name in names])
 
 
 def classify(

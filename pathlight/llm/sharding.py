@@ -66,6 +66,7 @@ def shard_tree(
 
 
 _MASK = (1 << 64) - 1
+_RESULTS = ("doc_id", "size", "text_crc32", "shard", "grown_shard", "slot")
 
 
 def _mix(values: np.ndarray) -> np.ndarray:
@@ -130,7 +131,8 @@ def assign_shards(
     text: str = "text",
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """``(doc_id, size, text_crc32, shard, grown_shard, slot)`` of every row, and the columns named by ``carry``.
+    """``(doc_id, size, text_crc32, shard, grown_shard, slot)`` of every row, and the columns named by ``carry`` (one that
+    has the name of a result gives way to it).
 
     ``shard`` is drawn from the id alone, ``grown_shard`` with one shard more. ``size`` is the UTF-8 length plus 1,
     ``text_crc32`` that of the text, where NULL counts as empty. Slots count from 0 in every shard, ordered by id and then
@@ -142,7 +144,7 @@ def assign_shards(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(bytes_of) + 1).cast("bigint").alias("size"),
         F.crc32(bytes_of).alias("text_crc32"),
-        *[F.col(name) for name in carry],
+        *[F.col(name) for name in carry if name not in _RESULTS],
     )
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), shard_tree(shards, weights), seed)).withColumn(
         "grown_shard", shard_of(F.col("doc_id"), shard_tree(shards + 1, weights), seed)
