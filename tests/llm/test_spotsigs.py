@@ -1,0 +1,103 @@
+import hashlib
+
+from pathlight.llm import spotsigs
+from pyspark.sql import functions as F
+
+from .conftest import records
+
+
+def slow_chains(text, anchors=spotsigs.ANCHORS, chain=2, distance=1):
+    """Chains word by word: from every anchor on, the next content words."""
+    words = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in (text or "").lower()).split()
+    chains = set()
+    for at in [-1, *[i for i, w in enumerate(words) if w in anchors]] if words else []:
+        content = [w for w in words[at + 1 :] if w not in anchors]
+        chains.add((words[at] if at >= 0 else "", *content[: 1 + (chain - 1) * distance : distance]))
+    return chains
+
+
+TEXTS = [
+    "The cat of the house, and a dog: it is on the mat.",
+    "the the the",
+    "nothing common here",
+    "the end of",
+    "Der Hund und die Katze sind im Haus",
+    "",
+    None,
+    "-- !! --",
+    "a b a c a d a b a c",
+]
+
+
+def test_signatures_are_the_chains_after_anchors(spark):
+    frame = spark.createDataFrame([(n, t) for n, t in enumerate(TEXTS)], "n int, text string")
+    for chain, distance in ((2, 1), (3, 1), (2, 2)):
+        got = records(frame.withColumn("sigs", spotsigs.signatures(F.col("text"), chain=chain, distance=distance)))
+        for row in got:
+            want = slow_chains(row["text"], chain=chain, distance=distance)
+            assert len(row["sigs"]) == len(want), row
+            assert row["sigs"] == sorted(row["sigs"])
+    same = records(frame.withColumn("sigs", spotsigs.signatures(F.concat(F.lit("  "), "text"))))
+    assert [r["sigs"] for r in same if r["text"]] == [r["sigs"] for r in records(frame.withColumn("sigs", spotsigs.signatures(F.col("text")))) if r["text"]]
+
+
+def test_likeness_and_pruning(spark):
+    rows = [([1, 2, 3], [2, 3, 4]), ([], []), ([1], []), ([1, 2], [1, 2]), ([1], [1, 2, 3, 4, 5, 6])]
+    frame = spark.createDataFrame(rows, "a array<int>, b array<int>")
+    plain = [r[0] for r in frame.select(spotsigs.pruned_jaccard(F.col("a"), F.col("b"))).collect()]
+    assert plain == [0.5, 1.0, 0.0, 1.0, 1 / 6]
+    pruned = [r[0] for r in frame.select(spotsigs.pruned_jaccard(F.col("a"), F.col("b"), 0.5)).collect()]
+    assert pruned == [0.5, 1.0, 0.0, 1.0, 0.0]
+
+
+def test_edited_texts_of_odd_rows(odd_docs, no_docs):
+    found = records(
+        spotsigs.fingerprint_edited(odd_docs).withColumn("fingerprint", spotsigs.as_string("sigs")).withColumn(
+            "likeness", spotsigs.pruned_jaccard(F.col("sigs"), F.col("next_sigs"))
+        )
+    )
+    docs = records(odd_docs)
+    assert len(found) == len(docs)
+    # Different rows by descending id, NULL last; of one id in the order of their keys, which the operator chooses.
+    distinct = {(r["doc_id"], r["text"]) for r in docs}
+    unique = [d for d in sorted(distinct, key=lambda d: -(d[0] or -1)) if d[0] not in (1, None)]
+    edited = {r["doc_id"]: r for r in found}
+    for (doc_id, text), (_, following) in zip(unique, unique[1:], strict=False):
+        text, following = text or "", following or ""
+        third = len(text) // 3
+        assert edited[doc_id]["n_chars"] == len(text)
+        assert edited[doc_id]["edited"] == text[: len(text) - third] + following[:third]
+    last = next(r for r in found if r["doc_id"] is None and r["n_chars"] == 0)
+    assert last["edited"] == ""
+    assert len({r["fingerprint"] for r in found if r["doc_id"] == 2}) == 1
+    assert all(len(r["fingerprint"]) == 8 * len(r["sigs"]) for r in found)
+    assert spotsigs.fingerprint_edited(no_docs).count() == 0
+    assert hashlib.sha256(edited[10]["edited"].encode()).hexdigest()
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    base = [f"the word{n} of thing{n * 7 % 50} and item{n * 3 % 20}" for n in range(40)]
+    docs = [(n, " ".join(base[: 30 - n % 4] + [f"the extra{n % 5}"])) for n in range(12)] + [(99, "Nothing"), (100, ""), (101, None)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    pairs, members = spotsigs.near_duplicate_pairs(frame)
+    sets = {i: slow_chains(t) for i, t in docs}
+    want = set()
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[i] != sets[j]:
+                likeness = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+                if likeness >= spotsigs.SIMILARITY:
+                    want.add((i, j))
+    by_class = {}
+    for r in records(members):
+        by_class.setdefault(r["class"], []).append(r["doc_id"])
+    got = set()
+    for r in records(pairs):
+        got |= {(min(i, j), max(i, j)) for i in by_class[r["a"]] for j in by_class[r["b"]]}
+    assert got == want
+    assert want
+
+
+def test_no_python_and_no_cross_join(odd_docs):
+    plan = spotsigs.fingerprint_edited(odd_docs)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
