@@ -78,14 +78,14 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_secrets")
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
-    own = {kind: F.filter("spans", lambda span, kind=kind: span["kind"] == kind) for kind in secrets.KINDS}
+    of_kind = lambda kind: F.filter("spans", lambda span: span["kind"] == kind)
     written = lambda spans: F.array_join(
         F.transform(spans, lambda span: F.concat_ws(":", span["kind"], span["start"], span["end"])), ","
     )
     base = F.filter("spans", lambda span: span["kind"] != "lexed")
     return found.select(
         "doc_id",
-        *[F.size(own[kind]).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS],
+        *[F.size(of_kind(kind)).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS],
         F.sha2(written(base), 256).alias("base_sha256"),
         written(F.col("spans")).alias("spans"),
     )
