@@ -17,7 +17,7 @@ from ..functions import WHITESPACE, cosine_distance, suffix, vector_literal
 from ..operators.ann import CellIndex
 from ..operators.search import INDEX_VIEW
 from ..session import scratch_dir
-from ..sources import IndexStore, change_list, ignore_rules, path_list, spread, table_corpus
+from ..sources import IndexStore, change_list, corpus_scan, ignore_rules, path_list, spread, table_corpus, write_files
 from ..streaming import stream_changes
 from .pipelines import add_delete_index, full_changes, full_index, incremental_index
 
@@ -126,10 +126,24 @@ _DISTANCE = "least(greatest(list_cosine_distance({}::DOUBLE[], {}::DOUBLE[]), 0)
 
 @query(
     "corpus_scan",
-    f"WITH {_FILES} SELECT file_path, length(content) AS characters, sha256(content) AS sha FROM files",
-)
-def corpus_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).select(
+    f"""WITH {_FILES} SELECT CASE doc_id % 6 WHEN 0 THEN '_' WHEN 1 THEN '.' ELSE '' END || source || '/' || lang || '/'
+    || CASE doc_id % 5 WHEN 0 THEN '_' WHEN 1 THEN '.' WHEN 2 THEN '__' ELSE '' END || doc_id AS file_path,
+  CASE WHEN doc_id % 11 = 0 THEN 0 ELSE length(content) END AS characters,
+  sha256(CASE WHEN doc_id % 11 = 0 THEN '' ELSE content END) AS sha FROM files""",
+)
+def corpus_scan_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents written as files - many with names that begin with ``.`` or ``_``, some of them empty - and scanned."""
+    start = lambda column, cases: F.element_at(
+        F.array(*[F.lit(c) for c in cases]), (F.col(column) % len(cases) + 1).cast("int")
+    )
+    path = F.concat(
+        start("doc_id", ["_", ".", "", "", "", ""]), "source", F.lit("/"), "lang", F.lit("/"),
+        start("doc_id", ["_", ".", "__", "", ""]), F.col("doc_id").cast("string"),
+    )
+    text = F.when(F.col("doc_id") % 11 == 0, F.lit("")).otherwise(F.col("text"))
+    root = f"{scratch_dir(spark)}/corpus"
+    write_files(documents(spark, sf_dir).select(path.alias("file_path"), text.cast("binary").alias("bytes")), root)
+    return corpus_scan(spark, root).select(
         "file_path", F.length("content").cast("bigint").alias("characters"), F.sha2("content", 256).alias("sha")
     )
 

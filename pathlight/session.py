@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -51,10 +52,13 @@ def build_session(app_name: str = "pathlight", master: str | None = None, **conf
 def scratch_dir(spark: SparkSession) -> str:
     """A new empty location in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only where neither that setting nor a checkpoint directory exists (a local session) a temporary folder is made.
+    Only a local session without that setting gets a temporary folder; on a cluster its executors would not share it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share ({master} has no default)")
         shared = tempfile.mkdtemp(prefix="pathlight-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return os.path.join(shared, f"pathlight-{uuid.uuid4().hex}")

@@ -10,6 +10,7 @@ from .corpus import (
     spread,
     table_corpus,
 )
+from .files import list_files, read_files, write_files
 from .store import INDEX_SCHEMA, STATE_SCHEMA, IndexStore, State
 
 __all__ = [
@@ -20,11 +21,14 @@ __all__ = [
     "change_list",
     "corpus_scan",
     "ignore_rules",
+    "list_files",
     "path_list",
     "paths_frame",
     "read_change_list",
+    "read_files",
     "read_ignore_rules",
     "readable",
     "spread",
     "table_corpus",
+    "write_files",
 ]

@@ -2,30 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import WHITESPACE, normalize_path, split_whitespace, strip, universal_newlines
+from .files import list_files, read_files, read_lines
 
 
 def corpus_scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
     """All files under ``root`` as ``(file_path, content, size, mtime)``; paths are relative to ``root``.
 
-    ``content`` is NULL for a file that is not valid UTF-8: split with :func:`readable`. Spark leaves out files of length
-    0, which would not be indexed anyway; against an earlier scan they count as deleted.
+    Names that begin with ``.`` or ``_`` and empty files are files like any others. ``content`` is NULL for a file that
+    is not valid UTF-8: split with :func:`readable`. For paths alone use :func:`pathlight.sources.list_files`.
     """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    folder = root.rstrip("/").split("://")[-1]
-    files = reader.load(root)
-    start = F.instr("path", F.lit(folder + "/")) + F.lit(len(folder) + 1)
+    files = read_files(list_files(spark, root, glob), root)
     return files.select(
-        F.substring(F.col("path"), start, F.length("path")).alias("file_path"),
-        universal_newlines(F.try_validate_utf8(F.col("content").cast("string"))).alias("content"),
-        F.col("length").alias("size"),
-        F.col("modificationTime").alias("mtime"),
+        "file_path",
+        universal_newlines(F.try_validate_utf8(F.col("bytes").cast("string"))).alias("content"),
+        "size",
+        "mtime",
     )
 
 
@@ -80,7 +75,10 @@ def change_list(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_change_list(spark: SparkSession, path: str) -> DataFrame:
-    return change_list(spark.read.text(path))
+    lines = read_lines(spark, path)
+    if lines is None:
+        raise FileNotFoundError(f"no such file: {path}")
+    return change_list(lines)
 
 
 def ignore_rules(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -90,14 +88,9 @@ def ignore_rules(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def read_ignore_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rules of a file; a missing file means no rules."""
-    try:
-        lines = spark.read.text(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        lines = spark.createDataFrame([], "value string")
-    return ignore_rules(lines)
+    """Rules of a file, whatever its name; a missing file means no rules."""
+    lines = read_lines(spark, path)
+    return ignore_rules(spark.createDataFrame([], "value string") if lines is None else lines)
 
 
 def paths_frame(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:

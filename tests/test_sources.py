@@ -28,12 +28,13 @@ def test_corpus_scan(spark, tmp_path):
     (tmp_path / "main.py").write_bytes(b"x = 1\r\ny = 2\rz\n")
     (tmp_path / "src" / "a b" / "ü.md").write_text("héllo", encoding="utf-8")
     (tmp_path / "src" / "bad.txt").write_bytes(b"\xff\xfe\x00")
-    (tmp_path / "empty.txt").write_text("")  # Spark does not list files of length 0
+    (tmp_path / "empty.txt").write_text("")
     files = corpus_scan(spark, str(tmp_path))
     good, bad = readable(files)
     assert {row["file_path"]: row["content"] for row in good.collect()} == {
         "main.py": "x = 1\ny = 2\nz\n",
         "src/a b/ü.md": "héllo",
+        "empty.txt": "",
     }
     assert [row["file_path"] for row in bad.collect()] == ["src/bad.txt"]
     assert {row["size"] for row in files.filter("file_path = 'main.py'").collect()} == {15}
@@ -41,6 +42,26 @@ def test_corpus_scan(spark, tmp_path):
     assert [row["file_path"] for row in only.collect()] == ["main.py"]
 
 
+HIDDEN = ["pkg/__init__.py", "pkg/a.py", ".hidden.py", "_priv/b.py", ".git/x", "pkg/corpus/x/c.py", "corpus/pkg/corpus/d.py"]
+
+
+@pytest.mark.parametrize("root", ["corpus", "./corpus", "corpus/", "../{name}/corpus", "{full}/corpus", "file:{full}/corpus", "file://{full}/corpus"])
+def test_every_file_is_found_relative_to_its_root(spark, tmp_path, monkeypatch, root):
+    for path in HIDDEN:
+        (tmp_path / "corpus" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "corpus" / path).write_text(path)
+    monkeypatch.chdir(tmp_path)
+    files = corpus_scan(spark, root.format(name=tmp_path.name, full=tmp_path))
+    assert {r["file_path"]: r["content"] for r in files.collect()} == {path: path for path in HIDDEN}
+
+
+def test_a_missing_root_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        corpus_scan(spark, str(tmp_path / "none"))
+    (tmp_path / "empty").mkdir()
+    assert corpus_scan(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_table_corpus_sets_bad_text_aside(spark):
     table = spark.sql("SELECT 'a' AS p, CAST(X'ff' AS STRING) AS t UNION ALL SELECT 'b', 'x\\r\\ny'")
     good, bad = readable(table_corpus(table, "p", "t"))
@@ -89,14 +110,15 @@ def test_renames_copies_and_type_changes(spark):
 
 
 def test_read_change_list(spark, tmp_path):
-    path = tmp_path / "changes.txt"
+    path = tmp_path / ".changes.txt"
     path.write_text("A\ta.py\n\nR090\tx\ty\n")
     rows = sorted(tuple(row) for row in read_change_list(spark, str(path)).collect())
     assert rows == [("A", "a.py", None), ("R090", "x", "y")]
 
 
-def test_read_ignore_rules(spark, tmp_path):
-    path = tmp_path / "rules"
+@pytest.mark.parametrize("name", ["rules", ".rules", "_rules"])
+def test_read_ignore_rules(spark, tmp_path, name):
+    path = tmp_path / name
     path.write_text("# comment\n*.py\n  build/ \n\n   # another\n")
     assert [r["rule"] for r in read_ignore_rules(spark, str(path)).collect()] == ["*.py", "build/"]
 
