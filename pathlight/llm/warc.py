@@ -193,7 +193,8 @@ def write_archives(
     told = rows.join(revisits, same, "left").select(
         rows["page_id"], "url", "html", "digest", F.col("first").alias("refers_to")
     )
-    dealt = told.repartition("page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    # The join has dealt the pages by id and digest, if it moved them at all.
+    dealt = told.sortWithinPartitions("page_id", "digest", "url")
     return dealt.mapInArrow(
         lambda batches: _write(batches, folder, archive_bytes), "name string, records bigint, bytes bigint"
     )
