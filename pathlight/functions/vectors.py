@@ -23,14 +23,21 @@ def l2_norm(vector: Column | str) -> Column:
     return F.sqrt(total)
 
 
+def _not_finite(number: Column) -> Column:
+    return F.isnan(number) | (number == float("inf"))
+
+
 def cosine_distance(left: Column | str, right: Column | str) -> Column:
-    """1 - cosine similarity, within [0, 2]. NULL vector: NULL. Zero vector: NaN. Different lengths: an error."""
+    """1 - cosine similarity, within [0, 2]. NULL vector: NULL. Different lengths: an error.
+
+    NaN where a vector has no direction: all zeros, or with an element that is NaN or infinite.
+    """
     left, right = _col(left), _col(right)
     # One-element array: the three sums are computed once and used by name.
     sums = F.array(F.struct(dot_product(left, right).alias("dot"), (l2_norm(left) * l2_norm(right)).alias("norms")))
     distance = F.transform(
         sums,
-        lambda s: F.when(s["norms"] == 0, F.lit(float("nan"))).otherwise(
+        lambda s: F.when((s["norms"] == 0) | _not_finite(s["norms"]), F.lit(float("nan"))).otherwise(
             F.least(F.greatest(1 - s["dot"] / s["norms"], F.lit(0.0)), F.lit(2.0))
         ),
     )
@@ -66,7 +73,7 @@ def register_functions(spark: SparkSession) -> None:
             array(named_struct(
               'dot', aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x),
               'norms', sqrt(aggregate(a, 0D, (s, x) -> s + x * x)) * sqrt(aggregate(b, 0D, (s, x) -> s + x * x)))),
-            v -> CASE WHEN v.norms = 0 THEN double('NaN') ELSE least(2D, greatest(0D, 1 - v.dot / v.norms)) END), 0)
+            v -> CASE WHEN v.norms = 0 OR isnan(v.norms) OR v.norms = double('Infinity') THEN double('NaN') ELSE least(2D, greatest(0D, 1 - v.dot / v.norms)) END), 0)
         END
         """
     )

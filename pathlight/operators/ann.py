@@ -30,16 +30,15 @@ from .search import (
 DEFAULT_CELLS = 256
 DEFAULT_PROBES = 8
 
-# Vectors per cell that the centres are fitted on. More would cost passes over the whole index without moving them.
-TRAINING_ROWS_PER_CELL = 1024
+# The cell of rows without a direction. Every search looks into it, as they count while a query has too few neighbours.
+NO_DIRECTION = -1
 
 
 @dataclass
 class CellIndex:
     """Index rows with their ``cell``, and the unit centre of every cell.
 
-    Rows without a direction - NULL or zero vectors - belong to no cell and are not found, as in a graph index over
-    cosine distance; :func:`pathlight.operators.search.batch_search` finds them.
+    Rows without a direction - missing, zero or not finite vectors - are in the cell :data:`NO_DIRECTION`.
     """
 
     rows: DataFrame
@@ -53,7 +52,9 @@ class CellIndex:
         """
         spark = self.rows.sparkSession
         sizes = self.rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int").alias("_files"))
-        part = F.pmod(F.xxhash64(self.embedding), F.col("_files"))
+        # Never by the vector: many rows may have the same.
+        others = [name for name in self.rows.columns if name not in (self.embedding, "cell")]
+        part = F.pmod(F.xxhash64(*others), F.col("_files"))
         placed = self.rows.join(F.broadcast(sizes), "cell").withColumn("_part", part)
         (
             placed.repartition("cell", "_part")
@@ -84,25 +85,29 @@ def build_cells(
 ) -> CellIndex:
     """Cluster the directions of the vectors and give every row its nearest cell.
 
-    Centres are fitted on about ``training_rows`` vectors, all of them if there are no more, and only ``cells`` x
-    dimension numbers reach the driver. Every row of the index gets its cell, in one pass without a shuffle.
+    Centres are fitted on all vectors that have a direction; a caller who asks for it gets them fitted on about
+    ``training_rows`` of them. Only ``cells`` x dimension numbers reach the driver. Every row of the index gets a cell, in
+    one pass without a shuffle.
     """
     ship_package(index.sparkSession)
-    usable = index.filter(F.col(embedding).isNotNull() & (l2_norm(embedding) > 0))
-    share = (training_rows or TRAINING_ROWS_PER_CELL * cells) / max(1, usable.count())
-    fitted_on = usable if share >= 1 else usable.sample(share, seed)
+    norm = l2_norm(embedding)
+    fitted_on = index.filter(F.col(embedding).isNotNull() & (norm > 0) & ~F.isnan(norm) & (norm < float("inf")))
+    if training_rows is not None:
+        fitted_on = fitted_on.sample(min(1.0, training_rows / max(1, fitted_on.count())), seed)
     model = KMeans(
         k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="random", featuresCol="vector"
     ).fit(fitted_on.select(array_to_vector(F.col(embedding).cast("array<double>")).alias("vector")))
     centres, _ = unit_rows(np.array(model.clusterCenters()))
-    return CellIndex(usable.withColumn("cell", _nearest_cell(centres)(embedding)), centres, embedding)
+    return CellIndex(index.withColumn("cell", _nearest_cell(centres)(embedding)), centres, embedding)
 
 
 def _nearest_cell(centres: np.ndarray):
     @F.arrow_udf("int")
     def nearest(vectors: pa.Array) -> pa.Array:
-        matrix, _ = vector_matrix(vectors, centres.shape[1])
-        return pa.array((matrix @ centres.T).argmax(axis=1).astype(np.int32))
+        matrix, missing = vector_matrix(vectors, centres.shape[1])
+        units, without = unit_rows(matrix)
+        cell = (units @ centres.T).argmax(axis=1)
+        return pa.array(np.where(without | missing, NO_DIRECTION, cell).astype(np.int32))
 
     return nearest
 
@@ -121,7 +126,7 @@ def ann_search(
     key: str = "file_path",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
-    """``k`` near rows of every query, exact among the rows of its ``probes`` nearest cells.
+    """``k`` near rows of every query, exact among the rows of its ``probes`` nearest cells and those without a direction.
 
     Probing all cells gives the exact answer. Only probed cells are scanned, in place and without a shuffle; a cell that
     holds a large part of the rows is scanned by as many tasks as it has splits. Query sets too large to send to every
@@ -139,6 +144,7 @@ def ann_search(
     if len(block.ids):
         nearest = nearest_cells(block.units, cells.centres, probes)
         probed = {int(cell): np.flatnonzero((nearest == cell).any(axis=1)) for cell in np.unique(nearest)}
+        probed[NO_DIRECTION] = np.arange(len(block.ids))
     rows = cells.rows.filter(F.col("cell").isin(list(probed))).select(key, embedding, "cell")
     return merge_hits(scan_with(rows, QueryBlock(block.ids, block.units, probed), schema, k), k, key)
 
@@ -148,9 +154,10 @@ def _search_by_join(queries, cells, schema, k, probes, query_id, key) -> DataFra
 
     @F.arrow_udf("array<int>")
     def probe(vectors: pa.Array) -> pa.Array:
-        matrix, _ = vector_matrix(vectors, centres.shape[1])
-        nearest = nearest_cells(matrix, centres, probes).astype(np.int32)
-        offsets = np.arange(0, (len(vectors) + 1) * probes, probes, dtype=np.int32)
+        units, _ = unit_rows(vector_matrix(vectors, centres.shape[1])[0])
+        nearest = nearest_cells(units, centres, probes).astype(np.int32)
+        nearest = np.hstack([nearest, np.full((len(nearest), 1), NO_DIRECTION, np.int32)])
+        offsets = np.arange(0, nearest.size + 1, probes + 1, dtype=np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(nearest.ravel()))
 
     placed = queries.select(

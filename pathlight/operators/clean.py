@@ -68,6 +68,7 @@ def _row_rules(dim: int, embedding: str) -> list[tuple[str, Column]]:
         ("path_too_long", F.length(path) > MAX_PATH_LENGTH),
         ("text_missing", text.isNull()),
         ("dimension", bad_vector),
+        ("not_finite", F.exists(vector, lambda value: F.isnan(value) | (F.abs(value) == float("inf")))),
     ]
 
 

@@ -8,6 +8,7 @@ column goes to Python and only vectors come back.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache
 
@@ -127,32 +128,44 @@ class TfIdfEmbedder:
         return tfidf_weights(rows, self.idf, text, out, as_float=True)
 
 
+# Models that this worker process has loaded; a worker outlives its tasks.
+_loaded: dict[str, BatchFunction] = {}
+
+
+def loaded_once(key: str, load: Callable[[], BatchFunction]) -> BatchFunction:
+    if key not in _loaded:
+        _loaded.clear()  # one model at a time: they may be large
+        _loaded[key] = load()
+    return _loaded[key]
+
+
 class BatchEmbedder:
-    """Any model. ``load`` is called once per task and returns the batch function.
+    """Any model. ``load`` is called once per worker process and returns the batch function.
 
     Only the text travels to Python and only the vectors travel back. A NULL text is not sent to the model. A vector
-    that is missing or of the wrong length becomes NULL, for the caller to set aside.
+    that is missing, of the wrong length or not finite becomes NULL, for the caller to set aside.
     """
 
     def __init__(self, load: Callable[[], BatchFunction], dim: int, batch_size: int = 64) -> None:
         self.load = load
         self.dim = dim
         self.batch_size = batch_size
+        self.key = uuid.uuid4().hex
 
     def __call__(self, rows: DataFrame, text: str = "code_text", out: str = "embedding") -> DataFrame:
         ship_package(rows.sparkSession)
-        load, dim, size = self.load, self.dim, self.batch_size
+        load, dim, size, key = self.load, self.dim, self.batch_size, self.key
 
         @F.pandas_udf("array<float>")
         def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encode_batch = load()
+            encode_batch = loaded_once(key, load)
             for texts in batches:
                 vectors = pd.Series([None] * len(texts), dtype=object)
                 asked = np.flatnonzero(texts.notna())
                 for start in range(0, len(asked), size):
                     places = asked[start : start + size]
                     for place, vector in zip(places, encode_batch(texts.iloc[places].tolist()), strict=True):
-                        if vector is not None and len(vector) == dim:
+                        if vector is not None and len(vector) == dim and np.isfinite(vector).all():
                             vectors.iat[place] = np.asarray(vector, dtype=np.float32)
                 yield vectors
 

@@ -22,7 +22,7 @@ INDEX_VIEW = "code_chunks"
 DEFAULT_SQL = """
 SELECT file_path, cosine_distance(embedding, :embedding) AS distance
 FROM code_chunks
-ORDER BY distance ASC NULLS LAST
+ORDER BY distance ASC NULLS LAST, file_path
 LIMIT 10
 """
 
@@ -115,10 +115,16 @@ def vector_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndar
 
 
 def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows scaled to length one, and which rows have no length."""
-    norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
-    zero = norms == 0
-    return matrix / np.where(zero, 1.0, norms)[:, None], zero
+    """Rows scaled to length one, and which rows have no direction: zeros, and rows with NaN or infinite elements.
+
+    The latter become zeros as well, so that no comparison ever meets a NaN.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        norms = np.sqrt(np.einsum("ij,ij->i", matrix, matrix))
+    without = (norms == 0) | ~np.isfinite(norms)
+    units = matrix / np.where(without, 1.0, norms)[:, None]
+    units[without] = 0.0
+    return units, without
 
 
 def _distance(similarity: np.ndarray) -> np.ndarray:

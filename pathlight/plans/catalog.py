@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import operators as op
@@ -346,6 +346,18 @@ def path_like_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files(spark, sf_dir).select("file_path").filter(F.col("file_path").like("%.py"))
 
 
+def odd_vector(nan: int, infinite: int, zero: int = -1, missing: int = -1) -> Column:
+    """The vector, but with a NaN or an infinite first element, all zeros, or NULL for four labels."""
+    label, rest = F.col("label"), F.slice("embedding", 2, 1000)
+    first = lambda value: F.concat(F.array(F.lit(value).cast("float")), rest)
+    return (
+        F.when(label == nan, first(float("nan")))
+        .when(label == infinite, first(float("inf")))
+        .when(label == zero, F.transform("embedding", lambda value: value * 0))
+        .when(label != missing, F.col("embedding"))
+    )
+
+
 def faulty_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vectors as an index in which some labels stand for broken rows."""
     label = F.col("label")
@@ -357,7 +369,7 @@ def faulty_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(path)
         .alias("file_path"),
         F.when(label != 3, F.lit("text")).alias("code_text"),
-        F.when(label == 4, F.slice("embedding", 1, 63)).when(label != 5, F.col("embedding")).alias("embedding"),
+        F.when(label == 4, F.slice("embedding", 1, 63)).when(label != 5, odd_vector(6, 7)).alias("embedding"),
     )
 
 
@@ -370,6 +382,7 @@ UNION ALL SELECT 'path_missing', NULL, count(*) FROM i WHERE label = 2 HAVING co
 UNION ALL SELECT 'path_too_long', repeat('x', 255) || path, 1 FROM i WHERE label = 1
 UNION ALL SELECT 'text_missing', path, 1 FROM i WHERE label = 3
 UNION ALL SELECT 'dimension', path, 1 FROM i WHERE label = 4
+UNION ALL SELECT 'not_finite', path, 1 FROM i WHERE label IN (6, 7)
 """,
 )
 def validate_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -379,7 +392,7 @@ def validate_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "quarantine",
     """SELECT CASE label WHEN 0 THEN 'same' WHEN 1 THEN repeat('x', 255) || 'vec/' || vec_id
-  WHEN 2 THEN NULL ELSE 'vec/' || vec_id END AS file_path, label NOT IN (1, 2, 3, 4) AS accepted FROM embeddings""",
+  WHEN 2 THEN NULL ELSE 'vec/' || vec_id END AS file_path, label NOT IN (1, 2, 3, 4, 6, 7) AS accepted FROM embeddings""",
 )
 def quarantine_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     good, bad = op.quarantine(faulty_index(spark, sf_dir), 64)
@@ -557,11 +570,25 @@ _FIRST = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
 _TO_FIRST = f"SELECT vec_id, label, {_DISTANCE.format('embedding', _FIRST)} AS d FROM embeddings"
 
 
-@query("cosine_distance", f"SELECT vec_id, round(d, 6) AS distance FROM ({_TO_FIRST})")
+# Labels that stand for vectors without a direction (NaN, infinite, zero) and for missing ones; written as -1 and NULL.
+_ODD = {"nan": 1, "infinite": 2, "zero": 3, "missing": 4}
+_ODD_TO_FIRST = f"""SELECT vec_id, CASE WHEN label = 4 THEN NULL WHEN label IN (1, 2, 3) THEN 'nan'::DOUBLE ELSE d END AS d
+  FROM ({_TO_FIRST})"""
+
+
+def odd_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select("vec_id", odd_vector(**_ODD).alias("embedding"))
+
+
+def _shown(distance: Column | str) -> Column:
+    return F.round(F.nanvl(distance, F.lit(-1.0)), 6).alias("distance")
+
+
+@query("cosine_distance", f"SELECT vec_id, CASE WHEN isnan(d) THEN -1 ELSE round(d, 6) END AS distance FROM ({_ODD_TO_FIRST})")
 def cosine_distance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    embeddings = table(spark, sf_dir, "embeddings")
-    distance = cosine_distance("embedding", vector_literal(first_vector(embeddings)))
-    return embeddings.select("vec_id", F.round(distance, 6).alias("distance"))
+    first = vector_literal(first_vector(table(spark, sf_dir, "embeddings")))
+    rows = odd_index(spark, sf_dir)
+    return rows.select("vec_id", _shown(cosine_distance("embedding", first)))
 
 
 @query(
@@ -586,30 +613,35 @@ def ranked_hits_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select(F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("distance", 4).alias("distance"), "line")
 
 
-_BATCH = f"""SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9), vec_id) AS rank
-  FROM (SELECT q.vec_id AS query_id, e.vec_id, {_DISTANCE.format('e.embedding', 'q.embedding')} AS d
-    FROM embeddings q, embeddings e)) WHERE rank <= 10"""
+_PAIRS = f"""SELECT q.vec_id AS query_id, e.vec_id, CASE WHEN e.label = 4 THEN NULL
+    WHEN q.label IN (1, 2, 3) OR e.label IN (1, 2, 3) THEN 'nan'::DOUBLE
+    ELSE {_DISTANCE.format('e.embedding', 'q.embedding')} END AS d
+  FROM embeddings q, embeddings e WHERE q.label <> 4"""
+_RANKED = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9) NULLS LAST, vec_id) AS rank
+  FROM ({_PAIRS}) QUALIFY rank <= 10"""
+_BATCH = f"""SELECT query_id, rank, vec_id, CASE WHEN isnan(d) THEN -1 ELSE round(d, 6) END AS distance FROM ({_RANKED})"""
 
 
 def _rounded(hits: DataFrame, key: str = "vec_id") -> DataFrame:
-    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), key, F.round("distance", 6).alias("distance"))
+    return hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), key, _shown("distance"))
+
+
+def odd_queries(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 @query("batch_search", _BATCH)
 def batch_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of every vector among all vectors."""
-    embeddings = table(spark, sf_dir, "embeddings")
-    queries = embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
-    return _rounded(op.batch_search(queries, embeddings, key="vec_id"))
+    """Neighbours of every vector among all vectors, some of which have no direction or are missing."""
+    rows = odd_index(spark, sf_dir)
+    return _rounded(op.batch_search(odd_queries(rows), rows, key="vec_id"))
 
 
 @query("batch_search_blocks", _BATCH)
 def batch_search_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same by the way taken for query sets too large to send to every task."""
-    embeddings = table(spark, sf_dir, "embeddings")
-    queries = embeddings.select(F.col("vec_id").alias("query_id"), "embedding")
-    return _rounded(op.batch_search(queries, embeddings, key="vec_id", max_broadcast_bytes=0))
+    rows = odd_index(spark, sf_dir)
+    return _rounded(op.batch_search(odd_queries(rows), rows, key="vec_id", max_broadcast_bytes=0))
 
 
 @query(
@@ -655,7 +687,7 @@ def sql_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "default_search",
-    f"""SELECT 'vec/' || vec_id AS file_path, round(d, 6) AS distance FROM ({_TO_FIRST}) ORDER BY round(d, 9) LIMIT 10""",
+    f"""SELECT 'vec/' || vec_id AS file_path, round(d, 6) AS distance FROM ({_TO_FIRST}) ORDER BY round(d, 9), file_path LIMIT 10""",
 )
 def default_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The SQL that a search runs when none is given: projection, order by distance, limit."""
@@ -669,22 +701,45 @@ def index_count_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> CellIndex:
-    return op.build_cells(table(spark, sf_dir, "embeddings"), cells=16, iterations=5)
+    """The vectors in 16 cells, written and read back."""
+    path = scratch_dir(spark)
+    op.build_cells(odd_index(spark, sf_dir), cells=16, iterations=5).write(path, rows_per_file=200)
+    return CellIndex.read(spark, path)
 
 
-@query("ann_search")
+@query(
+    "ann_search",
+    """SELECT vec_id AS query_id, 10::BIGINT AS hits, 10::BIGINT AS right_distances, true AS in_order, true AS found_nine_of_ten
+FROM embeddings WHERE label <> 4""",
+)
 def ann_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = cells(spark, sf_dir)
-    queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return _rounded(op.ann_search(queries, built, probes=6, key="vec_id"))
+    """Every query has its ten hits, with their exact distances, in order; of all true neighbours nine in ten are found."""
+    rows = odd_index(spark, sf_dir)
+    queries = odd_queries(rows)
+    hits = op.ann_search(queries, cells(spark, sf_dir), probes=13, key="vec_id")
+    vectors = [rows.select(F.col("vec_id").alias(name), F.col("embedding").alias(f"{name}_vector")) for name in ("query_id", "vec_id")]
+    exact = op.batch_search(queries, rows, key="vec_id").select("query_id", "vec_id", F.lit(1).alias("true_hit"))
+    before = F.lag(F.nanvl("distance", F.lit(3.0))).over(Window.partitionBy("query_id").orderBy("rank"))
+    measured = (
+        hits.join(vectors[0], "query_id").join(vectors[1], "vec_id").join(exact, ["query_id", "vec_id"], "left")
+        .withColumn("right", _shown("distance").eqNullSafe(_shown(cosine_distance("vec_id_vector", "query_id_vector"))))
+        .withColumn("later", F.coalesce(F.nanvl("distance", F.lit(3.0)) >= before - 1e-9, F.lit(True)))
+        .groupBy("query_id")
+        .agg(
+            F.count("*").alias("hits"),
+            F.count_if("right").alias("right_distances"),
+            F.bool_and("later").alias("in_order"),
+            F.count("true_hit").alias("true_hits"),
+        )
+    )
+    found = F.sum("true_hits").over(Window.partitionBy()) >= 0.9 * F.sum("hits").over(Window.partitionBy())
+    return measured.withColumn("found_nine_of_ten", found).drop("true_hits")
 
 
 @query("ann_search_all_cells", _BATCH)
 def ann_search_all_cells_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probing every cell must give the exact answer."""
-    built = cells(spark, sf_dir)
-    queries = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return _rounded(op.ann_search(queries, built, probes=16, key="vec_id"))
+    return _rounded(op.ann_search(odd_queries(odd_index(spark, sf_dir)), cells(spark, sf_dir), probes=16, key="vec_id"))
 
 
 # --- the index at rest ----------------------------------------------------------------------------------------------

@@ -104,3 +104,22 @@ def test_model_that_loses_rows_is_an_error(spark):
     rows = spark.createDataFrame([("a",), ("b",)], "code_text string").coalesce(1)
     with pytest.raises(Exception, match="zip"):
         BatchEmbedder(lambda: lambda texts: [[1.0]], 1)(rows).collect()
+
+
+def test_a_model_is_loaded_once_per_worker(spark, tmp_path):
+    """Many tasks share the workers, and a worker loads a model once."""
+    loads = tmp_path / "loads"
+    loads.mkdir()
+
+    def load():
+        import os
+        import uuid
+
+        open(os.path.join(str(loads), f"{os.getpid()}-{uuid.uuid4().hex}"), "w").close()
+        return lambda texts: [[1.0, float("nan") if "bad" in text else 2.0] for text in texts]
+
+    rows = spark.createDataFrame([(f"t{n}" if n else "bad",) for n in range(64)], "code_text string").repartition(32)
+    embedded = BatchEmbedder(load, 2)(rows)
+    assert embedded.filter("embedding IS NULL").count() == 1
+    workers = [path.name.split("-")[0] for path in loads.iterdir()]
+    assert len(workers) == len(set(workers)) <= 8

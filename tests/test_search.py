@@ -35,7 +35,7 @@ def brute_force(queries, rows, k):
                 continue
             a, b = np.array(q, np.float64), np.array(v, np.float64)
             norm = np.sqrt((a * a).sum()) * np.sqrt((b * b).sum())
-            if norm == 0:
+            if norm == 0 or not np.isfinite(norm):
                 hits.append(((1, 0.0), path, math.nan))
             else:
                 d = min(max(1 - (a * b).sum() / norm, 0.0), 2.0)
@@ -68,6 +68,7 @@ def vectors():
     rows = [(f"r{i:03}", rng.normal(size=8).astype(np.float32).tolist()) for i in range(300)]
     rows += [(f"copy{i:03}", rows[5][1]) for i in range(150)]
     rows += [("zero1", [0.0] * 8), ("zero2", [0.0] * 8), ("none1", None), ("opposite", [-x for x in rows[5][1]])]
+    rows += [("nan", [math.nan, *rows[5][1][1:]]), ("inf", [*rows[6][1][:7], -math.inf]), ("all nan", [math.nan] * 8)]
     return rows
 
 
@@ -78,7 +79,7 @@ def index(spark, vectors):
 
 @pytest.fixture(scope="module")
 def queries(vectors):
-    return [(i, vectors[i][1]) for i in range(40)] + [(99, [0.0] * 8)]
+    return [(i, vectors[i][1]) for i in range(40)] + [(99, [0.0] * 8), (98, [math.nan, *[1.0] * 7])]
 
 
 def query_frame(spark, queries):
@@ -88,13 +89,14 @@ def query_frame(spark, queries):
 def test_cosine_distance_edge_cases(spark):
     rows = [
         ([1.0, 0.0], [0.0, 1.0]), ([1.0, 1.0], [2.0, 2.0]), ([1.0, 0.0], [-3.0, 0.0]), ([0.0, 0.0], [1.0, 0.0]),
-        (None, [1.0, 0.0]), ([1.0, 0.0], None),
+        (None, [1.0, 0.0]), ([1.0, 0.0], None), ([math.nan, 1.0], [1.0, 0.0]), ([1.0, 0.0], [math.inf, 0.0]),
     ]
     frame = spark.createDataFrame(rows, "a array<double>, b array<double>").coalesce(1)
     register_functions(spark)
     for column in (cosine_distance("a", "b"), F.expr("cosine_distance(a, b)")):
         out = [row[0] for row in frame.select(column).collect()]
-        assert out[0] == 1.0 and abs(out[1]) < 1e-12 and out[2] == 2.0 and math.isnan(out[3]) and out[4:] == [None, None]
+        assert out[0] == 1.0 and abs(out[1]) < 1e-12 and out[2] == 2.0 and math.isnan(out[3]) and out[4:6] == [None, None]
+        assert math.isnan(out[6]) and math.isnan(out[7])
     wrong = spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     for column in (cosine_distance("a", "b"), F.expr("cosine_distance(a, b)")):
         with pytest.raises(Exception, match="different vector dimensions 1 and 2"):
@@ -172,24 +174,62 @@ def test_wrong_query_length_is_an_error(spark, index):
         top_k_search(index, [1.0, 2.0], 3).collect()
 
 
-def with_direction(vectors):
-    return [(path, v) for path, v in vectors if v is not None and any(v)]
+@pytest.mark.parametrize("k", [1, 5, 1000])
+def test_every_way_gives_as_many_hits_as_there_are(spark, index, vectors, k):
+    asked = query_frame(spark, [(1, vectors[5][1])])
+    wanted = min(k, len(vectors))
+    cells = build_cells(index, cells=4)
+    assert top_k_search(index, vectors[5][1], k).count() == wanted
+    assert batch_search(asked, index, k).count() == wanted
+    assert batch_search(asked, index, k, max_broadcast_bytes=0).count() == wanted
+    assert ann_search(asked, cells, k, probes=4).count() == wanted
+    assert ann_search(asked, cells, k, probes=4, max_broadcast_bytes=0).count() == wanted
+
+
+def test_a_row_without_a_number_takes_nothing_from_the_others(spark):
+    rows = [(f"r{n:02}", [float(n), 1.0]) for n in range(18)] + [("x", [math.nan, 1.0]), ("y", [1.0, math.inf])]
+    frame = spark.createDataFrame(rows, INDEX).coalesce(1)
+    for k in (1, 2, 5, 19):
+        assert [r["file_path"] for r in top_k_search(frame, [17.0, 1.0], k).collect()][:18] == [f"r{n:02}" for n in range(17, -1, -1)][:k]
 
 
 def test_ann_with_all_cells_is_exact(spark, index, vectors, queries):
     cells = build_cells(index, cells=6)
-    usable = with_direction(vectors)
-    assert cells.rows.count() == len(usable)
-    found = ann_search(query_frame(spark, queries), cells, 10, probes=6)
-    assert_hits(found, brute_force(queries, usable, 10))
+    assert cells.rows.count() == len(vectors)
+    for k in (10, len(vectors)):
+        found = ann_search(query_frame(spark, queries), cells, k, probes=6)
+        assert_hits(found, brute_force(queries, vectors, k))
     joined = ann_search(query_frame(spark, queries), cells, 10, probes=6, max_broadcast_bytes=64)
-    assert_hits(joined, brute_force(queries, usable, 10))
+    assert_hits(joined, brute_force(queries, vectors, 10))
+
+
+def test_centres_are_fitted_on_all_rows_unless_told_otherwise(spark, index, vectors, monkeypatch):
+    from pathlight.operators import ann
+
+    fitted = []
+    real = ann.KMeans.fit
+    monkeypatch.setattr(ann.KMeans, "fit", lambda self, rows: fitted.append(rows.count()) or real(self, rows))
+    build_cells(index, cells=2)
+    build_cells(index, cells=2, training_rows=100)
+    assert fitted[0] == len(vectors) - 6 and fitted[1] < 200
+
+
+def test_copies_of_one_vector_are_spread_over_files(spark, tmp_path):
+    frame = spark.createDataFrame([(f"r{n}", [1.0, 2.0]) for n in range(400)], INDEX)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        build_cells(frame, cells=2).write(str(tmp_path / "cells"), rows_per_file=50)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = spark.read.parquet(str(tmp_path / "cells" / "rows")).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in sizes) == 400 and max(r["count"] for r in sizes) <= 50
+    assert len({r[0].rpartition("/")[2].split("-")[1] for r in sizes}) > 1
 
 
 def test_ann_with_few_cells(spark, index, vectors, queries, tmp_path):
     cells = build_cells(index, cells=8)
     asked = query_frame(spark, queries)
-    exact = {(q, path) for q, hits in brute_force(queries[:40], with_direction(vectors), 5).items() for path, _ in hits}
+    exact = {(q, path) for q, hits in brute_force(queries[:40], vectors, 5).items() for path, _ in hits}
     found = {(r["query_id"], r["file_path"]) for r in ann_search(asked, cells, 5, probes=4).collect()}
     assert len(exact & found) / len(exact) > 0.6
     by_join = ann_search(asked, cells, 5, probes=4, max_broadcast_bytes=64)
@@ -199,7 +239,7 @@ def test_ann_with_few_cells(spark, index, vectors, queries, tmp_path):
     assert {(r["query_id"], r["file_path"]) for r in again.collect()} == found
     one = ann_search(asked.filter("query_id = 3"), CellIndex.read(spark, str(tmp_path / "cells")), 5, probes=1)
     plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(cell" in plan and one.count() == 5
+    assert "PartitionFilters: [cell" in plan and one.count() == 5
 
 
 def test_split_queries(spark):
