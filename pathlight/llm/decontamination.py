@@ -19,7 +19,6 @@ ONE_IN = 20
 
 # Fixed value: what stands between words - ASCII other than letters and digits (A-Z count as letters before lower-casing).
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 # What is sent to every task at once. Larger benchmarks are met in several rounds, each of them a scan of the documents.
 BROADCAST_BYTES = 16 << 20
@@ -158,7 +157,7 @@ def contamination(
     counted = docs.select(
         row_key(doc_id, F.col(text)).alias("key"),
         F.col(doc_id).alias("doc_id"),
-        F.coalesce(F.regexp_count(F.col(text), F.lit(_WORDS)), F.lit(0)).cast("bigint").alias("n_words"),
+        F.size(words_of(F.col(text))).cast("bigint").alias("n_words"),
     )
     none = F.array().cast("array<string>")
     return (
