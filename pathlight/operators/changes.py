@@ -1,8 +1,8 @@
 """Change sets and how they are applied to an index table.
 
 The index may be huge and a change set small, so the index only ever meets the keys of the changes, in a left-anti or
-left-semi join. Keys that have been counted to be few are broadcast, and the index stays where it is; more keys than
-that are joined by a shuffle.
+left-semi join, and its texts and vectors are never moved for the sake of ids. All of it is lazy: whether keys are
+broadcast or shuffled is up to the planner, which knows their size when the query runs.
 """
 
 from __future__ import annotations
@@ -10,18 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ids are dense within an index: rows are ranked inside this many hash groups and the groups laid end to end.
-ID_GROUPS = 4096
-
-# Keys up to this number are sent to every task (a path has at most 255 characters).
-BROADCAST_KEYS = 200_000
-
-
-def key_set(rows: DataFrame, key: str = "file_path", count: int | None = None) -> DataFrame:
-    """The keys of some rows, marked for broadcast if there are few. Counts them unless ``count`` is known."""
-    keys = rows.select(key)
-    few = (keys.count() if count is None else count) <= BROADCAST_KEYS
-    return F.broadcast(keys) if few else keys
+# Ids are dense within an index: keys are ranked inside this many hash groups and the groups laid end to end. So many
+# groups hold 100 million keys each at 6.5e12 keys; the table of their starts has that many short rows.
+ID_GROUPS = 65536
 
 
 def union_changes(added: DataFrame, modified: DataFrame) -> DataFrame:
@@ -56,9 +47,15 @@ def snapshot_diff(
     before: DataFrame, after: DataFrame, path: str = "file_path", content: str = "content"
 ) -> DataFrame:
     """``(change, file_path)`` between two file tables. Only paths and hashes are shuffled, never contents."""
+    hashed = F.sha2(content, 256).alias("digest")
+    return digest_diff(before.select(path, hashed), after.select(path, hashed), path)
+
+
+def digest_diff(before: DataFrame, after: DataFrame, path: str = "file_path") -> DataFrame:
+    """``(change, file_path)`` between two tables of paths with a ``digest``."""
     # Contents which could not be read are NULL, so that a file exists is told by a flag and not by its hash.
-    old = before.select(path, F.lit(True).alias("was"), F.sha2(content, 256).alias("old_hash"))
-    new = after.select(path, F.lit(True).alias("is"), F.sha2(content, 256).alias("new_hash"))
+    old = before.select(path, F.lit(True).alias("was"), F.col("digest").alias("old_hash"))
+    new = after.select(path, F.lit(True).alias("is"), F.col("digest").alias("new_hash"))
     change = (
         F.when(F.col("was").isNull(), F.lit("A"))
         .when(F.col("is").isNull(), F.lit("D"))
@@ -85,27 +82,25 @@ def dedupe_last_wins(rows: DataFrame, order: list[str], key: str = "file_path")
     return rows.withColumn("_rank", F.row_number().over(latest)).filter("_rank = 1").drop("_rank")
 
 
-def delete_by_key(index: DataFrame, keys: DataFrame, key: str = "file_path", count: int | None = None) -> DataFrame:
+def delete_by_key(index: DataFrame, keys: DataFrame, key: str = "file_path") -> DataFrame:
     """Remove the rows whose key is listed; unknown keys are ignored."""
-    return index.join(key_set(keys, key, count), key, "left_anti").select(*index.columns)
+    return index.join(keys.select(key), key, "left_anti").select(*index.columns)
 
 
-def keep_by_key(rows: DataFrame, keys: DataFrame, key: str = "file_path", count: int | None = None) -> DataFrame:
+def keep_by_key(rows: DataFrame, keys: DataFrame, key: str = "file_path") -> DataFrame:
     """Only the rows whose key is listed."""
-    return rows.join(key_set(keys, key, count), key, "left_semi").select(*rows.columns)
+    return rows.join(keys.select(key), key, "left_semi").select(*rows.columns)
 
 
-def assign_ids(rows: DataFrame, last_id: int = 0, key: str = "file_path", groups: int = ID_GROUPS) -> DataFrame:
-    """Fill ``id`` where it is NULL with numbers after ``last_id``; ids already present stay.
+def number_keys(keys: DataFrame, last_id: int = 0, key: str = "file_path", groups: int = ID_GROUPS) -> DataFrame:
+    """``(key, id)`` rows with ``id`` filled where it is NULL, by numbers after ``last_id``; other ids stay.
 
     The numbers depend on the keys alone - not on partitioning or task order - so a recomputed partition gets the same
-    ones. Rows are ranked within hash groups of the (unique) key, which no hot key can fill up, and each group starts
-    where the one before it ends. The table of starts has at most ``groups`` rows.
+    ones. Keys are ranked within hash groups of the (unique) key, which no hot key can fill up, and each group starts
+    where the one before it ends.
     """
-    if "id" not in rows.columns:
-        rows = rows.withColumn("id", F.lit(None).cast("bigint"))
     group = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("bigint") % groups).cast("int")
-    grouped = rows.withColumn("_group", group).withColumn("_new", F.col("id").isNull())
+    grouped = keys.select(key, "id", group.alias("_group"), F.col("id").isNull().alias("_new"))
     up_to_here = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         grouped.filter("_new")
@@ -117,28 +112,43 @@ def assign_ids(rows: DataFrame, last_id: int = 0, key: str = "file_path", groups
     return (
         grouped.withColumn("_position", position)
         .join(F.broadcast(starts), "_group", "left")
-        .withColumn("id", F.coalesce("id", F.lit(last_id) + F.col("_start") + F.col("_position")))
-        .select(*rows.columns)
+        .select(key, F.coalesce("id", F.lit(last_id) + F.col("_start") + F.col("_position")).alias("id"))
     )
 
 
-def keep_ids(index: DataFrame, upserts: DataFrame, key: str = "file_path", count: int | None = None) -> DataFrame:
+def assign_ids(rows: DataFrame, last_id: int = 0, key: str = "file_path", groups: int = ID_GROUPS) -> DataFrame:
+    """Fill ``id`` where it is NULL with numbers after ``last_id``; ids already present stay.
+
+    Only keys are ranked (:func:`number_keys`); the other columns are joined to their ids. Keys must be unique.
+    """
+    if "id" not in rows.columns:
+        numbered = number_keys(rows.select(key, F.lit(None).cast("bigint").alias("id")), last_id, key, groups)
+        return (numbered if rows.columns == [key] else rows.join(numbered, key)).select(*rows.columns, "id")
+    numbered = number_keys(rows.select(key, "id"), last_id, key, groups)
+    if set(rows.columns) == {key, "id"}:
+        return numbered.select(*rows.columns)
+    return rows.drop("id").join(numbered, key).select(*rows.columns)
+
+
+def keep_ids(index: DataFrame, upserts: DataFrame, key: str = "file_path") -> DataFrame:
     """Upserts with the ``id`` of the row they replace, NULL for a new key. Reads only keys and ids of the index."""
-    known = keep_by_key(index.select(key, "id"), upserts, key, count)
-    return upserts.drop("id").join(known, key, "left")
+    return upserts.drop("id").join(index.select(key, "id"), key, "left")
 
 
-def upsert(
-    index: DataFrame, upserts: DataFrame, last_id: int | None = None, key: str = "file_path", count: int | None = None
-) -> DataFrame:
-    """Insert rows, replacing everything but the ``id`` where the key exists. ``upserts`` has one row per key."""
-    if count is None:
-        count = upserts.count()
-    rows = keep_ids(index, upserts, key, count)
+def last_id_of(index: DataFrame) -> int:
+    return index.agg(F.max("id")).first()[0] or 0
+
+
+def upsert(index: DataFrame, upserts: DataFrame, last_id: int | None = None, key: str = "file_path") -> DataFrame:
+    """Insert rows, replacing everything but the ``id`` where the key exists. ``upserts`` has one row per key.
+
+    Runs no job but ``max(id)``, and none at all when ``last_id`` is given.
+    """
     if last_id is None:
-        last_id = index.agg(F.max("id")).first()[0] or 0
-    rows = assign_ids(rows, last_id, key)
-    return delete_by_key(index, upserts, key, count).unionByName(rows.select(*index.columns))
+        last_id = last_id_of(index)
+    numbered = number_keys(keep_ids(index, upserts.select(key), key), last_id, key)
+    rows = upserts.drop("id").join(numbered, key)
+    return delete_by_key(index, upserts, key).unionByName(rows.select(*index.columns))
 
 
 def apply_changes(
@@ -153,11 +163,17 @@ def apply_changes(
 
     ``order`` names the columns that tell which of several writes to one key is the last.
     """
+    if last_id is None:
+        last_id = last_id_of(index)
+    keys = upserts.select(key).distinct()
     if order:
         upserts = dedupe_last_wins(upserts, order, key).drop(*[name for name in order if name not in index.columns])
-    if last_id is None:
-        last_id = index.agg(F.max("id")).first()[0] or 0
-    return upsert(delete_by_key(index, deletes, key), upserts, last_id, key)
+    # A path that is deleted and written again is a new row; one that is written only keeps its id.
+    known = delete_by_key(index.select(key, "id"), deletes, key)
+    numbered = number_keys(keys.join(known, key, "left"), last_id, key)
+    rows = upserts.drop("id").join(numbered, key)
+    gone = deletes.select(key).unionByName(keys)
+    return delete_by_key(index, gone, key).unionByName(rows.select(*index.columns))
 
 
 def apply_summary(upserts: DataFrame, deletes: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ _CODE = f"CASE WHEN regexp_matches(file_path, '[.](py|cpp|hpp)$') THEN {_TRIM.fo
 
 
 def _group(path: str) -> str:
-    return f"('0x' || substr(md5({path}), 1, 8))::BIGINT % 4096"
+    return f"('0x' || substr(md5({path}), 1, 8))::BIGINT % 65536"
 
 
 _DISTANCE = "least(greatest(list_cosine_distance({}::DOUBLE[], {}::DOUBLE[]), 0), 2)"
@@ -781,11 +781,18 @@ def publish_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "index_state",
     """SELECT 1::BIGINT AS version, true AS "full", 'first' AS source_version, count(*) AS upserted, 0::BIGINT AS deleted,
-  0::BIGINT AS rejected FROM embeddings
-UNION ALL SELECT 2, false, 'second', count(*) FILTER (label IN (1, 3)), count(*) FILTER (label IN (1, 2)), 0 FROM embeddings""",
+  0::BIGINT AS requests, 0::BIGINT AS rejected, true AS timed FROM embeddings
+UNION ALL SELECT 2, false, 'second', count(*) FILTER (label IN (1, 3)), count(*) FILTER (label IN (1, 2)),
+  count(*) FILTER (label IN (1, 2)), 0, true FROM embeddings
+UNION ALL SELECT 3, false, 'second', 0, count(*) FILTER (label = 5), 0, 0, true FROM embeddings""",
 )
 def index_state_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_store(spark, sf_dir).index_state().drop("stream", "batch_id", "last_id", "indexed_at")
+    """Three versions; in the last the texts of one label have become blank, which removes them without a request."""
+    store = vector_store(spark, sf_dir)
+    blanked = vector_index(spark, sf_dir).filter("code_text = 'label 5'")
+    store.publish_index(blanked, finish=lambda rows: rows.withColumn("deleted", F.lit(True)))
+    counts = ["version", "full", "source_version", "upserted", "deleted", "requests", "rejected"]
+    return store.index_state().select(*counts, F.col("indexed_at").isNotNull().alias("timed"))
 
 
 @query(
@@ -810,6 +817,28 @@ def full_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(store.read())
 
 
+_LATER_INDEX = f"""WITH {_LATER} SELECT file_path, md5({_CODE}) AS digest, {DIM} AS dim
+FROM later WHERE {_KEPT} AND {_TRIM.format('content')} <> ''"""
+
+
+@query("full_index_again", _LATER_INDEX)
+def full_index_again_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two full runs on two states of the corpus: files that have vanished are gone, all vectors are of the second model."""
+    store = new_store(spark)
+    full_index(store, files(spark, sf_dir), RULES, source_version="v1")
+    full_index(store, later_files(spark, sf_dir), RULES, source_version="v2")
+    return digest(store.read())
+
+
+@query("incremental_by_digest", _LATER_INDEX)
+def incremental_by_digest_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later run that finds what has changed by the digests in the index alone."""
+    store = new_store(spark)
+    full_index(store, files(spark, sf_dir), RULES, source_version="v1")
+    incremental_index(store, op.ignore_filter(later_files(spark, sf_dir), RULES), base="v1", source_version="v2")
+    return digest(store.read(source_version="v2"))
+
+
 @query(
     "incremental_index",
     f"""WITH {_LATER} SELECT file_path, md5({_CODE}) AS digest, {DIM} AS dim
@@ -850,9 +879,12 @@ def add_delete_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE event_type <> 'error'""",
 )
 def stream_changes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events as a stream of changes to one file per user."""
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    """The events as a stream of changes to one file per user, in four micro-batches each of which has late events."""
+    given, root = table(spark, sf_dir, "events"), scratch_dir(spark)
+    for part in range(4):
+        given.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == part).coalesce(1).write.parquet(f"{root}/part={part}")
+    reader = spark.readStream.schema(given.schema).option("maxFilesPerTrigger", 1)
+    events = reader.option("recursiveFileLookup", "true").parquet(root)
     change = F.create_map(*[F.lit(v) for v in ("signup", "A", "view", "M", "error", "D")])
     changes = events.select(
         F.try_element_at(change, F.col("event_type")).alias("change"),

@@ -12,11 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import LANGUAGES, is_blank, language_of, strip_header
-from ..operators.changes import keep_by_key, route_changes, snapshot_diff
+from ..operators.changes import digest_diff, keep_by_key, route_changes, snapshot_diff
 from ..operators.clean import ignore_filter
 from ..operators.embed import Embedder, TfIdfEmbedder, fit_idf
 from ..sources.corpus import paths_frame
-from ..sources.store import IndexStore, State
+from ..sources.store import IndexStore, State, text_digest
 
 Rules = Iterable[str] | DataFrame
 Paths = str | list[str] | DataFrame
@@ -44,7 +44,8 @@ def finisher(embedder: Embedder, languages: Mapping[str, str]) -> Callable[[Data
     """Last steps from a file to an index row, for :meth:`IndexStore.publish_index`."""
 
     def finish(files: DataFrame) -> DataFrame:
-        rows = embedder(prepare(files.select("id", "file_path", "content"), languages))
+        rest = [name for name in ("seq",) if name in files.columns]
+        rows = embedder(prepare(files.select("id", "file_path", "content", *rest), languages))
         return rows.withColumn("unembedded", F.col("code_text").isNotNull() & F.col("embedding").isNull())
 
     return finish
@@ -55,9 +56,10 @@ def stored_embedder(store: IndexStore) -> TfIdfEmbedder:
     return TfIdfEmbedder(store.read_model())
 
 
-def fit_stored_embedder(store: IndexStore, texts: DataFrame) -> TfIdfEmbedder:
-    store.write_model(fit_idf(texts, store.dim))
-    return stored_embedder(store)
+def fit_model(store: IndexStore, texts: DataFrame) -> tuple[TfIdfEmbedder, int]:
+    """A new embedder and the number of its model, which comes into force with the version published with it."""
+    number = store.write_model(fit_idf(texts, store.dim))
+    return TfIdfEmbedder(store.read_model(number)), number
 
 
 def full_index(
@@ -68,11 +70,18 @@ def full_index(
     source_version: str | None = None,
     languages: Mapping[str, str] = LANGUAGES,
 ) -> State:
-    """First run: index every file that is not ignored and not blank. Without an embedder one is fitted and stored."""
-    kept = ignore_filter(files, rules)
+    """Index every file that is not ignored and not blank, as a full version: what was in the index before is gone.
+
+    Without an embedder one is fitted, and its model is stored and committed with the version. Files that were indexed
+    before keep their id.
+    """
+    kept, model = ignore_filter(files, rules), None
     if embedder is None:
-        embedder = fit_stored_embedder(store, texts_of(kept, languages))
-    return store.publish_index(kept, source_version=source_version, finish=finisher(embedder, languages))
+        embedder, model = fit_model(store, texts_of(kept, languages))
+    finish = finisher(embedder, languages)
+    return store.publish_index(
+        kept, source_version=source_version, finish=finish, keys=kept.select("file_path"), full=True, model=model
+    )
 
 
 def full_changes(files: DataFrame, rules: Rules = ()) -> DataFrame:
@@ -80,9 +89,14 @@ def full_changes(files: DataFrame, rules: Rules = ()) -> DataFrame:
     return ignore_filter(files.select(F.lit("A").alias("change"), "file_path"), rules)
 
 
-def index_diff(index: DataFrame, files: DataFrame, languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
-    """Changes between the index itself and a file table, by hash of the text that would be indexed."""
-    return snapshot_diff(index, texts_of(files, languages), content="code_text")
+def index_diff(digests: DataFrame, files: DataFrame, languages: Mapping[str, str] = LANGUAGES) -> DataFrame:
+    """Changes between the index and a file table, by digest of the text that would be indexed.
+
+    ``digests`` are those of :meth:`IndexStore.digests`, so that no text of the index is read. A file that could not be
+    read counts as modified: it is set aside when published, and the row it has stays.
+    """
+    there = prepare(files.select("file_path", "content"), languages).filter(~F.col("deleted"))
+    return digest_diff(digests, there.select("file_path", text_digest().alias("digest")))
 
 
 def incremental_index(
@@ -90,6 +104,7 @@ def incremental_index(
     files: DataFrame,
     changes: DataFrame | None = None,
     previous: DataFrame | None = None,
+    base: str | None = None,
     rules: Rules = (),
     embedder: Embedder | None = None,
     source_version: str | None = None,
@@ -98,18 +113,24 @@ def incremental_index(
     """Later run: embed what was added or modified, remove what was deleted, record the version, in one commit.
 
     Changes are taken from ``changes`` (raw ``status`` or routed ``change`` rows), else from the difference to the
-    ``previous`` file table, else from the difference to the index. A file which has become blank is removed.
+    ``previous`` file table, else from the difference to the index - as it is, or as it was when ``base`` was recorded as
+    its version (an unknown one is an error). A file which has become blank is removed; one that could not be read is set
+    aside, and its old row stays.
     """
-    if changes is None:
-        changes = index_diff(store.read(), files, languages) if previous is None else snapshot_diff(previous, files)
+    if changes is None and previous is not None:
+        changes = snapshot_diff(previous, files)
+    elif changes is None:
+        digests = store.digests(None if base is None else store.version_of(base))
+        changes = index_diff(digests, files, languages)
     elif "change" not in changes.columns:
         changes = route_changes(changes)
     embedder = embedder or stored_embedder(store)
     # A short table of paths, needed several times and possibly the result of comparing two corpora.
     changes = store.stage(ignore_filter(changes.select("change", "file_path"), rules), "changes")
-    written = keep_by_key(files, changes.filter(F.col("change").isin("A", "M")))
+    paths = changes.filter(F.col("change").isin("A", "M"))
     removed = changes.filter(F.col("change") == "D")
-    return store.publish_index(written, removed, source_version, finish=finisher(embedder, languages))
+    finish = finisher(embedder, languages)
+    return store.publish_index(keep_by_key(files, paths), removed, source_version, finish=finish, keys=paths)
 
 
 def add_delete_index(
@@ -120,15 +141,22 @@ def add_delete_index(
     embedder: Embedder | None = None,
     languages: Mapping[str, str] = LANGUAGES,
 ) -> State:
-    """Explicit lists. Ignore rules do not apply and the recorded source version stays; one list must be given."""
+    """Explicit lists. Ignore rules do not apply and the recorded source version stays; one list must be given.
+
+    Without an embedder the stored model is used. Only an empty store gets a new one, fitted on the added files: another
+    model beside the vectors of an index would make distances meaningless.
+    """
     if all(isinstance(paths, (str, list)) and not paths for paths in (add, delete)):
         raise ValueError("give paths to add or to delete")
     spark = files.sparkSession
-    written = keep_by_key(files, paths_frame(spark, add))
-    if embedder is None:
-        fitted = not store.read_model().isEmpty()
-        embedder = stored_embedder(store) if fitted else fit_stored_embedder(store, texts_of(written, languages))
-    return store.publish_index(written, paths_frame(spark, delete), finish=finisher(embedder, languages))
+    paths, model = paths_frame(spark, add), None
+    written = keep_by_key(files, paths)
+    if embedder is None and store.state().version:
+        embedder = stored_embedder(store)
+    elif embedder is None:
+        embedder, model = fit_model(store, texts_of(written, languages))
+    finish = finisher(embedder, languages)
+    return store.publish_index(written, paths_frame(spark, delete), finish=finish, keys=paths, model=model)
 
 
 __all__ = [

@@ -2,8 +2,9 @@
 
 A publish writes only its own changes - new rows and markers for deleted paths - into a fresh version folder, and then
 appends one row to the state table. That append is the commit: readers look at committed versions only, so a failed or
-half-written publish is never seen, and data, version name and time become visible together. A reader takes the last
-full version and lays the later changes over it; :meth:`IndexStore.compact` writes a new full version.
+half-written publish is never seen, and data, model, version name and time become visible together. A reader takes the
+last full version and lays the later changes over it; :meth:`IndexStore.compact` writes a new full version,
+:meth:`IndexStore.merge` folds the later changes into one, and :meth:`IndexStore.vacuum` removes what nobody can read.
 
 One writer at a time is assumed, as many readers as you like.
 """
@@ -12,13 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.changes import dedupe_last_wins, delete_by_key, keep_by_key
+from ..operators.changes import dedupe_last_wins, delete_by_key, keep_by_key, number_keys
 from ..operators.clean import broken_rules
 
 INDEX_SCHEMA = T.StructType(
@@ -29,12 +31,15 @@ INDEX_SCHEMA = T.StructType(
         T.StructField("embedding", T.ArrayType(T.FloatType())),
     ]
 )
-# ``broken`` names the rules a row breaks; it is NULL for a good row. ``deleted`` marks a removed path.
+# ``broken`` names the rules a row breaks; it is NULL for a good row. ``deleted`` marks a removed path. ``digest`` tells
+# whether a text has changed, and ``seq`` where in an ordered stream the row was written.
 _SEGMENT_SCHEMA = T.StructType(
     [
         *INDEX_SCHEMA.fields,
         T.StructField("deleted", T.BooleanType()),
         T.StructField("broken", T.ArrayType(T.StringType())),
+        T.StructField("digest", T.StringType()),
+        T.StructField("seq", T.StringType()),
         T.StructField("v", T.LongType()),
     ]
 )
@@ -47,13 +52,19 @@ STATE_SCHEMA = T.StructType(
         T.StructField("batch_id", T.LongType()),
         T.StructField("upserted", T.LongType()),
         T.StructField("deleted", T.LongType()),
+        T.StructField("requests", T.LongType()),
         T.StructField("rejected", T.LongType()),
         T.StructField("last_id", T.LongType()),
+        T.StructField("model", T.LongType()),
+        T.StructField("replaces", T.LongType()),
         T.StructField("indexed_at", T.TimestampType()),
     ]
 )
 _MODEL_SCHEMA = "bucket int, documents bigint, total bigint, idf double"
 
+# Versions after the last full one are folded into a full version once they hold this share of its rows.
+FULL_SHARE = 0.25
+
 
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """No rows, known as such to the optimizer, which then drops the joins around it."""
@@ -61,14 +72,22 @@ def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     return spark.range(1).where(F.lit(False)).select(*columns)
 
 
+def text_digest(text: str = "code_text") -> Column:
+    return F.md5(text)
+
+
 @dataclass(frozen=True)
 class State:
-    """The newest committed version. Before the first publish all counts are 0 and ``source_version`` is None."""
+    """The newest committed version. Before the first publish all counts are 0 and ``source_version`` is None.
+
+    ``model`` is the version with which the model in force was stored, 0 if there is none.
+    """
 
     version: int = 0
     base: int = 0
     source_version: str | None = None
     last_id: int = 0
+    model: int = 0
 
 
 class IndexStore:
@@ -79,61 +98,95 @@ class IndexStore:
 
     # --- state ---
 
+    def _state_rows(self) -> DataFrame:
+        # While the table is being folded a version may be in it twice.
+        return self._read("state", STATE_SCHEMA).dropDuplicates(["version"])
+
     def index_state(self) -> DataFrame:
         """All committed versions, oldest first; empty before the first publish."""
-        return self._read("state", STATE_SCHEMA).orderBy("version")
+        return self._state_rows().orderBy("version")
 
     def state(self) -> State:
         return self._state(self._committed())
 
-    def _committed(self) -> list[Row]:
-        """The state rows a reader or writer needs, oldest first: one short row per publish."""
-        history = self._read("state", STATE_SCHEMA).drop("stream", "batch_id", "indexed_at")
-        return sorted(history.collect(), key=lambda row: row["version"])
+    def _committed(self, version: int | None = None) -> list[Row]:
+        """State rows from the last full version up to ``version`` (default: the newest), without those that a later one
+        among them replaces; oldest first. Earlier history is not read into the driver."""
+        history = self._state_rows()
+        if version is not None:
+            history = history.filter(F.col("version") <= version)
+        base, newest = history.agg(F.max(F.when(F.col("full"), F.col("version"))), F.max("version")).first()
+        if version is not None and newest != version:
+            raise ValueError(f"the index has no version {version}")
+        if base is None:
+            return []
+        rows = history.filter(F.col("version") >= base).drop("stream", "batch_id", "indexed_at").collect()
+        rows.sort(key=lambda row: row["version"])
+        return [
+            row
+            for n, row in enumerate(rows)
+            if not any(later["replaces"] is not None and later["replaces"] <= row["version"] for later in rows[n + 1 :])
+        ]
 
     @staticmethod
     def _state(committed: list[Row]) -> State:
         if not committed:
             return State()
+        last = committed[-1]
         base = max(row["version"] for row in committed if row["full"])
-        return State(committed[-1]["version"], base, committed[-1]["source_version"], committed[-1]["last_id"])
+        return State(last["version"], base, last["source_version"], last["last_id"], last["model"] or 0)
+
+    def version_of(self, source_version: str) -> int:
+        """The newest version published as ``source_version``; an unknown one is an error."""
+        found = self._state_rows().filter(F.col("source_version") == source_version).agg(F.max("version")).first()[0]
+        if found is None:
+            raise ValueError(f"unknown source version {source_version!r}")
+        return found
 
     def last_batch(self, stream: str) -> int | None:
         """Last micro-batch of a stream that was published."""
-        rows = self._read("state", STATE_SCHEMA).filter(F.col("stream") == stream)
+        rows = self._state_rows().filter(F.col("stream") == stream)
         return rows.agg(F.max("batch_id")).first()[0]
 
     # --- reading ---
 
-    def read(self, version: int | None = None) -> DataFrame:
+    def read(self, version: int | None = None, source_version: str | None = None) -> DataFrame:
         """The index as of a version (default: the newest) as ``(id, file_path, code_text, embedding)``.
 
-        The rows of the last full version meet only the paths changed since, in a left-anti join; when there are no
-        later changes this is a plain scan.
+        The version may be given by the name it was published as. An unknown version is an error, and so is reading one
+        that :meth:`vacuum` has removed. The rows of the last full version meet only the paths changed since, in a
+        left-anti join; when there are no later changes this is a plain scan.
         """
-        committed = [row for row in self._committed() if version is None or row["version"] <= version]
-        return self._rows(committed)
-
-    def _rows(self, committed: list[Row]) -> DataFrame:
-        columns = INDEX_SCHEMA.fieldNames()
+        if source_version is not None:
+            version = self.version_of(source_version)
+        return self._rows(self._committed(version))
+
+    def digests(self, version: int | None = None) -> DataFrame:
+        """``(file_path, digest)`` of all rows: enough to tell what has changed, without reading a text."""
+        return self._rows(self._committed(version), ["file_path", "digest"])
+
+    def _segments(self, committed: list[Row]) -> DataFrame:
+        """Rows of the given versions that are in force. Only their folders are listed."""
+        folders = [f"{self.root}/segments/v={row['version']}" for row in committed]
+        reader = self.spark.read.schema(_SEGMENT_SCHEMA).option("basePath", f"{self.root}/segments")
+        return reader.parquet(*folders).filter(F.col("broken").isNull())
+
+    def _rows(self, committed: list[Row], columns: list[str] | None = None) -> DataFrame:
+        columns = columns or INDEX_SCHEMA.fieldNames()
         if not committed:
-            return empty_frame(self.spark, INDEX_SCHEMA)
+            return empty_frame(self.spark, T.StructType([_SEGMENT_SCHEMA[name] for name in columns]))
         base = self._state(committed).base
+        rows = self._segments([row for row in committed if row["version"] == base]).filter(~F.col("deleted")).select(*columns)
         later = [row for row in committed if row["version"] > base]
-        segments = self._read("segments", _SEGMENT_SCHEMA).filter(F.col("broken").isNull())
-        rows = segments.filter((F.col("v") == base) & ~F.col("deleted")).select(*columns)
         if not later:
             return rows
-        changes = segments.filter(F.col("v").isin([row["version"] for row in later]))
-        # How many paths changed is on record, so whether they can be broadcast need not be guessed.
-        changed = sum(row["upserted"] + row["deleted"] for row in later)
-        # Within one version a written row counts more than a deletion of the same path.
-        latest = dedupe_last_wins(changes.withColumn("live", ~F.col("deleted")), ["v", "live"])
-        return delete_by_key(rows, changes, count=changed).unionByName(latest.filter("live").select(*columns))
+        changes = self._segments(later)
+        live = _latest(changes).filter(~F.col("deleted")).select(*columns)
+        return delete_by_key(rows, changes).unionByName(live)
 
     def rejected(self) -> DataFrame:
         """Rows set aside by publishes ``(v, file_path, broken)``, with the rules they broke."""
-        committed = self._read("state", STATE_SCHEMA).select(F.col("version").alias("v"))
+        committed = self._state_rows().select(F.col("version").alias("v"))
         rows = self._read("segments", _SEGMENT_SCHEMA).filter(F.col("broken").isNotNull())
         return rows.select("v", "file_path", "broken").join(committed, "v", "left_semi")
 
@@ -148,47 +201,53 @@ class IndexStore:
         finish: Callable[[DataFrame], DataFrame] | None = None,
         stream: str | None = None,
         batch_id: int | None = None,
+        keys: DataFrame | None = None,
+        full: bool = False,
+        model: int | None = None,
     ) -> State:
         """Apply one batch, deletes before upserts, and commit it. ``source_version`` None keeps the stored one.
 
         ``upserts`` are ``(file_path, code_text, embedding)``, one row per path unless ``order`` names the columns that
         tell the last of several writes to one path. With ``finish`` they may have any columns besides ``file_path``,
         and ``finish`` makes the other two of them while the version is written; it may also add ``deleted`` (this path
-        is to be removed after all) and ``unembedded`` (no vector could be made).
+        is to be removed after all) and ``unembedded`` (no vector could be made). With ``full`` the upserts are the whole
+        index: paths that are not among them are gone. ``model`` names a model stored by :meth:`write_model`, which comes
+        into force with this version.
 
         Rows that break a rule of the index are set aside (see :meth:`rejected`) and not applied. Replaced rows keep
         their id; new ones get ids above all earlier ones, unique but with gaps. For a first version this is a single
-        map-only job; otherwise only paths and ids of the index are read and joined.
+        map-only job; otherwise only paths and ids of the index are read, and joined with the paths of the batch:
+        ``keys``, if these - or more - are known without computing the upserts.
         """
         committed = self._committed()
         before = self._state(committed)
         version = before.version + 1
-        index = self._rows(committed)
         if upserts is None:
             upserts = empty_frame(self.spark, INDEX_SCHEMA).drop("id")
         if order:
             upserts = dedupe_last_wins(upserts, order)
         requests = 0
         if deletes is not None:
-            deletes = deletes.select("file_path")
+            wanted = [name for name in ("file_path", "seq") if name in deletes.columns]
+            deletes = deletes.select(*wanted)
             requests = deletes.count()
-        new_id = F.lit(before.last_id + 1) + F.monotonically_increasing_id()
         if before.version == 0:
-            rows = upserts.withColumn("id", new_id)
+            rows = upserts.withColumn("id", F.lit(before.last_id + 1) + F.monotonically_increasing_id())
         else:
-            known = index.select("file_path", "id")
+            known = self._rows(committed, ["file_path", "id"])
             if requests:
-                known = delete_by_key(known, deletes, count=requests)
-            known = keep_by_key(known, upserts)
-            rows = upserts.join(known, "file_path", "left").withColumn("id", F.coalesce("id", new_id))
+                known = delete_by_key(known, deletes)
+            paths = (upserts if keys is None else keys).select("file_path").filter(F.col("file_path").isNotNull()).distinct()
+            numbered = number_keys(paths.join(known, "file_path", "left"), before.last_id)
+            rows = upserts.drop("id").join(numbered, "file_path", "left")
         if finish:
             rows = finish(rows)
         rows = self._marked(rows)
-        if deletes is not None:
-            markers = deletes.distinct().withColumn("deleted", F.lit(True))
-            rows = rows.unionByName(markers, allowMissingColumns=True)
+        if deletes is not None and not full:
+            markers = deletes.groupBy("file_path").agg(F.max("seq").alias("seq")) if "seq" in deletes.columns else deletes.distinct()
+            rows = rows.unionByName(markers.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
         self._write_segment(rows, version)
-        return self._commit(version, before, source_version, requests, stream, batch_id)
+        return self._commit(version, before, source_version, requests, stream, batch_id, full=full, model=model)
 
     def _marked(self, rows: DataFrame) -> DataFrame:
         """Rows as they are stored: removed ones without contents, and the broken rules of the others."""
@@ -197,44 +256,142 @@ class IndexStore:
                 rows = rows.withColumn(flag, F.lit(False))
         failed = F.array_compact(F.array(F.when(F.col("unembedded"), F.lit("embedding_missing"))))
         found = F.concat(broken_rules(self.dim), failed)
-        return rows.withColumn("broken", F.when(~F.col("deleted") & (F.size(found) > 0), found)).drop("unembedded")
+        broken = F.when(~F.col("deleted") & (F.size(found) > 0), found)
+        return rows.withColumn("broken", broken).withColumn("digest", text_digest()).drop("unembedded")
+
+    def write_model(self, idf: DataFrame) -> int:
+        """Store a model beside the version to be published next; it counts once that version is committed with it."""
+        version = self.state().version + 1
+        self._write(idf.select("bucket", "documents", "total", "idf"), f"models/v={version}")
+        return version
+
+    def read_model(self, version: int | None = None) -> DataFrame:
+        """The model in force, or one that was just written; empty if there is none."""
+        return self._read(f"models/v={self.state().model if version is None else version}", T.StructType.fromDDL(_MODEL_SCHEMA))
+
+    # --- upkeep ---
 
     def compact(self) -> State:
-        """Write the current rows as a full version, so that readers no longer merge."""
+        """Write the current rows as a full version, so that readers no longer merge.
+
+        Marks of removed paths stay if they have a place in a stream: late writes are told from new ones by them.
+        """
         committed = self._committed()
         before = self._state(committed)
-        rows = self._rows(committed).withColumn("deleted", F.lit(False)).withColumn("broken", F.lit(None))
-        self._write_segment(rows, before.version + 1)
-        return self._commit(before.version + 1, before, None, 0, None, None, full=True)
-
-    def _commit(self, version, before, source_version, requests, stream, batch_id, full=False) -> State:
-        written = (
-            self._read("segments", _SEGMENT_SCHEMA)
-            .filter(F.col("v") == version)
+        stored = [name for name in _SEGMENT_SCHEMA.fieldNames() if name != "v"]
+        rows = self._rows(committed, stored)
+        marks = _latest(self._segments(committed)).filter(F.col("deleted") & F.col("seq").isNotNull()).select(*stored)
+        self._write_segment(rows.unionByName(marks), before.version + 1)
+        return self._commit(before.version + 1, before, None, 0, None, None, full=True, written=False)
+
+    def merge(self) -> State:
+        """Fold the versions after the last full one into a single one, which replaces them for readers."""
+        committed = self._committed()
+        before = self._state(committed)
+        later = [row for row in committed if row["version"] > before.base]
+        if len(later) < 2:
+            return before
+        self._write_segment(_latest(self._segments(later)), before.version + 1)
+        return self._commit(
+            before.version + 1, before, None, 0, None, None, written=False, replaces=later[0]["version"]
+        )
+
+    def tidy(self, most: int = 20) -> State:
+        """Once ``most`` versions have come after the last full one, fold them: into a full version if they hold a share of
+        :data:`FULL_SHARE` of its rows, else into one. Then remove what is no longer read."""
+        committed = self._committed()
+        state = self._state(committed)
+        later = [row for row in committed if row["version"] > state.base]
+        if len(later) < most:
+            return state
+        base = next(row for row in committed if row["version"] == state.base)
+        changed = sum(row["upserted"] + row["deleted"] for row in later)
+        state = self.compact() if changed >= FULL_SHARE * max(1, base["upserted"]) else self.merge()
+        self.vacuum()
+        return state
+
+    def vacuum(self) -> None:
+        """Remove versions that are no longer read, and fold the small files of the state table into one.
+
+        The newest version and the one before the last full or merged version stay readable; older ones do not.
+        """
+        state = self._state_rows().cache()
+        try:
+            folded = state.filter(F.col("full") | F.col("replaces").isNotNull()).agg(F.max("version")).first()[0]
+            previous = state.filter(F.col("version") < (folded or 0)).agg(F.max("version")).first()[0]
+            kept = {row["version"] for row in self._committed()}
+            if previous is not None:
+                kept |= {row["version"] for row in self._committed(previous)}
+            models = {row["model"] for row in state.filter(F.col("version").isin(list(kept))).select("model").collect()}
+            for name, wanted in (("segments", kept), ("models", models)):
+                for folder in self._folders(name):
+                    if folder.startswith("v=") and int(folder[2:]) not in wanted:
+                        self._remove(f"{name}/{folder}")
+            old = self._folders("state")
+            state.coalesce(1).write.mode("append").parquet(f"{self.root}/state")
+            for name in old:
+                if name.startswith("part-"):
+                    self._remove(f"state/{name}")
+        finally:
+            state.unpersist()
+
+    def _path(self, name: str):
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
+
+    def _folders(self, name: str) -> list[str]:
+        system, path = self._path(name)
+        return [entry.getPath().getName() for entry in system.listStatus(path)] if system.exists(path) else []
+
+    def _remove(self, name: str) -> None:
+        system, path = self._path(name)
+        system.delete(path, True)
+
+    def _commit(
+        self, version, before, source_version, requests, stream, batch_id, full=False, model=None, written=True, replaces=None
+    ) -> State:
+        """``written``: whether the rows of the version are changes, and not a copy of those of earlier ones."""
+        counts = (
+            self.spark.read.schema(_SEGMENT_SCHEMA)
+            .parquet(f"{self.root}/segments/v={version}")
             .agg(
                 F.count_if(~F.col("deleted") & F.col("broken").isNull()).alias("upserted"),
+                F.count_if("deleted").alias("deleted"),
                 F.count_if(F.col("broken").isNotNull()).alias("rejected"),
                 F.max("id").alias("last_id"),
             )
             .first()
         )
         kept = before.source_version if source_version is None else source_version
-        last_id = max(before.last_id, written["last_id"] or 0)
+        last_id = max(before.last_id, counts["last_id"] or 0)
         base = version if full or before.base == 0 else before.base
+        model = before.model if model is None else model
         row = self.spark.range(1).select(
             F.lit(version).cast("bigint").alias("version"),
             F.lit(base == version).alias("full"),
             F.lit(kept).cast("string").alias("source_version"),
             F.lit(stream).cast("string").alias("stream"),
             F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.lit(0 if full else written["upserted"]).cast("bigint").alias("upserted"),
-            F.lit(requests).cast("bigint").alias("deleted"),
-            F.lit(written["rejected"]).cast("bigint").alias("rejected"),
+            F.lit(counts["upserted"]).cast("bigint").alias("upserted"),
+            F.lit(counts["deleted"]).cast("bigint").alias("deleted"),
+            F.lit(requests).cast("bigint").alias("requests"),
+            F.lit(counts["rejected"] if written else 0).cast("bigint").alias("rejected"),
             F.lit(last_id).cast("bigint").alias("last_id"),
+            F.lit(model).cast("bigint").alias("model"),
+            F.lit(replaces).cast("bigint").alias("replaces"),
             F.current_timestamp().alias("indexed_at"),
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/state")
-        return State(version, base, kept, last_id)
+        return State(version, base, kept, last_id, model)
+
+    def places(self, paths: DataFrame) -> DataFrame:
+        """``(file_path, stored_seq)``: the last place in a stream at which each of some paths was written or removed."""
+        committed = self._committed()
+        if not committed:
+            return empty_frame(self.spark, T.StructType.fromDDL("file_path string, stored_seq string"))
+        rows = self._segments(committed).select("file_path", "seq").filter(F.col("seq").isNotNull())
+        return keep_by_key(rows, paths).groupBy("file_path").agg(F.max("seq").alias("stored_seq"))
 
     # --- tables beside the index ---
 
@@ -243,15 +400,12 @@ class IndexStore:
         self._write(rows, f"staged/{name}")
         return self._read(f"staged/{name}", rows.schema)
 
-    def write_model(self, idf: DataFrame) -> None:
-        self._write(idf.select("bucket", "documents", "total", "idf"), "model")
-
-    def read_model(self) -> DataFrame:
-        return self._read("model", T.StructType.fromDDL(_MODEL_SCHEMA))
-
     # --- files ---
 
     def _write_segment(self, rows: DataFrame, version: int) -> None:
+        for name in ("digest", "seq"):
+            if name not in rows.columns:
+                rows = rows.withColumn(name, F.lit(None))
         columns = [F.col(f.name).cast(f.dataType) for f in _SEGMENT_SCHEMA if f.name != "v"]
         self._write(rows.select(*columns), f"segments/v={version}")
 
@@ -266,3 +420,31 @@ class IndexStore:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
             return empty_frame(self.spark, schema)
+
+
+def _latest(changes: DataFrame) -> DataFrame:
+    """The last row of every path. Within one version a written row counts more than a deletion of the same path."""
+    return dedupe_last_wins(changes.withColumn("_live", ~F.col("deleted")), ["v", "_live"]).drop("_live")
+
+
+def order_key(rows: DataFrame, order: list[str]) -> Column:
+    """The order columns - whole numbers, dates, times or strings - as one string that sorts as they do."""
+
+    def part(name: str) -> Column:
+        kind = rows.schema[name].dataType
+        if isinstance(kind, T.StringType):
+            # Later parts cannot interfere: a string ends before anything that may stand in one.
+            return F.concat(F.coalesce(name, F.lit("")), F.lit("\x01"))
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            number = F.unix_micros(F.col(name).cast("timestamp"))
+        elif isinstance(kind, T.DateType):
+            number = F.unix_date(name)
+        elif isinstance(kind, T.IntegralType):
+            number = F.col(name)
+        else:
+            raise ValueError(f"cannot order by {name}: {kind.simpleString()}")
+        smallest = F.lit(str(1 << 63)).cast("decimal(20,0)")
+        shifted = number.cast("decimal(20,0)") + smallest
+        return F.coalesce(F.lpad(shifted.cast("decimal(20,0)").cast("string"), 20, "0"), F.lit("0" * 20))
+
+    return reduce(F.concat, [part(name) for name in order])

@@ -13,7 +13,7 @@ from ..operators.changes import dedupe_last_wins
 from ..operators.clean import ignore_filter
 from ..operators.embed import Embedder
 from ..plans.pipelines import Rules, finisher, stored_embedder
-from ..sources.store import IndexStore
+from ..sources.store import IndexStore, order_key
 
 
 def apply_batch(
@@ -28,14 +28,19 @@ def apply_batch(
 ) -> bool:
     """Publish ordered change rows ``(change, file_path, content)``; of several for one path the last one counts.
 
-    A batch whose id was published before is skipped, so a replay after a failure changes nothing. Returns whether the
-    batch was applied.
+    That holds across batches as well: a write that comes after a later one - or after a later deletion - is dropped. A
+    batch whose id was published before is skipped, so a replay after a failure changes nothing. Returns whether the batch
+    was applied.
     """
     if batch_id is not None:
         done = store.last_batch(stream)
         if done is not None and batch_id <= done:
             return False
     latest = dedupe_last_wins(ignore_filter(changes.filter(F.col("change").isin("A", "M", "D")), rules), order)
+    latest = latest.withColumn("seq", order_key(latest, order))
+    latest = latest.join(store.places(latest), "file_path", "left").filter(
+        F.col("stored_seq").isNull() | (F.col("seq") > F.col("stored_seq"))
+    )
     latest.persist()  # one shuffle of the batch serves paths, counts and texts
     finish = finisher(embedder or stored_embedder(store), languages)
     written, removed = latest.filter("change <> 'D'"), latest.filter("change = 'D'")
@@ -60,14 +65,13 @@ def stream_changes(
     """Start applying a streaming DataFrame of changes. ``trigger`` defaults to everything available, then stop.
 
     The checkpoint remembers how far the source was read; the batch id stored with each version makes the sink exactly
-    once. Every ``compact_every`` versions the changes are folded into a full version.
+    once. Every ``compact_every`` versions the changes are folded together (:meth:`IndexStore.tidy`), so that neither the
+    files on disk nor the versions a reader meets grow with the age of the stream.
     """
 
     def publish(batch: DataFrame, batch_id: int) -> None:
         apply_batch(store, batch, order, rules, embedder, stream, batch_id)
-        state = store.state()
-        if state.version - state.base >= compact_every:
-            store.compact()
+        store.tidy(compact_every)
 
     return (
         changes.writeStream.foreachBatch(publish)

@@ -146,3 +146,25 @@ def test_applying_a_diff_gives_the_later_state(spark):
 def test_apply_summary(spark, upserts, deletes):
     summary = apply_summary(spark.range(upserts), spark.range(deletes)).collect()
     assert [tuple(row) for row in summary] == [(upserts, deletes)]
+
+
+def test_applying_changes_is_lazy_and_ranks_keys_only(spark):
+    from pathlight.operators import apply_changes
+
+    tracker = spark.sparkContext.statusTracker()
+    index = spark.range(50).selectExpr("id", "concat('p', id) AS file_path", "'text' AS code_text")
+    writes = spark.range(60).selectExpr("concat('p', id) AS file_path", "'new' AS code_text", "id AS seq")
+    deletes = spark.range(3).selectExpr("concat('p', id) AS file_path")
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    try:
+        changed = apply_changes(index, writes, deletes, order=["seq"], last_id=49)
+        assert tracker.getJobIdsForGroup("lazy") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    plan = changed._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():
+        if "Window" in line and "_position" in line:
+            assert "code_text" not in line
+    rows = {r["file_path"]: r["id"] for r in changed.collect()}
+    assert len(rows) == 60 and len(set(rows.values())) == 60
+    assert rows["p10"] == 10 and min(rows[f"p{n}"] for n in (0, 1, 2, *range(50, 60))) == 50

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pathlight.operators import BatchEmbedder, TfIdfEmbedder, ignore_filter, snapshot_diff
 from pathlight.plans import add_delete_index, full_changes, full_index, incremental_index, index_diff
-from pathlight.plans.pipelines import fit_stored_embedder, stored_embedder, texts_of
+from pathlight.plans.pipelines import fit_model, stored_embedder, texts_of
 from pathlight.session import scratch_dir
 from pathlight.sources import IndexStore, State
 from pathlight.streaming import apply_batch, stream_changes
@@ -80,7 +80,7 @@ def test_publish_and_versions(spark, store):
     assert store.compact().base == 5
     assert contents(store) == {"a": "3", "b": "2", "c": "2"} and ids(store) == before
     counts = [(r["version"], r["full"], r["upserted"], r["deleted"]) for r in store.index_state().collect()]
-    assert counts == [(1, True, 3, 0), (2, False, 3, 3), (3, False, 1, 0), (4, False, 0, 1), (5, True, 0, 0)]
+    assert counts == [(1, True, 3, 0), (2, False, 3, 3), (3, False, 1, 0), (4, False, 0, 1), (5, True, 3, 0)]
 
 
 def test_last_write_of_a_batch_wins(spark, store):
@@ -180,7 +180,7 @@ def test_incremental_equals_full(spark, embedder, source):
     assert "blank.py" not in contents(stores[0])
     left, right = ({r["file_path"]: r["embedding"] for r in s.read().collect()} for s in stores)
     assert left == right
-    assert index_diff(stores[0].read(), ignore_filter(corpus(spark, v2), ["*.log"])).count() == 0
+    assert index_diff(stores[0].digests(), ignore_filter(corpus(spark, v2), ["*.log"])).count() == 0
 
 
 def test_same_version_changes_nothing(spark, store, embedder):
@@ -211,7 +211,11 @@ def test_default_model_is_fitted_once_and_stored(spark):
 def test_incremental_run_needs_a_model(spark, store):
     with pytest.raises(ValueError, match="no embedding model"):
         incremental_index(store, corpus(spark, V1))
-    fit_stored_embedder(store, texts_of(corpus(spark, V1)))
+    _, number = fit_model(store, texts_of(corpus(spark, V1)))
+    assert number == 1
+    with pytest.raises(ValueError, match="no embedding model"):  # written, but not committed with a version
+        stored_embedder(store)
+    full_index(store, corpus(spark, V1))
     assert stored_embedder(store).dim == 4
 
 
@@ -287,3 +291,151 @@ def test_stream_resumes_from_its_checkpoint(spark, store, embedder, tmp_path):
     run()
     assert store.state().version == version
     assert store.state().base > 1  # folded into a full version on the way
+
+
+def test_a_second_full_run_replaces_the_index_and_its_model(spark):
+    store = IndexStore(spark, scratch_dir(spark), 32)
+    full_index(store, corpus(spark, V1), source_version="v1")
+    first, model = ids(store), stored_embedder(store).idf
+    full_index(store, corpus(spark, V2), source_version="v2")
+    assert set(contents(store)) == set(V2) and set(contents(store, 1)) == set(V1)
+    assert ids(store)["main.py"] == first["main.py"]
+    assert stored_embedder(store).idf != model
+    expected = {r["file_path"]: r["embedding"] for r in stored_embedder(store)(texts_of(corpus(spark, V2))).collect()}
+    assert {r["file_path"]: r["embedding"] for r in store.read().collect()} == expected
+
+
+def test_a_failed_full_run_leaves_the_model(spark):
+    store = IndexStore(spark, scratch_dir(spark), 32)
+    full_index(store, corpus(spark, V1), source_version="v1")
+    model = stored_embedder(store).idf
+    store._write_segment = lambda *args: (_ for _ in ()).throw(RuntimeError("disk full"))
+    with pytest.raises(RuntimeError):
+        full_index(store, corpus(spark, V2), source_version="v2")
+    del store._write_segment
+    assert stored_embedder(store).idf == model and store.state().version == 1
+
+
+def test_added_files_never_get_a_model_of_their_own(spark, store, embedder):
+    full_index(store, corpus(spark, V1), embedder=embedder)
+    with pytest.raises(ValueError, match="no embedding model"):
+        add_delete_index(store, corpus(spark, V2), "new_module.py")
+    empty = IndexStore(spark, scratch_dir(spark), 8)
+    add_delete_index(empty, corpus(spark, V2), "new_module.py")
+    assert stored_embedder(empty).dim == 8
+
+
+@pytest.mark.parametrize("way", ["previous", "index", "changes"])
+def test_an_unreadable_file_keeps_its_old_row(spark, store, embedder, way):
+    full_index(store, corpus(spark, V1), embedder=embedder)
+    bad = corpus(spark, {**V1, "utils.py": None})
+    changes = spark.createDataFrame([("M", "utils.py")], "change string, file_path string")
+    options = {"previous": {"previous": corpus(spark, V1)}, "index": {}, "changes": {"changes": changes}}[way]
+    incremental_index(store, bad, embedder=embedder, **options)
+    assert contents(store)["utils.py"] == V1["utils.py"]
+    assert [(r["file_path"], r["broken"]) for r in store.rejected().collect()] == [("utils.py", ["text_missing"])]
+
+
+def test_versions_by_name(spark, store, embedder):
+    full_index(store, corpus(spark, V1), embedder=embedder, source_version="v1")
+    incremental_index(store, corpus(spark, V2), embedder=embedder, base="v1", source_version="v2")
+    assert {r["file_path"] for r in store.read(source_version="v1").collect()} == set(V1)
+    assert {r["file_path"] for r in store.read(source_version="v2").collect()} == set(V2)
+    for call in (
+        lambda: store.read(999),
+        lambda: store.read(source_version="v3"),
+        lambda: incremental_index(store, corpus(spark, V2), embedder=embedder, base="invalid"),
+    ):
+        with pytest.raises(ValueError, match="version"):
+            call()
+
+
+def test_the_diff_reads_no_stored_text(spark, store, embedder):
+    full_index(store, corpus(spark, V1), embedder=embedder, source_version="v1")
+    plan = index_diff(store.digests(), corpus(spark, V2))._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "ReadSchema" in line]
+    assert scans and all("code_text" not in line and "embedding" not in line for line in scans)
+
+
+def test_removals_are_counted_whether_requested_or_not(spark, store, embedder):
+    full_index(store, corpus(spark, {f"f{n}.md": "text" for n in range(30)}), embedder=embedder)
+    later = corpus(spark, {f"f{n}.md": "text" if n < 5 else " " for n in range(29)})
+    incremental_index(store, later, previous=corpus(spark, {f"f{n}.md": "text" for n in range(30)}), embedder=embedder)
+    row = store.index_state().filter("version = 2").first()
+    assert (row["upserted"], row["deleted"], row["requests"]) == (0, 25, 1)
+    assert row["indexed_at"] is not None
+    assert "ResolvedHint" not in store.read()._jdf.queryExecution().analyzed().toString()
+    assert len(contents(store)) == 5
+
+
+def test_ids_stay_dense_after_the_first_version(spark, store):
+    store.publish_index(rows(spark, ("a", "1")))
+    for n in range(3):
+        store.publish_index(rows(spark, (f"b{n}", "1"), (f"c{n}", "1")))
+    first = ids(store)["a"]
+    assert sorted(ids(store).values())[1:] == list(range(store.state().last_id - 5, store.state().last_id + 1))
+    assert first < store.state().last_id - 5
+
+
+def test_merge_and_vacuum(spark, store):
+    store.publish_index(rows(spark, *[(f"p{n}", "1") for n in range(40)]), source_version="x")
+    store.publish_index(rows(spark, ("p1", "2"), ("q", "2")), paths(spark, "p2"))
+    store.publish_index(rows(spark, ("p2", "3")), paths(spark, "q", "p3"))
+    before = contents(store)
+    state = store.merge()
+    assert (state.version, state.base, state.source_version) == (4, 1, "x")
+    assert contents(store) == before and contents(store, 2)["q"] == "2"
+    store.vacuum()
+    assert contents(store) == before and ids(store)
+    assert [r["version"] for r in store.index_state().collect()] == [1, 2, 3, 4]
+    store.compact()
+    store.publish_index(rows(spark, ("r", "6")))
+    store.vacuum()
+    assert contents(store) == {**before, "r": "6"}
+    assert contents(store, 4) == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        contents(store, 3)
+
+
+def test_late_writes_of_a_stream_are_dropped(spark, store, embedder):
+    def batch(number, *changes):
+        apply_batch(store, spark.createDataFrame(list(changes), CHANGES), ["seq"], embedder=embedder, batch_id=number)
+
+    batch(0, ("A", "a", "5", 5), ("D", "b", None, 9), ("A", "c", "1", 1))
+    batch(1, ("M", "a", "2", 2), ("A", "b", "8", 8), ("M", "c", "10", 10))
+    assert contents(store) == {"a": "5", "c": "10"}
+    store.compact()
+    store.vacuum()
+    batch(2, ("M", "a", "4", 4), ("A", "b", "7", 7), ("M", "c", " ", 11))
+    assert contents(store) == {"a": "5"}
+    batch(3, ("A", "c", "10", 10), ("A", "b", "12", 12))
+    assert contents(store) == {"a": "5", "b": "12"}
+
+
+def test_files_of_a_long_stream_stay_bounded(spark, store, embedder, tmp_path):
+    import os
+
+    full_index(store, corpus(spark, {f"p{n}": "text" for n in range(50)}), embedder=embedder)
+    sizes = []
+    for number in range(24):
+        change = spark.createDataFrame([("M", f"p{number % 5}", f"text {number}", number)], CHANGES).coalesce(1)
+        apply_batch(store, change, ["seq"], embedder=embedder, batch_id=number)
+        store.tidy(4)
+        if number % 8 == 7:
+            sizes.append(sum(len(names) for _, _, names in os.walk(store.root)))
+    assert sizes[2] <= sizes[0] + 8
+    assert len(store._committed()) <= 6
+    assert contents(store)["p3"] == "text 23"
+
+
+def test_order_keys_sort_as_their_columns(spark):
+    from pathlight.sources.store import order_key
+
+    frame = spark.sql(
+        "SELECT timestamp_ntz'2020-01-01' AS t, 'b' AS s, -5 AS n UNION ALL SELECT timestamp_ntz'1960-01-01', 'a', 7 "
+        "UNION ALL SELECT timestamp_ntz'2020-01-01', 'ab', 10 UNION ALL SELECT timestamp_ntz'2020-01-01', 'a', 9 UNION ALL SELECT NULL, NULL, NULL"
+    )
+    for order in (["t", "s", "n"], ["n"], ["s", "n"]):
+        rows = frame.withColumn("key", order_key(frame, order)).orderBy(*order).collect()
+        keys = [r["key"] for r in rows]
+        assert keys == sorted(keys) and len(set(keys)) == len(keys)
