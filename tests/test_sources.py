@@ -134,3 +134,15 @@ def test_ignored_files(spark, as_frame):
     if as_frame:
         rules = spark.createDataFrame([(r,) for r in rules], "rule string")
     assert [r["file_path"] for r in ignore_filter(files, rules).collect()] == ["utils.cpp"]
+
+
+@pytest.mark.parametrize("master", ["yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://https://host"])
+def test_a_cluster_needs_a_shared_folder(master):
+    from types import SimpleNamespace
+
+    from pathlight.session import scratch_dir
+
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default=None: default))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        scratch_dir(session)
