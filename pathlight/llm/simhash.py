@@ -157,7 +157,8 @@ def _link_runs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Re
         head = starts[0] if len(starts) else len(batch)
         shards += shard[:head].tolist()
         values += value[:head].tolist()
-        ends = np.append(starts[1:], len(batch))
+        # No start: the whole batch goes on with the cell that is held.
+        ends = np.append(starts[1:], len(batch))[: len(starts)]
         for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
             last = end == len(batch)
             if end - start == 1 and not last:

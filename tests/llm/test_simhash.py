@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import xxhash
 
 from pathlight.llm import simhash
@@ -78,6 +79,22 @@ def test_crowded_buckets_have_several_trees(spark):
     check_links(spark, clusters(random.Random(3), 2, 80), 16)
 
 
+def test_a_cell_goes_on_over_whole_batches():
+    values = [1, 3, 7, 15, 31, 63]
+    rows = [(0, 5, 0, 0, 0, v) for v in values] + [(0, 6, 0, 0, 0, v << 40) for v in (1, 3)]
+    names = ["_table", "_key", "_low", "_high", "_shard", "fp"]
+
+    def links(cuts):
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True)]
+        batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*part, strict=True)], names) for part in parts]
+        return [(r["a"], r["b"]) for b in simhash._link_runs(iter(batches), 4) for r in b.to_pylist()]
+
+    whole = links([])
+    assert len(whole) == len(values) - 1 + 1
+    # The second batch, then the second and the last, lie inside one cell.
+    assert links([2, 4]) == links([2, 4, 7]) == links([1, 2, 3, 4, 5, 6, 7]) == whole
+
+
 def test_a_long_chain_is_one_component(spark):
     value, values = 0, []
     for bit in range(60):
