@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, lm_score, mixing, quality, secrets, sharding, simhash, spotsigs, warc
+from . import (
+    collocations,
+    decontamination,
+    language_id,
+    lexical_search,
+    lm_score,
+    mixing,
+    quality,
+    secrets,
+    sharding,
+    simhash,
+    spotsigs,
+    url_filter,
+    warc,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -165,3 +179,90 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.sha2(F.array_join("items", ","), 256).alias("items_sha256")
     return found.select("doc_id", "n_words", "n_hit", "n_items", ids, "contaminated")
+
+
+_URL_SQL = r"""
+WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, regexp_extract(coalesce(rest, ''), '^[^/?#]*') AS raw, coalesce(rest, '') AS rest FROM cut),
+split AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  substr(rest, length(raw) + 1) AS after FROM parts),
+named AS (SELECT page_id, host, after, regexp_extract(after, '^[^?#]*') AS path FROM split),
+judged AS (SELECT *, CASE
+    WHEN (host = 'www.example.com' OR suffix(host, '.www.example.com')) AND prefix(path, '/en/') THEN 'www.example.com/en/'
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/en/') THEN 'example.com/en/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/es/') THEN 'net/es/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/fr/') THEN 'net/fr/'
+    WHEN (host = 'com' OR suffix(host, '.com')) AND prefix(path, '/') THEN 'com/' END AS rule,
+  translate(host || after, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS target FROM named),
+matched AS (SELECT *, CASE
+    WHEN rule IS NOT NULL THEN NULL
+    WHEN regexp_matches(target, '(^|[\x00-\x24\x26-\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F])robots\.txt$') THEN '^robots.txt|'
+    WHEN regexp_matches(target, '^([^/?#]*\.)?doubleclick([\x00-\x24\x26-\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]|$)') THEN '||doubleclick^'
+    WHEN regexp_matches(target, '^([^/?#]*\.)?casino-') THEN '||casino-*'
+    WHEN regexp_matches(target, '^([^/?#]*\.)?adserver([\x00-\x24\x26-\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]|$)') THEN '||adserver^'
+    WHEN regexp_matches(target, '^([^/?#]*\.)?ads-') THEN '||ads-*'
+    WHEN regexp_matches(target, '(^|[\x00-\x24\x26-\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F])wp-login\.php') THEN '^wp-login.php'
+    WHEN regexp_matches(target, '(^|[\x00-\x24\x26-\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F])phishing([\x00-\x24\x26-\x2C\x2F\x3A-\x40\x5B-\x5E\x60\x7B-\x7F]|$)') THEN '^phishing^'
+    WHEN regexp_matches(target, '\?.*&sessionid=', 's') THEN '?*&sessionid='
+    WHEN strpos(target, '-track.') > 0 THEN '-track.*'
+    WHEN strpos(target, '-pills.') > 0 THEN '-pills.*'
+    WHEN strpos(target, '-farm.') > 0 THEN '-farm.*'
+    WHEN strpos(target, '-casino.') > 0 THEN '-casino.*'
+    WHEN strpos(target, '-bets.') > 0 THEN '-bets.*' END AS pattern FROM judged)
+SELECT page_id, host, path, rule, pattern, CASE
+  WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN pattern IS NULL OR pattern = '^robots.txt|' THEN 'allow' ELSE 'block' END AS verdict
+FROM matched
+"""
+
+
+@query("op11_url_filter", _URL_SQL)
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+    return judged.select("page_id", "host", "path", "rule", "pattern", "verdict")
+
+
+_COLLOCATION_SQL = r"""
+WITH cut AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM cut),
+totals AS (SELECT lang, sum(len(w)) AS n FROM said GROUP BY lang),
+lengths AS (SELECT unnest(range(1, 6)) AS k),
+phrases AS (SELECT lang, k, p, count(*) AS f FROM (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i : w[i:i + k - 1])) AS p FROM said, lengths WHERE len(w) >= k)
+  GROUP BY lang, k, p HAVING count(*) >= 100),
+covered AS (SELECT DISTINCT s.lang, s.p FROM phrases s JOIN phrases b ON s.lang = b.lang AND b.k = s.k + 1 AND b.f >= s.f
+  AND (b.p[1:s.k] = s.p OR b.p[2:b.k] = s.p) WHERE s.k > 1),
+cuts AS (SELECT c.lang, c.p, c.f, x.k AS first, a.f AS l, b.f AS r, 1000::HUGEINT * c.f * n // (a.f::HUGEINT * b.f) AS score
+  FROM phrases c JOIN totals USING (lang) JOIN (SELECT unnest(range(1, 5)) AS k) x ON x.k < c.k
+  JOIN phrases a ON a.lang = c.lang AND a.p = c.p[1:x.k] JOIN phrases b ON b.lang = c.lang AND b.p = c.p[x.k + 1:c.k]
+  WHERE (c.lang, c.p) NOT IN (SELECT (lang, p) FROM covered)),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, first) = 1),
+ranked AS (SELECT *, array_to_string(p, ' ') AS phrase,
+  row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, array_to_string(p, ' ')) AS rank FROM lowest)
+SELECT lang, rank::BIGINT AS rank, phrase, f::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op12_collocations", _COLLOCATION_SQL)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+_LEXICAL_SQL = f"""
+WITH d AS (SELECT doc_id, {_PLAIN} AS w FROM documents),
+total AS (SELECT count(*)::BIGINT AS docs, sum(len(w))::BIGINT AS words FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM d) GROUP BY doc_id, n, t),
+weights AS (SELECT t, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY t, docs),
+terms AS (SELECT DISTINCT item_id, t FROM (SELECT item_id, unnest({_PLAIN}) AS t FROM benchmark)),
+scored AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // words))))::BIGINT AS score
+  FROM terms JOIN tf USING (t) JOIN weights USING (t), total GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
+@query("op13_lexical_search", _LEXICAL_SQL)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
