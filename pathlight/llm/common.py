@@ -21,6 +21,11 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, UPPER.lower())
 
 
+def named(names: Sequence[str]) -> list[Column]:
+    """Columns by their whole names, which may hold dots and backticks."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in names]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -43,13 +48,13 @@ def pick_rows(docs: DataFrame, wanted: DataFrame, doc_id: str = "doc_id", text:
     ``key`` is :func:`row_key` and ``rows`` how often it occurs in ``docs``; a repeated row is taken as one.
     """
     keyed = docs.withColumn("_llm_key", row_key(doc_id, F.col(text)))
-    named = wanted.select(F.col("key").alias("_llm_key"), "rows", F.col("times").alias("_llm_times"))
-    found = keyed.join(named.filter("rows = 1").drop("rows"), "_llm_key")
-    repeated = named.filter("rows > 1").drop("rows")
+    asked = wanted.select(F.col("key").alias("_llm_key"), "rows", F.col("times").alias("_llm_times"))
+    found = keyed.join(asked.filter("rows = 1").drop("rows"), "_llm_key")
+    repeated = asked.filter("rows > 1").drop("rows")
     if repeated.limit(1).count():
         found = found.unionByName(keyed.join(repeated, "_llm_key").dropDuplicates(["_llm_key"]))
     copies = F.explode(F.sequence(F.lit(1), F.col("_llm_times"))).alias("_llm_copy")
-    return found.select(*docs.columns, copies).drop("_llm_copy")
+    return found.select(*named(docs.columns), copies).drop("_llm_copy")
 
 
 def number_within(
@@ -76,9 +81,9 @@ def number_within(
     extra = []
     if per_group is not None:
         extra = [name for name in per_group.columns if name != group]
-        named = per_group.withColumnRenamed(group, "_llm_h")
-        starts = starts.join(named, F.col("_llm_g").eqNullSafe(F.col("_llm_h")), "left").drop("_llm_h")
+        added = per_group.withColumnRenamed(group, "_llm_h")
+        starts = starts.join(added, F.col("_llm_g").eqNullSafe(F.col("_llm_h")), "left").drop("_llm_h")
     same = (F.col("_llm_part") == F.col("_llm_p")) & F.col(group).eqNullSafe(F.col("_llm_g"))
     return placed.join(starts, same, "left").select(
-        *rows.columns, *extra, (F.col("_llm_place") + F.col("_llm_shift")).alias(position)
+        *named(rows.columns), *extra, (F.col("_llm_place") + F.col("_llm_shift")).alias(position)
     )

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import lower_ascii, row_key, staged
+from .common import lower_ascii, named, row_key, staged
 
 WINDOW_WORDS = 13
 # A document is contaminated when at least one word in so many is hit.
@@ -179,4 +179,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     """The rows of ``docs`` that are not contaminated, with their columns."""
     found = contamination(docs, benchmark, doc_id=doc_id, text=text, **options)
     dirty = staged(found.filter("contaminated").select(F.col("key").alias("_llm_key")).distinct(), "contaminated")
-    return docs.withColumn("_llm_key", row_key(doc_id, F.col(text))).join(dirty, "_llm_key", "left_anti").select(*docs.columns)
+    return docs.withColumn("_llm_key", row_key(doc_id, F.col(text))).join(dirty, "_llm_key", "left_anti").select(*named(docs.columns))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
+from .common import named
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -238,4 +239,4 @@ def keep_identified(docs: DataFrame, least_score: float = LEAST_SCORE, **options
     """The rows of ``docs`` whose language could be told with at least this score, with their columns."""
     found = language_id(docs, into="_llm_language", **options)
     told = (F.col("_llm_language.lang") != UNDETERMINED) & (F.col("_llm_language.score") >= least_score)
-    return found.filter(told).select(*docs.columns)
+    return found.filter(told).select(*named(docs.columns))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import ship_package
-from .common import staged
+from .common import named, staged
 
 TEXT_BUCKETS = 1 << 18
 META_BUCKETS = 1 << 12
@@ -269,13 +269,14 @@ def fit(
     ship_package(docs.sparkSession)
     known = labels.filter(F.col(target).isNotNull() & ~held_out(doc_id)).groupBy(F.col(doc_id).alias("_id"))
     known = staged(known.agg(F.min(target).cast("double").alias("label")), "labels")
-    named = labels.select(F.col(doc_id).alias("_id")).distinct()
-    others = docs.select(F.col(doc_id).alias("_id")).join(named, "_id", "left_anti").distinct()
+    listed = labels.select(F.col(doc_id).alias("_id")).distinct()
+    others = docs.select(F.col(doc_id).alias("_id")).join(listed, "_id", "left_anti").distinct()
     chosen = _chosen(known, labelled_rows, "label").unionByName(
         _chosen(staged(others, "unlabelled"), pool_rows, "pool").withColumn("label", F.lit(None).cast("double"))
     )
     chosen = staged(chosen, "chosen")
-    rows = docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_id")).select("label", "text", "lang", "source")
+    given = docs.select(F.col(doc_id).alias("_doc"), "text", "lang", "source")
+    rows = given.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("label", "text", "lang", "source")
     table = rows.mapInArrow(_features, "label double, words array<int>, form array<int>").toArrow()
     label = np.asarray(table["label"].to_numpy(), dtype=np.float64)
     sides = [[np.asarray(x.values if x.is_valid else []) for x in table[name]] for name in ("words", "form")]
@@ -312,7 +313,7 @@ def score(docs: DataFrame, models: dict[str, CoTrained], text: str = "text", lan
 
     given = docs.withColumn("_llm_scores", probabilities(F.col(text), F.col(lang).cast("string"), F.col(source).cast("string")))
     rest = [name for name in docs.columns if name not in names]
-    return given.select(*rest, *[F.col(f"_llm_scores.{name}").alias(name) for name in names])
+    return given.select(*named(rest), *[F.col(f"_llm_scores.{name}").alias(name) for name in names])
 
 
 def classify(

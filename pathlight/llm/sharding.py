@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import number_within
+from .common import named, number_within
 
 # The shards that a cluster starts with, in racks and regions; those added later open regions of their own.
 FIRST_SHARDS, RACKS_PER_REGION, SHARDS_PER_RACK = 16, 2, 4
@@ -144,7 +144,7 @@ def assign_shards(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(bytes_of) + 1).cast("bigint").alias("size"),
         F.crc32(bytes_of).alias("text_crc32"),
-        *[F.col(name) for name in carry if name not in _RESULTS],
+        *named([name for name in carry if name not in _RESULTS]),
     )
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), shard_tree(shards, weights), seed)).withColumn(
         "grown_shard", shard_of(F.col("doc_id"), shard_tree(shards + 1, weights), seed)

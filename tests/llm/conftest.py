@@ -1,6 +1,6 @@
 import pytest
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size string, shard string, language string, rows int, _key string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, size string, shard string, language string, rows int, _key string, label string, _id string, `a.b` string, `c``d` string"
 
 LONG = " ".join(f"word{n % 5000} the of it{n}" for n in range(30_000))
 
@@ -23,7 +23,7 @@ def odd_docs(spark):
         (10, "Word", "en", "a"),
         (1, "another text with the first id", "en", "a"),
     ]
-    clash = ("k", "s", "h", "l", 1, "x")
+    clash = ("k", "s", "h", "l", 1, "x", "y", "z", "dotted", "quoted")
     return spark.createDataFrame([(*r, None if r[1] is None else len(r[1]), *clash) for r in rows], SCHEMA)
 
 

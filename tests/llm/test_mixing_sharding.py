@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pathlight.llm import mixing, sharding
@@ -91,6 +92,39 @@ def test_a_heavier_shard_moves_rows_within_its_subtree_and_to_it():
     assert (after == 5).sum() > 2 * (before == 5).sum()
 
 
+def plain_shard(doc_id, shards):
+    """One row at a time: at every level the child with the smallest draw."""
+    node, key = sharding.shard_tree(shards), XXH64(doc_id)
+    while node.children:
+        draws = []
+        for child in node.children:
+            value = key ^ sharding._name_seed(child.name, 42)
+            value = (value ^ value >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+            value = (value ^ value >> 27) * 0x94D049BB133111EB % 2**64
+            value ^= value >> 31
+            draws.append(-math.log((value >> 11) * 2.0**-53 + 2.0**-54) / child.weight)
+        node = node.children[draws.index(min(draws))]
+    return node.shard
+
+
+def XXH64(number):  # noqa: N802
+    return xxhash.xxh64_intdigest(number.to_bytes(8, "little", signed=True), 42)
+
+
+def test_every_row_by_itself(spark):
+    """The law of the query, row by row: shard and grown shard by the id, slots by counting."""
+    texts = {n: None if n % 7 == 0 else "é" * (n % 13) for n in range(-20, 400)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    slots = Counter()
+    for r in sorted(records(sharding.assign_shards(docs)), key=lambda r: r["doc_id"]):
+        text = (texts[r["doc_id"]] or "").encode()
+        want = (len(text) + 1, zlib.crc32(text), plain_shard(r["doc_id"], 16), plain_shard(r["doc_id"], 17))
+        assert (r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) == want
+        assert r["slot"] == slots[r["shard"]]
+        slots[r["shard"]] += 1
+    assert sum(slots.values()) == len(texts)
+
+
 def test_shards_of_odd_rows(odd_docs, no_docs):
     rows = records(sharding.assign_shards(odd_docs, carry=["text", "lang", "size", "shard"]))
     assert len(rows) == odd_docs.count()
