@@ -1,4 +1,4 @@
-from .ann import CellIndex, ann_search, build_cells
+from .ann import CellIndex, ann_search, append_changes, build_cells, drift
 from .changes import (
     apply_changes,
     apply_summary,
@@ -42,12 +42,14 @@ __all__ = [
     "CellIndex",
     "TfIdfEmbedder",
     "ann_search",
+    "append_changes",
     "apply_changes",
     "apply_summary",
     "assign_ids",
     "batch_search",
     "blank_filter",
     "build_cells",
+    "drift",
     "change_summary",
     "dedupe_last_wins",
     "delete_by_key",

@@ -367,7 +367,8 @@ def block_search(
     a large query set can fill a task, and pairs are never emitted. The table of block counts has one row per cell.
     """
     ship_package(index.sparkSession)
-    row_bytes = 8 * max(1, queries.select(F.size("vector")).first()[0])
+    first = queries.select(F.size("vector")).first()
+    row_bytes = 8 * max(1, first[0] if first else 1)
     index_block = index_block or max(1, INDEX_BLOCK_BYTES // row_bytes)
     query_block_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // row_bytes)
 

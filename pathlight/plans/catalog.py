@@ -704,19 +704,28 @@ def cells(spark: SparkSession, sf_dir: str) -> CellIndex:
     """The vectors in 16 cells, written and read back."""
     path = scratch_dir(spark)
     op.build_cells(odd_index(spark, sf_dir), cells=16, iterations=5).write(path, rows_per_file=200)
-    return CellIndex.read(spark, path)
+    return CellIndex.read(spark, path, key="vec_id")
+
+
+def fiftieth(rows: DataFrame) -> DataFrame:
+    return odd_queries(rows).filter("query_id % 50 = 0")
 
 
 @query(
     "ann_search",
-    """SELECT vec_id AS query_id, 10::BIGINT AS hits, 10::BIGINT AS right_distances, true AS in_order, true AS found_nine_of_ten
-FROM embeddings WHERE label <> 4""",
+    """SELECT vec_id AS query_id, 10::BIGINT AS hits, 10::BIGINT AS right_distances, true AS in_order, true AS found_nine_of_ten,
+  true AS probes_told
+FROM embeddings WHERE vec_id % 50 = 0 AND label <> 4""",
 )
 def ann_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query has its ten hits, with their exact distances, in order; of all true neighbours nine in ten are found."""
+    """A search with default arguments of every row whose id is divisible by 50 against all rows.
+
+    Every query has its ten hits, with their exact distances, in order; of all true neighbours nine in ten are found; and it is told
+    in how many cells, one at least.
+    """
     rows = odd_index(spark, sf_dir)
-    queries = odd_queries(rows)
-    hits = op.ann_search(queries, cells(spark, sf_dir), probes=13, key="vec_id")
+    queries, index = fiftieth(rows), op.build_cells(rows)
+    hits = op.ann_search(queries, index, key="vec_id", report=True)
     vectors = [rows.select(F.col("vec_id").alias(name), F.col("embedding").alias(f"{name}_vector")) for name in ("query_id", "vec_id")]
     exact = op.batch_search(queries, rows, key="vec_id").select("query_id", "vec_id", F.lit(1).alias("true_hit"))
     before = F.lag(F.nanvl("distance", F.lit(3.0))).over(Window.partitionBy("query_id").orderBy("rank"))
@@ -730,6 +739,7 @@ def ann_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.count_if("right").alias("right_distances"),
             F.bool_and("later").alias("in_order"),
             F.count("true_hit").alias("true_hits"),
+            F.bool_and(F.col("probed").between(1, len(index.centres))).alias("probes_told"),
         )
     )
     true_hits, all_hits = measured.agg(F.sum("true_hits"), F.sum("hits")).first()
@@ -743,6 +753,37 @@ def ann_search_all_cells_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(op.ann_search(odd_queries(odd_index(spark, sf_dir)), cells(spark, sf_dir), probes=16, key="vec_id"))
 
 
+@query("ann_search_by_bounds", f"SELECT * FROM ({_BATCH}) WHERE query_id % 50 = 0")
+def ann_search_by_bounds_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaving out only cells whose bound cannot beat the k-th hit must give the exact answer, too."""
+    rows = odd_index(spark, sf_dir)
+    return _rounded(op.ann_search(fiftieth(rows), cells(spark, sf_dir), recall=1.0, key="vec_id"))
+
+
+_AFTER_CHANGES = f"""WITH later AS (
+  SELECT vec_id, vec_id AS given, 1 AS sign FROM embeddings WHERE vec_id % 3 <> 0 AND vec_id % 7 <> 2
+  UNION ALL SELECT vec_id, vec_id, -1 FROM embeddings WHERE vec_id % 7 = 2
+  UNION ALL SELECT vec_id + 1000000, vec_id, 1 FROM embeddings WHERE vec_id % 11 = 5),
+pairs AS (SELECT query_id, later.vec_id, CASE WHEN sign = 1 OR isnan(d) THEN d ELSE 2 - d END AS d
+  FROM ({_PAIRS}) p JOIN later ON p.vec_id = later.given WHERE query_id % 50 = 0)
+SELECT query_id, rank, vec_id, CASE WHEN isnan(d) THEN -1 ELSE round(d, 6) END AS distance FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(d, 9) NULLS LAST, vec_id) AS rank FROM pairs)
+WHERE rank <= 10"""
+
+
+@query("ann_search_after_changes", _AFTER_CHANGES)
+def ann_search_after_changes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that followed two changes - rows deleted, turned round and added - searched at full probing, without a rebuild."""
+    rows, path = odd_index(spark, sf_dir), scratch_dir(spark)
+    op.build_cells(rows, cells=16, iterations=5).write(path, rows_per_file=200)
+    read = lambda: CellIndex.read(spark, path, key="vec_id")
+    turned = rows.filter("vec_id % 7 = 2").withColumn("embedding", F.transform("embedding", lambda x: -x))
+    op.append_changes(read(), path, turned, rows.filter("vec_id % 3 = 0").select("vec_id"), key="vec_id")
+    added = rows.filter("vec_id % 11 = 5").withColumn("vec_id", F.col("vec_id") + 1_000_000)
+    op.append_changes(read(), path, added, key="vec_id")
+    return _rounded(op.ann_search(fiftieth(rows), read(), recall=1.0, key="vec_id"))
+
+
 # --- the index at rest ----------------------------------------------------------------------------------------------
 
 

@@ -9,8 +9,10 @@ from pathlight.operators import (
     DEFAULT_SQL,
     TfIdfEmbedder,
     ann_search,
+    append_changes,
     batch_search,
     build_cells,
+    drift,
     encode_query,
     ranked_hits,
     search_text,
@@ -284,3 +286,90 @@ def test_sql_search(spark, text_index):
         sql_search(index, DEFAULT_SQL, embedder=embedder)
     with pytest.raises(Exception, match="no_such_table"):
         sql_search(index, "SELECT * FROM no_such_table").collect()
+
+
+def clustered(spark, count=1200, groups=12, dim=6, seed=3):
+    """Vectors that lie close around a few directions."""
+    chosen = np.random.default_rng(seed)
+    centres = chosen.normal(size=(groups, dim))
+    rows = [(f"r{n:05}", (centres[n % groups] + 0.05 * chosen.normal(size=dim)).astype(np.float32).tolist()) for n in range(count)]
+    return spark.createDataFrame(rows, INDEX), rows
+
+
+def test_bounds_leave_out_cells_and_lose_nothing(spark):
+    index, rows = clustered(spark)
+    cells = build_cells(index, cells=30)
+    asked = [(n, rows[n * 50][1]) for n in range(20)]
+    hits = ann_search(query_frame(spark, asked), cells, 10, recall=1.0, report=True).cache()
+    assert_hits(hits.drop("probed"), brute_force(asked, rows, 10))
+    probed = {r["query_id"]: r["probed"] for r in hits.select("query_id", "probed").distinct().collect()}
+    assert len(probed) == 20 and max(probed.values()) < 20
+    joined = ann_search(query_frame(spark, asked), cells, 10, recall=1.0, report=True, max_broadcast_bytes=64)
+    assert_hits(joined.drop("probed"), brute_force(asked, rows, 10))
+    assert {r["query_id"]: r["probed"] for r in joined.select("query_id", "probed").distinct().collect()} == probed
+
+
+def test_recall_at_the_defaults_and_fewer_probes_for_less(spark):
+    chosen = np.random.default_rng(8)
+    rows = [(f"r{n:05}", [float(x) for x in chosen.normal(size=16)]) for n in range(3000)]
+    index = spark.createDataFrame(rows, INDEX).repartition(4).cache()
+    asked = query_frame(spark, [(n, rows[n * 50][1]) for n in range(60)])
+    exact = batch_search(asked, index, 10).cache()
+    cells, probed = build_cells(index, cells=64), {}
+    for recall, least in ((0.6, 0.5), (0.95, 0.9), (1.0, 1.0)):
+        hits = ann_search(asked, cells, 10, recall=recall, report=True).cache()
+        assert hits.join(exact, ["query_id", "file_path"], "left_semi").count() >= least * 600
+        probed[recall] = hits.agg(F.avg("probed")).first()[0]
+    assert probed[0.6] < probed[0.95] < probed[1.0]
+    hits = ann_search(asked, build_cells(index), 10)
+    assert hits.join(exact, ["query_id", "file_path"], "left_semi").count() >= 540
+
+
+def test_cells_follow_changes(spark, index, vectors, queries, tmp_path):
+    path, rows = str(tmp_path / "cells"), dict(vectors)
+    build_cells(index, cells=5).write(path)
+    changes = [
+        ({p: [-x for x in v] if v else v for p, v in vectors[:30]} | {"new/a": [1.0] * len(vectors[40][1])}, [p for p, _ in vectors[20:60]]),
+        ({"new/b": None, "new/a": [0.0] * len(vectors[40][1])}, [vectors[100][0], "unknown"]),
+        ({vectors[100][0]: vectors[101][1]}, []),
+    ]
+    for written, gone in changes:
+        for path_gone in gone:
+            rows.pop(path_gone, None)
+        rows |= written
+        upserts = spark.createDataFrame([(p, None if v is None else [float(x) for x in v]) for p, v in written.items()], INDEX)
+        deletes = spark.createDataFrame([(p,) for p in gone], "file_path string") if gone else None
+        append_changes(CellIndex.read(spark, path), path, upserts, deletes)
+    followed = CellIndex.read(spark, path)
+    assert followed.rows.count() == len(rows)
+    assert_hits(ann_search(query_frame(spark, queries), followed, 10, recall=1.0), brute_force(queries, list(rows.items()), 10))
+    assert_hits(ann_search(query_frame(spark, queries), followed, 10, probes=5), brute_force(queries, list(rows.items()), 10))
+    one = ann_search(query_frame(spark, queries[:1]), followed, 5, probes=1)
+    assert one._jdf.queryExecution().executedPlan().toString().count("PartitionFilters: [cell") >= 2
+    known = drift(spark, path)
+    assert 0 < known["later_share"] < 0.5 and known["angle_ratio"] > 0
+
+
+def test_drift_asks_for_a_refit(spark, tmp_path):
+    index, rows = clustered(spark, 200)
+    path = str(tmp_path / "cells")
+    build_cells(index, cells=12).write(path)
+    assert drift(spark, path) == {"later_share": 0.0, "angle_ratio": 1.0, "refit": False}
+    strange = spark.createDataFrame([(f"s{n}", [-x + n % 3 for x in v]) for n, (_, v) in enumerate(rows[:20])], INDEX)
+    append_changes(CellIndex.read(spark, path), path, strange)
+    assert drift(spark, path)["refit"] and drift(spark, path)["angle_ratio"] > 1.2
+
+
+def test_an_index_without_a_direction_has_no_cells(spark, tmp_path):
+    for rows in ([], [("a", None), ("b", [0.0, 0.0])]):
+        frame = spark.createDataFrame(rows, INDEX)
+        build_cells(frame).write(str(tmp_path / f"cells{len(rows)}"))
+        cells = CellIndex.read(spark, str(tmp_path / f"cells{len(rows)}"))
+        asked = query_frame(spark, [(1, [1.0, 2.0])])
+        assert ann_search(asked, cells, 3).count() == len(rows)
+        append_changes(cells, str(tmp_path / f"cells{len(rows)}"), spark.createDataFrame([("c", [1.0, 1.0])], INDEX))
+        again = CellIndex.read(spark, str(tmp_path / f"cells{len(rows)}"))
+        assert ann_search(asked, again, 3).count() == len(rows) + 1
+    few = spark.createDataFrame([], "query_id int, embedding array<float>")
+    index, _ = clustered(spark, 50)
+    assert ann_search(few, build_cells(index, cells=4), 3).count() == 0
