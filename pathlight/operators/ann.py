@@ -110,10 +110,11 @@ class CellIndex:
     def _held(self) -> np.ndarray:
         return np.ones(len(self.centres), bool) if self.counts is None else self.counts > 0
 
-    def write(self, path: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    def write(self, path: str, rows_per_file: int = ROWS_PER_FILE, version: int = 0) -> None:
         """Save as Parquet with one folder per cell, so that a search opens only the folders it probes.
 
-        A large cell is written by several tasks, in proportion to its rows. Changes appended to an older index are gone.
+        A large cell is written by several tasks, in proportion to its rows. ``version`` is that of the index they were built
+        from. Changes appended to older cells are gone.
         """
         placed = _dealt(self.rows, self.embedding, rows_per_file)
         placed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("cell").parquet(f"{path}/rows")
@@ -122,7 +123,8 @@ class CellIndex:
         spark.createDataFrame(self._described(), _CENTRES).write.mode("overwrite").parquet(f"{path}/centres")
         needs = [] if self.needs is None else [(float(need),) for need in self.needs]
         spark.createDataFrame(needs, "need double").coalesce(1).write.mode("overwrite").parquet(f"{path}/needs")
-        spark.createDataFrame([], f"{_CENTRES}, delta int, version bigint").write.mode("overwrite").parquet(f"{path}/later")
+        built = [(None, None, None, 0, 0.0, None, version)]
+        spark.createDataFrame(built, f"{_CENTRES}, delta int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/later")
 
     def _described(self) -> list[tuple]:
         none = np.zeros(len(self.centres))
@@ -150,7 +152,7 @@ class CellIndex:
                 counts[cell] += row["rows"]
                 angles[cell] += row["angles"]
         needs = np.sort(column("need", spark.read.parquet(f"{path}/needs").collect()))
-        deltas = sorted({row["delta"] for row in later})
+        deltas = sorted({row["delta"] for row in later if row["delta"] is not None})
         if deltas:
             stored = T.StructType([*schema.fields, T.StructField("_deleted", T.BooleanType()), T.StructField("delta", T.IntegerType())])
             reader = spark.read.schema(stored).option("basePath", f"{path}/deltas")
@@ -296,9 +298,14 @@ def append_changes(
     )
 
 
-def cells_version(spark: SparkSession, path: str, built: int = 0) -> int:
-    """The version of the index up to which written cells have followed it; ``built`` if nothing was appended."""
-    return spark.read.parquet(f"{path}/later").agg(F.max("version")).first()[0] or built
+def has_cells(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/later/_SUCCESS")
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def cells_version(spark: SparkSession, path: str) -> int:
+    """The version of the index which written cells were built from, or have followed to."""
+    return spark.read.parquet(f"{path}/later").agg(F.max("version")).first()[0] or 0
 
 
 def drift(spark: SparkSession, path: str) -> dict[str, float | bool]:

@@ -57,7 +57,7 @@ def _slices(texts: pa.Array) -> Iterator[pa.Array]:
 
 
 def fit_idf(corpus: DataFrame, dim: int = DEFAULT_DIM, text: str = "code_text") -> DataFrame:
-    """``(bucket, documents, total, idf)``: exactly ``dim`` rows, whatever the size of the corpus.
+    """``(bucket, documents, total, idf)``: exactly ``dim`` rows, whatever the size of the corpus. Without documents all weigh 1.
 
     Each task adds up its own part and sends ``dim`` rows; ``total`` is the number of documents.
     """
@@ -74,10 +74,14 @@ def fit_idf(corpus: DataFrame, dim: int = DEFAULT_DIM, text: str = "code_text")
                 {"bucket": np.arange(dim, dtype=np.int32), "documents": documents, "total": np.full(dim, total)}
             )
 
+    none = corpus.sparkSession.range(dim).select(
+        F.col("id").cast("int").alias("bucket"), F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("total")
+    )
     counts = (
         corpus.filter(F.col(text).isNotNull())
         .select(text)
         .mapInArrow(count_documents, "bucket int, documents bigint, total bigint")
+        .unionByName(none)
         .groupBy("bucket")
         .agg(F.sum("documents").alias("documents"), F.sum("total").alias("total"))
     )

@@ -5,6 +5,7 @@ from .pipelines import (
     incremental_index,
     index_diff,
     prepare,
+    refresh_cells,
     stored_embedder,
     texts_of,
 )
@@ -16,6 +17,7 @@ __all__ = [
     "incremental_index",
     "index_diff",
     "prepare",
+    "refresh_cells",
     "stored_embedder",
     "texts_of",
 ]

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import LANGUAGES, is_blank, language_of, strip_header
 from ..operators.changes import digest_diff, keep_by_key, route_changes, snapshot_diff
 from ..operators.clean import ignore_filter
+from ..operators.ann import DEFAULT_CELLS, CellIndex, append_changes, build_cells, cells_version, drift, has_cells
 from ..operators.embed import Embedder, TfIdfEmbedder, fit_idf
 from ..sources.corpus import paths_frame
 from ..sources.store import IndexStore, State, text_digest
@@ -56,6 +57,13 @@ def stored_embedder(store: IndexStore) -> TfIdfEmbedder:
     return TfIdfEmbedder(store.read_model())
 
 
+def embedder_for(store: IndexStore, texts: DataFrame) -> tuple[TfIdfEmbedder, int | None]:
+    """The stored embedder; or a new one, and the number of its model, if that in force was fitted when there was no text yet."""
+    if store.read_model().filter("total = 0").limit(1).count():
+        return fit_model(store, texts)
+    return stored_embedder(store), None
+
+
 def fit_model(store: IndexStore, texts: DataFrame) -> tuple[TfIdfEmbedder, int]:
     """A new embedder and the number of its model, which comes into force with the version published with it."""
     number = store.write_model(fit_idf(texts, store.dim))
@@ -124,13 +132,15 @@ def incremental_index(
         changes = index_diff(digests, files, languages)
     elif "change" not in changes.columns:
         changes = route_changes(changes)
-    embedder = embedder or stored_embedder(store)
     # A short table of paths, needed several times and possibly the result of comparing two corpora.
     changes = store.stage(ignore_filter(changes.select("change", "file_path"), rules), "changes")
     paths = changes.filter(F.col("change").isin("A", "M"))
     removed = changes.filter(F.col("change") == "D")
+    written, model = keep_by_key(files, paths), None
+    if embedder is None:
+        embedder, model = embedder_for(store, texts_of(written, languages))
     finish = finisher(embedder, languages)
-    return store.publish_index(keep_by_key(files, paths), removed, source_version, finish=finish, keys=paths)
+    return store.publish_index(written, removed, source_version, finish=finish, keys=paths, model=model)
 
 
 def add_delete_index(
@@ -152,13 +162,32 @@ def add_delete_index(
     paths, model = paths_frame(spark, add), None
     written = keep_by_key(files, paths)
     if embedder is None and store.state().version:
-        embedder = stored_embedder(store)
+        embedder, model = embedder_for(store, texts_of(written, languages))
     elif embedder is None:
         embedder, model = fit_model(store, texts_of(written, languages))
     finish = finisher(embedder, languages)
     return store.publish_index(written, paths_frame(spark, delete), finish=finish, keys=paths, model=model)
 
 
+def refresh_cells(store: IndexStore, path: str, cells: int = DEFAULT_CELLS, **how) -> CellIndex:
+    """Cells for approximate search that hold the newest version of an index, at ``path``.
+
+    Cells that are there follow what was written and removed since: the change alone is read, placed and added. They are built
+    anew if there are none, if a full version was published since, or if the rows added have drifted away (:func:`drift`).
+    ``how`` goes to :func:`build_cells`.
+    """
+    spark, state = store.spark, store.state()
+    if has_cells(spark, path) and not drift(spark, path)["refit"]:
+        reached = cells_version(spark, path)
+        changes = store.changes_since(reached)
+        if changes is not None:
+            if reached < state.version:
+                append_changes(CellIndex.read(spark, path), path, *changes, version=state.version)
+            return CellIndex.read(spark, path)
+    build_cells(store.read().select("file_path", "embedding"), cells, **how).write(path, version=state.version)
+    return CellIndex.read(spark, path)
+
+
 __all__ = [
     "add_delete_index",
     "full_changes",
@@ -166,6 +195,7 @@ __all__ = [
     "incremental_index",
     "index_diff",
     "prepare",
+    "refresh_cells",
     "stored_embedder",
     "texts_of",
 ]

@@ -6,6 +6,9 @@ half-written publish is never seen, and data, model, version name and time becom
 last full version and lays the later changes over it; :meth:`IndexStore.compact` writes a new full version,
 :meth:`IndexStore.merge` folds the later changes into one, and :meth:`IndexStore.vacuum` removes what nobody can read.
 
+Beside the rows of a version lie its keys: one short row per path, in buckets by the hash of the path. Whatever is decided by
+paths, ids and digests reads these, and only the buckets of the paths concerned. Texts and vectors are never shuffled.
+
 One writer at a time is assumed, as many readers as you like.
 """
 
@@ -40,9 +43,14 @@ _SEGMENT_SCHEMA = T.StructType(
         T.StructField("broken", T.ArrayType(T.StringType())),
         T.StructField("digest", T.StringType()),
         T.StructField("seq", T.StringType()),
+        T.StructField("removed_at", T.TimestampType()),
+        T.StructField("row", T.LongType()),
         T.StructField("v", T.LongType()),
     ]
 )
+# One row for each path and kind - ``live``, ``deleted`` or ``broken`` - of a version: ``row`` and what else is known of the one
+# that counts, ``n`` how many there are.
+_KEY_SCHEMA = "file_path string, kind string, id bigint, digest string, seq string, row bigint, n bigint, v bigint, bucket int"
 STATE_SCHEMA = T.StructType(
     [
         T.StructField("version", T.LongType(), False),
@@ -57,6 +65,7 @@ STATE_SCHEMA = T.StructType(
         T.StructField("last_id", T.LongType()),
         T.StructField("model", T.LongType()),
         T.StructField("replaces", T.LongType()),
+        T.StructField("buckets", T.IntegerType()),
         T.StructField("indexed_at", T.TimestampType()),
     ]
 )
@@ -64,6 +73,15 @@ _MODEL_SCHEMA = "bucket int, documents bigint, total bigint, idf double"
 
 # Versions after the last full one are folded into a full version once they hold this share of its rows.
 FULL_SHARE = 0.25
+# So many versions after the last full one are folded by the next publish.
+FOLD_EVERY = 50
+
+# Paths of a full version in one bucket of its keys, and the most buckets.
+BUCKET_PATHS = 1_000_000
+MOST_BUCKETS = 4096
+
+# For so long the marks of removed paths are kept that tell late writes of a stream from new ones.
+MARK_DAYS = 30
 
 
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
@@ -80,7 +98,8 @@ def text_digest(text: str = "code_text") -> Column:
 class State:
     """The newest committed version. Before the first publish all counts are 0 and ``source_version`` is None.
 
-    ``model`` is the version with which the model in force was stored, 0 if there is none.
+    ``model`` is the version with which the model in force was stored, 0 if there is none. ``buckets`` is the number of buckets
+    in which keys lie from the last full version on.
     """
 
     version: int = 0
@@ -88,13 +107,15 @@ class State:
     source_version: str | None = None
     last_id: int = 0
     model: int = 0
+    buckets: int = 1
 
 
 class IndexStore:
-    def __init__(self, spark: SparkSession, root: str, dim: int) -> None:
+    def __init__(self, spark: SparkSession, root: str, dim: int, bucket_paths: int = BUCKET_PATHS) -> None:
         self.spark = spark
         self.root = root.rstrip("/")
         self.dim = dim
+        self.bucket_paths = bucket_paths
 
     # --- state ---
 
@@ -134,7 +155,7 @@ class IndexStore:
             return State()
         last = committed[-1]
         base = max(row["version"] for row in committed if row["full"])
-        return State(last["version"], base, last["source_version"], last["last_id"], last["model"] or 0)
+        return State(last["version"], base, last["source_version"], last["last_id"], last["model"] or 0, last["buckets"] or 1)
 
     def version_of(self, source_version: str) -> int:
         """The newest version published as ``source_version``; an unknown one is an error."""
@@ -163,7 +184,18 @@ class IndexStore:
 
     def digests(self, version: int | None = None) -> DataFrame:
         """``(file_path, digest)`` of all rows: enough to tell what has changed, without reading a text."""
-        return self._rows(self._committed(version), ["file_path", "digest"])
+        return self._rows(self._committed(version), ["file_path", "digest"], self._keys)
+
+    def changes_since(self, version: int) -> tuple[DataFrame, DataFrame] | None:
+        """``(rows, paths)``: what was written and what was removed after a version; None if a full version has come since."""
+        committed = self._committed()
+        if not committed or self._state(committed).base > version:
+            return None
+        later = [row for row in committed if row["version"] > version]
+        if not later:
+            return empty_frame(self.spark, INDEX_SCHEMA), empty_frame(self.spark, T.StructType([INDEX_SCHEMA["file_path"]]))
+        last = _latest(self._segments(later))
+        return last.filter(~F.col("deleted")).select(*INDEX_SCHEMA.fieldNames()), last.filter("deleted").select("file_path")
 
     def _segments(self, committed: list[Row]) -> DataFrame:
         """Rows of the given versions that are in force. Only their folders are listed."""
@@ -171,16 +203,33 @@ class IndexStore:
         reader = self.spark.read.schema(_SEGMENT_SCHEMA).option("basePath", f"{self.root}/segments")
         return reader.parquet(*folders).filter(F.col("broken").isNull())
 
-    def _rows(self, committed: list[Row], columns: list[str] | None = None) -> DataFrame:
-        columns = columns or INDEX_SCHEMA.fieldNames()
+    def _keys(self, committed: list[Row], buckets: list[int] | None = None) -> DataFrame:
+        """Keys of the given versions, in some buckets or all; ``deleted`` as in segments."""
+        folders = [f"{self.root}/keys/v={row['version']}" for row in committed]
+        reader = self.spark.read.schema(_KEY_SCHEMA).option("basePath", f"{self.root}/keys")
+        found = reader.parquet(*folders).filter("kind <> 'broken'").withColumn("deleted", F.col("kind") == "deleted")
+        return found if buckets is None else found.filter(F.col("bucket").isin(buckets))
+
+    def _touched(self, paths: DataFrame, state: State) -> list[int] | None:
+        """The buckets in which some paths lie; None stands for all of them."""
+        if state.buckets == 1:
+            return None
+        found = paths.select(_bucket(state.buckets).alias("bucket")).distinct().collect()
+        return None if len(found) == state.buckets else [row["bucket"] for row in found]
+
+    def _rows(
+        self, committed: list[Row], columns: list[str] | None = None, source: Callable[[list[Row]], DataFrame] | None = None
+    ) -> DataFrame:
+        """Current rows: those of the last full version without the paths changed since, and the last of each of these."""
+        columns, source = columns or INDEX_SCHEMA.fieldNames(), source or self._segments
         if not committed:
             return empty_frame(self.spark, T.StructType([_SEGMENT_SCHEMA[name] for name in columns]))
         base = self._state(committed).base
-        rows = self._segments([row for row in committed if row["version"] == base]).filter(~F.col("deleted")).select(*columns)
+        rows = source([row for row in committed if row["version"] == base]).filter(~F.col("deleted")).select(*columns)
         later = [row for row in committed if row["version"] > base]
         if not later:
             return rows
-        changes = self._segments(later)
+        changes = source(later)
         live = _latest(changes).filter(~F.col("deleted")).select(*columns)
         return delete_by_key(rows, changes).unionByName(live)
 
@@ -207,17 +256,18 @@ class IndexStore:
     ) -> State:
         """Apply one batch, deletes before upserts, and commit it. ``source_version`` None keeps the stored one.
 
-        ``upserts`` are ``(file_path, code_text, embedding)``, one row per path unless ``order`` names the columns that
-        tell the last of several writes to one path. With ``finish`` they may have any columns besides ``file_path``,
+        ``upserts`` are ``(file_path, code_text, embedding)``. Of several rows for one path the last by the columns named in
+        ``order`` counts; without ``order`` one is taken - by its digest, so a rerun takes the same text - and the others are
+        set aside as ``path_not_unique``. With ``finish`` they may have any columns besides ``file_path``,
         and ``finish`` makes the other two of them while the version is written; it may also add ``deleted`` (this path
         is to be removed after all) and ``unembedded`` (no vector could be made). With ``full`` the upserts are the whole
         index: paths that are not among them are gone. ``model`` names a model stored by :meth:`write_model`, which comes
         into force with this version.
 
         Rows that break a rule of the index are set aside (see :meth:`rejected`) and not applied. Replaced rows keep
-        their id; new ones get ids above all earlier ones, unique but with gaps. For a first version this is a single
-        map-only job; otherwise only paths and ids of the index are read, and joined with the paths of the batch:
-        ``keys``, if these - or more - are known without computing the upserts.
+        their id; new ones get ids above all earlier ones, unique but with gaps. A first version is written by a single map-only
+        job, of which keys are made then; otherwise only paths and ids in the buckets of the batch's paths are read, and
+        joined with these: ``keys``, if these - or more - are known without computing the upserts.
         """
         committed = self._committed()
         before = self._state(committed)
@@ -234,10 +284,11 @@ class IndexStore:
         if before.version == 0:
             rows = upserts.withColumn("id", F.lit(before.last_id + 1) + F.monotonically_increasing_id())
         else:
-            known = self._rows(committed, ["file_path", "id"])
+            paths = (upserts if keys is None else keys).select("file_path").filter(F.col("file_path").isNotNull()).distinct()
+            touched = self._touched(paths, before)
+            known = self._rows(committed, ["file_path", "id"], lambda rows: self._keys(rows, touched))
             if requests:
                 known = delete_by_key(known, deletes)
-            paths = (upserts if keys is None else keys).select("file_path").filter(F.col("file_path").isNotNull()).distinct()
             numbered = number_keys(paths.join(known, "file_path", "left"), before.last_id)
             rows = upserts.drop("id").join(numbered, "file_path", "left")
         if finish:
@@ -247,7 +298,8 @@ class IndexStore:
             markers = deletes.groupBy("file_path").agg(F.max("seq").alias("seq")) if "seq" in deletes.columns else deletes.distinct()
             rows = rows.unionByName(markers.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
         self._write_segment(rows, version)
-        return self._commit(version, before, source_version, requests, stream, batch_id, full=full, model=model)
+        self._commit(version, before, source_version, requests, stream, batch_id, full=full, model=model)
+        return self.fold()
 
     def _marked(self, rows: DataFrame) -> DataFrame:
         """Rows as they are stored: removed ones without contents, and the broken rules of the others."""
@@ -274,13 +326,15 @@ class IndexStore:
     def compact(self) -> State:
         """Write the current rows as a full version, so that readers no longer merge.
 
-        Marks of removed paths stay if they have a place in a stream: late writes are told from new ones by them.
+        Marks of removed paths that have a place in a stream stay for MARK_DAYS: late writes are told from new ones by them.
         """
         committed = self._committed()
         before = self._state(committed)
         stored = [name for name in _SEGMENT_SCHEMA.fieldNames() if name != "v"]
         rows = self._rows(committed, stored)
-        marks = _latest(self._segments(committed)).filter(F.col("deleted") & F.col("seq").isNotNull()).select(*stored)
+        young = F.col("removed_at") > F.current_timestamp() - F.expr(f"INTERVAL '{MARK_DAYS}' DAY")
+        last = _latest(self._segments(committed))
+        marks = last.filter(F.col("deleted") & F.col("seq").isNotNull() & young).select(*stored)
         self._write_segment(rows.unionByName(marks), before.version + 1)
         return self._commit(before.version + 1, before, None, 0, None, None, full=True, written=False)
 
@@ -296,9 +350,9 @@ class IndexStore:
             before.version + 1, before, None, 0, None, None, written=False, replaces=later[0]["version"]
         )
 
-    def tidy(self, most: int = 20) -> State:
+    def fold(self, most: int = FOLD_EVERY) -> State:
         """Once ``most`` versions have come after the last full one, fold them: into a full version if they hold a share of
-        :data:`FULL_SHARE` of its rows, else into one. Then remove what is no longer read."""
+        :data:`FULL_SHARE` of its rows, else into one. Every publish does so; earlier versions stay readable."""
         committed = self._committed()
         state = self._state(committed)
         later = [row for row in committed if row["version"] > state.base]
@@ -306,8 +360,14 @@ class IndexStore:
             return state
         base = next(row for row in committed if row["version"] == state.base)
         changed = sum(row["upserted"] + row["deleted"] for row in later)
-        state = self.compact() if changed >= FULL_SHARE * max(1, base["upserted"]) else self.merge()
-        self.vacuum()
+        return self.compact() if changed >= FULL_SHARE * max(1, base["upserted"]) else self.merge()
+
+    def tidy(self, most: int = 20) -> State:
+        """:meth:`fold`, and then remove what is no longer read."""
+        before = self.state()
+        state = self.fold(most)
+        if state.version != before.version:
+            self.vacuum()
         return state
 
     def vacuum(self) -> None:
@@ -323,7 +383,7 @@ class IndexStore:
             if previous is not None:
                 kept |= {row["version"] for row in self._committed(previous)}
             models = {row["model"] for row in state.filter(F.col("version").isin(list(kept))).select("model").collect()}
-            for name, wanted in (("segments", kept), ("models", models)):
+            for name, wanted in (("segments", kept), ("keys", kept), ("models", models)):
                 for folder in self._folders(name):
                     if folder.startswith("v=") and int(folder[2:]) not in wanted:
                         self._remove(f"{name}/{folder}")
@@ -352,20 +412,19 @@ class IndexStore:
         self, version, before, source_version, requests, stream, batch_id, full=False, model=None, written=True, replaces=None
     ) -> State:
         """``written``: whether the rows of the version are changes, and not a copy of those of earlier ones."""
-        counts = (
-            self.spark.read.schema(_SEGMENT_SCHEMA)
-            .parquet(f"{self.root}/segments/v={version}")
-            .agg(
-                F.count_if(~F.col("deleted") & F.col("broken").isNull()).alias("upserted"),
-                F.count_if("deleted").alias("deleted"),
-                F.count_if(F.col("broken").isNotNull()).alias("rejected"),
-                F.max("id").alias("last_id"),
-            )
-            .first()
-        )
+        is_full = full or before.base == 0
+        # Counting reads the footers of files only.
+        buckets = before.buckets
+        if is_full:
+            buckets = min(MOST_BUCKETS, -(-max(1, self._segment(version).count()) // self.bucket_paths))
+        counts = self._write_keys(version, buckets)
+        if counts["repeated"]:
+            self._set_aside(version)
+            version += 1
+            counts = self._write_keys(version, buckets)
         kept = before.source_version if source_version is None else source_version
         last_id = max(before.last_id, counts["last_id"] or 0)
-        base = version if full or before.base == 0 else before.base
+        base = version if is_full else before.base
         model = before.model if model is None else model
         row = self.spark.range(1).select(
             F.lit(version).cast("bigint").alias("version"),
@@ -380,17 +439,64 @@ class IndexStore:
             F.lit(last_id).cast("bigint").alias("last_id"),
             F.lit(model).cast("bigint").alias("model"),
             F.lit(replaces).cast("bigint").alias("replaces"),
+            F.lit(buckets).cast("int").alias("buckets"),
             F.current_timestamp().alias("indexed_at"),
         )
         row.coalesce(1).write.mode("append").parquet(f"{self.root}/state")
-        return State(version, base, kept, last_id, model)
+        return State(version, base, kept, last_id, model, buckets)
+
+    def _segment(self, version: int) -> DataFrame:
+        return self.spark.read.schema(_SEGMENT_SCHEMA).parquet(f"{self.root}/segments/v={version}")
+
+    def _write_keys(self, version: int, buckets: int) -> Row:
+        """Write the keys of a version and count them: ``upserted, deleted, rejected, repeated, last_id``.
+
+        Rows of one path are combined before the shuffle, so neither a path nor a bucket gathers them.
+        """
+        kind = F.when(F.col("deleted"), "deleted").when(F.col("broken").isNotNull(), "broken").otherwise("live")
+        place = F.struct("digest", "row")
+        keys = (
+            self._segment(version)
+            .select("file_path", kind.alias("kind"), "id", "digest", "seq", "row")
+            .groupBy("file_path", "kind")
+            .agg(F.max_by(F.struct("id", "digest", "row"), place).alias("last"), F.max("seq").alias("seq"), F.count("*").alias("n"))
+            .select("file_path", "kind", "last.id", "last.digest", "seq", "last.row", "n", _bucket(buckets).alias("bucket"))
+        )
+        dealt = keys.repartition(buckets, "bucket").sortWithinPartitions("bucket", "file_path") if buckets > 1 else keys
+        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/keys/v={version}")
+        live = F.col("kind") == "live"
+        return (
+            self.spark.read.schema(_KEY_SCHEMA)
+            .option("basePath", f"{self.root}/keys")
+            .parquet(f"{self.root}/keys/v={version}")
+            .agg(
+                F.count_if(live).alias("upserted"),
+                F.count_if(F.col("kind") == "deleted").alias("deleted"),
+                F.coalesce(F.sum(F.when(F.col("kind") == "broken", F.col("n"))), F.lit(0)).alias("rejected"),
+                F.count_if(live & (F.col("n") > 1)).alias("repeated"),
+                F.max("id").alias("last_id"),
+            )
+            .first()
+        )
+
+    def _set_aside(self, version: int) -> None:
+        """Write the rows of a version anew, as the next one, with all rows of a path but the one that counts as broken."""
+        keys = self.spark.read.schema(_KEY_SCHEMA).option("basePath", f"{self.root}/keys").parquet(f"{self.root}/keys/v={version}")
+        kept = keys.filter("kind = 'live' AND n > 1").select("file_path", F.col("row").alias("_kept"))
+        rows = self._segment(version).join(kept, "file_path", "left")
+        other = ~F.col("deleted") & F.col("broken").isNull() & (F.col("row") != F.col("_kept"))
+        broken = F.when(other, F.array(F.lit("path_not_unique"))).otherwise(F.col("broken"))
+        self._write_segment(rows.withColumn("broken", broken).drop("_kept"), version + 1)
+        for name in ("segments", "keys"):
+            self._remove(f"{name}/v={version}")
 
     def places(self, paths: DataFrame) -> DataFrame:
         """``(file_path, stored_seq)``: the last place in a stream at which each of some paths was written or removed."""
         committed = self._committed()
         if not committed:
             return empty_frame(self.spark, T.StructType.fromDDL("file_path string, stored_seq string"))
-        rows = self._segments(committed).select("file_path", "seq").filter(F.col("seq").isNotNull())
+        touched = self._touched(paths, self._state(committed))
+        rows = self._keys(committed, touched).select("file_path", "seq").filter(F.col("seq").isNotNull())
         return keep_by_key(rows, paths).groupBy("file_path").agg(F.max("seq").alias("stored_seq"))
 
     # --- tables beside the index ---
@@ -403,9 +509,11 @@ class IndexStore:
     # --- files ---
 
     def _write_segment(self, rows: DataFrame, version: int) -> None:
-        for name in ("digest", "seq"):
+        for name in ("digest", "seq", "removed_at"):
             if name not in rows.columns:
                 rows = rows.withColumn(name, F.lit(None))
+        removed = F.when(F.col("deleted"), F.coalesce(F.col("removed_at").cast("timestamp"), F.current_timestamp()))
+        rows = rows.withColumns({"removed_at": removed, "row": F.monotonically_increasing_id()})
         columns = [F.col(f.name).cast(f.dataType) for f in _SEGMENT_SCHEMA if f.name != "v"]
         self._write(rows.select(*columns), f"segments/v={version}")
 
@@ -422,6 +530,10 @@ class IndexStore:
             return empty_frame(self.spark, schema)
 
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64("file_path"), F.lit(buckets)).cast("int")
+
+
 def _latest(changes: DataFrame) -> DataFrame:
     """The last row of every path. Within one version a written row counts more than a deletion of the same path."""
     return dedupe_last_wins(changes.withColumn("_live", ~F.col("deleted")), ["v", "_live"]).drop("_live")

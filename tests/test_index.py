@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pathlight.operators import BatchEmbedder, TfIdfEmbedder, ignore_filter, snapshot_diff
-from pathlight.plans import add_delete_index, full_changes, full_index, incremental_index, index_diff
+from pathlight.operators import BatchEmbedder, TfIdfEmbedder, ann_search, batch_search, ignore_filter, snapshot_diff
+from pathlight.plans import add_delete_index, full_changes, full_index, incremental_index, index_diff, refresh_cells
 from pathlight.plans.pipelines import fit_model, stored_embedder, texts_of
 from pathlight.session import scratch_dir
 from pathlight.sources import IndexStore, State
@@ -423,7 +423,8 @@ def test_files_of_a_long_stream_stay_bounded(spark, store, embedder, tmp_path):
         store.tidy(4)
         if number % 8 == 7:
             sizes.append(sum(len(names) for _, _, names in os.walk(store.root)))
-    assert sizes[2] <= sizes[0] + 8
+    # Folding happens every few versions, each of which has rows and keys.
+    assert sizes[2] <= sizes[0] + 16
     assert len(store._committed()) <= 6
     assert contents(store)["p3"] == "text 23"
 
@@ -439,3 +440,119 @@ def test_order_keys_sort_as_their_columns(spark):
         rows = frame.withColumn("key", order_key(frame, order)).orderBy(*order).collect()
         keys = [r["key"] for r in rows]
         assert keys == sorted(keys) and len(set(keys)) == len(keys)
+
+
+def test_one_row_for_each_path(spark, store, embedder):
+    """Of several rows for one path one is kept, the same in a rerun; the others are set aside and counted."""
+    given = [("a", "1"), ("a", "2"), ("b", "1"), (None, "x"), (None, "y")] + [("hot", str(n % 7)) for n in range(300)]
+    states = []
+    for other in (store, IndexStore(spark, scratch_dir(spark), 4)):
+        states.append(other.publish_index(rows(spark, *given).repartition(5), source_version="x"))
+        assert other.index_state().first()["rejected"] == 1 + 299 + 2 and other.index_state().first()["upserted"] == 3
+        broken = other.rejected().groupBy("file_path").count().collect()
+        assert {r["file_path"]: r["count"] for r in broken} == {"a": 1, "hot": 299, None: 2}
+    assert contents(store) == contents(other) and set(contents(store)) == {"a", "b", "hot"}
+    before = ids(store)
+    store.publish_index(rows(spark, *given, ("c", "1")), paths(spark, "b", "b"))
+    assert set(ids(store)) == {"a", "b", "c", "hot"} and ids(store)["a"] == before["a"] and ids(store)["hot"] == before["hot"]
+    assert store.index_state().collect()[-1]["upserted"] == 4
+    store.compact()
+    assert len(contents(store)) == 4 and store.state().base == store.state().version
+    repeated = corpus(spark, V1).unionByName(corpus(spark, V1))
+    full_index(store, repeated, embedder=embedder)
+    assert store.read().count() == len(V1)
+    incremental_index(store, corpus(spark, V2).unionByName(corpus(spark, V2)), embedder=embedder)
+    assert contents(store) == {path: text.strip() if path.endswith("md") else contents(store)[path] for path, text in V2.items()}
+
+
+def test_a_publish_reads_only_the_buckets_it_touches(spark, monkeypatch):
+    store = IndexStore(spark, scratch_dir(spark), 4, bucket_paths=50)
+    store.publish_index(rows(spark, *[(f"p{n}", "1") for n in range(1000)]))
+    assert store.state().buckets == 20
+    read = []
+    real = IndexStore._keys
+    monkeypatch.setattr(IndexStore, "_keys", lambda self, committed, buckets=None: read.append(real(self, committed, buckets)) or read[-1])
+    before = ids(store)
+    read.clear()
+    store.publish_index(rows(spark, ("p7", "2"), ("new", "2")), paths(spark, "p8"))
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "embedding" not in plan and "segments" not in plan
+    assert 0 < len(read[0].select("bucket").distinct().collect()) <= 2
+    after = ids(store)
+    assert after["p7"] == before["p7"] and "p8" not in after and len(after) == 1000 and after["new"] > max(before.values())
+    for _ in range(3):
+        store.publish_index(rows(spark, ("p9", "3")))
+    assert store.merge().buckets == 20 and ids(store) == after
+    store.compact()
+    store.vacuum()
+    assert ids(store) == after and {r["file_path"] for r in store.digests().collect()} == set(after)
+
+
+def test_runs_with_nothing_to_index(spark):
+    store = IndexStore(spark, scratch_dir(spark), 4)
+    state = full_index(store, corpus(spark, V1), ["*"], source_version="none")
+    assert store.read().count() == 0 and state.source_version == "none"
+    incremental_index(store, corpus(spark, V2), source_version="some")
+    assert set(contents(store)) == set(V2)
+    assert store.read_model().first()["total"] == 3
+    empty = IndexStore(spark, scratch_dir(spark), 4)
+    full_index(empty, corpus(spark, {"a.py": "import os\n", "b.md": " \n"}))
+    assert empty.read().count() == 0
+    only = IndexStore(spark, scratch_dir(spark), 4)
+    add_delete_index(only, corpus(spark, V1), delete="main.py unknown.py")
+    assert only.read().count() == 0
+    add_delete_index(only, corpus(spark, V1), add="main.py")
+    assert set(contents(only)) == {"main.py"} and only.read_model().first()["total"] == 1
+
+
+def test_every_publish_folds_a_long_history(spark, store, monkeypatch):
+    from pathlight.sources import store as module
+
+    monkeypatch.setattr(IndexStore.fold, "__defaults__", (4,))
+    store.publish_index(rows(spark, *[(f"p{n}", "1") for n in range(100)]))
+    for n in range(12):
+        store.publish_index(rows(spark, (f"p{n}", "2")))
+        assert len(store._committed()) <= 5
+    assert contents(store, 3)["p1"] == "2" and contents(store, 3)["p2"] == "1" and module.FOLD_EVERY > 4
+
+
+def test_old_marks_go(spark, store, embedder, monkeypatch):
+    from pathlight.sources import store as module
+
+    apply_batch(store, spark.createDataFrame([("D", "a", None, 9), ("A", "b", "1", 1)], CHANGES), ["seq"], embedder=embedder, batch_id=0)
+    store.compact()
+    assert store.places(paths(spark, "a")).first()["stored_seq"]
+    store.compact()
+    assert store.places(paths(spark, "a")).count() == 1
+    monkeypatch.setattr(module, "MARK_DAYS", 0)
+    store.compact()
+    assert store.places(paths(spark, "a")).count() == 0 and store.places(paths(spark, "b")).count() == 1
+
+
+def test_cells_follow_the_index(spark, store, tmp_path):
+    import random
+
+    chosen, path = random.Random(4), str(tmp_path / "cells")
+
+    def some(prefix, count):
+        return spark.createDataFrame([(f"{prefix}{n}", "t", [chosen.gauss(0, 1) for _ in range(4)]) for n in range(count)], ROWS)
+
+    def exact():
+        asked = store.read().limit(20).select(F.col("file_path").alias("query_id"), "embedding")
+        found = ann_search(asked, refresh_cells(store, path, 8), 5, recall=1.0)
+        shown = lambda hits: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in hits.collect())
+        return shown(found) == shown(batch_search(asked, store.read(), 5))
+
+    store.publish_index(some("a", 300))
+    assert exact()
+    built = len(list((tmp_path / "cells" / "rows").rglob("*.parquet")))
+    store.publish_index(some("b", 40).unionByName(some("a", 3)), paths(spark, "a5", "a6"))
+    store.publish_index(deletes=paths(spark, "b1"))
+    assert exact() and len(list((tmp_path / "cells" / "deltas").iterdir())) == 1
+    assert len(list((tmp_path / "cells" / "rows").rglob("*.parquet"))) == built
+    assert exact() and len(list((tmp_path / "cells" / "deltas").iterdir())) == 1
+    store.publish_index(some("c", 1000))
+    assert exact() and exact()
+    store.compact()
+    assert exact()
