@@ -298,8 +298,10 @@ class IndexStore:
             markers = deletes.groupBy("file_path").agg(F.max("seq").alias("seq")) if "seq" in deletes.columns else deletes.distinct()
             rows = rows.unionByName(markers.withColumn("deleted", F.lit(True)), allowMissingColumns=True)
         self._write_segment(rows, version)
-        self._commit(version, before, source_version, requests, stream, batch_id, full=full, model=model)
-        return self.fold()
+        state = self._commit(version, before, source_version, requests, stream, batch_id, full=full, model=model)
+        # How many versions readers lay over the last full one from now on.
+        later = 0 if state.base == state.version else 1 + sum(row["version"] > state.base for row in committed)
+        return self.fold() if later >= FOLD_EVERY else state
 
     def _marked(self, rows: DataFrame) -> DataFrame:
         """Rows as they are stored: removed ones without contents, and the broken rules of the others."""
@@ -350,9 +352,10 @@ class IndexStore:
             before.version + 1, before, None, 0, None, None, written=False, replaces=later[0]["version"]
         )
 
-    def fold(self, most: int = FOLD_EVERY) -> State:
-        """Once ``most`` versions have come after the last full one, fold them: into a full version if they hold a share of
-        :data:`FULL_SHARE` of its rows, else into one. Every publish does so; earlier versions stay readable."""
+    def fold(self, most: int | None = None) -> State:
+        """Once ``most`` versions (:data:`FOLD_EVERY`) have come after the last full one, fold them: into a full version if they
+        hold a share of :data:`FULL_SHARE` of its rows, else into one. Every publish does so; earlier versions stay readable."""
+        most = most or FOLD_EVERY
         committed = self._committed()
         state = self._state(committed)
         later = [row for row in committed if row["version"] > state.base]
@@ -499,6 +502,14 @@ class IndexStore:
         rows = self._keys(committed, touched).select("file_path", "seq").filter(F.col("seq").isNotNull())
         return keep_by_key(rows, paths).groupBy("file_path").agg(F.max("seq").alias("stored_seq"))
 
+    def all_places(self) -> DataFrame:
+        """``(file_path, stored_seq)`` of all paths that have a place in a stream."""
+        committed = self._committed()
+        if not committed:
+            return empty_frame(self.spark, T.StructType([T.StructField("file_path", T.StringType()), T.StructField("stored_seq", T.StringType())]))
+        rows = self._keys(committed).select("file_path", "seq").filter(F.col("seq").isNotNull())
+        return rows.groupBy("file_path").agg(F.max("seq").alias("stored_seq"))
+
     # --- tables beside the index ---
 
     def stage(self, rows: DataFrame, name: str) -> DataFrame:

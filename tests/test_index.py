@@ -509,12 +509,12 @@ def test_runs_with_nothing_to_index(spark):
 def test_every_publish_folds_a_long_history(spark, store, monkeypatch):
     from pathlight.sources import store as module
 
-    monkeypatch.setattr(IndexStore.fold, "__defaults__", (4,))
+    monkeypatch.setattr(module, "FOLD_EVERY", 4)
     store.publish_index(rows(spark, *[(f"p{n}", "1") for n in range(100)]))
     for n in range(12):
         store.publish_index(rows(spark, (f"p{n}", "2")))
         assert len(store._committed()) <= 5
-    assert contents(store, 3)["p1"] == "2" and contents(store, 3)["p2"] == "1" and module.FOLD_EVERY > 4
+    assert contents(store, 3)["p1"] == "2" and contents(store, 3)["p2"] == "1"
 
 
 def test_old_marks_go(spark, store, embedder, monkeypatch):
@@ -556,3 +556,35 @@ def test_cells_follow_the_index(spark, store, tmp_path):
     assert exact() and exact()
     store.compact()
     assert exact()
+
+
+def test_the_state_of_a_stream_tells_late_writes(spark, store, embedder, tmp_path, monkeypatch):
+    """Across restarts and without a look into the index; a new checkpoint learns the places from the index once."""
+    source = tmp_path / "source"
+
+    def feed(name, *changes):
+        spark.createDataFrame(list(changes), CHANGES).coalesce(1).write.parquet(str(source / name))
+
+    def run(checkpoint, folder=source):
+        stream = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+        stream_changes(
+            store, stream.parquet(str(folder)), str(tmp_path / checkpoint), ["seq"], ["*.log"], embedder, stream=checkpoint
+        ).awaitTermination()
+
+    settings = {name: spark.conf.get(name) for name in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.noDataMicroBatches.enabled")}
+    monkeypatch.setattr(IndexStore, "places", lambda self, paths: pytest.fail("looked into the index"))
+    feed("one", ("A", "a", "5", 5), ("D", "b", None, 9), ("A", "c", "1", 1), ("A", "a", "4", 4), ("A", "x.log", "1", 1), ("?", "a", "6", 6))
+    run("first")
+    assert contents(store) == {"a": "5", "c": "1"}
+    feed("two", ("M", "a", "2", 2), ("A", "b", "8", 8), ("M", "c", "10", 10))
+    run("first")
+    assert contents(store) == {"a": "5", "c": "10"}
+    feed("three", ("A", "b", "12", 12), ("D", "c", None, 11))
+    feed("four", ("A", "c", "10", 10), ("M", "b", "11", 11))
+    run("first")
+    assert contents(store) == {"a": "5", "b": "12"}
+    late = tmp_path / "late"
+    spark.createDataFrame([("M", "a", "late", 3), ("A", "d", "1", 1), ("M", "c", "late", 10)], CHANGES).coalesce(1).write.parquet(str(late))
+    run("second", late)
+    assert contents(store) == {"a": "5", "b": "12", "d": "1"}
+    assert {name: spark.conf.get(name) for name in settings} == settings
