@@ -43,6 +43,10 @@ DEFAULT_RECALL = 0.95
 # Rows whose true neighbours are searched when cells are built, to learn which share of the radius gives which recall.
 CALIBRATION_ROWS = 200
 
+# Blocks by direction into which an exact search of very many queries cuts the index at most, and rows their centres are fitted on.
+MOST_BLOCKS = 4096
+BLOCK_TRAINING_ROWS = 100_000
+
 # The cell of rows without a direction. Every search looks into it, as they count while a query has too few neighbours.
 NO_DIRECTION = -1
 
@@ -235,6 +239,8 @@ def _needs(cells: CellIndex, k: int, wanted: int) -> np.ndarray:
     with_direction = cells.rows.filter(F.col("cell") != NO_DIRECTION).select(
         F.col("cell").alias("key"), F.col(cells.embedding).alias("vector"), "cell"
     )
+    if not wanted:
+        return np.empty(0)
     # The same rows each time, from all over the index.
     asked = with_direction.orderBy(F.xxhash64("vector")).limit(wanted).select("vector").toArrow()
     block = query_block(pa.table({"query_id": pa.array(range(asked.num_rows), pa.int32()), "vector": asked.column(0)}))
@@ -373,6 +379,26 @@ def ann_search(
     return hits.join(F.broadcast(probed) if table is not None else probed, "query_id") if report else hits
 
 
+def search_by_bounds(
+    queries: DataFrame, index: DataFrame, k: int, query_id: str, key: str, embedding: str, block_rows: int
+) -> DataFrame | None:
+    """Exact search of any number of queries where blocks of the index are cells: a query meets only those that its k-th hit in the
+    nearest ones cannot rule out. None if the index is a single block.
+
+    Centres come from a sample of the index, which decides how much is ruled out and not what is found.
+    """
+    blocks = min(MOST_BLOCKS, -(-index.count() // block_rows))
+    if blocks < 2:
+        return None
+    rows = index.select(key, embedding)
+    cells = build_cells(rows, blocks, embedding, iterations=5, training_rows=BLOCK_TRAINING_ROWS, k=k, calibration_rows=0)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("vector"))
+    schema = hit_schema(asked, rows, "query_id", key)
+    placed = cells.rows.select(F.col(key).alias("key"), F.col(embedding).alias("vector"), "cell")
+    hits, _ = _Search(replace(cells, rows=placed), schema, k, 1, 1.0, False).joined(asked)
+    return merge_hits(hits, k, key)
+
+
 @dataclass
 class _Search:
     """One search: hits of the first cells, and those of the cells that may hold better ones."""

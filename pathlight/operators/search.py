@@ -322,19 +322,29 @@ def batch_search(
     key: str = "file_path",
     embedding: str = "embedding",
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Exact ``k`` nearest index rows of every query: ``(query_id, rank, key, distance)``.
 
     A query whose vector is NULL has no hits.
 
     Queries up to ``max_broadcast_bytes`` go to every task; the index is scanned once, in place, as matrix products per
-    Arrow batch. More queries than that meet the index in blocks of bounded size (:func:`block_search`).
+    Arrow batch. More queries than that meet the index in blocks of bounded size (:func:`block_search`), which are cut by
+    direction: a query is not compared with a block - of about ``block_rows`` rows - that cannot hold a nearer row than its k-th
+    hit in the nearest block (:func:`~pathlight.operators.ann.search_by_bounds`).
     """
     queries = queries.filter(F.col(embedding).isNotNull())
     table = collect_queries(queries, query_id, embedding, max_broadcast_bytes)
     rows = index.select(key, embedding)
     schema = hit_schema(queries, index, query_id, key)
     if table is None:
+        from .ann import search_by_bounds
+
+        first = queries.select(F.size(embedding)).first()
+        by_size = max(1, INDEX_BLOCK_BYTES // (8 * max(1, first[0] if first else 1)))
+        found = search_by_bounds(queries, index, k, query_id, key, embedding, block_rows or by_size)
+        if found is not None:
+            return found
         return block_search(
             queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("vector"), F.lit(0).alias("cell")),
             rows.select(F.col(key).alias("key"), F.col(embedding).alias("vector"), F.lit(0).alias("cell")),

@@ -639,9 +639,9 @@ def batch_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("batch_search_blocks", _BATCH)
 def batch_search_blocks_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by the way taken for query sets too large to send to every task."""
+    """The same by the way taken for query sets too large to send to every task, with several blocks of the index."""
     rows = odd_index(spark, sf_dir)
-    return _rounded(op.batch_search(odd_queries(rows), rows, key="vec_id", max_broadcast_bytes=0))
+    return _rounded(op.batch_search(odd_queries(rows), rows, key="vec_id", max_broadcast_bytes=0, block_rows=200))
 
 
 @query(

@@ -373,3 +373,37 @@ def test_an_index_without_a_direction_has_no_cells(spark, tmp_path):
     few = spark.createDataFrame([], "query_id int, embedding array<float>")
     index, _ = clustered(spark, 50)
     assert ann_search(few, build_cells(index, cells=4), 3).count() == 0
+
+
+def test_blocks_that_cannot_hold_a_hit_are_left_out(spark, index, vectors, queries, monkeypatch):
+    """Exact for odd vectors, and over clustered ones most pairs of a query and a block are never formed."""
+    from pathlight.operators import ann
+
+    for block in (20, 70):
+        found = batch_search(query_frame(spark, queries), index, 10, max_broadcast_bytes=0, block_rows=block)
+        assert_hits(found, brute_force(queries, vectors, 10))
+    close, rows = clustered(spark)
+    asked = [(n, rows[n * 10][1]) for n in range(120)]
+    pairs = []
+    real = ann.block_search
+    monkeypatch.setattr(ann, "block_search", lambda left, *rest: pairs.append(left.count()) or real(left, *rest))
+    found = batch_search(query_frame(spark, asked), close, 10, max_broadcast_bytes=0, block_rows=40)
+    assert_hits(found, brute_force(asked, rows, 10))
+    assert sum(pairs) < 120 * 30 / 3
+
+
+def test_distance_in_sql(spark):
+    register_functions(spark)
+    pairs = [([1.0, 0.0], [0.0, 2.0]), ([1.0, 1.0], [2.0, 2.0]), (None, [1.0]), ([1.0], None), ([0.0], [1.0]), ([math.nan], [1.0]),
+             ([math.inf, 1.0], [1.0, 1.0]), ([1.0, 2.0, 3.0], [-1.0, -2.0, -3.0]), ([], [])]
+    frame = spark.createDataFrame([(n, a, b) for n, (a, b) in enumerate(pairs)], "n int, a array<float>, b array<double>")
+    frame.createOrReplaceTempView("pairs_of_vectors")
+    plain = frame.select("n", cosine_distance("a", "b").alias("d")).orderBy("n").collect()
+    told = spark.sql("SELECT n, cosine_distance(a, b) AS d FROM pairs_of_vectors ORDER BY n").collect()
+    assert len(told) == 9 and all(same(x["d"], y["d"]) for x, y in zip(plain, told, strict=True))
+    first = spark.sql("SELECT n FROM pairs_of_vectors WHERE size(a) = 2 ORDER BY cosine_distance(a, b), n")
+    assert [r["n"] for r in first.collect()] == [1, 0, 6]
+    assert "aggregate(" not in first._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="different vector dimensions"):
+        spark.sql("SELECT cosine_distance(array(1.0D), array(1.0D, 2.0D)) AS d").collect()
+    assert spark.sql("SELECT cosine_distance(a, b) AS d FROM pairs_of_vectors WHERE n > 100").collect() == []
