@@ -10,6 +10,7 @@ from .changes import (
     keep_ids,
     route_changes,
     snapshot_diff,
+    snapshot_moves,
     union_changes,
     upsert,
 )
@@ -68,6 +69,7 @@ __all__ = [
     "route_changes",
     "search_text",
     "snapshot_diff",
+    "snapshot_moves",
     "split_queries",
     "sql_search",
     "strip_headers",

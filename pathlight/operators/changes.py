@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # Ids are dense within an index: keys are ranked inside this many hash groups and the groups laid end to end. So many
 # groups hold 100 million keys each at 6.5e12 keys; the table of their starts has that many short rows.
 ID_GROUPS = 65536
+# Groups in which files with equal contents are ranked.
+MOVE_GROUPS = 64
 
 
 def union_changes(added: DataFrame, modified: DataFrame) -> DataFrame:
@@ -68,6 +70,52 @@ def digest_diff(before: DataFrame, after: DataFrame, path: str = "file_path") ->
     )
 
 
+def _ranked(side: DataFrame, name: str) -> DataFrame:
+    """``(digest, position, name)``: paths numbered from 0 within equal digests, in groups by the hash of the path.
+
+    So a digest that a large part of all files share - that of an empty file - is ranked by many tasks.
+    """
+    grouped = side.withColumn("_group", F.pmod(F.xxhash64("file_path"), F.lit(MOVE_GROUPS)).cast("int"))
+    earlier = Window.partitionBy("digest").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = grouped.groupBy("digest", "_group").agg(F.count("*").alias("_rows"))
+    starts = starts.select("digest", "_group", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    within = F.row_number().over(Window.partitionBy("digest", "_group").orderBy("file_path")) - 1
+    placed = grouped.withColumn("_within", within).join(starts, ["digest", "_group"])
+    return placed.select("digest", (F.col("_start") + F.col("_within")).alias("position"), F.col("file_path").alias(name))
+
+
+def snapshot_moves(
+    before: DataFrame, after: DataFrame, path: str = "file_path", content: str = "content"
+) -> DataFrame:
+    """``(change, file_path, new_path)`` between two file tables, as :func:`snapshot_diff`, but with moves as ``R``.
+
+    A removed and an added file with equal contents are one file that moved from ``file_path`` to ``new_path``. Where several share
+    their contents, they are paired by rank; what is left over stays ``D`` or ``A``. A copy of a file that is still there is
+    no move. Contents that could not be read are equal to no others.
+    """
+    old = before.select(F.col(path).alias("file_path"), F.sha2(content, 256).alias("digest"))
+    new = after.select(F.col(path).alias("file_path"), F.sha2(content, 256).alias("digest"))
+    was, now = old.withColumnRenamed("digest", "old_digest"), new.withColumnRenamed("digest", "new_digest")
+    met = was.withColumn("was", F.lit(True)).join(now.withColumn("is", F.lit(True)), "file_path", "full_outer")
+    gone = met.filter("is IS NULL").select("file_path", F.col("old_digest").alias("digest"))
+    added = met.filter("was IS NULL").select("file_path", F.col("new_digest").alias("digest"))
+    paired = _ranked(gone.filter("digest IS NOT NULL"), "file_path").join(
+        _ranked(added.filter("digest IS NOT NULL"), "new_path"), ["digest", "position"], "full_outer"
+    )
+    change = F.when(F.col("new_path").isNull(), "D").when(F.col("file_path").isNull(), "A").otherwise("R")
+    moved = paired.select(
+        change.alias("change"),
+        F.coalesce("file_path", "new_path").alias("file_path"),
+        F.when(change == "R", F.col("new_path")).alias("new_path"),
+    )
+    none = F.lit(None).cast("string").alias("new_path")
+    unread = gone.filter("digest IS NULL").select(F.lit("D").alias("change"), "file_path", none).unionByName(
+        added.filter("digest IS NULL").select(F.lit("A").alias("change"), "file_path", none)
+    )
+    modified = met.filter("was AND is AND NOT (old_digest <=> new_digest)").select(F.lit("M").alias("change"), "file_path", none)
+    return moved.unionByName(unread).unionByName(modified)
+
+
 def change_summary(changes: DataFrame) -> DataFrame:
     """Number of added, modified and deleted files."""
     return changes.groupBy("change").agg(F.count("*").alias("files"))

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import LANGUAGES, is_blank, language_of, matches_any_glob, normalize_path, strip_header
 
+# Rules that become parts of one predicate; a rule file has dozens.
+MOST_RULES = 10_000
+
 # Fixed value: longest path the index accepts.
 MAX_PATH_LENGTH = 255
 
@@ -20,7 +23,9 @@ def ignore_filter(files: DataFrame, rules: Iterable[str] | DataFrame, path: str
     which is read on the driver in any case to build the predicate.
     """
     if isinstance(rules, DataFrame):
-        rules = [row["rule"] for row in rules.toLocalIterator()]
+        rules = [row["rule"] for row in rules.limit(MOST_RULES + 1).collect()]
+        if len(rules) > MOST_RULES:
+            raise ValueError(f"more than {MOST_RULES} rules: join such a table instead of turning it into a predicate")
     return files.filter(~matches_any_glob(path, rules))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import LANGUAGES, is_blank, language_of, strip_header
-from ..operators.changes import digest_diff, keep_by_key, route_changes, snapshot_diff
+from ..operators.changes import digest_diff, keep_by_key, route_changes, snapshot_diff, snapshot_moves
 from ..operators.clean import ignore_filter
 from ..operators.ann import DEFAULT_CELLS, CellIndex, append_changes, build_cells, cells_version, drift, has_cells
 from ..operators.embed import Embedder, TfIdfEmbedder, fit_idf
@@ -117,6 +117,7 @@ def incremental_index(
     embedder: Embedder | None = None,
     source_version: str | None = None,
     languages: Mapping[str, str] = LANGUAGES,
+    moves: bool = False,
 ) -> State:
     """Later run: embed what was added or modified, remove what was deleted, record the version, in one commit.
 
@@ -124,7 +125,15 @@ def incremental_index(
     ``previous`` file table, else from the difference to the index - as it is, or as it was when ``base`` was recorded as
     its version (an unknown one is an error). A file which has become blank is removed; one that could not be read is set
     aside, and its old row stays.
+
+    With ``moves``, which needs ``previous``, a file that has only moved is not embedded again: its text and vector are taken from the
+    index. That reads the index once, so it pays where embedding is dear. A move that gives a file another language, or out of
+    the reach of the rules, is a removal and an addition.
     """
+    if moves:
+        if previous is None:
+            raise ValueError("moves are found by comparing two file tables: give previous")
+        return _with_moves(store, files, previous, rules, embedder, source_version, languages)
     if changes is None and previous is not None:
         changes = snapshot_diff(previous, files)
     elif changes is None:
@@ -143,6 +152,38 @@ def incremental_index(
     return store.publish_index(written, removed, source_version, finish=finish, keys=paths, model=model)
 
 
+def _with_moves(store, files, previous, rules, embedder, source_version, languages) -> State:
+    found = snapshot_moves(previous, files)
+    same = language_of("file_path", languages).eqNullSafe(language_of("new_path", languages))
+    split = F.when((F.col("change") == "R") & ~same, F.array(
+        F.struct(F.lit("D").alias("change"), F.col("file_path"), F.lit(None).cast("string").alias("new_path")),
+        F.struct(F.lit("A").alias("change"), F.col("new_path").alias("file_path"), F.lit(None).cast("string").alias("new_path")),
+    )).otherwise(F.array(F.struct("change", "file_path", "new_path")))
+    found = store.stage(found.select(F.inline(split)), "moves")
+    moved = ignore_filter(found.filter("change = 'R'"), rules, "new_path")
+    # The row to take may be missing: an ignored file that has moved to where it counts.
+    held = store.read().select("file_path", "code_text", "embedding").join(moved.select("file_path", "new_path"), "file_path")
+    held = store.stage(held.select(F.col("new_path").alias("file_path"), "code_text", "embedding"), "moved")
+    others = moved.select(F.col("new_path").alias("file_path")).join(held.select("file_path"), "file_path", "left_anti")
+    paths = ignore_filter(found.filter("change IN ('A', 'M')"), rules).select("file_path").unionByName(others)
+    removed = ignore_filter(found.filter("change IN ('D', 'R')"), rules).select("file_path")
+    written, model = keep_by_key(files, paths), None
+    if embedder is None:
+        embedder, model = embedder_for(store, texts_of(written, languages))
+    finish = finisher(embedder, languages)
+    given = written.withColumns({"code_text": F.lit(None).cast("string"), "embedding": F.lit(None).cast("array<float>")})
+
+    def finish_new(rows: DataFrame) -> DataFrame:
+        """Moved rows are finished already."""
+        embedded = finish(rows.filter("code_text IS NULL"))
+        kept = rows.filter("code_text IS NOT NULL").select("id", "file_path", "code_text", "embedding")
+        return embedded.unionByName(kept.withColumns({"deleted": F.lit(False), "unembedded": F.lit(False)}), allowMissingColumns=True)
+
+    rows = given.unionByName(held, allowMissingColumns=True)
+    keys = paths.unionByName(held.select("file_path"))
+    return store.publish_index(rows, removed, source_version, finish=finish_new, keys=keys, model=model)
+
+
 def add_delete_index(
     store: IndexStore,
     files: DataFrame,

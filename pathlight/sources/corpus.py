@@ -6,22 +6,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import WHITESPACE, normalize_path, split_whitespace, strip, universal_newlines
-from .files import list_files, read_files, read_lines
+from .files import MOST_FILE_BYTES, NOT_TEXT, list_files, read_files, read_lines
 
 
-def corpus_scan(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """All files under ``root`` as ``(file_path, content, size, mtime)``; paths are relative to ``root``.
+def corpus_scan(spark: SparkSession, root: str, glob: str | None = None, most: int = MOST_FILE_BYTES) -> DataFrame:
+    """All files under ``root`` as ``(file_path, content, size, mtime, unread)``; paths are relative to ``root``.
 
     Names that begin with ``.`` or ``_`` and empty files are files like any others. ``content`` is NULL for a file that
-    is not valid UTF-8: split with :func:`readable`. For paths alone use :func:`pathlight.sources.list_files`.
+    is not valid UTF-8, is longer than ``most`` bytes or has gone since it was listed, and ``unread`` says which: split with
+    :func:`readable`. For paths alone use :func:`pathlight.sources.list_files`.
     """
-    files = read_files(list_files(spark, root, glob), root)
-    return files.select(
-        "file_path",
-        universal_newlines(F.try_validate_utf8(F.col("bytes").cast("string"))).alias("content"),
-        "size",
-        "mtime",
-    )
+    files = read_files(list_files(spark, root, glob), root, most=most)
+    text = universal_newlines(F.try_validate_utf8(F.col("bytes").cast("string")))
+    told = files.select("file_path", text.alias("content"), "size", "mtime", "unread")
+    return told.withColumn("unread", F.coalesce("unread", F.when(F.col("content").isNull(), F.lit(NOT_TEXT))))
 
 
 def table_corpus(table: DataFrame, file_path: Column | str, content: Column | str) -> DataFrame:

@@ -11,7 +11,7 @@ from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import matches_any_glob
@@ -20,14 +20,28 @@ from ..session import scratch_dir, ship_package
 # A tree deeper than this has folders that lead back into it.
 MOST_LEVELS = 200
 
-# Bytes of files that one task reads, and that it holds at a time.
-TASK_BYTES, BATCH_BYTES = 128 << 20, 32 << 20
+# Bytes of files that one task reads, and that it holds at a time; and what opening a file counts for.
+TASK_BYTES, BATCH_BYTES, OPENING_BYTES = 128 << 20, 32 << 20, 64 << 10
+# Longer files are not read but set aside: a value of a table has to fit into a task several times over.
+MOST_FILE_BYTES = 512 << 20
+
+# Why a file was not read.
+TOO_LARGE, GONE, NOT_TEXT = "too large", "gone", "not UTF-8"
+
+# Groups in which sizes are added up; one row for each comes together in a single task.
+_SIZE_GROUPS = 1024
 
 _LISTED = "file_path string, folder boolean, size bigint, mtime timestamp"
 _LISTED_ARROW = pa.schema(
     [("file_path", pa.string()), ("folder", pa.bool_()), ("size", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC"))]
 )
-_READ_ARROW = pa.schema([("file_path", pa.string()), ("bytes", pa.binary()), ("size", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC"))])
+_READ = "file_path string, bytes binary, size bigint, mtime timestamp, unread string"
+_READ_ARROW = pa.schema(
+    [
+        ("file_path", pa.string()), ("bytes", pa.binary()), ("size", pa.int64()), ("mtime", pa.timestamp("us", tz="UTC")),
+        ("unread", pa.string()),
+    ]
+)
 
 
 def qualified(root: str) -> str:
@@ -88,7 +102,8 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     return files
 
 
-def _read_files(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.RecordBatch]:
+def _read_files(batches: Iterator[pa.RecordBatch], root: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Task body. A file that is too large, or gone since it was listed, is told with the reason; it does not end the run."""
     system, top = open_root(root)
     held: list[tuple] = []
     size = 0
@@ -99,27 +114,59 @@ def _read_files(batches: Iterator[pa.RecordBatch], root: str) -> Iterator[pa.Rec
 
     for batch in batches:
         for path, listed, mtime in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-            with system.open_input_stream(f"{top}/{path}" if path else top, compression=None) as stream:
-                data = stream.read()
-            held.append((path, data, listed, mtime))
-            size += len(data)
-            if size >= BATCH_BYTES:
+            data, why = None, TOO_LARGE
+            if listed <= most:
+                try:
+                    with system.open_input_stream(f"{top}/{path}" if path else top, compression=None) as stream:
+                        # It may have grown since it was listed.
+                        data = stream.read(most + 1)
+                    data, why = (data, None) if len(data) <= most else (None, TOO_LARGE)
+                except FileNotFoundError:
+                    why = GONE
+            length = len(data or b"")
+            if held and size + length > BATCH_BYTES:
                 yield packed()
                 held, size = [], 0
+            held.append((path, data, listed, mtime, why))
+            size += length
     if held:
         yield packed()
 
 
-def read_files(files: DataFrame, root: str) -> DataFrame:
-    """``(file_path, bytes, size, mtime)`` of listed files. Tasks read about :data:`TASK_BYTES` each."""
+def packed_by_size(files: DataFrame, task_bytes: int = TASK_BYTES, most: int = MOST_FILE_BYTES) -> tuple[DataFrame, int]:
+    """Listed files with the number of the task, ``pack``, that reads them, and how many tasks there are.
+
+    The sizes of all files are laid end to end - in groups by the hash of the path, which one after the other begin where the last
+    one ends - and cut where a task is full. So tasks differ by one file at most. A file too large to be read counts as empty.
+    """
+    read = F.when(F.col("size") <= most, F.col("size")).otherwise(0) + OPENING_BYTES
+    grouped = files.withColumns({"_group": F.pmod(F.xxhash64("file_path"), F.lit(_SIZE_GROUPS)), "_weight": read})
+    totals = grouped.groupBy("_group").agg(F.sum("_weight").alias("_total"))
+    earlier = Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_group", F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_start"))
+    total = totals.agg(F.sum("_total")).first()[0] or 0
+    slots = files.sparkSession.sparkContext.defaultParallelism
+    # Small corpora are dealt over all slots.
+    tasks = max(slots, -(-total // task_bytes))
+    within = F.sum("_weight").over(Window.partitionBy("_group").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1))
+    place = F.col("_start") + F.coalesce(within, F.lit(0))
+    pack = F.least(F.floor(place * tasks / F.lit(max(total, 1))), F.lit(tasks - 1)).cast("int")
+    placed = grouped.join(F.broadcast(starts), "_group").withColumn("pack", pack)
+    return placed.select(*files.columns, "pack"), tasks
+
+
+def read_files(
+    files: DataFrame, root: str, task_bytes: int = TASK_BYTES, most: int = MOST_FILE_BYTES
+) -> DataFrame:
+    """``(file_path, bytes, size, mtime, unread)`` of listed files. Tasks read about ``task_bytes`` each.
+
+    ``bytes`` is NULL for a file of more than ``most`` bytes and for one that has gone since; ``unread`` says why.
+    """
     spark, root = files.sparkSession, qualified(root)
     ship_package(spark)
-    total = files.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
-    dealt = files.select("file_path", "size", "mtime").repartition(tasks, "file_path")
-    return dealt.mapInArrow(
-        lambda batches: _read_files(batches, root), "file_path string, bytes binary, size bigint, mtime timestamp"
-    )
+    packs, tasks = packed_by_size(files.select("file_path", "size", "mtime"), task_bytes, most)
+    dealt = packs.repartitionById(tasks, "pack").drop("pack")
+    return dealt.mapInArrow(lambda batches: _read_files(batches, root, most), _READ)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame | None:
@@ -130,9 +177,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame | None:
         return None
     one = spark.range(1).select(F.lit("").alias("file_path"), F.lit(0).cast("bigint").alias("size"), F.current_timestamp().alias("mtime"))
     ship_package(spark)
-    data = one.mapInArrow(
-        lambda batches: _read_files(batches, path), "file_path string, bytes binary, size bigint, mtime timestamp"
-    )
+    data = one.mapInArrow(lambda batches: _read_files(batches, path, MOST_FILE_BYTES), _READ)
     text = F.col("bytes").cast("string")
     return data.select(F.explode(F.split(text, "\r\n|\r|\n")).alias("value"))
 

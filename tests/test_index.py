@@ -588,3 +588,49 @@ def test_the_state_of_a_stream_tells_late_writes(spark, store, embedder, tmp_pat
     run("second", late)
     assert contents(store) == {"a": "5", "b": "12", "d": "1"}
     assert {name: spark.conf.get(name) for name in settings} == settings
+
+
+def test_moved_files_keep_their_vectors(spark, store, embedder):
+    from pathlight.operators import snapshot_moves
+
+    before = {"a.md": "one", "b.md": "two", "c.md": "same", "d.md": "same", "e.md": "same", "f.md": "gone", "g.md": "kept", "h.py": "x = 1",
+              "i.log": "logged", "k.md": "hidden", "n.md": "", "bad.md": None}
+    after = {"z/a.md": "one", "b.md": "changed", "c2.md": "same", "d2.md": "same", "g.md": "kept", "g2.md": "kept", "h.txt": "x = 1",
+             "i.md": "logged", "k.log": "hidden", "new.md": "new", "n2.md": "", "bad2.md": None}
+    found = sorted(((r["change"], r["file_path"], r["new_path"]) for r in snapshot_moves(corpus(spark, before), corpus(spark, after)).collect()), key=repr)
+    pairs = [(x, y) for c, x, y in found if c == "R" and before[x] == "same"]
+    assert len(pairs) == 2 and {y for _, y in pairs} == {"c2.md", "d2.md"} and {x for x, _ in pairs} < {"c.md", "d.md", "e.md"}
+    rest = {x for x in ("c.md", "d.md", "e.md")} - {x for x, _ in pairs}
+    assert [f for f in found if f[0] == "D"] == sorted([("D", "bad.md", None), ("D", rest.pop(), None), ("D", "f.md", None)])
+    assert [f for f in found if f[0] == "A"] == [("A", "bad2.md", None), ("A", "g2.md", None), ("A", "new.md", None)]
+    assert [f for f in found if f[0] == "M"] == [("M", "b.md", None)]
+    assert {(x, y) for c, x, y in found if c == "R"} - set(pairs) == {("a.md", "z/a.md"), ("h.py", "h.txt"), ("i.log", "i.md"), ("k.md", "k.log"), ("n.md", "n2.md")}
+
+    full_index(store, corpus(spark, before), ["*.log"], embedder)
+    embedded = spark.sparkContext.accumulator(0)
+
+    def load():
+        def counted(texts):
+            embedded.add(len(texts))
+            return [[float(len(text)), 1.0, 2.0, 3.0] for text in texts]
+
+        return counted
+
+    incremental_index(store, corpus(spark, after), previous=corpus(spark, before), rules=["*.log"], embedder=BatchEmbedder(load, 4), moves=True)
+    assert contents(store) == {path: text for path, text in after.items() if text and not path.endswith(".log")}
+    # New, changed and copied files, one of another language, and one that was ignored before; not the three that moved.
+    assert embedded.value == 5
+    vectors = {r["file_path"]: r["embedding"] for r in store.read().collect()}
+    old = {r["file_path"]: r["embedding"] for r in store.read(1).collect()}
+    assert vectors["z/a.md"] == old["a.md"] and vectors["c2.md"] == old["c.md"] and vectors["g.md"] == old["g.md"]
+    ids(store)
+
+
+def test_many_files_with_the_same_contents_move(spark):
+    from pathlight.operators import snapshot_moves
+
+    before = spark.createDataFrame([(f"old/{n}", "" if n % 3 else str(n)) for n in range(600)], FILES)
+    after = spark.createDataFrame([(f"new/{n}", "" if n % 3 else str(n)) for n in range(700)], FILES)
+    found = snapshot_moves(before, after).collect()
+    assert len(found) == 700 and sum(r["change"] == "R" for r in found) == 600 and sum(r["change"] == "A" for r in found) == 100
+    assert len({r["new_path"] for r in found if r["new_path"]}) == 600

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from pathlight.operators import ignore_filter, route_changes
 from pathlight.sources import (
@@ -146,3 +147,38 @@ def test_a_cluster_needs_a_shared_folder(master):
     session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda name, default=None: default))
     with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
         scratch_dir(session)
+
+
+def test_files_are_packed_by_size(spark, tmp_path):
+    from pathlight.sources import list_files
+    from pathlight.sources.files import OPENING_BYTES, packed_by_size
+
+    sizes = [1, 700_000, 0, 2_500_000, 40_000, 900_000, 3_000_000, 10] * 12
+    listed = spark.createDataFrame([(f"f{n}", size) for n, size in enumerate(sizes)], "file_path string, size bigint")
+    packs, tasks = packed_by_size(listed, task_bytes=4_000_000)
+    read = {r["pack"]: r["total"] for r in packs.groupBy("pack").agg(F.sum(F.col("size") + OPENING_BYTES).alias("total")).collect()}
+    assert set(read) <= set(range(tasks)) and len(read) >= tasks - 3
+    mean = sum(read.values()) / tasks
+    assert max(read.values()) <= mean + 3_000_000 + OPENING_BYTES and packs.count() == len(sizes)
+    for n in range(40):
+        (tmp_path / f"x{n}").write_bytes(b"a" * (n * 1000))
+    parts = corpus_scan(spark, str(tmp_path)).withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.sum("size").alias("s"))
+    assert sum(r["s"] for r in parts.collect()) == sum(n * 1000 for n in range(40))
+    assert list_files(spark, str(tmp_path)).count() == 40
+
+
+def test_files_too_large_or_gone_are_set_aside(spark, tmp_path):
+    from pathlight.sources import list_files, read_files
+
+    (tmp_path / "a").write_text("text")
+    (tmp_path / "bad").write_bytes(b"\xff\xfe")
+    with open(tmp_path / "huge", "wb") as sparse:
+        sparse.truncate(3 << 30)
+    rows = {r["file_path"]: (r["content"], r["unread"], r["size"]) for r in corpus_scan(spark, str(tmp_path)).collect()}
+    assert rows == {"a": ("text", None, 4), "bad": (None, "not UTF-8", 2), "huge": (None, "too large", 3 << 30)}
+    assert {r["file_path"] for r in readable(corpus_scan(spark, str(tmp_path)))[1].collect()} == {"bad", "huge"}
+    listed = list_files(spark, str(tmp_path))
+    (tmp_path / "a").unlink()
+    assert {r["file_path"]: r["unread"] for r in read_files(listed, str(tmp_path)).collect()} == {"a": "gone", "bad": None, "huge": "too large"}
+    small = {r["file_path"]: r["unread"] for r in corpus_scan(spark, str(tmp_path), most=1).collect()}
+    assert small == {"bad": "too large", "huge": "too large"}
