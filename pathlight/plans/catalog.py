@@ -218,6 +218,37 @@ def snapshot_diff_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.snapshot_diff(files(spark, sf_dir), later_files(spark, sf_dir))
 
 
+def moved_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later files, some of them moved to another folder and some copied."""
+    later = later_files(spark, sf_dir)
+    moved = F.when(F.col("file_path").rlike("[37][.]"), F.concat(F.lit("moved/"), "file_path")).otherwise(F.col("file_path"))
+    copied = later.filter(F.col("file_path").rlike("9[.]")).withColumn("file_path", F.concat(F.lit("copy/"), "file_path"))
+    return later.withColumn("file_path", moved).unionByName(copied)
+
+
+@query(
+    "snapshot_moves",
+    f"""WITH {_FILES}, {_LATER}, moved AS (
+  SELECT CASE WHEN regexp_matches(file_path, '[37][.]') THEN 'moved/' || file_path ELSE file_path END AS file_path, content FROM later
+  UNION ALL SELECT 'copy/' || file_path, content FROM later WHERE regexp_matches(file_path, '9[.]')),
+gone AS (SELECT md5(content) AS digest, count(*) AS n FROM files ANTI JOIN moved USING (file_path) GROUP BY ALL),
+fresh AS (SELECT md5(content) AS digest, count(*) AS n FROM moved ANTI JOIN files USING (file_path) GROUP BY ALL)
+SELECT digest, least(coalesce(g.n, 0), coalesce(f.n, 0)) AS moved, greatest(coalesce(g.n, 0) - coalesce(f.n, 0), 0) AS removed,
+  greatest(coalesce(f.n, 0) - coalesce(g.n, 0), 0) AS added
+FROM gone g FULL JOIN fresh f USING (digest)""",
+)
+def snapshot_moves_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files with the same contents have moved, are gone, or are new."""
+    before, after = files(spark, sf_dir), moved_files(spark, sf_dir)
+    found = op.snapshot_moves(before, after).filter("change <> 'M'")
+    side = lambda rows, name: rows.select(F.lit(name).alias("side"), "file_path", F.md5("content").alias("digest"))
+    digests = side(before, "before").unionByName(side(after, "after"))
+    asked = found.withColumn("side", F.when(F.col("change") == "A", "after").otherwise("before"))
+    counted = {"moved": "R", "removed": "D", "added": "A"}
+    counts = [F.count_if(F.col("change") == change).alias(name) for name, change in counted.items()]
+    return asked.join(digests, ["side", "file_path"]).groupBy("digest").agg(*counts)
+
+
 @query("change_summary", f"{_DIFF} SELECT change, count(*) AS files FROM diff WHERE {_KEPT} GROUP BY change")
 def change_summary_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.change_summary(op.ignore_filter(snapshot_diff_query(spark, sf_dir), RULES))
@@ -820,6 +851,23 @@ def publish_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "publish_repeated",
+    """WITH given AS (
+  SELECT vec_id, 'label ' || label AS code_text FROM embeddings UNION ALL SELECT vec_id, 'other ' || label FROM embeddings WHERE label IN (1, 2)
+  UNION ALL SELECT vec_id, 'label ' || label FROM embeddings WHERE label = 3)
+SELECT 'vec/' || vec_id AS file_path, arg_max(code_text, md5(code_text)) AS code_text, count(*) - 1 AS set_aside FROM given GROUP BY vec_id""",
+)
+def publish_repeated_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that share a path, with equal and with other texts: one is in the index, the others are set aside."""
+    rows = vector_index(spark, sf_dir)
+    other = rows.filter(F.col("code_text").isin("label 1", "label 2")).withColumn("code_text", F.replace("code_text", F.lit("label"), F.lit("other")))
+    store = IndexStore(spark, scratch_dir(spark), 64)
+    store.publish_index(rows.unionByName(other).unionByName(rows.filter("code_text = 'label 3'")))
+    aside = store.rejected().filter(F.array_contains("broken", "path_not_unique")).groupBy("file_path").agg(F.count("*").alias("n"))
+    return store.read().join(aside, "file_path", "left").select("file_path", "code_text", F.coalesce("n", F.lit(0)).alias("set_aside"))
+
+
 @query(
     "index_state",
     """SELECT 1::BIGINT AS version, true AS "full", 'first' AS source_version, count(*) AS upserted, 0::BIGINT AS deleted,
@@ -859,6 +907,15 @@ def full_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(store.read())
 
 
+@query("full_index_of_nothing", f"WITH {_FILES} SELECT file_path, md5({_CODE}) AS digest, {DIM} AS dim FROM files WHERE {_KEPT}")
+def full_index_of_nothing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first run whose rules leave nothing, and a later one with other rules, which fits the model."""
+    store, given = new_store(spark), files(spark, sf_dir)
+    full_index(store, given, ["*"], source_version="v1")
+    incremental_index(store, op.ignore_filter(given, RULES), source_version="v2")
+    return digest(store.read())
+
+
 _LATER_INDEX = f"""WITH {_LATER} SELECT file_path, md5({_CODE}) AS digest, {DIM} AS dim
 FROM later WHERE {_KEPT} AND {_TRIM.format('content')} <> ''"""
 
@@ -895,6 +952,22 @@ def incremental_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(store.read())
 
 
+@query(
+    "incremental_index_moves",
+    f"""WITH {_LATER}, moved AS (
+  SELECT CASE WHEN regexp_matches(file_path, '[37][.]') THEN 'moved/' || file_path ELSE file_path END AS file_path, content FROM later
+  UNION ALL SELECT 'copy/' || file_path, content FROM later WHERE regexp_matches(file_path, '9[.]'))
+SELECT file_path, md5({_CODE}) AS digest, {DIM} AS dim FROM moved WHERE {_KEPT} AND {_TRIM.format('content')} <> ''""",
+)
+def incremental_index_moves_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later run in which files that only moved keep their texts and vectors."""
+    store = new_store(spark)
+    before, after = files(spark, sf_dir), moved_files(spark, sf_dir)
+    full_index(store, before, RULES, source_version="v1")
+    incremental_index(store, after, previous=before, rules=RULES, source_version="v2", moves=True)
+    return digest(store.read())
+
+
 @query(
     "add_delete_index",
     f"""WITH {_FILES}, {_LATER}, gone AS (SELECT file_path FROM labelled WHERE toxic = 1 AND quality = 1)
