@@ -32,15 +32,14 @@ NAME_WEIGHTS = {
 PLACEHOLDER = re.compile(r"://|change.?me|example|placeholder|redacted|your[_-]|dummy|^(.)\1*$|^(none|null|true|false|todo)$", re.I)
 LEAST_SCORE = 0.5
 LEAST_LITERAL, LEAST_ENTROPY = 8, 2.5
-# A constant may be made of other constants, but of no more pieces than this.
-_MOST_PIECES = 64
 
-_NAME = re.compile(r"([A-Za-z_$][\w$.-]{0,99})(?:\[[\"'])?[\"']?\]?[ \t]*(?::[ \t]*[A-Za-z_][\w.\[\]]*[ \t]*)?$", re.ASCII)
-_KEYED = re.compile(r"\[[\"']([A-Za-z_$][\w$.-]{0,99})[\"']\][ \t]*$", re.ASCII)
 _OPERATOR = re.compile(r"[:=]")
 _STRING = re.compile(r"\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`")
 _REFERENCE = re.compile(r"\$\{?([A-Za-z_][\w.]*)\}?|([A-Za-z_$][\w$.]*)", re.ASCII)
 _BARE = re.compile(r"[^\s\"'`,;(){}\[\]<>#|]+")
+_TYPE_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_.[]")
+_NAME_CHARACTERS = _TYPE_CHARACTERS - frozenset("[]") | frozenset("$-")
+_NAME_STARTS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -89,39 +88,103 @@ def literal_weight(value: str, quoted: bool) -> float:
     return 0.0 if bits < LEAST_ENTROPY else min(1.0, bits / 3.5) * (1.0 if kinds > 1 else 0.7)
 
 
-def _operands(text: str, at: int, constants: dict[str, list]) -> tuple[list[tuple[str, int, int, bool]], bool]:
-    """The literals that a value starting at ``at`` is made of - through constants as well - and whether it is one at all."""
-    pieces: list[tuple[str, int, int, bool]] = []
-    while len(pieces) < _MOST_PIECES:
-        while at < len(text) and text[at] in " \t":
-            at += 1
+@dataclass
+class _Value:
+    """What a name stands for: literals of its own, and the values of other names. Kept by reference, so sums of sums stay small."""
+
+    pieces: list[tuple[str, int, int, bool]]
+    parts: list[_Value]
+
+    def literals(self) -> list[tuple[str, int, int, bool]]:
+        """``(text, start, end, quoted)`` of every literal in it, each once."""
+        found: dict[tuple[int, int], tuple[str, int, int, bool]] = {}
+        pending, seen = [self], set()
+        while pending:
+            value = pending.pop()
+            if id(value) not in seen:
+                seen.add(id(value))
+                found |= {piece[1:3]: piece for piece in value.pieces}
+                pending += value.parts
+        return [found[place] for place in sorted(found)]
+
+
+def _blanks(text: str, at: int, also: str = "") -> int:
+    while at < len(text) and (text[at] in " \t" or text[at] in also):
+        at += 1
+    return at
+
+
+def _value(text: str, at: int, constants: dict[str, _Value]) -> _Value | None:
+    """The value that starts at ``at``: strings, constants, sums of them - in brackets over several lines - or a bare word.
+
+    A string, or an indented word, may stand on the next line. None if it is anything else.
+    """
+    found = _Value([], [])
+    at = _blanks(text, at)
+    lines = ""
+    if text[at : at + 1] == "(":
+        lines = "\r\n"
+        at = _blanks(text, at + 1, lines)
+    elif text[at : at + 1] in ("\\", "\r", "\n"):
+        following = _blanks(text, at + (text[at] == "\\"), "\r\n")
+        indented = following > at and text[following - 1] in " \t"
+        if not indented and _STRING.match(text, following) is None:
+            return None
+        at = following
+    while True:
+        some = found.pieces or found.parts
         if (m := _STRING.match(text, at)) is not None:
-            group = m.lastindex
-            pieces.append((m[group], *m.span(group), True))
+            found.pieces.append((m[m.lastindex], *m.span(m.lastindex), True))
         elif (m := _REFERENCE.match(text, at)) is not None and (known := constants.get(m[1] or m[2])) is not None:
-            pieces += known
-        elif not pieces and (m := _BARE.match(text, at)) is not None:
-            return [(m[0], *m.span(), False)], True
+            found.parts.append(known)
+        elif not some and (m := _BARE.match(text, at)) is not None:
+            return _Value([(m[0], *m.span(), False)], [])
         else:
-            return pieces, bool(pieces)
-        at = m.end()
-        while at < len(text) and text[at] in " \t":
-            at += 1
+            return found if some and lines and text[at : at + 1] == ")" else None
+        at = _blanks(text, m.end(), lines)
+        if lines and text[at : at + 1] in ("'", '"', "`"):
+            continue
         if at >= len(text) or text[at] not in "+." or text.startswith("+=", at):
-            return pieces, True
-        at += 1
-    return pieces, True
+            return found
+        at = _blanks(text, at + 1, lines)
+
+
+def _name_before(text: str, at: int) -> str:
+    """The name that ends before ``at``: plain, quoted or the last one in square brackets, with a type after it or not."""
+
+    def back(i: int, characters) -> int:
+        while i > 0 and text[i - 1] in characters:
+            i -= 1
+        return i
+
+    def name(i: int) -> str:
+        i = back(i, " \t")
+        i -= i > 0 and text[i - 1] == "]"
+        i -= i > 0 and text[i - 1] in "\"'"
+        start = back(i, _NAME_CHARACTERS)
+        while start < i and text[start] not in _NAME_STARTS:
+            start += 1
+        return text[start:i]
+
+    end = back(at, " \t")
+    colon = back(back(end, _TYPE_CHARACTERS), " \t")
+    if colon < end and colon > 1 and text[colon - 1] == ":" and text[colon - 2] != ":":
+        typed = name(colon - 1)
+        if typed:
+            return typed
+    return name(at)
 
 
 def lexed_spans(text: str) -> list[Span]:
     """Literals of sensitive names. Reads the text as source or configuration: ``name = value``, ``name: value``, ``name := value``,
-    ``"name" => value``, ``x["name"] = value``, with values that are strings, bare words, constants or sums of them.
+    ``"name" => value``, ``x["name"] = value``, with values that are strings, bare words, constants or sums of them, also in
+    brackets and on the next line.
 
     A constant has the literals last assigned to it before. Every literal that reaches a sensitive name is a span.
     """
     if ":" not in text and "=" not in text:
         return []
-    constants: dict[str, list] = {}
+    constants: dict[str, _Value] = {}
     found: dict[tuple[int, int], Span] = {}
     for m in _OPERATOR.finditer(text):
         at = m.start()
@@ -129,30 +192,24 @@ def lexed_spans(text: str) -> list[Span]:
         # The second half of an operator, or a comparison, an address or an augmented assignment.
         if before in "=!<>+*/%&|^~" and before or (m[0] == "=" and after == "=") or (m[0] == ":" and after in "/:" and after):
             continue
-        if m[0] == ":" and after == "=":
-            after, skip = text[at + 2 : at + 3], 2
-        else:
-            skip = 2 if after == ">" else 1
-        line = text[max(0, at - 160) : at - 1 if before == ":" else at]
-        line = line[line.rfind("\n") + 1 :]
-        named = _KEYED.search(line) or _NAME.search(line)
-        if named is None:
+        skip = 2 if after == ">" or (m[0] == ":" and after == "=") else 1
+        name = _name_before(text, at - 1 if before == ":" else at)
+        if not name:
             continue
-        name = named[1]
-        pieces, complete = _operands(text, at + skip, constants)
-        if not pieces or not complete:
+        value = _value(text, at + skip, constants)
+        if value is None:
             continue
         weight = name_weight(name)
-        whole = "".join(piece[0] for piece in pieces)
-        quoted = all(piece[3] for piece in pieces)
-        score = weight * literal_weight(whole, quoted) if weight else 0.0
-        if score >= LEAST_SCORE:
-            for _, start, end, _ in pieces:
-                if end > start and (start, end) not in found:
-                    found[start, end] = Span("lexed", start, end, name, round(score, 4))
-        if quoted:
-            constants[name] = pieces
-            constants.setdefault(name.rpartition(".")[2], pieces)
+        if weight:
+            literals = value.literals()
+            quoted = all(piece[3] for piece in literals)
+            score = weight * literal_weight("".join(piece[0] for piece in literals), quoted)
+            if score >= LEAST_SCORE:
+                for _, start, end, _ in literals:
+                    if end > start:
+                        found.setdefault((start, end), Span("lexed", start, end, name, round(score, 4)))
+        constants[name] = value
+        constants.setdefault(name.rpartition(".")[2], value)
     return list(found.values())
 
 

@@ -57,6 +57,18 @@ def lexed(text):
         ("auth_token := `tk-99aAbb77xx`", ["tk-99aAbb77xx"]),
         # The last value of a constant counts.
         ('k = "abcD1234efgh"\nk = "newV4lue9876"\npassword = k', ["newV4lue9876"]),
+        # Bare constants, values in brackets and on the next line, names far away or long, many pieces.
+        ("A=Zx81kQp9rT2m\nDB_PASSWORD=$A", ["Zx81kQp9rT2m"]),
+        ("BASE=Zx81kQp9rT2m\nexport DB_PASSWORD=${BASE}", ["Zx81kQp9rT2m"]),
+        ('password = (\n    "Zx81kQp9"\n    "rT2m!"\n)', ["Zx81kQp9", "rT2m!"]),
+        ('password = ("Zx81kQp9" +\n  \'rT2m!\')', ["Zx81kQp9", "rT2m!"]),
+        ('password = \\\n    "Zx81kQp9rT2m"', ["Zx81kQp9rT2m"]),
+        ('password:\n  Zx81kQp9rT2m\nother: 1', ["Zx81kQp9rT2m"]),
+        ("password:\nZx81kQp9rT2m", []),
+        ("password" + " " * 200 + '= "Zx81kQp9rT2m"', ["Zx81kQp9rT2m"]),
+        ("x" * 300 + '_password = "Zx81kQp9rT2m"', ["Zx81kQp9rT2m"]),
+        ("api_token = " + " + ".join(f'"aB{n}x"' for n in range(80)), [f"aB{n}x" for n in range(80)]),
+        ('a = "Zx8"\nb = a + a + "1kQp9"\nc = b + b + a + "rT2m"\nmy_secret = c', ["Zx8", "1kQp9", "rT2m"]),
         # No secrets: comparisons, placeholders, words, addresses, unknown references, ordinary names.
         ('if password == "hunter2!xyz99"', []),
         ('password = "changeme-please1"', []),
@@ -85,3 +97,10 @@ def test_a_secret_at_the_end_of_a_long_text_and_redaction(spark):
     assert text[span["start"] : span["end"]] == 'password = "Ab3dEf6hIj9l'
     cut = {r["doc_id"]: r["text"] for r in records(secrets.redact(docs))}
     assert cut[1].endswith('é [SECRET]"') and cut[2] is None and cut[3] == "nothing"
+
+
+def test_sums_of_sums_stay_small():
+    """Each constant is the sum of the one before with itself; written out, the last would have 2 ** 2000 literals."""
+    lines = ['k0 = "Zx81"'] + [f'k{n} = k{n - 1} + k{n - 1} + "a{n}"' for n in range(1, 2000)] + ["db_password = k1999"]
+    assert len(lexed("\n".join(lines))) == 2000
+    assert lexed("a:" * 200_000 + "\n" + "x" * 500_000 + '\npassword = "Zx81kQp9rT2m"') == ["Zx81kQp9rT2m"]
