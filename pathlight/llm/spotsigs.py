@@ -22,6 +22,10 @@ ANCHORS = tuple(
         "el los las y del una por con para su al lo como más o pero sus"
     ).split()
 )
+# One word in so many, by its hash, is an anchor as well: languages that the list does not know, code and tables have some, too.
+ANCHOR_CLASSES = 16
+# In a text with fewer than one anchor in so many words every word is an anchor, and content.
+SPARSE = 32
 CHAIN_WORDS = 2
 SPOT_DISTANCE = 1
 SIMILARITY = 0.8
@@ -30,40 +34,51 @@ SIMILARITY = 0.8
 def signatures(
     text: Column, anchors: Sequence[str] = ANCHORS, chain: int = CHAIN_WORDS, distance: int = SPOT_DISTANCE
 ) -> Column:
-    """The sorted set of a text's signatures, as 32-bit numbers.
+    """The sorted set of a text's signatures, as 64-bit numbers.
 
     Every anchor, and the beginning of the text, gives one: the anchor and the ``chain`` content words that follow it,
-    each ``distance`` content words after the one before. Chains at the end of a text are shorter. The content words
-    after the n-th anchor, at word p, begin with content word p - n; so words, anchors and content words are listed once
-    and a text takes time in proportion to its length. A text without words has no signature.
+    each ``distance`` content words after the one before. Anchors are common words and those whose hash falls in a fixed class;
+    all other words are content. Chains at the end of a text are shorter. The content words after the n-th anchor, at word p,
+    begin with content word p - n; so words, anchors and content words are listed once and a text takes time in proportion
+    to its length. Where anchors are so few that chains would leave out most of the text (:data:`SPARSE`), a chain begins at
+    every word and goes on with the words after it. A text without words has no signature.
     """
     words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
     common = list(dict.fromkeys(anchors))
 
+    def is_anchor(word: Column) -> Column:
+        return word.isin(common) | (F.pmod(F.xxhash64(word), F.lit(ANCHOR_CLASSES)) == 0)
+
     def chains(spoken: Column) -> Column:
-        places = F.filter(F.sequence(F.lit(0), F.size(spoken) - 1), lambda at: F.get(spoken, at).isin(common))
-        content = F.array(F.filter(spoken, lambda word: ~word.isin(common)))
+        everywhere = F.sequence(F.lit(0), F.size(spoken) - 1)
+        found = F.array(F.filter(everywhere, lambda at: is_anchor(F.get(spoken, at))))
+
+        def with_places(places: Column) -> Column:
+            sparse = F.size(places) * SPARSE < F.size(spoken)
+            content = F.array(F.when(sparse, spoken).otherwise(F.filter(spoken, lambda word: ~is_anchor(word))))
+
+            def with_content(kept: Column) -> Column:
+                def signature(anchor: Column, first: Column) -> Column:
+                    return F.xxhash64(anchor, *[F.get(kept, first + step * distance) for step in range(chain)])
+
+                def at_place(at: Column, number: Column) -> Column:
+                    return signature(F.get(spoken, at), F.when(sparse, at + 1).otherwise(at - number))
 
-        def with_content(kept: Column) -> Column:
-            def signature(anchor: Column, first: Column) -> Column:
-                return F.hash(anchor, *[F.get(kept, first + step * distance) for step in range(chain)])
+                begin = F.array(signature(F.lit(""), F.lit(0)))
+                return F.concat(begin, F.transform(F.when(sparse, everywhere).otherwise(places), at_place))
 
-            begin = F.array(signature(F.lit(""), F.lit(0)))
-            return F.concat(
-                begin, F.transform(places, lambda at, number: signature(F.get(spoken, at), at - number))
-            )
+            return F.get(F.transform(content, with_content), F.lit(0))
 
-        return F.get(F.transform(content, with_content), F.lit(0))
+        return F.get(F.transform(found, with_places), F.lit(0))
 
     made = F.get(F.transform(F.array(words), lambda w: F.when(F.size(w) > 0, chains(w))), F.lit(0))
-    return F.sort_array(F.array_distinct(F.coalesce(made, F.array().cast("array<int>"))))
+    return F.sort_array(F.array_distinct(F.coalesce(made, F.array().cast("array<bigint>"))))
 
 
 def as_string(sigs: Column | str) -> Column:
-    """A set of signatures as text: eight hexadecimal digits each."""
+    """A set of signatures as text: sixteen hexadecimal digits each."""
     column = F.col(sigs) if isinstance(sigs, str) else sigs
-    shift = F.lit((1 << 32) + (1 << 31))
-    digits = F.transform(column, lambda value: F.substring(F.hex(value.cast("bigint") + shift), 2, 8))
+    digits = F.transform(column, lambda value: F.lpad(F.hex(value), 16, "0"))
     return F.lower(F.array_join(digits, ""))
 
 
