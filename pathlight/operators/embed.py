@@ -29,6 +29,8 @@ WORD_SEPARATOR = r"[^\p{L}\p{N}]+"
 # Rows whose counts are held as one matrix inside a task.
 _MATRIX_ROWS = 1024
 
+_COUNTED = "bucket int, documents bigint, total bigint"
+
 # (texts) -> one vector per text, in order; None or an empty list for a text that could not be embedded.
 BatchFunction = Callable[[list[str]], Sequence[Sequence[float] | None]]
 
@@ -74,20 +76,56 @@ def fit_idf(corpus: DataFrame, dim: int = DEFAULT_DIM, text: str = "code_text")
                 {"bucket": np.arange(dim, dtype=np.int32), "documents": documents, "total": np.full(dim, total)}
             )
 
-    none = corpus.sparkSession.range(dim).select(
-        F.col("id").cast("int").alias("bucket"), F.lit(0).cast("bigint").alias("documents"), F.lit(0).cast("bigint").alias("total")
-    )
-    counts = (
-        corpus.filter(F.col(text).isNotNull())
-        .select(text)
-        .mapInArrow(count_documents, "bucket int, documents bigint, total bigint")
-        .unionByName(none)
-        .groupBy("bucket")
-        .agg(F.sum("documents").alias("documents"), F.sum("total").alias("total"))
-    )
+    counted = corpus.filter(F.col(text).isNotNull()).select(text).mapInArrow(count_documents, _COUNTED)
+    return _idf(counted, dim)
+
+
+def idf_of_vectors(index: DataFrame, dim: int, embedding: str = "embedding") -> DataFrame:
+    """The model that :func:`fit_idf` would give for the texts of TF-IDF vectors, without these texts: a word's weight is never zero, so
+    a document has the buckets in which its vector is not zero."""
+    ship_package(index.sparkSession)
+
+    def count_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        documents, total = np.zeros(dim, np.int64), 0
+        for batch in batches:
+            vectors = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, dim)
+            documents += (vectors != 0).sum(axis=0)
+            total += batch.num_rows
+        if total:
+            yield pa.record_batch(
+                {"bucket": np.arange(dim, dtype=np.int32), "documents": documents, "total": np.full(dim, total)}
+            )
+
+    return _idf(index.filter(F.col(embedding).isNotNull()).select(embedding).mapInArrow(count_vectors, _COUNTED), dim)
+
+
+def _idf(counted: DataFrame, dim: int) -> DataFrame:
+    """The counts of all tasks added up, for every bucket."""
+    zero = F.lit(0).cast("bigint")
+    none = counted.sparkSession.range(dim).select(F.col("id").cast("int").alias("bucket"), zero.alias("documents"), zero.alias("total"))
+    counts = counted.unionByName(none).groupBy("bucket").agg(F.sum("documents").alias("documents"), F.sum("total").alias("total"))
     return counts.withColumn("idf", F.log((1 + F.col("total")) / (1 + F.col("documents"))) + 1)
 
 
+def reweighted(rows: DataFrame, before: Sequence[float], after: Sequence[float], embedding: str = "embedding") -> DataFrame:
+    """TF-IDF vectors of one model as those of another: term frequencies stay, so each element changes by the ratio of the two
+    weights of its bucket, and the vector is scaled to length one again."""
+    ship_package(rows.sparkSession)
+    ratio = np.asarray(after, dtype=np.float64) / np.asarray(before, dtype=np.float64)
+
+    @F.arrow_udf("array<float>")
+    def weighted(vectors: pa.Array) -> pa.Array:
+        here = np.asarray(vectors.is_valid())
+        values = np.zeros((len(vectors), len(ratio)))
+        values[here] = np.asarray(vectors.flatten(), dtype=np.float64).reshape(-1, len(ratio)) * ratio
+        norms = np.sqrt(np.einsum("ij,ij->i", values, values))
+        values /= np.where(norms == 0, 1.0, norms)[:, None]
+        offsets = pa.array(np.arange(0, values.size + 1, len(ratio), dtype=np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()).cast(pa.float32(), safe=False), mask=vectors.is_null())
+
+    return rows.withColumn(embedding, weighted(embedding))
+
+
 def tfidf_weights(
     rows: DataFrame, idf: Sequence[float], text: str = "code_text", out: str = "weights", as_float: bool = False
 ) -> DataFrame:

@@ -5,6 +5,7 @@ from .pipelines import (
     incremental_index,
     index_diff,
     prepare,
+    refit_model,
     refresh_cells,
     stored_embedder,
     texts_of,
@@ -17,6 +18,7 @@ __all__ = [
     "incremental_index",
     "index_diff",
     "prepare",
+    "refit_model",
     "refresh_cells",
     "stored_embedder",
     "texts_of",

@@ -19,7 +19,7 @@ from ..operators.search import INDEX_VIEW
 from ..session import scratch_dir
 from ..sources import IndexStore, change_list, corpus_scan, ignore_rules, path_list, spread, table_corpus, write_files
 from ..streaming import stream_changes
-from .pipelines import add_delete_index, full_changes, full_index, incremental_index
+from .pipelines import add_delete_index, full_changes, full_index, incremental_index, refit_model, stored_embedder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -952,6 +952,28 @@ def incremental_index_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(store.read())
 
 
+@query(
+    "refit_model",
+    f"""WITH {_LATER}, texts AS (SELECT file_path, {_CODE} AS code FROM later WHERE {_KEPT} AND {_TRIM.format('content')} <> ''),
+df AS (SELECT bucket, count(*) AS documents FROM (
+    SELECT DISTINCT file_path, {_bucket('word')} AS bucket FROM (
+      SELECT file_path, unnest(regexp_extract_all(lower(code), '[\\p{{L}}\\p{{N}}]+')) AS word FROM texts)) GROUP BY bucket)
+SELECT b.bucket::INTEGER AS bucket, coalesce(documents, 0) AS documents, total,
+  round(ln((1 + total) / (1 + coalesce(documents, 0))) + 1, 9) AS idf, total AS equal_vectors
+FROM (SELECT unnest(range(0, {DIM})) AS bucket) b LEFT JOIN df USING (bucket), (SELECT count(*) AS total FROM texts)"""
+)
+def refit_model_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model after a later run, brought up to date; and how many vectors are those that it gives for the texts."""
+    store = new_store(spark)
+    full_index(store, files(spark, sf_dir), RULES, source_version="v1")
+    incremental_index(store, op.ignore_filter(later_files(spark, sf_dir), RULES), source_version="v2")
+    refit_model(store)
+    plain = stored_embedder(store)(store.read().select("code_text", F.col("embedding").alias("stored")))
+    apart = F.aggregate(F.zip_with("stored", "embedding", lambda a, b: F.abs(a - b).cast("double")), F.lit(0.0), lambda x, y: F.greatest(x, y))
+    equal = plain.agg(F.count_if(apart < 1e-6)).first()[0]
+    return store.read_model().select("bucket", "documents", "total", F.round("idf", 9).alias("idf"), F.lit(equal).cast("bigint").alias("equal_vectors"))
+
+
 @query(
     "incremental_index_moves",
     f"""WITH {_LATER}, moved AS (

@@ -15,7 +15,7 @@ from ..functions import LANGUAGES, is_blank, language_of, strip_header
 from ..operators.changes import digest_diff, keep_by_key, route_changes, snapshot_diff, snapshot_moves
 from ..operators.clean import ignore_filter
 from ..operators.ann import DEFAULT_CELLS, CellIndex, append_changes, build_cells, cells_version, drift, has_cells
-from ..operators.embed import Embedder, TfIdfEmbedder, fit_idf
+from ..operators.embed import Embedder, TfIdfEmbedder, fit_idf, idf_of_vectors, reweighted
 from ..sources.corpus import paths_frame
 from ..sources.store import IndexStore, State, text_digest
 
@@ -184,6 +184,20 @@ def _with_moves(store, files, previous, rules, embedder, source_version, languag
     return store.publish_index(rows, removed, source_version, finish=finish_new, keys=keys, model=model)
 
 
+def refit_model(store: IndexStore) -> State:
+    """Bring the default model up to date with everything that was written, replaced and removed since it was fitted.
+
+    The counts of the model are taken from the vectors of the index, and every vector is weighted anew; no text is split into
+    words again. The result is a full version that holds what a fit on all its texts would have given; rows keep their ids.
+    Places of a stream are then known to its checkpoint only.
+    """
+    before = stored_embedder(store)
+    number = store.write_model(idf_of_vectors(store.read(), store.dim))
+    after = TfIdfEmbedder(store.read_model(number))
+    rows = reweighted(store.read().drop("id"), before.idf, after.idf)
+    return store.publish_index(rows, full=True, keys=store.digests().select("file_path"), model=number)
+
+
 def add_delete_index(
     store: IndexStore,
     files: DataFrame,
@@ -236,6 +250,7 @@ __all__ = [
     "incremental_index",
     "index_diff",
     "prepare",
+    "refit_model",
     "refresh_cells",
     "stored_embedder",
     "texts_of",

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from pathlight.operators import BatchEmbedder, TfIdfEmbedder, ann_search, batch_search, ignore_filter, snapshot_diff
-from pathlight.plans import add_delete_index, full_changes, full_index, incremental_index, index_diff, refresh_cells
+from pathlight.operators.embed import fit_idf
+from pathlight.plans import add_delete_index, full_changes, full_index, incremental_index, index_diff, refit_model, refresh_cells
 from pathlight.plans.pipelines import fit_model, stored_embedder, texts_of
 from pathlight.session import scratch_dir
 from pathlight.sources import IndexStore, State
@@ -634,3 +635,20 @@ def test_many_files_with_the_same_contents_move(spark):
     found = snapshot_moves(before, after).collect()
     assert len(found) == 700 and sum(r["change"] == "R" for r in found) == 600 and sum(r["change"] == "A" for r in found) == 100
     assert len({r["new_path"] for r in found if r["new_path"]}) == 600
+
+
+def test_a_refit_is_what_a_fit_would_give(spark):
+    """After rows were added, replaced and removed; without a look at the texts."""
+    store = IndexStore(spark, scratch_dir(spark), 32)
+    full_index(store, corpus(spark, V1 | {"empty.md": "--", "gone.md": "words that go"}), source_version="v1")
+    incremental_index(store, corpus(spark, V2 | {"empty.md": "--"}), source_version="v2")
+    before, texts = ids(store), contents(store)
+    state = refit_model(store)
+    assert state.base == state.version and ids(store) == before and contents(store) == texts and state.source_version == "v2"
+    fitted = fit_idf(store.read(), 32).orderBy("bucket").collect()
+    assert store.read_model().select(*fitted[0].__fields__).orderBy("bucket").collect() == fitted
+    plain = {r["file_path"]: r["e"] for r in TfIdfEmbedder(store.read_model())(store.read().drop("embedding"), out="e").collect()}
+    for row in store.read().collect():
+        assert max(abs(a - b) for a, b in zip(row["embedding"], plain[row["file_path"]], strict=True)) < 1e-6
+    with pytest.raises(ValueError, match="no embedding model"):
+        refit_model(IndexStore(spark, scratch_dir(spark), 32))
