@@ -75,8 +75,13 @@ def test_query_uses_the_model_of_the_corpus(spark):
 def test_no_model(spark):
     with pytest.raises(ValueError, match="no embedding model"):
         TfIdfEmbedder([])
-    with pytest.raises(ValueError, match="no embedding model"):
-        TfIdfEmbedder.fit(corpus(spark).filter("false"), 4)
+
+
+def test_a_fit_on_nothing_weighs_all_words_alike(spark):
+    """A run that leaves no file is a run like any other; the next one with files fits the model anew."""
+    model = fit_idf(corpus(spark).filter("false"), 4, "code_text").orderBy("bucket").collect()
+    assert [tuple(r) for r in model] == [(n, 0, 0, 1.0) for n in range(4)]
+    assert TfIdfEmbedder.fit(corpus(spark).filter("false"), 4).idf == [1.0] * 4
 
 
 def test_batch_embedder(spark, letters):
