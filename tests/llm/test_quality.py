@@ -81,3 +81,35 @@ def test_odd_rows(spark, odd_docs, no_docs, columns):
     assert all(0 <= r[f"{t}_{v}"] <= 1 for r in rows for t in ("quality", "toxic") for v in ("text", "meta", "score"))
     assert quality.classify(no_docs, labels).count() == 0
     assert quality.classify(odd_docs, labels.limit(0)).count() == odd_docs.count()
+
+
+def same(one, two):
+    sides = [(one.text, two.text), (one.meta, two.meta)]
+    return (one.mix == two.mix).all() and all((a.weights == b.weights).all() and a.bias == b.bias for a, b in sides)
+
+
+def test_partitions_and_repeated_labelled_rows_change_nothing(spark):
+    """A labelled document counts once however often it occurs, and sums over the pool do not depend on how it is dealt."""
+    docs, labels = corpus(spark, 400, 200)
+    hot = labels.select("doc_id").limit(1).collect()[0].doc_id
+    repeated = docs.unionByName(docs.filter(F.col("doc_id") == hot).select(docs.columns).crossJoin(spark.range(300)).drop("id"))
+    one = quality.fit(docs.repartition(1), labels, "quality")
+    assert same(one, quality.fit(repeated.repartition(7), labels, "quality"))
+
+
+def test_sums_over_tasks_are_those_over_all_rows(spark):
+    """Every pool row of which a view is sure is handed over, in whatever task it lies: against one pass over all rows."""
+    draw = np.random.default_rng(10)
+    lists = lambda top: [np.unique(draw.integers(0, top, 12)).tolist() for _ in range(500)]
+    words, form = lists(300), lists(60)
+    sparse = [quality.Sparse.of([np.array(r, dtype=np.int64) for r in side]) for side in (words, form)]
+    labels = (draw.random(500) < 0.5).astype(float)
+    kept = np.ones(quality.TEXT_BUCKETS, dtype=bool)
+    training = quality.CoTraining((sparse[0], sparse[1]), labels, np.arange(500) % 5 == 0, kept)
+    for view in training.teachers:
+        view.slope, view.shift = 5.0, 0.0
+    expected = quality.pool_sums((sparse[0], sparse[1]), training.teachers, training.students())
+    assert all(0 < side[:, -1].sum() < 500 for side in expected)
+    pool = spark.createDataFrame(list(zip(words, form, strict=True)), "words array<int>, form array<int>").repartition(5)
+    found = quality._pool_sums(pool, [training])[0]
+    assert all((a == b).all() for a, b in zip(found, expected, strict=True))
