@@ -1,6 +1,6 @@
-"""A small causal self-attention model over subword classes, in numpy: its forward pass, its gradient, its training steps.
+"""A small causal self-attention model over subword ids, in numpy: its forward pass, its gradient, its training steps.
 
-What comes next is predicted in two steps: whether a word begins (or the text ends), and which class it is among those
+It reads subwords, each with an embedding of its own. What comes next is predicted in two steps: whether a word begins (or the text ends), and which class it is among those
 that begin a word or among the others. So only one part of the classes is compared for each token.
 """
 
@@ -19,17 +19,23 @@ Parameters = dict[str, np.ndarray]
 
 
 def initial(
-    classes: int, prior: np.ndarray, starts: int, seed: int = 42, dimensions: int = DIMENSIONS, window: int = WINDOW
+    classes: int,
+    prior: np.ndarray,
+    starts: int,
+    seed: int = 42,
+    dimensions: int = DIMENSIONS,
+    window: int = WINDOW,
+    vocabulary: int | None = None,
 ) -> Parameters:
     """Random small weights; the output begins at the given log probabilities of the classes, the first ``starts`` of which
-    begin a word."""
+    begin a word. ``vocabulary`` is how many different tokens are read; without it classes are."""
     share = np.exp(prior)
     random = np.random.default_rng(seed)
     draw = lambda *shape: (random.standard_normal(shape) * 0.1).astype(np.float32)
     square = (dimensions, dimensions)
     return {
-        # One input more than there are classes: the beginning of a text.
-        "embed": draw(classes + 1, dimensions),
+        # One input more than there are tokens: the beginning of a text.
+        "embed": draw((classes if vocabulary is None else vocabulary) + 1, dimensions),
         "place": draw(window, dimensions),
         "query": draw(*square),
         "key": draw(*square),
@@ -185,9 +191,11 @@ def gradient(
     d_hidden = d_state + d_query @ p["query"].T + d_key @ p["key"].T + d_value @ p["value"].T
     g["place"] = np.zeros_like(p["place"])
     g["place"][: inputs.shape[1]] = d_hidden.sum(axis=0)
-    one_hot = np.zeros((inputs.size, classes + 1), np.float32)
-    one_hot[np.arange(inputs.size), inputs.ravel()] = 1
-    g["embed"] = one_hot.T @ flat(d_hidden)
+    # Only rows of tokens that were read are other than zero: sums over stretches of the slots in order of their token.
+    order = np.argsort(inputs, axis=None, kind="stable")
+    tokens, begins = np.unique(inputs.ravel()[order], return_index=True)
+    g["embed"] = np.zeros_like(p["embed"])
+    g["embed"][tokens] = np.add.reduceat(flat(d_hidden)[order], begins, axis=0)
     return g, loss / count
 
 
@@ -200,17 +208,21 @@ class Adam:
         self.mean: Parameters = {}
         self.square: Parameters = {}
 
-    def update(self, p: Parameters, g: Parameters) -> None:
+    def update(self, p: Parameters, g: Parameters, read: np.ndarray) -> None:
+        """One step. Of the embeddings only those of the tokens that were ``read`` move."""
         self.step += 1
         # The first steps are small: the averages are not known yet.
         rate = self.rate * min(1.0, self.step / 20)
         for name, value in g.items():
-            mean = self.mean.setdefault(name, np.zeros_like(value))
-            square = self.square.setdefault(name, np.zeros_like(value))
-            mean += 0.1 * (value - mean)
-            square += 0.01 * (value * value - square)
+            if name not in self.mean:
+                self.mean[name], self.square[name] = np.zeros_like(p[name]), np.zeros_like(p[name])
+            rows = read if name == "embed" else slice(None)
+            value = value[rows]
+            mean = self.mean[name][rows] + 0.1 * (value - self.mean[name][rows])
+            square = self.square[name][rows] + 0.01 * (value * value - self.square[name][rows])
+            self.mean[name][rows], self.square[name][rows] = mean, square
             fit = np.sqrt(square / (1 - 0.99**self.step)) + 1e-8
-            p[name] -= (rate / (1 - 0.9**self.step) * mean / fit).astype(p[name].dtype)
+            p[name][rows] -= (rate / (1 - 0.9**self.step) * mean / fit).astype(p[name].dtype)
 
 
 def windows_of(lengths: np.ndarray, window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:
@@ -223,9 +235,17 @@ def windows_of(lengths: np.ndarray, window: int = WINDOW, context: int = CONTEXT
 
 
 def score_texts(
-    p: Parameters, classes: np.ndarray, lengths: np.ndarray, starts: int, window: int = WINDOW, context: int = CONTEXT, at_once: int = 64
+    p: Parameters,
+    classes: np.ndarray,
+    lengths: np.ndarray,
+    starts: int,
+    window: int = WINDOW,
+    context: int = CONTEXT,
+    at_once: int = 64,
+    read: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """For every token of the texts laid end to end, the two numbers of :class:`Scorer`.
+    """For every token of the texts laid end to end, the two numbers of :class:`Scorer`. ``read`` are the tokens themselves,
+    without it the classes are read.
 
     Each token is scored once, by the window in which at least ``context`` tokens before it - or all there are - can be seen.
     """
@@ -234,7 +254,7 @@ def score_texts(
     # A text is read shifted by one: the beginning predicts its first token.
     padded = np.full(len(classes) + len(lengths), begin_class, dtype=np.int64)
     row = np.repeat(np.arange(len(lengths)), lengths)
-    padded[np.arange(len(classes)) + row + 1] = classes
+    padded[np.arange(len(classes)) + row + 1] = classes if read is None else read
     text, first = windows_of(lengths, window, context)
     chosen, begun = np.zeros(len(classes), np.float32), np.zeros(len(classes), np.float32)
     slots = np.arange(window) - context

@@ -24,14 +24,13 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: pieces that byte pairs are merged in - letters, digits or symbols, with one space before them.
 PIECES = r" ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
 
-# Frequent subwords are classes of their own; the others share the rest of the classes.
+# What is predicted first is a class: frequent subwords are classes of their own; the others share the rest of the classes.
 CLASSES, SHARED = 256, 24
 # Words per block: the unit in which texts and counts meet. A longer text is a block of its own.
 BLOCK_WORDS = 1 << 21
-# The model is trained on one run of so many words in every TRAIN_EVERY, from all training texts.
-RUN_WORDS, TRAIN_EVERY = 40, 24
-ROUNDS = 3
-# A task with few runs goes over them until it has made so many steps in a round.
+# The model is trained on all training texts, in runs of so many words; each run belongs to one of the rounds.
+RUN_WORDS, ROUNDS = 40, 3
+# A task with few runs - under about a megabyte of text - goes over all of them again until it has made so many steps in a round.
 LEAST_STEPS = 200
 # Tokens of a block that are scored at a time, and words that are split at a time.
 SLICE_TOKENS, SPLIT_ROWS = 1 << 18, 512
@@ -120,14 +119,15 @@ def _block(number: int, ids: list, held: list[bool], lengths: np.ndarray, words:
     )
 
 
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer: bytes, block_words: int, every: int) -> Iterator[pa.RecordBatch]:
-    """Task body: texts into blocks; from training texts, regular runs of words as subwords."""
+def _encode(batches: Iterator[pa.RecordBatch], tokenizer: bytes, block_words: int, rounds: int) -> Iterator[pa.RecordBatch]:
+    """Task body: texts into blocks; training texts, too, as runs of subwords, each with the round that it belongs to."""
     encoding = _tokenizer(tokenizer)
     ids: list = []
     held: list[bool] = []
     lengths: list[np.ndarray] = []
     parts: list[pa.Array] = []
     runs: list[bytes] = []
+    turns: list[int] = []
     size = number = 0
 
     def full() -> Iterator[pa.RecordBatch]:
@@ -148,17 +148,19 @@ def _encode(batches: Iterator[pa.RecordBatch], tokenizer: bytes, block_words: in
             for row, draw in enumerate(part.column(3).to_pylist()):
                 if out[row]:
                     continue
-                for start in range(draw * RUN_WORDS, int(counts[row]), every * RUN_WORDS):
+                for turn, start in enumerate(range(0, int(counts[row]), RUN_WORDS), draw):
                     spoken = words.slice(int(begins[row]) + start, min(RUN_WORDS, int(counts[row]) - start)).to_pylist()
                     # A run that begins or ends its text says so.
                     flags = (start == 0) + 2 * (start + RUN_WORDS >= counts[row])
                     runs.append(np.array([flags, *encoding.encode_ordinary(" " + " ".join(spoken))], dtype=np.uint16).tobytes())
+                    turns.append(turn % rounds)
             if size >= block_words:
                 yield from full()
                 ids, held, lengths, parts, size, number = [], [], [], [], 0, number + 1
-        if runs:
-            yield _rows(len(runs), kind=pa.array(np.full(len(runs), _RUNS, np.int32)), codes=pa.array(runs, pa.binary()))
-            runs = []
+            if runs:
+                kinds = pa.array(np.full(len(runs), _RUNS, np.int32))
+                yield _rows(len(runs), kind=kinds, idx=pa.array(turns, pa.int32()), codes=pa.array(runs, pa.binary()))
+                runs, turns = [], []
     if ids:
         yield from full()
 
@@ -219,31 +221,39 @@ def subword_classes(counts: np.ndarray, begins: np.ndarray, ends: int, classes:
 
 
 def _train(batches: Iterator[pa.RecordBatch], parameters: attention.Parameters, classes: SubwordClasses, seed: int) -> Iterator[pa.RecordBatch]:
-    """Task body: steps over the runs of this task, from the given parameters. Gives the new ones, weighed by the steps."""
+    """Task body: steps over the runs of this task, from the given parameters.
+
+    Gives rows of the new ones: an embedding weighed by how often its token was read, all others by the steps.
+    """
     p = {name: value.copy() for name, value in parameters.items()}
     optimiser = attention.Adam()
     begin, window, lead = p["embed"].shape[0] - 1, attention.WINDOW, attention.CONTEXT
     random = np.random.default_rng(seed)
     inputs = np.full((attention.BATCH_WINDOWS, window), -1)
     targets = np.full((attention.BATCH_WINDOWS, window), -1)
+    uses = np.zeros(begin + 1)
     filled = 0
 
     def learn() -> None:
         nonlocal filled
         if filled:
             read, aim = inputs[:filled], targets[:filled]
-            g, _ = attention.gradient(p, np.maximum(read, 0), read >= 0, np.maximum(aim, 0), aim >= 0, classes.starts)
-            optimiser.update(p, g)
+            tokens, often = np.unique(read[read >= 0], return_counts=True)
+            # Slots without a token read the beginning, which nothing sees.
+            g, _ = attention.gradient(p, np.where(read >= 0, read, begin), read >= 0, np.maximum(aim, 0), aim >= 0, classes.starts)
+            optimiser.update(p, g, tokens)
+            uses[tokens] += often
         inputs[:], targets[:], filled = -1, -1, 0
 
     def read_run(run: bytes) -> None:
         nonlocal filled
         tokens = np.frombuffer(run, np.uint16)
-        aim = classes.of[tokens[1:].astype(np.int64)]
+        spoken = tokens[1:].astype(np.int64)
+        aim = classes.of[spoken]
         if tokens[0] & 2:
             aim = np.append(aim, 0)
         # The first token of a run inside a text has no context, so nothing is learned from it.
-        read = np.append(begin if tokens[0] & 1 else -1, aim[:-1])
+        read = np.append(begin if tokens[0] & 1 else -1, spoken[: len(aim) - 1])
         if read[0] < 0:
             aim[0] = -1
         # As in scoring, a text begins after the context slots and goes on from slot to slot.
@@ -263,28 +273,45 @@ def _train(batches: Iterator[pa.RecordBatch], parameters: attention.Parameters,
             read_run(runs[number])
         if optimiser.step < LEAST_STEPS:
             again += runs
+    learn()
     while again and optimiser.step < LEAST_STEPS:
         for number in random.permutation(len(again)).tolist():
             read_run(again[number])
         learn()
-    learn()
     if optimiser.step:
-        flat = np.concatenate([p[name].ravel() for name in sorted(p)]).astype(np.float64) * optimiser.step
-        yield pa.record_batch({"at": pa.array(np.arange(len(flat) + 1)), "total": pa.array(np.append(flat, optimiser.step))})
-
-
-def _average(trained: DataFrame, like: attention.Parameters) -> attention.Parameters:
-    """Mean parameters of all tasks. One number per parameter reaches the driver."""
-    sums = trained.groupBy("at").agg(F.sum("total").alias("total")).toArrow()
-    flat = np.zeros(sum(value.size for value in like.values()) + 1)
-    if sums.num_rows == 0:
-        return like
-    flat[np.asarray(sums["at"])] = np.asarray(sums["total"])
-    out, at = {}, 0
+        others = _others(p)
+        used = np.flatnonzero(uses)
+        rows = np.vstack([p["embed"][used] * uses[used, None], others.astype(np.float64) * optimiser.step])
+        weights = np.concatenate([uses[used], np.full(len(others), optimiser.step)])
+        at = np.concatenate([used, len(uses) + np.arange(len(others))])
+        columns = {f"v{n}": pa.array(np.ascontiguousarray(rows[:, n])) for n in range(rows.shape[1])}
+        yield pa.record_batch({"at": pa.array(at), "weight": pa.array(weights)} | columns)
+
+
+def _others(p: attention.Parameters) -> np.ndarray:
+    """All parameters but the embeddings, as rows as long as an embedding."""
+    flat = np.concatenate([p[name].ravel() for name in sorted(p) if name != "embed"])
+    width = p["embed"].shape[1]
+    return np.pad(flat, (0, -len(flat) % width)).reshape(-1, width)
+
+
+def _trained(runs: DataFrame, like: attention.Parameters, classes: SubwordClasses, seed: int) -> attention.Parameters:
+    """Parameters after a round over these runs: the means over all tasks. As many numbers reach the driver as there are."""
+    held = runs.sparkSession.sparkContext.broadcast((like, classes))
+    numbers = ["weight", *[f"v{n}" for n in range(like["embed"].shape[1])]]
+    given = runs.mapInArrow(lambda b: _train(b, *held.value, seed), ", ".join(["at bigint", *[f"{n} double" for n in numbers]]))
+    sums = given.groupBy("at").agg(*[F.sum(name).alias(name) for name in numbers]).toArrow()
+    held.unpersist()
+    rows = np.vstack([like["embed"], _others(like)])
+    if sums.num_rows:
+        total = np.stack([np.asarray(sums[name]) for name in numbers], axis=1)
+        rows[np.asarray(sums["at"])] = total[:, 1:] / total[:, :1]
+    out, at = {"embed": rows[: len(like["embed"])]}, 0
+    flat = rows[len(like["embed"]) :].ravel()
     for name in sorted(like):
-        value = like[name]
-        out[name] = (flat[at : at + value.size] / flat[-1]).reshape(value.shape).astype(np.float32)
-        at += value.size
+        if name != "embed":
+            out[name] = flat[at : at + like[name].size].reshape(like[name].shape).astype(np.float32)
+            at += like[name].size
     return out
 
 
@@ -316,6 +343,8 @@ def score_block(
     counts = np.append(counts, model.ends)
     subwords = np.frombuffer(b"".join(pieces.to_pylist()), np.uint16).astype(np.int64)
     piece_classes = np.append(model.classes.of[subwords], 0).astype(np.int16)
+    # The end of a text is the last of its tokens and never read.
+    pieces_read = np.append(subwords, 0)
     within = np.append(model.classes.within[subwords], np.float32(0))
     word_lengths = np.append(np.asarray(pc.binary_length(pieces)) // 2, 1).astype(np.int64)
     word_starts = np.cumsum(word_lengths) - word_lengths
@@ -337,7 +366,7 @@ def score_block(
         where = np.repeat(word_starts[ended] - starts, size) + np.arange(size.sum())
         sequence = piece_classes[where].astype(np.int64)
         long = _sum_parts(size, tokens).astype(np.int64)
-        chosen, begun = attention.score_texts(model.parameters, sequence, long, model.classes.starts)
+        chosen, begun = attention.score_texts(model.parameters, sequence, long, model.classes.starts, read=pieces_read[where])
         chosen += within[where]
         # A word is its subwords, given that a word begins, and then that another one begins (or the text ends).
         spelled = np.add.reduceat(chosen, starts, dtype=np.float64) - begun[starts]
@@ -355,7 +384,6 @@ def lm_scores(
     docs: DataFrame,
     tokenizer: str = TOKENIZER,
     rounds: int = ROUNDS,
-    every: int = TRAIN_EVERY,
     block_words: int = BLOCK_WORDS,
     seed: int = 42,
     doc_id: str = "doc_id",
@@ -369,8 +397,8 @@ def lm_scores(
 
     Texts are encoded once, in blocks, each with a list of its different words. Words are counted over all training texts
     by a shuffle of these lists, cut into subwords once each, and brought back to the blocks. The attention model starts
-    from the shares of the subword classes and is trained in every task on runs of words from all training texts, ``rounds``
-    times, with the parameters averaged in between.
+    from the shares of the subword classes and reads every word of all training texts: runs of words are dealt to ``rounds``
+    rounds, in which every task trains on its runs; in between the parameters are averaged.
 
     NULL and empty texts consist of the end alone; repeated rows get equal results; an empty table gives an empty result;
     without training texts all counts are 0.
@@ -381,9 +409,9 @@ def lm_scores(
         content = file.read()
     vocabulary = spark.sparkContext.broadcast(content)
     given = docs.select(
-        F.col(doc_id).cast("bigint"), F.col(text), held_out(doc_id), F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(every)).cast("int")
+        F.col(doc_id).cast("bigint"), F.col(text), held_out(doc_id), F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(rounds)).cast("int")
     ).toDF("doc_id", "text", "held", "draw")
-    encoded = staged(given.mapInArrow(lambda b: _encode(b, vocabulary.value, block_words, every), _ENCODED), "encoded")
+    encoded = staged(given.mapInArrow(lambda b: _encode(b, vocabulary.value, block_words, rounds), _ENCODED), "encoded")
     words = encoded.filter(F.col("kind") == _WORDS)
     counted = words.groupBy("word").agg(F.sum("n").alias("c"))
     counted = staged(counted.mapInArrow(lambda b: _subwords(b, vocabulary.value), "word string, c bigint, pieces binary"), "counted")
@@ -407,12 +435,10 @@ def lm_scores(
     for token in encoding.token_byte_values():
         begins[encoding.encode_single_token(token)] = token.startswith(b" ")
     classes = subword_classes(counts, begins, ends)
-    parameters = attention.initial(len(classes.prior), classes.prior, classes.starts, seed)
-    runs = encoded.filter(F.col("kind") == _RUNS).select("codes")
+    parameters = attention.initial(len(classes.prior), classes.prior, classes.starts, seed, vocabulary=size)
     for number in range(rounds):
-        held = spark.sparkContext.broadcast((parameters, classes))
-        trained = runs.mapInArrow(lambda b, h=held, n=number: _train(b, *h.value, seed + n), "at bigint, total double")
-        parameters = _average(trained, parameters)
+        runs = encoded.filter((F.col("kind") == _RUNS) & (F.col("idx") == number)).select("codes")
+        parameters = _trained(runs, parameters, classes, seed + number)
     model = spark.sparkContext.broadcast(LanguageModel(tokens, distinct, ends, classes, parameters))
 
     def score(key: tuple, texts: pa.Table, listed: pa.Table) -> pa.Table:

@@ -113,7 +113,7 @@ def test_counts_and_scores_of_a_language_that_can_be_learned(spark):
     topics = [[f"{a}{b}" for a in ("ka", "ro", "mi") for b in ("no", "te", "la")], [f"{a}{b}" for a in ("shu", "ber") for b in ("ing", "ton", "dle")]]
     rows = [(n, " ".join(draw.choice(topics[n % 2], 80))) for n in range(400)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
-    got = records(lm_score.lm_scores(docs, block_words=2000, every=4))
+    got = records(lm_score.lm_scores(docs, block_words=2000))
     assert len(got) == 400
     check_base(got, records(docs))
     held = [r for r in got if r["held_out"]]
