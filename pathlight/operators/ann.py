@@ -17,17 +17,20 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import l2_norm
 from ..session import scratch_dir, ship_package
 from .search import (
     DEFAULT_K,
+    INDEX_BLOCK_BYTES,
     MAX_BROADCAST_BYTES,
     TIE_DIGITS,
     QueryBlock,
     block_search,
     collect_queries,
     hit_schema,
+    matrix_parts,
     merge_hits,
     query_block,
     scan_with,
@@ -88,20 +91,37 @@ class CellIndex:
 
     def near(self, units: np.ndarray, probes: int) -> np.ndarray:
         """For each unit row which cells are its ``probes`` nearest ones that hold rows."""
-        angle = self._angles(units)
-        angle[:, ~self._held()] = np.inf
-        order = np.argsort(angle, axis=1, kind="stable")[:, :probes]
-        chosen = np.zeros(angle.shape, bool)
-        np.put_along_axis(chosen, order, True, axis=1)
-        return chosen & np.isfinite(angle)
+        chosen = np.zeros((len(units), len(self.centres)), bool)
+        for part in matrix_parts(*chosen.shape):
+            angle = self._angles(units[part])
+            angle[:, ~self._held()] = np.inf
+            order = np.argsort(angle, axis=1, kind="stable")[:, :probes]
+            np.put_along_axis(chosen[part], order, True, axis=1)
+            chosen[part] &= np.isfinite(angle)
+        return chosen
 
     def within(self, units: np.ndarray, kth: np.ndarray, share: float) -> np.ndarray:
         """For each unit row which cells may hold a row nearer than its k-th hit; NaN stands for too few hits, and for all cells."""
-        # A little wider, as distances that agree in TIE_DIGITS digits are equal.
-        reach = np.arccos(np.clip(1 - kth - 2 * 10.0**-TIE_DIGITS, -1, 1))
-        reach[np.isnan(kth)] = np.inf
-        radius = np.arccos(np.clip(np.nan_to_num(self._lowest(), nan=1.0) - 10.0**-TIE_DIGITS, -1, 1))
-        return (self._angles(units) - share * radius < reach[:, None]) & self._held()
+        reach, radius = _reach(kth), self._radius()
+        chosen = np.zeros((len(units), len(self.centres)), bool)
+        for part in matrix_parts(*chosen.shape):
+            chosen[part] = (self._angles(units[part]) - share * radius < reach[part, None]) & self._held()
+        return chosen
+
+    def groups(self, most: int) -> np.ndarray:
+        """For each cell the number of its group: cells that follow each other in the direction in which centres differ most, with
+        about ``most`` rows together or a single cell."""
+        if self.counts is None:
+            return np.arange(len(self.centres), dtype=np.int32)
+        apart = self.centres - self.centres.mean(axis=0)
+        order = np.argsort(apart @ np.linalg.eigh(apart.T @ apart)[1][:, -1], kind="stable")
+        rows = self.counts[order]
+        number = np.empty(len(order), np.int32)
+        number[order] = (np.cumsum(rows) - rows) // most
+        return number
+
+    def _radius(self) -> np.ndarray:
+        return np.arccos(np.clip(np.nan_to_num(self._lowest(), nan=1.0) - 10.0**-TIE_DIGITS, -1, 1))
 
     def _angles(self, units: np.ndarray) -> np.ndarray:
         if not len(self.centres) or not len(units):
@@ -124,17 +144,25 @@ class CellIndex:
         placed.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("cell").parquet(f"{path}/rows")
         self.rows.limit(0).coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
         spark = self.rows.sparkSession
-        spark.createDataFrame(self._described(), _CENTRES).write.mode("overwrite").parquet(f"{path}/centres")
-        needs = [] if self.needs is None else [(float(need),) for need in self.needs]
-        spark.createDataFrame(needs, "need double").coalesce(1).write.mode("overwrite").parquet(f"{path}/needs")
-        built = [(None, None, None, 0, 0.0, None, version)]
-        spark.createDataFrame(built, f"{_CENTRES}, delta int, version bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/later")
-
-    def _described(self) -> list[tuple]:
+        # Through Arrow, as lists of rows would be made by Python workers of their own.
+        spark.createDataFrame(self._described()).write.mode("overwrite").parquet(f"{path}/centres")
+        needs = pa.table({"need": pa.array([] if self.needs is None else self.needs, pa.float64())})
+        spark.createDataFrame(needs).coalesce(1).write.mode("overwrite").parquet(f"{path}/needs")
+        built = T.StructType.fromDDL(f"{_CENTRES}, delta int, version bigint")
+        spark.createDataFrame(pa.Table.from_pylist([{"rows": 0, "angles": 0.0, "version": version}], to_arrow_schema(built))).coalesce(1).write.mode("overwrite").parquet(f"{path}/later")
+
+    def _described(self) -> pa.Table:
         none = np.zeros(len(self.centres))
         counts, angles = (none if known is None else known for known in (self.counts, self.angles))
-        known = zip(self.centres.tolist(), self._lowest().tolist(), counts.tolist(), angles.tolist(), strict=True)
-        return [(number, centre, low, int(rows), angle) for number, (centre, low, rows, angle) in enumerate(known)]
+        return pa.table(
+            {
+                "cell": pa.array(range(len(self.centres)), pa.int32()),
+                "centre": pa.array(self.centres.tolist(), pa.list_(pa.float64())),
+                "lowest": pa.array(self._lowest(), pa.float64()),
+                "rows": pa.array(counts.astype(np.int64)),
+                "angles": pa.array(angles, pa.float64()),
+            }
+        )
 
     @classmethod
     def read(cls, spark: SparkSession, path: str, embedding: str = "embedding", key: str = "file_path") -> CellIndex:
@@ -168,6 +196,14 @@ class CellIndex:
         return cls(rows, centres, embedding, lowest, counts, angles, needs)
 
 
+def _reach(kth: np.ndarray) -> np.ndarray:
+    """The angle within which a row is nearer than the k-th hit, or as near: a little wider, as distances that agree in TIE_DIGITS
+    digits are equal. NaN stands for too few hits."""
+    reach = np.arccos(np.clip(1 - kth - 2 * 10.0**-TIE_DIGITS, -1, 1))
+    reach[np.isnan(kth)] = np.inf
+    return reach
+
+
 def _dealt(rows: DataFrame, embedding: str, rows_per_file: int) -> DataFrame:
     """Rows with all of a cell in one task, or in several by their number."""
     sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(rows_per_file)).cast("int").alias("_files"))
@@ -207,7 +243,9 @@ def build_cells(
         k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="random", featuresCol="vector"
     ).fit(fitted_on.select(array_to_vector(F.col(embedding).cast("array<double>")).alias("vector")))
     centres, _ = unit_rows(np.array(model.clusterCenters()))
-    found = CellIndex(index.withColumn("cell", _nearest_cell(centres)(embedding)), centres, embedding)
+    # Through explode, so that a filter by cell is not pushed below and the cell computed by a second worker of the same task.
+    placed = index.withColumn("_cell", _nearest_cell(centres)(embedding))
+    found = CellIndex(placed.select(*[F.col(f"`{name}`") for name in index.columns], F.explode(F.array("_cell")).alias("cell")), centres, embedding)
     lowest, counts, angles = np.full(len(centres), np.nan), np.zeros(len(centres)), np.zeros(len(centres))
     for row in _spread(index, centres, embedding).collect():
         if row["cell"] != NO_DIRECTION:
@@ -331,9 +369,11 @@ def _place(vectors: pa.Array, centres: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Similarity to the nearest centre, and its cell."""
     matrix, missing = vector_matrix(vectors, centres.shape[1])
     units, without = unit_rows(matrix)
-    similarity = units @ centres.T
-    cell = similarity.argmax(axis=1)
-    best = np.take_along_axis(similarity, cell[:, None], axis=1)[:, 0]
+    best, cell = np.empty(len(units)), np.empty(len(units), np.int64)
+    for part in matrix_parts(len(units), len(centres)):
+        similarity = units[part] @ centres.T
+        cell[part] = similarity.argmax(axis=1)
+        best[part] = similarity.max(axis=1)
     return best, np.where(without | missing, NO_DIRECTION, cell).astype(np.int32)
 
 
@@ -385,7 +425,8 @@ def search_by_bounds(
     """Exact search of any number of queries where blocks of the index are cells: a query meets only those that its k-th hit in the
     nearest ones cannot rule out. None if the index is a single block.
 
-    Centres come from a sample of the index, which decides how much is ruled out and not what is found.
+    Centres come from a sample of the index, which decides how much is ruled out and not what is found. Rows and their cells are
+    written once to the scratch folder, as the search reads them several times.
     """
     blocks = min(MOST_BLOCKS, -(-index.count() // block_rows))
     if blocks < 2:
@@ -394,7 +435,9 @@ def search_by_bounds(
     cells = build_cells(rows, blocks, embedding, iterations=5, training_rows=BLOCK_TRAINING_ROWS, k=k, calibration_rows=0)
     asked = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("vector"))
     schema = hit_schema(asked, rows, "query_id", key)
-    placed = cells.rows.select(F.col(key).alias("key"), F.col(embedding).alias("vector"), "cell")
+    placed, path = cells.rows.select(F.col(key).alias("key"), F.col(embedding).alias("vector"), "cell"), scratch_dir(index.sparkSession)
+    placed.write.parquet(path)
+    placed = index.sparkSession.read.schema(placed.schema).parquet(path)
     hits, _ = _Search(replace(cells, rows=placed), schema, k, 1, 1.0, False).joined(asked)
     return merge_hits(hits, k, key)
 
@@ -426,7 +469,11 @@ class _Search:
         return hits, self.cells.rows.sparkSession.createDataFrame(counts)
 
     def joined(self, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Queries that meet their cells in a join: ``(hits, probed)``."""
+        """Queries that meet their cells in a join: ``(hits, probed)``.
+
+        The first cells of a query are few, and it goes to each of them. Further ones may be most of all cells, so it goes to groups of
+        cells, once to each that holds a cell within its reach; the task then compares it with those cells only.
+        """
         cells, first, share = self.cells, self.first, self.share
         bare = replace(cells, rows=None)
 
@@ -436,13 +483,9 @@ class _Search:
 
         @F.arrow_udf("array<int>")
         def near(vectors: pa.Array) -> pa.Array:
-            return lists(bare.near(_units(vectors, bare.centres), first))
-
-        @F.arrow_udf("array<int>")
-        def within(vectors: pa.Array, kth: pa.Array) -> pa.Array:
             units = _units(vectors, bare.centres)
-            reached = np.asarray(kth.fill_null(np.nan), dtype=np.float64)
-            return lists(bare.within(units, reached, share) & ~bare.near(units, first))
+            found = [lists(bare.near(units[part], first)) for part in matrix_parts(len(units), len(bare.centres))]
+            return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.int32()))
 
         placed = queries.withColumn("cells", near("vector"))
         asked = placed.select("query_id", "vector", F.explode(F.concat("cells", F.array(F.lit(NO_DIRECTION)))).alias("cell"))
@@ -451,10 +494,35 @@ class _Search:
         if self.fixed:
             return hits, probed
         hits = self._staged(hits)
-        again = placed.join(self._kth(hits), "query_id", "left").withColumn("more", within("vector", "kth"))
-        again = again.select("query_id", "vector", "cells", "more")
-        others = block_search(again.select("query_id", "vector", F.explode("more").alias("cell")), cells.rows, self.schema, self.k, "key")
-        return hits.unionByName(others.drop("rank")), again.select("query_id", (F.size("cells") + F.size("more")).alias("probed"))
+        group = bare.groups(max(1, INDEX_BLOCK_BYTES // (8 * max(1, bare.centres.shape[1]))))
+        groups = int(group.max()) + 1 if len(group) else 0
+
+        @F.arrow_udf("groups array<int>, cells int")
+        def within(vectors: pa.Array, kth: pa.Array, nearest: pa.Array) -> pa.Array:
+            units, reached = _units(vectors, bare.centres), np.asarray(kth.fill_null(np.nan), dtype=np.float64)
+            counts, found = np.zeros(len(units), np.int32), [pa.array([], pa.list_(pa.int32()))]
+            for part in matrix_parts(len(units), len(bare.centres)):
+                chosen = bare.within(units[part], reached[part], share)
+                chosen[_members(nearest[part])] = False
+                counts[part] = chosen.sum(axis=1)
+                wanted = np.zeros((len(chosen), groups), bool)
+                for number in range(groups):
+                    wanted[:, number] = chosen[:, group == number].any(axis=1)
+                found.append(lists(wanted))
+            return pa.StructArray.from_arrays([pa.concat_arrays(found), pa.array(counts)], ["groups", "cells"])
+
+        def probing(block: QueryBlock, asked: pa.Table) -> QueryBlock:
+            kth = np.asarray(asked["kth"].combine_chunks().fill_null(np.nan), dtype=np.float64)
+            limit = np.where(np.isnan(kth), np.inf, kth.round(TIE_DIGITS))
+            return replace(block, cells=_Reached(block.units, bare, _reach(kth), share, asked["cells"].combine_chunks()), limit=limit)
+
+        again = placed.join(self._kth(hits), "query_id", "left").withColumn("more", within("vector", "kth", "cells"))
+        spark = cells.rows.sparkSession
+        numbers = pa.table({"part": pa.array(range(len(group)), pa.int32()), "cell": pa.array(group, pa.int32())})
+        parts = cells.rows.withColumnRenamed("cell", "part").join(F.broadcast(spark.createDataFrame(numbers)), "part")
+        asked = again.select("query_id", "vector", "kth", "cells", F.explode("more.groups").alias("cell"))
+        others = block_search(asked, parts, self.schema, self.k, "key", None, None, probing)
+        return hits.unionByName(others.drop("rank")), again.select("query_id", (F.size("cells") + F.col("more.cells")).alias("probed"))
 
     def _scan(self, block: QueryBlock, chosen: np.ndarray, always: list[int]) -> DataFrame:
         probed = {int(cell): np.flatnonzero(chosen[:, cell]) for cell in np.flatnonzero(chosen.any(axis=0))}
@@ -480,3 +548,28 @@ def _units(vectors: pa.Array, centres: np.ndarray) -> np.ndarray:
     if not len(centres):
         return np.zeros((len(vectors), 0))
     return unit_rows(vector_matrix(vectors, centres.shape[1])[0])[0]
+
+
+def _members(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and value of every member of a list column."""
+    lengths = np.asarray(lists.value_lengths().fill_null(0))
+    return np.repeat(np.arange(len(lists)), lengths), np.asarray(lists.flatten(), dtype=np.int64)
+
+
+class _Reached:
+    """Which queries of a block reach a cell beyond those they have looked into; worked out cell by cell, as it is asked for."""
+
+    def __init__(self, units: np.ndarray, cells: CellIndex, reach: np.ndarray, share: float, seen: pa.ListArray) -> None:
+        self.units = units
+        self.centres = cells.centres
+        self.reach = reach
+        self.radius = share * cells._radius()
+        query, cell = _members(seen)
+        order = np.argsort(cell, kind="stable")
+        self.seen_cell, self.seen_query = cell[order], query[order]
+
+    def get(self, cell: int) -> np.ndarray | None:
+        reached = np.arccos(np.clip(self.units @ self.centres[cell], -1, 1)) - self.radius[cell] < self.reach
+        start, stop = np.searchsorted(self.seen_cell, [cell, cell + 1])
+        reached[self.seen_query[start:stop]] = False
+        return np.flatnonzero(reached) if reached.any() else None

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,9 @@ TIE_DIGITS = 9
 # Queries up to this size are sent to every task; beyond it queries and index meet in blocks instead.
 MAX_BROADCAST_BYTES = 32 << 20
 # Sizes of one block on either side (as doubles): either side is copied once per block of the other, so blocks are as
-# large as a task easily holds.
-INDEX_BLOCK_BYTES = 64 << 20
-QUERY_BLOCK_BYTES = 64 << 20
+# large as a task easily holds. A block of queries has its hits and their order beside it, so it is the smaller one.
+INDEX_BLOCK_BYTES = 32 << 20
+QUERY_BLOCK_BYTES = 16 << 20
 
 _FIRST_QUERIES = 1000
 
@@ -93,12 +94,20 @@ def split_queries(queries: DataFrame, text: str = "text") -> tuple[DataFrame, Da
 class QueryBlock:
     """Queries as a matrix of unit rows (zero rows stay zero), and their ids.
 
-    With ``cells`` a query is compared only with index rows of the cells it probes: ``cells[c]`` lists its rows.
+    With ``cells`` a query is compared only with index rows of the cells it probes: ``cells.get(c)`` lists its rows. Hits farther than
+    ``limit`` are of no use to a query.
     """
 
     ids: pa.Array
     units: np.ndarray
-    cells: dict[int, np.ndarray] | None = None
+    cells: Mapping[int, np.ndarray] | Probing | None = None
+    limit: np.ndarray | None = None
+
+
+class Probing(Protocol):
+    """Tells which queries of a block probe a cell, when it is asked for it."""
+
+    def get(self, cell: int) -> np.ndarray | None: ...
 
 
 def vector_matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +136,12 @@ def unit_rows(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return units, without
 
 
+def matrix_parts(rows: int, columns: int) -> Iterator[slice]:
+    """Slices of the rows of a matrix, so that each part has a bounded number of elements."""
+    step = max(1, _MATRIX_ELEMENTS // max(1, columns))
+    return (slice(start, start + step) for start in range(0, rows, step))
+
+
 def _distance(similarity: np.ndarray) -> np.ndarray:
     return np.clip(1.0 - similarity, 0.0, 2.0)
 
@@ -142,7 +157,11 @@ class _Nearest:
         self.block = block
         self.k = k
         self.zero_query = ~block.units.any(axis=1)
-        self.limit = np.full(len(block.ids), np.inf)
+        self.zero_queries = int(self.zero_query.sum())
+        self.limit = np.full(len(block.ids), np.inf) if block.limit is None else block.limit.copy()
+        # Undefined distances are the same for all queries, so they are kept once: those of all rows to queries without a
+        # direction, and those of rows without a direction to all others.
+        self.shared: dict[bool, pa.Table] = {}
         self.best: pa.Table | None = None
         self.pending: list[pa.Table] = []
         self.pending_rows = 0
@@ -153,9 +172,15 @@ class _Nearest:
             return
         special = np.flatnonzero(zero | missing)
         plain = np.flatnonzero(~(zero | missing)) if len(special) else None
-        step = max(1, _MATRIX_ELEMENTS // len(keys))
-        for start in range(0, len(rows), step):
-            part = rows[start : start + step]
+        zeros = int(self.zero_query[rows].sum())
+        if len(special) and len(rows) - zeros == len(self.limit) - self.zero_queries:
+            self._share(False, keys.take(pa.array(special)), missing[special])
+            special = special[:0]
+        if zeros and zeros == self.zero_queries:
+            self._share(True, keys, missing)
+            rows = rows[~self.zero_query[rows]]
+        for bounds in matrix_parts(len(rows), len(keys)):
+            part = rows[bounds]
             without = self.zero_query[part]
             asked = part[~without] if without.any() else part
             if plain is None:
@@ -188,16 +213,24 @@ class _Nearest:
         """Undefined distances: NaN, or NULL for a missing vector. All rows rank alike, so the first keys win."""
         if len(rows) == 0:
             return
-        order = np.where(missing, 4.0, 3.0)
-        first = pc.sort_indices(
-            pa.table({"o": order, "key": keys}), sort_keys=[("o", "ascending"), ("key", "ascending")]
-        )[: self.k]
-        chosen = np.asarray(first)
-        distance = pa.array(np.full(len(chosen), np.nan), mask=missing[chosen])
-        many = np.tile(np.arange(len(chosen)), len(rows))
-        self._keep(
-            np.repeat(rows, len(chosen)), order[chosen][many], keys.take(first).take(pa.array(many)), distance.take(pa.array(many))
-        )
+        self._keep_rest(self._first(pa.table({"o": np.where(missing, 4.0, 3.0), "key": keys})), rows)
+
+    def _first(self, rest: pa.Table) -> pa.Table:
+        first = pc.sort_indices(rest, sort_keys=[("o", "ascending"), ("key", "ascending")])[: self.k]
+        return rest.take(first).combine_chunks()
+
+    def _share(self, all_rows: bool, keys: pa.Array, missing: np.ndarray) -> None:
+        rest = pa.table({"o": np.where(missing, 4.0, 3.0), "key": keys})
+        self.shared[all_rows] = self._first(pa.concat_tables([self.shared[all_rows], rest]) if all_rows in self.shared else rest)
+
+    def _keep_rest(self, rest: pa.Table, rows: np.ndarray) -> None:
+        order, keys = np.asarray(rest["o"]), rest["key"].combine_chunks()
+        distance = pa.array(np.full(len(order), np.nan), mask=order == 4.0)
+        step = max(1, _MATRIX_ELEMENTS // max(1, len(order)))
+        for start in range(0, len(rows), step):
+            part = rows[start : start + step]
+            many = np.tile(np.arange(len(order)), len(part))
+            self._keep(np.repeat(part, len(order)), order[many], keys.take(pa.array(many)), distance.take(pa.array(many)))
 
     def _keep(self, query: np.ndarray, order: np.ndarray, keys: pa.Array, distance: pa.Array) -> None:
         if len(query) == 0:
@@ -223,6 +256,11 @@ class _Nearest:
 
     def result(self) -> Iterator[pa.RecordBatch]:
         self._prune()
+        if True in self.shared:
+            self._keep_rest(self.shared[True], np.flatnonzero(self.zero_query))
+        if False in self.shared:
+            self._keep_rest(self.shared[False], np.flatnonzero(~self.zero_query & (self.limit >= 3.0)))
+        self._prune()
         if self.best is None:
             return
         hits = pa.table(
@@ -369,18 +407,23 @@ def block_search(
     key: str,
     index_block: int | None = None,
     query_block_rows: int | None = None,
+    probing: Callable[[QueryBlock, pa.Table], QueryBlock] | None = None,
 ) -> DataFrame:
     """Exact search for query sets of any size: ``queries(query_id, vector, cell)`` x ``index(key, vector, cell)``.
 
     Both sides of a cell are cut into blocks of bounded size by hash, however many rows the cell holds. One task
     compares one block of queries with one block of the index and gives ``k`` hits per query, so neither a hot cell nor
     a large query set can fill a task, and pairs are never emitted. The table of block counts has one row per cell.
+
+    With ``probing`` the cells are divided further: the index has a column ``part``, and ``probing`` gives a block of queries, made from
+    a table with all columns of ``queries``, the parts that each of them is compared with.
     """
     ship_package(index.sparkSession)
-    first = queries.select(F.size("vector")).first()
-    row_bytes = 8 * max(1, first[0] if first else 1)
-    index_block = index_block or max(1, INDEX_BLOCK_BYTES // row_bytes)
-    query_block_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // row_bytes)
+    if index_block is None or query_block_rows is None:
+        first = queries.select(F.size("vector")).first()
+        row_bytes = 8 * max(1, first[0] if first else 1)
+        index_block = index_block or max(1, INDEX_BLOCK_BYTES // row_bytes)
+        query_block_rows = query_block_rows or max(1, QUERY_BLOCK_BYTES // row_bytes)
 
     def blocks(side: DataFrame, name: str, rows: int) -> DataFrame:
         needed = F.ceil(F.count("*") / F.lit(rows)).cast("int")
@@ -393,11 +436,13 @@ def block_search(
         copies = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
         return side.join(F.broadcast(sizes), "cell").withColumn("mine", mine).withColumn("theirs", copies)
 
+    own = [name for name in queries.columns if name != "cell"] if probing else ["query_id", "vector"]
+    compared = ["key", "vector", "part"] if probing else ["key", "vector"]
     left = placed(queries, "query_id", "query_blocks", "index_blocks").select(
-        "cell", F.col("mine").alias("qb"), F.col("theirs").alias("ib"), "query_id", "vector"
+        "cell", F.col("mine").alias("qb"), F.col("theirs").alias("ib"), *own
     )
     right = placed(index, "key", "index_blocks", "query_blocks").select(
-        "cell", F.col("theirs").alias("qb"), F.col("mine").alias("ib"), "key", "vector"
+        "cell", F.col("theirs").alias("qb"), F.col("mine").alias("ib"), *compared
     )
 
     target = pa.schema([("query_id", _arrow(schema, 0)), ("key", _arrow(schema, 1)), ("distance", pa.float64())])
@@ -406,8 +451,11 @@ def block_search(
         if some_queries.num_rows == 0 or some_rows.num_rows == 0:
             return target.empty_table()
         block = query_block(some_queries.select(["query_id", "vector"]))
-        batches = some_rows.select(["key", "vector"]).combine_chunks().to_batches(max_chunksize=4096)
-        return pa.Table.from_batches(list(_scan_block(batches, block, k)), None) if batches else target.empty_table()
+        some_rows = some_rows.select(compared)
+        if probing:
+            block, some_rows = probing(block, some_queries), some_rows.sort_by("part")
+        found = list(_scan_block(some_rows.to_batches(max_chunksize=4096), block, k))
+        return pa.Table.from_batches(found) if found else target.empty_table()
 
     keys = ["cell", "qb", "ib"]
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, schema)
