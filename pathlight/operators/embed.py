@@ -26,8 +26,10 @@ DEFAULT_DIM = 1024
 # Fixed value: whatever separates words; a word is a run of letters and digits of any script.
 WORD_SEPARATOR = r"[^\p{L}\p{N}]+"
 
-# Rows whose counts are held as one matrix inside a task.
+# Rows whose counts are held as one matrix inside a task, and bytes of text that are split into words at once; a longer text is
+# split by itself. A task gives its vectors slice by slice, so it never holds those of a whole Arrow batch.
 _MATRIX_ROWS = 1024
+_MATRIX_BYTES = 4 << 20
 
 _COUNTED = "bucket int, documents bigint, total bigint"
 
@@ -54,8 +56,18 @@ def term_counts(texts: pa.Array, dim: int) -> np.ndarray:
 
 
 def _slices(texts: pa.Array) -> Iterator[pa.Array]:
-    for start in range(0, len(texts), _MATRIX_ROWS):
-        yield texts.slice(start, _MATRIX_ROWS)
+    ends = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0)), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        full = int(np.searchsorted(ends, before + _MATRIX_BYTES, side="right"))
+        stop = min(start + _MATRIX_ROWS, max(start + 1, full), len(texts))
+        yield texts.slice(start, stop - start)
+        start = stop
+
+
+def _row_slices(column: pa.Array) -> Iterator[pa.Array]:
+    return (column.slice(start, _MATRIX_ROWS) for start in range(0, len(column), _MATRIX_ROWS))
 
 
 def fit_idf(corpus: DataFrame, dim: int = DEFAULT_DIM, text: str = "code_text") -> DataFrame:
@@ -88,8 +100,8 @@ def idf_of_vectors(index: DataFrame, dim: int, embedding: str = "embedding") ->
     def count_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         documents, total = np.zeros(dim, np.int64), 0
         for batch in batches:
-            vectors = np.asarray(batch.column(0).flatten()).reshape(batch.num_rows, dim)
-            documents += (vectors != 0).sum(axis=0)
+            for vectors in _row_slices(batch.column(0)):
+                documents += (np.asarray(vectors.flatten()).reshape(len(vectors), dim) != 0).sum(axis=0)
             total += batch.num_rows
         if total:
             yield pa.record_batch(
@@ -113,8 +125,7 @@ def reweighted(rows: DataFrame, before: Sequence[float], after: Sequence[float],
     ship_package(rows.sparkSession)
     ratio = np.asarray(after, dtype=np.float64) / np.asarray(before, dtype=np.float64)
 
-    @F.arrow_udf("array<float>")
-    def weighted(vectors: pa.Array) -> pa.Array:
+    def scaled(vectors: pa.Array) -> pa.Array:
         here = np.asarray(vectors.is_valid())
         values = np.zeros((len(vectors), len(ratio)))
         values[here] = np.asarray(vectors.flatten(), dtype=np.float64).reshape(-1, len(ratio)) * ratio
@@ -123,6 +134,11 @@ def reweighted(rows: DataFrame, before: Sequence[float], after: Sequence[float],
         offsets = pa.array(np.arange(0, values.size + 1, len(ratio), dtype=np.int32))
         return pa.ListArray.from_arrays(offsets, pa.array(values.ravel()).cast(pa.float32(), safe=False), mask=vectors.is_null())
 
+    @F.arrow_udf("array<float>")
+    def weighted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for vectors in batches:
+            yield from map(scaled, _row_slices(vectors))
+
     return rows.withColumn(embedding, weighted(embedding))
 
 
@@ -144,9 +160,9 @@ def tfidf_weights(
         return pa.ListArray.from_arrays(pa.array(offsets), flat, mask=texts.is_null())
 
     @F.arrow_udf("array<float>" if as_float else "array<double>")
-    def embed(texts: pa.Array) -> pa.Array:
-        parts = [unit_vectors(part) for part in _slices(texts)]
-        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(values))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield from map(unit_vectors, _slices(texts))
 
     return rows.withColumn(out, embed(text))
 
