@@ -30,10 +30,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def staged(rows: DataFrame, name: str) -> DataFrame:
+def staged(rows: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write rows to the shared folder and read them back: computed once, and safe from the loss of an executor."""
     path = f"{scratch_dir(rows.sparkSession)}/{name}"
-    rows.write.parquet(path)
+    rows.write.parquet(path, compression=compression)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

@@ -6,6 +6,7 @@ import base64
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pyarrow.compute as pc
 import tiktoken
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -34,20 +35,23 @@ RUN_WORDS, ROUNDS = 40, 3
 LEAST_STEPS = 200
 # Tokens of a block that are scored at a time, and words that are split at a time.
 SLICE_TOKENS, SPLIT_ROWS = 1 << 18, 512
+# Runs that are laid into windows at a time.
+RUNS_AT_ONCE = 1 << 11
 # How much the attention model counts against the share of the word among all training words.
 ATTENTION_SHARE = 0.65
 
 # Fixed value: the byte table that lower-cases A-Z and makes a space of the other white space between words.
 _PLAIN = LOWER_BYTES.translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5))
-_DOCS, _WORDS, _RUNS = 0, 1, 2
+_DOCS, _WORDS, _SUBWORDS = 0, 1, 2
 _ENCODED = (
-    "kind int, block bigint, doc_ids array<bigint>, held array<boolean>, lengths array<int>, codes binary, "
-    "idx int, word string, n bigint"
+    "kind int, block bigint, doc_ids array<bigint>, held array<boolean>, draws array<int>, lengths array<int>, codes binary, "
+    "sizes binary, pieces binary, idx int, word string, n bigint"
 )
 _ARROW = pa.schema(
     [
         ("kind", pa.int32()), ("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())),
-        ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("idx", pa.int32()), ("word", pa.string()), ("n", pa.int64()),
+        ("draws", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("sizes", pa.binary()),
+        ("pieces", pa.binary()), ("idx", pa.int32()), ("word", pa.string()), ("n", pa.int64()),
     ]
 )
 
@@ -80,10 +84,29 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return words.filter(pa.array(there)), counts
 
 
-def _block(number: int, ids: list, held: list[bool], lengths: np.ndarray, words: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
-    """A block of texts as one row of word numbers, and a row for each of its different words.
+def _packed(numbers: np.ndarray) -> bytes:
+    """Compressed byte by byte of the numbers: the high bytes are nearly all zero."""
+    planes = np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
-    The last word row, without a word, counts the ends of training texts.
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind)[:, 0]
+
+
+def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of all stretches, end to end."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _block(
+    number: int, ids: list, held: list[bool], draws: list[int], lengths: np.ndarray, words: pa.ChunkedArray, encoding: tiktoken.Encoding, heard: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    """A block of texts as one row of word numbers and the subwords of its different words, and a row for each of these words.
+
+    The subwords of training texts are counted in ``heard``. The first row's ``n`` is the number of training texts.
     """
     coded = words.combine_chunks().dictionary_encode()
     if isinstance(coded, pa.ChunkedArray):
@@ -94,16 +117,25 @@ def _block(number: int, ids: list, held: list[bool], lengths: np.ndarray, words:
     place[by_use] = np.arange(len(spoken), dtype=np.uint32)
     codes = place[codes]
     counts = np.bincount(codes[np.repeat(~np.array(held, dtype=bool), lengths)], minlength=len(spoken))
+    spoken = spoken.take(pa.array(by_use)).cast(pa.string())
+    pieces = [encoding.encode_ordinary(" " + word) for word in spoken.to_pylist()]
+    sizes = np.fromiter(map(len, pieces), np.uint32, len(pieces))
+    subwords = np.fromiter(chain.from_iterable(pieces), np.uint16, int(sizes.sum()))
+    # Sums of whole numbers below 2**53 are exact.
+    heard += np.bincount(subwords, np.repeat(counts, sizes), len(heard)).astype(np.int64)
     yield _rows(
         1,
         kind=pa.array([_DOCS], pa.int32()),
         block=pa.array([number]),
         doc_ids=pa.array([ids], pa.list_(pa.int64())),
         held=pa.array([held], pa.list_(pa.bool_())),
+        draws=pa.array([draws], pa.list_(pa.int32())),
         lengths=pa.array([lengths.tolist()], pa.list_(pa.int32())),
-        codes=pa.array([zstandard.ZstdCompressor(level=1).compress(codes.tobytes())], pa.binary()),
+        codes=pa.array([_packed(codes)], pa.binary()),
+        sizes=pa.array([_packed(sizes)], pa.binary()),
+        pieces=pa.array([_packed(subwords)], pa.binary()),
+        n=pa.array([len(held) - sum(held)]),
     )
-    spoken = spoken.take(pa.array(by_use)).cast(pa.string())
     for start in range(0, len(spoken), 50_000):
         part = spoken.slice(start, 50_000)
         yield _rows(
@@ -114,77 +146,40 @@ def _block(number: int, ids: list, held: list[bool], lengths: np.ndarray, words:
             word=part,
             n=pa.array(counts[start : start + len(part)].astype(np.int64)),
         )
-    yield _rows(
-        1, kind=pa.array([_WORDS], pa.int32()), block=pa.array([number]), n=pa.array([len(held) - sum(held)])
-    )
 
 
-def _encode(batches: Iterator[pa.RecordBatch], tokenizer: bytes, block_words: int, rounds: int) -> Iterator[pa.RecordBatch]:
-    """Task body: texts into blocks; training texts, too, as runs of subwords, each with the round that it belongs to."""
+def _encode(batches: Iterator[pa.RecordBatch], tokenizer: bytes, block_words: int) -> Iterator[pa.RecordBatch]:
+    """Task body: texts into blocks, and how often the training texts of this task have each subword."""
     encoding = _tokenizer(tokenizer)
+    heard = np.zeros(1 << 16, dtype=np.int64)
     ids: list = []
     held: list[bool] = []
+    draws: list[int] = []
     lengths: list[np.ndarray] = []
     parts: list[pa.Array] = []
-    runs: list[bytes] = []
-    turns: list[int] = []
     size = number = 0
 
     def full() -> Iterator[pa.RecordBatch]:
         block = (TaskContext.get().partitionId() << 24) + number
-        return _block(block, ids, held, np.concatenate(lengths), pa.chunked_array(parts, pa.large_string()))
+        return _block(block, ids, held, draws, np.concatenate(lengths), pa.chunked_array(parts, pa.large_string()), encoding, heard)
 
     for batch in batches:
         for at in range(0, len(batch), SPLIT_ROWS):
             part = batch.slice(at, SPLIT_ROWS)
             words, counts = _split(part.column(1))
-            out = part.column(2).to_pylist()
             ids += part.column(0).to_pylist()
-            held += out
+            held += part.column(2).to_pylist()
+            draws += part.column(3).to_pylist()
             lengths.append(counts)
             parts.append(words)
             size += len(words)
-            begins = np.cumsum(counts) - counts
-            for row, draw in enumerate(part.column(3).to_pylist()):
-                if out[row]:
-                    continue
-                for turn, start in enumerate(range(0, int(counts[row]), RUN_WORDS), draw):
-                    spoken = words.slice(int(begins[row]) + start, min(RUN_WORDS, int(counts[row]) - start)).to_pylist()
-                    # A run that begins or ends its text says so.
-                    flags = (start == 0) + 2 * (start + RUN_WORDS >= counts[row])
-                    runs.append(np.array([flags, *encoding.encode_ordinary(" " + " ".join(spoken))], dtype=np.uint16).tobytes())
-                    turns.append(turn % rounds)
             if size >= block_words:
                 yield from full()
-                ids, held, lengths, parts, size, number = [], [], [], [], 0, number + 1
-            if runs:
-                kinds = pa.array(np.full(len(runs), _RUNS, np.int32))
-                yield _rows(len(runs), kind=kinds, idx=pa.array(turns, pa.int32()), codes=pa.array(runs, pa.binary()))
-                runs, turns = [], []
+                ids, held, draws, lengths, parts, size, number = [], [], [], [], [], 0, number + 1
     if ids:
         yield from full()
-
-
-def _subwords(batches: Iterator[pa.RecordBatch], tokenizer: bytes) -> Iterator[pa.RecordBatch]:
-    encoding = _tokenizer(tokenizer)
-    for batch in batches:
-        pieces = [
-            None if word is None else np.array(encoding.encode_ordinary(" " + word), dtype=np.uint16).tobytes()
-            for word in batch.column(0).to_pylist()
-        ]
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(pieces, pa.binary())], ["word", "c", "pieces"])
-
-
-def _count_subwords(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(1 << 16, dtype=np.int64)
-    for batch in batches:
-        pieces = batch.column(1).to_pylist()
-        lengths = np.array([len(p) // 2 for p in pieces])
-        weights = np.repeat(np.asarray(batch.column(0)), lengths)
-        # Sums of whole numbers below 2**53 are exact.
-        counts += np.bincount(np.frombuffer(b"".join(pieces), np.uint16), weights, 1 << 16).astype(np.int64)
-    used = np.flatnonzero(counts)
-    yield pa.record_batch({"subword": pa.array(used), "n": pa.array(counts[used])})
+    used = np.flatnonzero(heard)
+    yield _rows(len(used), kind=pa.array(np.full(len(used), _SUBWORDS, np.int32)), idx=pa.array(used.astype(np.int32)), n=pa.array(heard[used]))
 
 
 @dataclass
@@ -220,64 +215,113 @@ def subword_classes(counts: np.ndarray, begins: np.ndarray, ends: int, classes:
     return SubwordClasses(of, np.log(softened / sums[of]).astype(np.float32), np.log(sums / sums.sum()), starts)
 
 
-def _train(batches: Iterator[pa.RecordBatch], parameters: attention.Parameters, classes: SubwordClasses, seed: int) -> Iterator[pa.RecordBatch]:
-    """Task body: steps over the runs of this task, from the given parameters.
+@dataclass
+class _Runs:
+    """Runs of training words: whether each begins (1) and ends (2) its text, its number of subwords, and these end to end."""
+
+    flags: np.ndarray
+    sizes: np.ndarray
+    subwords: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.flags)
+
+
+def _runs_of(block: dict[str, pa.Scalar], number: int, rounds: int) -> _Runs:
+    """The runs of a block that belong to this round."""
+    held, draws, lengths = (np.asarray(block[name].values) for name in ("held", "draws", "lengths"))
+    codes, sizes = _unpacked(block["codes"].as_buffer(), np.uint32), _unpacked(block["sizes"].as_buffer(), np.uint32).astype(np.int64)
+    pieces = _unpacked(block["pieces"].as_buffer(), np.uint16)
+    lengths = lengths.astype(np.int64)
+    many = np.where(held, 0, -(-lengths // RUN_WORDS))
+    doc, turn = np.repeat(np.arange(len(lengths)), many), _stretches(np.zeros_like(many), many)
+    mine = (draws[doc] + turn) % rounds == number
+    doc, start = doc[mine], turn[mine] * RUN_WORDS
+    count = np.minimum(RUN_WORDS, lengths[doc] - start)
+    # A run that begins or ends its text says so.
+    flags = (start == 0) + 2 * (start + RUN_WORDS >= lengths[doc])
+    words = codes[_stretches((np.cumsum(lengths) - lengths)[doc] + start, count)]
+    of_words = sizes[words]
+    subwords = pieces[_stretches((np.cumsum(sizes) - sizes)[words], of_words)]
+    return _Runs(flags, _sum_parts(of_words, count).astype(np.int64), subwords)
+
+
+def _windows(runs: _Runs, order: np.ndarray, classes: SubwordClasses, begin: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What windows over the runs, taken in this order, read and predict; -1 where nothing is."""
+    window, lead = attention.WINDOW, attention.CONTEXT
+    starts = np.cumsum(runs.sizes) - runs.sizes
+    for at in range(0, len(order), RUNS_AT_ONCE):
+        some = order[at : at + RUNS_AT_ONCE]
+        first, size = runs.flags[some] & 1 == 1, runs.sizes[some]
+        length = size + (runs.flags[some] >> 1)
+        # As in scoring, a text begins after the context slots and goes on from slot to slot.
+        skip = np.where(first, lead, 0)
+        room = window - skip
+        many = -(-length // room)
+        run, place = np.repeat(np.arange(len(some)), length), _stretches(np.zeros_like(length), length)
+        slots = (np.cumsum(many) - many)[run] * window + place // room[run] * window + skip[run] + place % room[run]
+        spoken = runs.subwords[np.minimum(starts[some][run] + place, len(runs.subwords) - 1)].astype(np.int64)
+        target = np.where(place < size[run], classes.of[spoken], 0)
+        read = np.empty_like(spoken)
+        read[1:] = spoken[:-1]
+        opening = place == 0
+        # The first token of a run inside a text has no context, so nothing is learned from it.
+        read[opening] = np.where(first, begin, -1)
+        target[opening] = np.where(first, target[opening], -1)
+        inputs, targets = np.full((2, many.sum() * window), -1)
+        inputs[slots], targets[slots] = read, target
+        yield inputs.reshape(-1, window), targets.reshape(-1, window)
+
+
+def _train(
+    batches: Iterator[pa.RecordBatch], parameters: attention.Parameters, classes: SubwordClasses, seed: int, number: int, rounds: int
+) -> Iterator[pa.RecordBatch]:
+    """Task body: steps over the runs of this task that belong to a round, from the given parameters.
 
     Gives rows of the new ones: an embedding weighed by how often its token was read, all others by the steps.
     """
     p = {name: value.copy() for name, value in parameters.items()}
     optimiser = attention.Adam()
-    begin, window, lead = p["embed"].shape[0] - 1, attention.WINDOW, attention.CONTEXT
+    begin, size = p["embed"].shape[0] - 1, attention.BATCH_WINDOWS
     random = np.random.default_rng(seed)
-    inputs = np.full((attention.BATCH_WINDOWS, window), -1)
-    targets = np.full((attention.BATCH_WINDOWS, window), -1)
     uses = np.zeros(begin + 1)
-    filled = 0
-
-    def learn() -> None:
-        nonlocal filled
-        if filled:
-            read, aim = inputs[:filled], targets[:filled]
-            tokens, often = np.unique(read[read >= 0], return_counts=True)
-            # Slots without a token read the beginning, which nothing sees.
-            g, _ = attention.gradient(p, np.where(read >= 0, read, begin), read >= 0, np.maximum(aim, 0), aim >= 0, classes.starts)
-            optimiser.update(p, g, tokens)
-            uses[tokens] += often
-        inputs[:], targets[:], filled = -1, -1, 0
-
-    def read_run(run: bytes) -> None:
-        nonlocal filled
-        tokens = np.frombuffer(run, np.uint16)
-        spoken = tokens[1:].astype(np.int64)
-        aim = classes.of[spoken]
-        if tokens[0] & 2:
-            aim = np.append(aim, 0)
-        # The first token of a run inside a text has no context, so nothing is learned from it.
-        read = np.append(begin if tokens[0] & 1 else -1, spoken[: len(aim) - 1])
-        if read[0] < 0:
-            aim[0] = -1
-        # As in scoring, a text begins after the context slots and goes on from slot to slot.
-        skip = lead if tokens[0] & 1 else 0
-        for start in range(0, len(read), window - skip):
-            some = min(window - skip, len(read) - start)
-            inputs[filled, skip : skip + some] = read[start : start + some]
-            targets[filled, skip : skip + some] = aim[start : start + some]
-            filled += 1
-            if filled == attention.BATCH_WINDOWS:
-                learn()
-
-    again: list[bytes] = []
+    rest = np.empty((2, 0, attention.WINDOW), dtype=np.int64)
+
+    def learn(read: np.ndarray, aim: np.ndarray) -> None:
+        tokens, often = np.unique(read[read >= 0], return_counts=True)
+        # Slots without a token read the beginning, which nothing sees.
+        g, _ = attention.gradient(p, np.where(read >= 0, read, begin), read >= 0, np.maximum(aim, 0), aim >= 0, classes.starts)
+        optimiser.update(p, g, tokens)
+        uses[tokens] += often
+
+    def read_runs(runs: _Runs) -> None:
+        nonlocal rest
+        for inputs, targets in _windows(runs, random.permutation(len(runs)), classes, begin):
+            inputs, targets = np.concatenate([rest[0], inputs]), np.concatenate([rest[1], targets])
+            full = len(inputs) // size * size
+            for at in range(0, full, size):
+                learn(inputs[at : at + size], targets[at : at + size])
+            rest = np.stack([inputs[full:], targets[full:]])
+
+    def read_rest() -> None:
+        nonlocal rest
+        if rest.shape[1]:
+            learn(*rest)
+        rest = rest[:, :0]
+
+    again: list[_Runs] = []
     for batch in batches:
-        runs = batch.column(0).to_pylist()
-        for number in random.permutation(len(runs)).tolist():
-            read_run(runs[number])
-        if optimiser.step < LEAST_STEPS:
-            again += runs
-    learn()
-    while again and optimiser.step < LEAST_STEPS:
-        for number in random.permutation(len(again)).tolist():
-            read_run(again[number])
-        learn()
+        for row in range(len(batch)):
+            runs = _runs_of({name: batch[name][row] for name in batch.schema.names}, number, rounds)
+            read_runs(runs)
+            if optimiser.step < LEAST_STEPS:
+                again.append(runs)
+    read_rest()
+    if optimiser.step < LEAST_STEPS and sum(map(len, again)):
+        once = _Runs(*(np.concatenate([getattr(runs, name) for runs in again]) for name in ("flags", "sizes", "subwords")))
+        while optimiser.step < LEAST_STEPS:
+            read_runs(once)
+            read_rest()
     if optimiser.step:
         others = _others(p)
         used = np.flatnonzero(uses)
@@ -295,11 +339,13 @@ def _others(p: attention.Parameters) -> np.ndarray:
     return np.pad(flat, (0, -len(flat) % width)).reshape(-1, width)
 
 
-def _trained(runs: DataFrame, like: attention.Parameters, classes: SubwordClasses, seed: int) -> attention.Parameters:
-    """Parameters after a round over these runs: the means over all tasks. As many numbers reach the driver as there are."""
-    held = runs.sparkSession.sparkContext.broadcast((like, classes))
+def _trained(
+    blocks: DataFrame, like: attention.Parameters, classes: SubwordClasses, seed: int, number: int, rounds: int
+) -> attention.Parameters:
+    """Parameters after a round over the runs that belong to it: the means over all tasks. As many numbers reach the driver as there are."""
+    held = blocks.sparkSession.sparkContext.broadcast((like, classes))
     numbers = ["weight", *[f"v{n}" for n in range(like["embed"].shape[1])]]
-    given = runs.mapInArrow(lambda b: _train(b, *held.value, seed), ", ".join(["at bigint", *[f"{n} double" for n in numbers]]))
+    given = blocks.mapInArrow(lambda b: _train(b, *held.value, seed + number, number, rounds), ", ".join(["at bigint", *[f"{n} double" for n in numbers]]))
     sums = given.groupBy("at").agg(*[F.sum(name).alias(name) for name in numbers]).toArrow()
     held.unpersist()
     rows = np.vstack([like["embed"], _others(like)])
@@ -333,20 +379,20 @@ def _sum_parts(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def score_block(
-    lengths: np.ndarray, codes: np.ndarray, counts: np.ndarray, pieces: pa.Array, model: LanguageModel
+    lengths: np.ndarray, codes: np.ndarray, counts: np.ndarray, sizes: np.ndarray, subwords: np.ndarray, model: LanguageModel
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(known tokens, base score, score)`` of every text of a block; ``codes`` number the words that counts and pieces list.
+    """``(known tokens, base score, score)`` of every text of a block; ``codes`` number the words that counts, sizes and subwords list.
 
     Texts are scored some at a time, so that memory holds little more than the block itself.
     """
     # The end of a text is one word more, numbered last.
     counts = np.append(counts, model.ends)
-    subwords = np.frombuffer(b"".join(pieces.to_pylist()), np.uint16).astype(np.int64)
+    subwords = subwords.astype(np.int64)
     piece_classes = np.append(model.classes.of[subwords], 0).astype(np.int16)
     # The end of a text is the last of its tokens and never read.
     pieces_read = np.append(subwords, 0)
     within = np.append(model.classes.within[subwords], np.float32(0))
-    word_lengths = np.append(np.asarray(pc.binary_length(pieces)) // 2, 1).astype(np.int64)
+    word_lengths = np.append(sizes, 1).astype(np.int64)
     word_starts = np.cumsum(word_lengths) - word_lengths
     with np.errstate(divide="ignore"):
         plain = np.log1p(-model.share) + np.log(counts / max(1, model.tokens))
@@ -359,11 +405,11 @@ def score_block(
         stop = max(row + 1, int(np.searchsorted(ends, begin + SLICE_TOKENS, side="right")))
         some, spoken = lengths[row:stop], codes[begin : ends[stop - 1]]
         tokens = some + 1
-        ended = np.full(len(spoken) + len(some), len(pieces), dtype=np.int64)
+        ended = np.full(len(spoken) + len(some), len(sizes), dtype=np.int64)
         ended[np.arange(len(spoken)) + np.repeat(np.arange(len(some)), some)] = spoken
         size = word_lengths[ended]
         starts = np.cumsum(size) - size
-        where = np.repeat(word_starts[ended] - starts, size) + np.arange(size.sum())
+        where = _stretches(word_starts[ended], size)
         sequence = piece_classes[where].astype(np.int64)
         long = _sum_parts(size, tokens).astype(np.int64)
         chosen, begun = attention.score_texts(model.parameters, sequence, long, model.classes.starts, read=pieces_read[where])
@@ -395,10 +441,10 @@ def lm_scores(
     the log10 probability by the model: each word is a mixture of its share among the training words and of its subwords,
     predicted one by one from those before it.
 
-    Texts are encoded once, in blocks, each with a list of its different words. Words are counted over all training texts
-    by a shuffle of these lists, cut into subwords once each, and brought back to the blocks. The attention model starts
+    Texts are encoded once, in blocks, each with its different words and their subwords. Words are counted over all training
+    texts by a shuffle of these words, and only the counts are brought back to the blocks. The attention model starts
     from the shares of the subword classes and reads every word of all training texts: runs of words are dealt to ``rounds``
-    rounds, in which every task trains on its runs; in between the parameters are averaged.
+    rounds, in which every task trains on the runs of its blocks; in between the parameters are averaged.
 
     NULL and empty texts consist of the end alone; repeated rows get equal results; an empty table gives an empty result;
     without training texts all counts are 0.
@@ -411,22 +457,21 @@ def lm_scores(
     given = docs.select(
         F.col(doc_id).cast("bigint"), F.col(text), held_out(doc_id), F.pmod(F.xxhash64(F.col(doc_id), F.lit(seed)), F.lit(rounds)).cast("int")
     ).toDF("doc_id", "text", "held", "draw")
-    encoded = staged(given.mapInArrow(lambda b: _encode(b, vocabulary.value, block_words, rounds), _ENCODED), "encoded")
-    words = encoded.filter(F.col("kind") == _WORDS)
-    counted = words.groupBy("word").agg(F.sum("n").alias("c"))
-    counted = staged(counted.mapInArrow(lambda b: _subwords(b, vocabulary.value), "word string, c bigint, pieces binary"), "counted")
-    totals = counted.agg(
-        F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("c"))), F.lit(0))
-    ).first()
-    tokens, distinct, ends = (int(x) for x in totals)
-    sums = (
-        counted.filter(F.col("word").isNotNull() & (F.col("c") > 0))
-        .select("c", "pieces")
-        .mapInArrow(_count_subwords, "subword bigint, n bigint")
-        .groupBy("subword")
-        .agg(F.sum("n").alias("n"))
-        .toArrow()
+    encoded = staged(given.mapInArrow(lambda b: _encode(b, vocabulary.value, block_words), _ENCODED), "encoded", "zstd")
+    blocks, words = encoded.filter(F.col("kind") == _DOCS), encoded.filter(F.col("kind") == _WORDS)
+    # A block has a word once, so of the blocks with a word one is the first.
+    same = Window.partitionBy("word")
+    counted = staged(
+        words.select("block", "idx", F.sum("n").over(same).alias("c"), (F.min("block").over(same) == F.col("block")).alias("first")),
+        "counted",
+        "zstd",
     )
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    ends = int(blocks.agg(total).first()[0])
+    spoken = int(words.agg(total).first()[0])
+    distinct = counted.filter(F.col("first") & (F.col("c") > 0)).count() + (ends > 0)
+    tokens = spoken + ends
+    sums = encoded.filter(F.col("kind") == _SUBWORDS).groupBy(F.col("idx").alias("subword")).agg(F.sum("n").alias("n")).toArrow()
     encoding = _tokenizer(content)
     size = encoding.n_vocab
     counts = np.zeros(size, dtype=np.int64)
@@ -436,18 +481,18 @@ def lm_scores(
         begins[encoding.encode_single_token(token)] = token.startswith(b" ")
     classes = subword_classes(counts, begins, ends)
     parameters = attention.initial(len(classes.prior), classes.prior, classes.starts, seed, vocabulary=size)
+    training = blocks.select("held", "draws", "lengths", "codes", "sizes", "pieces")
     for number in range(rounds):
-        runs = encoded.filter((F.col("kind") == _RUNS) & (F.col("idx") == number)).select("codes")
-        parameters = _trained(runs, parameters, classes, seed + number)
+        parameters = _trained(training, parameters, classes, seed, number, rounds)
     model = spark.sparkContext.broadcast(LanguageModel(tokens, distinct, ends, classes, parameters))
 
     def score(key: tuple, texts: pa.Table, listed: pa.Table) -> pa.Table:
         row = texts.slice(0, 1).to_pylist()[0]
         lengths = np.array(row["lengths"], dtype=np.int64)
-        codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), np.uint32)
-        order = pa.array(np.argsort(np.asarray(listed["idx"])))
-        pieces = listed["pieces"].combine_chunks().take(order)
-        known, base, total = score_block(lengths, codes, np.asarray(listed["c"].take(order)), pieces, model.value)
+        codes, sizes = (_unpacked(row[name], np.uint32) for name in ("codes", "sizes"))
+        counts = np.empty(len(sizes), dtype=np.int64)
+        counts[np.asarray(listed["idx"])] = np.asarray(listed["c"])
+        known, base, total = score_block(lengths, codes, counts, sizes, _unpacked(row["pieces"], np.uint16), model.value)
         return pa.table(
             {
                 "doc_id": pa.array(row["doc_ids"], pa.int64()),
@@ -459,8 +504,8 @@ def lm_scores(
             }
         )
 
-    texts = encoded.filter(F.col("kind") == _DOCS).select("block", "doc_ids", "held", "lengths", "codes")
-    listed = words.filter(F.col("word").isNotNull()).join(counted, "word").select(F.col("block").alias("of_block"), "idx", "c", "pieces")
+    texts = blocks.select("block", "doc_ids", "held", "lengths", "codes", "sizes", "pieces")
+    listed = counted.select(F.col("block").alias("of_block"), "idx", "c")
     scored = (
         texts.groupBy("block")
         .cogroup(listed.groupBy("of_block"))

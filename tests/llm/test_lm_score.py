@@ -131,3 +131,54 @@ def test_odd_rows(odd_docs, no_docs, spark):
     assert lm_score.lm_scores(no_docs).count() == 0
     held = spark.createDataFrame([(n, "a b") for n in range(200) if zlib.crc32(str(n).encode()) % 10 == 0], "doc_id bigint, text string")
     assert {(r["train_tokens"], r["n_known"]) for r in records(lm_score.lm_scores(held))} == {(0, 0)}
+
+
+def test_what_is_kept_of_the_texts_is_small(spark, monkeypatch, tmp_path):
+    """Training runs are read from the encoded texts; they are not written a second time."""
+    draw = np.random.default_rng(5)
+    spoken = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in draw.integers(2, 9, 3000)]
+    docs = spark.createDataFrame([(n, " ".join(draw.choice(spoken, 500))) for n in range(200)], "doc_id bigint, text string").coalesce(1)
+    kept = []
+
+    def staged(rows, name, *options):
+        made = kept_as(rows, name, *options)
+        kept.extend(os.path.getsize(file.removeprefix("file://")) for file in made.inputFiles())
+        return made
+
+    kept_as = lm_score.staged
+    monkeypatch.setattr(lm_score, "staged", staged)
+    assert lm_score.lm_scores(docs).count() == 200
+    assert sum(kept) < 3 * 200 * 500
+
+
+def test_windows_of_a_round_are_those_of_its_runs():
+    """Windows written out run by run, from the texts of a block."""
+    draw = np.random.default_rng(6)
+    lengths, sizes = np.array([0, 1, 95, 40, 130, 41]), draw.integers(1, 5, 30)
+    held, draws = np.array([False, False, False, True, False, False]), np.array([0, 2, 1, 0, 0, 2])
+    pieces, codes = draw.integers(0, 50, sizes.sum()), draw.integers(0, 30, lengths.sum())
+    of_word = np.split(pieces, np.cumsum(sizes)[:-1])
+    block = {"held": pa.scalar(held.tolist()), "draws": pa.scalar(draws.tolist(), pa.list_(pa.int32())), "lengths": pa.scalar(lengths.tolist(), pa.list_(pa.int32()))}
+    packed = {"codes": codes.astype(np.uint32), "sizes": sizes.astype(np.uint32), "pieces": pieces.astype(np.uint16)}
+    block |= {name: pa.scalar(lm_score._packed(value)) for name, value in packed.items()}
+    classes = lm_score.SubwordClasses(draw.integers(1, 9, 50), np.zeros(50), np.zeros(9), 4)
+    window, lead, seen = attention.WINDOW, attention.CONTEXT, 0
+    for number in range(3):
+        runs, want = lm_score._runs_of(block, number, 3), []
+        for text, length, out, turn in zip(np.split(codes, np.cumsum(lengths)[:-1]), lengths, held, draws, strict=True):
+            for start in [] if out else range((number - turn) % 3 * lm_score.RUN_WORDS, length, 3 * lm_score.RUN_WORDS):
+                spoken = np.concatenate([of_word[word] for word in text[start : start + lm_score.RUN_WORDS]]).tolist()
+                read = [99 if start == 0 else -1, *spoken]
+                aim = [*classes.of[spoken], 0]
+                if start:
+                    aim[0] = -1
+                if start + lm_score.RUN_WORDS < length:
+                    read, aim = read[:-1], aim[:-1]
+                skip = lead if start == 0 else 0
+                for at in range(0, len(read), window - skip):
+                    fill = lambda part: ([-1] * skip + list(part) + [-1] * window)[:window]
+                    want.append((fill(read[at : at + window - skip]), fill(aim[at : at + window - skip])))
+        seen += len(runs)
+        got = [(r.tolist(), a.tolist()) for i, t in lm_score._windows(runs, np.arange(len(runs)), classes, 99) for r, a in zip(i, t, strict=True)]
+        assert got == want
+    assert seen == 1 + 3 + 4 + 2
