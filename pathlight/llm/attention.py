@@ -7,6 +7,7 @@ that begin a word or among the others. So only one part of the classes is compar
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 
@@ -48,27 +49,39 @@ def initial(
     }
 
 
-def causal_mask(valid: np.ndarray) -> np.ndarray:
-    """Added to attention logits: what comes later, and slots before the text, cannot be seen."""
-    window = valid.shape[1]
-    later = np.triu(np.full((window, window), -1e9, np.float32), 1)
-    if valid.all():
-        return later[None]
-    return later[None] + np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
+@cache
+def _earlier(window: int) -> np.ndarray:
+    return np.tril(np.ones((window, window), np.float32))
+
+
+def _bounded(left: np.ndarray, right: np.ndarray, most: float = 60) -> bool:
+    """Whether products of rows of both cannot get so large that their exponentials need a shift."""
+    return np.einsum("ij,ij->i", left, left).max() * np.einsum("ij,ij->i", right, right).max() < most**2
 
 
 def attend(p: Parameters, inputs: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """States of a batch of windows, and what the gradient needs."""
-    hidden = p["embed"][inputs] + p["place"][None, : inputs.shape[1]]
-    query, key, value = hidden @ p["query"], hidden @ p["key"], hidden @ p["value"]
-    query *= np.float32(1 / np.sqrt(query.shape[2]))
+    """States of a batch of windows, and what the gradient needs. What comes later, and slots before the text, cannot be seen."""
+    count, window = inputs.shape
+    hidden = np.take(p["embed"], inputs.ravel(), axis=0).reshape(count, window, -1)
+    hidden += p["place"][:window]
+    d = hidden.shape[2]
+    rows = hidden.reshape(-1, d)
+    query, key, value = (rows @ p[name] for name in ("query", "key", "value"))
+    query *= np.float32(1 / np.sqrt(d))
+    tame = _bounded(query, key)
+    query, key, value = (part.reshape(hidden.shape) for part in (query, key, value))
     weights = query @ key.transpose(0, 2, 1)
-    weights += causal_mask(valid)
-    weights -= weights.max(axis=2, keepdims=True)
+    if not tame:
+        seen = np.tril(np.ones((window, window), bool))[None] & valid[:, None, :]
+        weights -= np.where(seen, weights, -np.inf).max(axis=2, keepdims=True, initial=-1e9)
+        np.minimum(weights, 0, out=weights)
     np.exp(weights, out=weights)
-    weights /= weights.sum(axis=2, keepdims=True)
+    weights *= _earlier(window)
+    if not valid.all():
+        weights *= valid[:, None, :]
+    weights /= np.maximum(weights @ np.ones((window, 1), weights.dtype), 1e-30)
     seen = weights @ value
-    return hidden + seen @ p["mix"], (hidden, query, key, value, weights, seen)
+    return hidden + (seen.reshape(-1, d) @ p["mix"]).reshape(hidden.shape), (hidden, query, key, value, weights, seen)
 
 
 @dataclass
@@ -148,6 +161,16 @@ def gradient(
     p: Parameters, inputs: np.ndarray, valid: np.ndarray, targets: np.ndarray, wanted: np.ndarray, starts: int
 ) -> tuple[Parameters, float]:
     """Of the mean negative log probability of the wanted targets, and that mean."""
+    g, tokens, loss = sparse_gradient(p, inputs, valid, targets, wanted, starts)
+    rows, g["embed"] = g["embed"], np.zeros_like(p["embed"])
+    g["embed"][tokens] = rows
+    return g, loss
+
+
+def sparse_gradient(
+    p: Parameters, inputs: np.ndarray, valid: np.ndarray, targets: np.ndarray, wanted: np.ndarray, starts: int
+) -> tuple[Parameters, np.ndarray, float]:
+    """The same with rows for the tokens in ``inputs`` only, which come second: all others have no gradient."""
     state, (hidden, query, key, value, weights, seen) = attend(p, inputs, valid)
     d, classes = state.shape[2], p["out"].shape[1]
     flat = lambda a: a.reshape(-1, a.shape[-1])
@@ -166,63 +189,74 @@ def gradient(
     for rows, cut in ((chosen[first], slice(0, starts)), (chosen[~first], slice(starts, classes))):
         if not len(rows):
             continue
-        share = states[rows] @ p["out"][:, cut] + p["bias"][cut]
-        share -= share.max(axis=1, keepdims=True)
+        # The bias is one more column, so that it comes out of the same products.
+        own = np.ones((len(rows), d + 1), states.dtype)
+        own[:, :d] = states[rows]
+        out = np.vstack([p["out"][:, cut], p["bias"][None, cut]])
+        share = own @ out
+        if not _bounded(own, out.T):
+            share -= share.max(axis=1, keepdims=True)
         np.exp(share, out=share)
-        share /= share.sum(axis=1, keepdims=True)
-        place = target[rows] - cut.start
-        loss -= float(np.log(np.maximum(share[np.arange(len(rows)), place], 1e-30)).sum())
-        share[np.arange(len(rows)), place] -= 1
-        share /= count
-        g["out"][:, cut] = states[rows].T @ share
-        g["bias"][cut] = share.sum(axis=0)
-        d_states[rows] += share @ p["out"][:, cut].T
+        total = share @ np.ones(share.shape[1], share.dtype)
+        picked = (np.arange(len(rows)), target[rows] - cut.start)
+        loss -= float(np.log(np.maximum(share[picked] / total, 1e-30)).sum())
+        share *= (1 / (total * count))[:, None]
+        share[picked] -= 1 / count
+        d_out = own.T @ share
+        g["out"][:, cut], g["bias"][cut] = d_out[:d], d_out[d]
+        d_states[rows] += share @ np.ascontiguousarray(out[:d].T)
     d_state = d_states.reshape(state.shape)
     g["mix"] = flat(seen).T @ d_states
-    d_seen = d_state @ p["mix"].T
+    d_seen = (d_states @ p["mix"].T).reshape(state.shape)
     d_value = weights.transpose(0, 2, 1) @ d_seen
     d_weights = d_seen @ value.transpose(0, 2, 1)
-    d_weights -= (d_weights * weights).sum(axis=2, keepdims=True)
+    # What the weights of a slot add up to is what it has seen.
+    d_weights -= np.einsum("ijk,ijk->ij", d_seen, seen)[:, :, None]
     d_weights *= weights
     d_query = (d_weights @ key) * np.float32(1 / np.sqrt(d))
     d_key = d_weights.transpose(0, 2, 1) @ query
+    d_hidden = d_states
     for name, part in (("query", d_query), ("key", d_key), ("value", d_value)):
         g[name] = flat(hidden).T @ flat(part)
-    d_hidden = d_state + d_query @ p["query"].T + d_key @ p["key"].T + d_value @ p["value"].T
+        d_hidden = d_hidden + flat(part) @ p[name].T
     g["place"] = np.zeros_like(p["place"])
-    g["place"][: inputs.shape[1]] = d_hidden.sum(axis=0)
+    g["place"][: inputs.shape[1]] = d_hidden.reshape(state.shape).sum(axis=0)
     # Only rows of tokens that were read are other than zero: sums over stretches of the slots in order of their token.
     order = np.argsort(inputs, axis=None, kind="stable")
-    tokens, begins = np.unique(inputs.ravel()[order], return_index=True)
-    g["embed"] = np.zeros_like(p["embed"])
-    g["embed"][tokens] = np.add.reduceat(flat(d_hidden)[order], begins, axis=0)
-    return g, loss / count
+    read = inputs.ravel()[order]
+    begins = np.flatnonzero(np.append(True, read[1:] != read[:-1]))
+    g["embed"] = np.add.reduceat(d_hidden[order], begins, axis=0)
+    return g, read[begins], loss / count
 
 
-@dataclass
 class Adam:
-    rate: float = RATE
-    step: int = 0
+    """Steps of parameters, which become parts of one array: all but the embeddings move together."""
 
-    def __post_init__(self) -> None:
-        self.mean: Parameters = {}
-        self.square: Parameters = {}
+    def __init__(self, p: Parameters, rate: float = RATE) -> None:
+        self.embed, self.rate, self.step = p["embed"], rate, 0
+        self.names = [name for name in p if name != "embed"]
+        self.others = np.concatenate([p[name].ravel() for name in self.names])
+        at = 0
+        for name in self.names:
+            p[name] = self.others[at : at + p[name].size].reshape(p[name].shape)
+            at += p[name].size
+        self.moments = [np.zeros_like(self.embed), np.zeros_like(self.embed)], [np.zeros_like(self.others), np.zeros_like(self.others)]
 
-    def update(self, p: Parameters, g: Parameters, read: np.ndarray) -> None:
-        """One step. Of the embeddings only those of the tokens that were ``read`` move."""
+    def update(self, g: Parameters, read: np.ndarray) -> None:
+        """One step. Of the embeddings only those of the tokens that were ``read`` move; the gradient has rows for these."""
         self.step += 1
         # The first steps are small: the averages are not known yet.
         rate = self.rate * min(1.0, self.step / 20)
-        for name, value in g.items():
-            if name not in self.mean:
-                self.mean[name], self.square[name] = np.zeros_like(p[name]), np.zeros_like(p[name])
-            rows = read if name == "embed" else slice(None)
-            value = value[rows]
-            mean = self.mean[name][rows] + 0.1 * (value - self.mean[name][rows])
-            square = self.square[name][rows] + 0.01 * (value * value - self.square[name][rows])
-            self.mean[name][rows], self.square[name][rows] = mean, square
+        others = np.concatenate([g[name].ravel() for name in self.names])
+        for values, (means, squares), rows, value in (
+            (self.embed, self.moments[0], read, g["embed"]), (self.others, self.moments[1], slice(None), others)
+        ):
+            mean, square = means[rows], squares[rows]
+            mean = mean + 0.1 * (value - mean)
+            square = square + 0.01 * (value * value - square)
+            means[rows], squares[rows] = mean, square
             fit = np.sqrt(square / (1 - 0.99**self.step)) + 1e-8
-            p[name][rows] -= (rate / (1 - 0.9**self.step) * mean / fit).astype(p[name].dtype)
+            values[rows] -= (rate / (1 - 0.9**self.step) * mean / fit).astype(values.dtype)
 
 
 def windows_of(lengths: np.ndarray, window: int = WINDOW, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray]:

@@ -102,7 +102,14 @@ def _stretches(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def _block(
-    number: int, ids: list, held: list[bool], draws: list[int], lengths: np.ndarray, words: pa.ChunkedArray, encoding: tiktoken.Encoding, heard: np.ndarray
+    number: int,
+    ids: list,
+    held: list[bool],
+    draws: list[int],
+    lengths: np.ndarray,
+    words: pa.ChunkedArray,
+    encoding: tiktoken.Encoding,
+    heard: np.ndarray,
 ) -> Iterator[pa.RecordBatch]:
     """A block of texts as one row of word numbers and the subwords of its different words, and a row for each of these words.
 
@@ -281,17 +288,21 @@ def _train(
     Gives rows of the new ones: an embedding weighed by how often its token was read, all others by the steps.
     """
     p = {name: value.copy() for name, value in parameters.items()}
-    optimiser = attention.Adam()
+    optimiser = attention.Adam(p)
     begin, size = p["embed"].shape[0] - 1, attention.BATCH_WINDOWS
     random = np.random.default_rng(seed)
     uses = np.zeros(begin + 1)
     rest = np.empty((2, 0, attention.WINDOW), dtype=np.int64)
 
     def learn(read: np.ndarray, aim: np.ndarray) -> None:
-        tokens, often = np.unique(read[read >= 0], return_counts=True)
         # Slots without a token read the beginning, which nothing sees.
-        g, _ = attention.gradient(p, np.where(read >= 0, read, begin), read >= 0, np.maximum(aim, 0), aim >= 0, classes.starts)
-        optimiser.update(p, g, tokens)
+        there = read >= 0
+        inputs = np.where(there, read, begin)
+        g, tokens, _ = attention.sparse_gradient(p, inputs, there, np.maximum(aim, 0), aim >= 0, classes.starts)
+        often = np.bincount(np.searchsorted(tokens, read[there]), minlength=len(tokens))
+        if not often[-1]:
+            tokens, often, g["embed"] = tokens[:-1], often[:-1], g["embed"][:-1]
+        optimiser.update(g, tokens)
         uses[tokens] += often
 
     def read_runs(runs: _Runs) -> None:

@@ -42,6 +42,23 @@ def test_gradient_equals_differences():
             assert math.isclose((up - down) / (2 * step), g[name].reshape(-1)[at], rel_tol=2e-2, abs_tol=2e-5), name
 
 
+@pytest.mark.parametrize("scale", [1, 12])
+def test_gradients_with_and_without_a_shift_of_the_exponents(monkeypatch, scale):
+    p = {name: value.astype(np.float64) * scale for name, value in small_model().items()}
+    random = np.random.default_rng(7)
+    inputs, targets = random.integers(0, 7, (3, 8)), random.integers(0, 6, (3, 8))
+    valid, wanted = np.ones((3, 8), bool), random.random((3, 8)) < 0.7
+    valid[0, :2] = wanted[0, :2] = False
+    g, loss = attention.gradient(p, inputs, valid, targets, wanted, 2)
+    rows, tokens, _ = attention.sparse_gradient(p, inputs, valid, targets, wanted, 2)
+    assert tokens.tolist() == np.unique(inputs).tolist()
+    assert np.array_equal(rows["embed"], g["embed"][tokens])
+    monkeypatch.setattr(attention, "_bounded", lambda left, right: False)
+    shifted, same = attention.gradient(p, inputs, valid, targets, wanted, 2)
+    assert math.isclose(loss, same, rel_tol=1e-9)
+    assert all(np.allclose(value, shifted[name], rtol=1e-7, atol=1e-12) for name, value in g.items())
+
+
 def test_every_token_is_scored_once_in_its_window():
     """Scores equal those of a softmax written out token by token, from the tokens that its window lets it see."""
     p, window, context, starts = small_model(), 8, 3, 2
