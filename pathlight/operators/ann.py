@@ -525,11 +525,9 @@ class _Search:
         return hits.unionByName(others.drop("rank")), again.select("query_id", (F.size("cells") + F.col("more.cells")).alias("probed"))
 
     def _scan(self, block: QueryBlock, chosen: np.ndarray, always: list[int]) -> DataFrame:
-        probed = {int(cell): np.flatnonzero(chosen[:, cell]) for cell in np.flatnonzero(chosen.any(axis=0))}
-        if len(block.ids):
-            probed |= {cell: np.arange(len(block.ids)) for cell in always}
-        rows = self.cells.rows.filter(F.col("cell").isin(list(probed)))
-        return scan_with(rows, QueryBlock(block.ids, block.units, probed), self.schema, self.k)
+        always = always if len(block.ids) else []
+        rows = self.cells.rows.filter(F.col("cell").isin([*np.flatnonzero(chosen.any(axis=0)).tolist(), *always]))
+        return scan_with(rows, QueryBlock(block.ids, block.units, _Chosen(chosen, always)), self.schema, self.k)
 
     def _staged(self, hits: DataFrame) -> DataFrame:
         """The best hits of the first cells: they tell how far to go on, and are merged with what is found there."""
@@ -556,6 +554,23 @@ def _members(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(lists)), lengths), np.asarray(lists.flatten(), dtype=np.int64)
 
 
+class _Chosen:
+    """Which queries look into which cells, in one bit for each pair: lists of them would outgrow the queries that are sent along."""
+
+    def __init__(self, chosen: np.ndarray, always: list[int]) -> None:
+        self.queries = len(chosen)
+        self.bits = np.packbits(chosen, axis=0)
+        self.always = always
+
+    def get(self, cell: int) -> np.ndarray | None:
+        if cell in self.always:
+            return np.arange(self.queries)
+        if cell < 0:
+            return None
+        asked = np.flatnonzero(np.unpackbits(self.bits[:, cell], count=self.queries))
+        return asked if len(asked) else None
+
+
 class _Reached:
     """Which queries of a block reach a cell beyond those they have looked into; worked out cell by cell, as it is asked for."""
 

@@ -746,16 +746,16 @@ def fiftieth(rows: DataFrame) -> DataFrame:
     "ann_search",
     """SELECT vec_id AS query_id, 10::BIGINT AS hits, 10::BIGINT AS right_distances, true AS in_order, true AS found_nine_of_ten,
   true AS probes_told
-FROM embeddings WHERE vec_id % 50 = 0 AND label <> 4""",
+FROM embeddings WHERE label <> 4""",
 )
 def ann_search_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A search with default arguments of every row whose id is divisible by 50 against all rows.
+    """A search with default arguments of every row against all rows.
 
     Every query has its ten hits, with their exact distances, in order; of all true neighbours nine in ten are found; and it is told
     in how many cells, one at least.
     """
     rows = odd_index(spark, sf_dir)
-    queries, index = fiftieth(rows), op.build_cells(rows)
+    queries, index = odd_queries(rows), op.build_cells(rows)
     hits = op.ann_search(queries, index, key="vec_id", report=True)
     vectors = [rows.select(F.col("vec_id").alias(name), F.col("embedding").alias(f"{name}_vector")) for name in ("query_id", "vec_id")]
     exact = op.batch_search(queries, rows, key="vec_id").select("query_id", "vec_id", F.lit(1).alias("true_hit"))

@@ -325,6 +325,18 @@ def test_recall_at_the_defaults_and_fewer_probes_for_less(spark):
     assert hits.join(exact, ["query_id", "file_path"], "left_semi").count() >= 540
 
 
+def test_ann_search_query_asks_for_every_row(spark, tmp_path):
+    """Rows of any id are queries, those without a direction among them; only missing vectors are not."""
+    from pathlight.plans.catalog import QUERIES
+
+    chosen = np.random.default_rng(9)
+    rows = [(n, n % 7, [float(x) for x in chosen.normal(size=8)]) for n in range(1, 300)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = QUERIES["ann_search"](spark, str(tmp_path)).collect()
+    assert sorted(row["query_id"] for row in found) == [n for n, label, _ in rows if label != 4]
+    assert {tuple(row)[1:] for row in found} == {(10, 10, True, True, True)}
+
+
 def test_cells_follow_changes(spark, index, vectors, queries, tmp_path):
     path, rows = str(tmp_path / "cells"), dict(vectors)
     build_cells(index, cells=5).write(path)
